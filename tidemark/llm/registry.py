@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, sharding
+from tidemark.llm import decontamination, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op6_mixing": mixing.op6_mixing,
     "op8_decontamination": decontamination.op8_decontamination,
 }
 
