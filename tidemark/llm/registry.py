@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, sharding
+from tidemark.llm import decontamination, language, mixing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op10_language": language.op10_language,
 }
 
 SQL = {
