@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, sharding
+from tidemark.llm import decontamination, language, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
     "op10_language": language.op10_language,
 }
