@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, sharding, toxicity
+from tidemark.llm import decontamination, language, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
