@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, quality, sharding, toxicity
+from tidemark.llm import decontamination, language, mixing, nearest, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_nearest": nearest.op9_nearest,
     "op10_language": language.op10_language,
 }
 
