@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, nearest, quality, sharding, toxicity
+from tidemark.llm import decontamination, language, mixing, near_duplicates, nearest, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_jaccard": near_duplicates.op3_jaccard,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL = {
     "op1_sharding": sharding.OP1_SQL,
+    "op3_jaccard": near_duplicates.OP3_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
 }
