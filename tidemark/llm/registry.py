@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, near_duplicates, nearest, quality, sharding, toxicity
+from tidemark.llm import decontamination, language, mixing, near_duplicates, nearest, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_jaccard": near_duplicates.op3_jaccard,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
