@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, mixing, near_duplicates, nearest, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import chunk_dedup, decontamination, language, mixing, near_duplicates, nearest, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_jaccard": near_duplicates.op3_jaccard,
+    "op4_chunk_dedup": chunk_dedup.op4_chunk_dedup,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
