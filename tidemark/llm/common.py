@@ -45,3 +45,19 @@ def fold(key: str, modulus: int):
 def unit_hash(*columns: str):
     """A uniform number in [0, 1) that depends on the given columns only."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+#: Keys that may be broadcast to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def small(keys: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """Stores narrow keys and marks them for broadcast if they are few enough."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose (key, hash of text) isn't among `keys` (key, text_key)."""
+    gone = small(keys.select(F.col(key).alias("__key"), F.col("text_key").alias("__text_key")).distinct())
+    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["__text_key"]), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import table
+from tidemark.llm.common import table, without
 
 SPAN = 10
 K = 5
@@ -160,7 +160,7 @@ def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, span: int = SPAN, k: int = K) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (names, sorted), spans, contaminated.
+    """Per document: doc_id, n_words, n_hit, items (names, sorted), spans, contaminated, text_key (a hash of the text).
 
     `documents` needs doc_id and text, `benchmark` item_id and text; other columns
     are not read.  Null or wordless texts have no words and no hits; null, empty and
@@ -187,7 +187,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
             *keys, F.coalesce("spans", empty.cast("array<bigint>")).alias("spans"), F.coalesce("items", empty.cast("array<string>")).alias("items")
         )
     n_hit = _merge_spans(F.col("spans"))
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("items") > 0).alias("contaminated"))
+    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("items") > 0).alias("contaminated"), "text_key")
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item's window, with all their columns."""
+    found = decontaminate(documents, benchmark)
+    return without(documents, found.where("contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,8 +108,9 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     """
     added = ("size", "source_size", "target", "rate", "copies")
     kept = [c for c in documents.columns if c not in added]
-    docs = documents.select(*[F.col(f"`{c}`") for c in kept], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("_key"))
-    narrow = cut(docs.select("source", "size", "_key", "doc_id"))
+    key = F.xxhash64("doc_id", "text")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
+    narrow = cut(documents.select("source", size.alias("size"), key.alias("_key"), "doc_id"))
     histogram = cut(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = source_targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), max_rate, weights)
     solved = solve_dual(histogram, targets).withColumn("rate", F.when(F.col("target") > 0, F.least(F.exp("lam"), F.lit(float(max_rate)))).otherwise(0.0))
@@ -133,13 +134,26 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     quota = F.floor(F.col("_rest") * F.col("_upto") / F.col("_n")) - F.floor(F.col("_rest") * (F.col("_upto") - F.col("_m")) / F.col("_n"))
     shares = shares.select(F.col("source").alias("_ps"), F.col("size").alias("_pz"), F.col("_part").alias("_pp"), quota.alias("_quota"))
 
-    full = docs.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    full = narrow.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     full = full.withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_key", F.lit(7)), "_parts")).otherwise(F.lit(0)))
     full = full.join(shares, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz")) & (F.col("_part") == F.col("_pp")), "left")
     rank = F.row_number().over(W.partitionBy("source", "size", "_part").orderBy("_key", "doc_id"))
     rest = F.coalesce("_quota", F.col("copies") % F.col("n"))
     copies = (F.floor(F.col("copies") / F.col("n")) + (rank <= rest).cast("bigint")).cast("bigint")
-    return full.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "rate", copies.alias("copies"))
+    decided = full.select("_key", F.col("doc_id").alias("_id"), "size", "source_size", "target", "rate", copies.alias("copies"))
+
+    # back to the whole rows, moved once; repeated rows are told apart by number
+    decided = decided.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_key").orderBy("copies")))
+    whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"))
+    whole = whole.withColumn("__no", F.row_number().over(W.partitionBy("doc_id", "__key").orderBy(F.lit(1))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("__key") == F.col("_key")) & (F.col("__no") + F.lit(0) == F.col("_no") + F.lit(0))
+    return whole.join(decided, same).select(*[F.col(f"`{c}`") for c in kept], *added)
+
+
+def repeat_copies(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix, each as often as it has copies, without the mix's own columns."""
+    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    return mixed.where(F.col("copies") > 0).select(*kept, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import cut, partitions, table
+from tidemark.llm.common import cut, partitions, small, table, without
 from tidemark.llm.graph import components
 
 #: Slots, as a power of two, in which shingles are counted for the order of prefixes.
@@ -35,8 +35,6 @@ SLOT_BITS = 20
 _SLICES = 256
 #: Sets of a cluster that one task takes at once.
 BLOCK = 2000
-#: Text keys that may be broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +232,7 @@ def cluster_links(left: list[np.ndarray], right: list[np.ndarray] | None, percen
 def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that span each class, from `clusters` (node, root) of candidate sets."""
     wanted = nodes.join(clusters, nodes["sid"] == clusters["node"]).select("text_key", "sid", "root")
-    keys = cut(wanted.select("text_key").distinct())
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = small(wanted.select("text_key").distinct())
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi")
 
     def run(batches):
@@ -274,7 +270,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words
 
 
 def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id): each row's set size and the smallest key of its class.
+    """(key, n_shingles, component_id, text_key): each row's set size and the smallest key of its class.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the
     distinct shingles of `words` words, or of all words where there are fewer.  Sets
@@ -293,11 +289,26 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int =
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
     named = rooted.join(named, rooted["root"] == named["r"]).select(F.col("sid").alias("s"), "component_id")
     out = rows.join(named, (rows["sid"] == named["s"]) & (rows["n"] > 0), "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), "text_key")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class, that of the smallest key, with all its columns.
+
+    Documents with an empty set stay all.  Of rows that repeat a key and text one stays.
+    """
+    found = cut(classes(docs, key, words, percent))
+    gone = found.where((F.col("n_shingles") > 0) & ~F.col(key).eqNullSafe(F.col("component_id")))
+    kept = without(docs, gone, key)
+    twice = small(found.groupBy(key, "text_key").count().where("count > 1").select(F.col(key).alias("__key"), F.col("text_key").alias("__text_key")))
+    if not twice.limit(1).count():
+        return kept
+    same = kept[key].eqNullSafe(twice["__key"]) & F.xxhash64(kept["text"]).eqNullSafe(twice["__text_key"])
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([key, "text"]))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"), "doc_id", words=3, percent=90)
+    return classes(table(spark, sf_dir, "documents"), "doc_id", words=3, percent=90).drop("text_key")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

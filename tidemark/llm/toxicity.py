@@ -37,6 +37,9 @@ TREES, DEPTH = 20, 3
 CALIBRATION_BINS = 1_000
 FEATURES = ("hits", "hit_share", "distinct", "listed", "listed_share", "near_you", "hidden", "capitals", "shouted", "marks", "exclaims", "signs", "mixed", "repeats", "log_words", "has_hit")
 HELD_OUT = (5, 0)
+#: Columns of the work; documents' columns of these names are not carried.
+VALUES, VECTOR, RAW = "_tox_values", "_tox_vector", "_tox_raw"
+MARGIN, PROBABILITY, PREDICTION = "_tox_margin", "_tox_probability", "_tox_prediction"
 
 #: What stands for a letter, undone before the lexicon is looked up again.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -164,19 +167,21 @@ class Lexicon:
 
 
 def dense(docs: DataFrame, lexicon: Lexicon, *carried: str) -> DataFrame:
-    """The carried columns and `values`, the features of each row's text."""
+    """The carried columns and VALUES, the features of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     fields = docs.select(*carried).schema
+    others = [c for c in carried if c != "text"]
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in tb.segments(batch, "text"):
                 values = shared.value.features(data, offsets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], flat], [*carried, "values"])
+                columns = dict(zip(["text", *others], rows.columns, strict=True))
+                yield pa.RecordBatch.from_arrays([*[columns[c] for c in carried], flat], [*carried, VALUES])
 
-    out = type(fields)([*fields.fields]).add("values", ArrayType(DoubleType()))
-    return docs.select("text", *carried).mapInArrow(run, out)
+    out = type(fields)([*fields.fields]).add(VALUES, ArrayType(DoubleType()))
+    return docs.select("text", *others).mapInArrow(run, out)
 
 
 class Model:
@@ -202,15 +207,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not n:
         return None
     picked = marks.withColumn("_u", unit_hash("doc_id")).where(F.col("_u") < min(1.0, FIT_ROWS / n))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of bounded size: FIT_ROWS, about
     lexicon = Lexicon(learn_lexicon(rows.where(F.col("_u") < min(1.0, LEXICON_ROWS / n))))
     points = cut(dense(rows, lexicon, "doc_id", "toxic", "_u"))
     if points.agg(F.countDistinct("toxic")).first()[0] < 2:
         return None
-    points = points.withColumn("features", array_to_vector("values"))
+    points = points.withColumn(VECTOR, array_to_vector(VALUES))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
-    trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=5).fit(points.where(part != 0).coalesce(6))
-    held = trees.transform(points.where(part == 0)).select(F.round(vector_to_array("probability")[1] * CALIBRATION_BINS).alias("bin"), "toxic")
+    learner = GBTClassifier(labelCol="toxic", featuresCol=VECTOR, predictionCol=PREDICTION, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=5)
+    trees = learner.setRawPredictionCol(MARGIN).setProbabilityCol(PROBABILITY).fit(points.where(part != 0).coalesce(6))
+    held = trees.transform(points.where(part == 0)).select(F.round(vector_to_array(PROBABILITY)[1] * CALIBRATION_BINS).alias("bin"), "toxic")
     bins = held.groupBy("bin").agg(F.avg("toxic").alias("y"), F.count("*").alias("w")).collect()
     return Model(lexicon, trees, isotonic([(r["bin"] / CALIBRATION_BINS, r["y"], float(r["w"])) for r in bins]))
 
@@ -224,14 +230,13 @@ def score(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
     """
     if model is None:
         return docs.select(*carried, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    values = dense(docs, model.lexicon, *carried).withColumn("features", array_to_vector("values"))
-    raw = vector_to_array(F.col("probability"))[1]
-    scored = model.trees.transform(values).withColumn("_raw", raw)
-    level = F.lit(model.steps[-1][1]) if model.steps else F.col("_raw")
+    values = dense(docs, model.lexicon, *carried).withColumn(VECTOR, array_to_vector(VALUES))
+    scored = model.trees.transform(values).withColumn(RAW, vector_to_array(PROBABILITY)[1])
+    level = F.lit(model.steps[-1][1]) if model.steps else F.col(RAW)
     for x, y in reversed(model.steps[:-1]):
-        level = F.when(F.col("_raw") <= x + 0.5 / CALIBRATION_BINS, F.lit(y)).otherwise(level)
+        level = F.when(F.col(RAW) <= x + 0.5 / CALIBRATION_BINS, F.lit(y)).otherwise(level)
     # within a level the trees' own order shows
-    scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * level + 0.02 * F.col("_raw"))))
+    scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * level + 0.02 * F.col(RAW))))
     return scored.select(*carried, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
