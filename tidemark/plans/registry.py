@@ -1,4 +1,10 @@
 """Every registered query of the engine and its SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from tidemark.plans import entity_queries, history_queries, result_queries, scalar_queries, spatial_queries
+
+_MODULES = (history_queries, entity_queries, spatial_queries, result_queries, scalar_queries)
+
+QUERIES = {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
