@@ -75,11 +75,12 @@ def _edges(points: Column) -> Column:
 
 
 def in_ring(x: Column, y: Column, points: Column) -> Column:
-    """Even-odd test of a point against a closed ring, after a test of the extent."""
+    """Even-odd test of a point against a closed ring, after a test of the extent; unknown for an unknown point."""
     box = bounds(points)
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
     odd = F.aggregate(_edges(points), F.lit(0), lambda n, e: n + F.coalesce(crosses(e), F.lit(False)).cast("int")) % 2 == 1
-    return x.between(box["west"], box["east"]) & y.between(box["south"], box["north"]) & odd
+    inside = x.between(box["west"], box["east"]) & y.between(box["south"], box["north"]) & odd
+    return F.when(x.isNotNull() & y.isNotNull(), inside)
 
 
 def miles_to_line(lat: Column, lon: Column, points: Column) -> Column:

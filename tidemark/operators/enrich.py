@@ -55,10 +55,10 @@ def with_known_region(points: DataFrame, blocks: DataFrame, key: str, region: st
     return joined.withColumn("answer", F.when(F.col("best_down").isNotNull(), "served").when(F.col("_loaded"), "unserved").otherwise("unknown")).drop("_loaded")
 
 
-def recent_mean(rows: DataFrame, key: str, order: str, value: str, n: int, least: float) -> DataFrame:
+def recent_mean(rows: DataFrame, key: str, order: str, value: str, n: int, least: float, digits: int = 1) -> DataFrame:
     """Mean of the last n rows' values above a floor: the rows are chosen first, then filtered."""
     last = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= n)
-    return last.where(F.col(value) > least).groupBy(key).agg(F.round(F.avg(value), 1).alias("mean"))
+    return last.where(F.col(value) > least).groupBy(key).agg(F.round(F.avg(value), digits).alias("mean"))
 
 
 def prevailing(rows: DataFrame, key: str, direction: str, percent: str) -> DataFrame:

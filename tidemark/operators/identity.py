@@ -23,9 +23,9 @@ def closure(edges: DataFrame, child: str = "id", parent: str = "superseded_by",
         ahead = state.select(F.col("id").alias("_i"), F.col("live").alias("_next"), F.col("_low").alias("_l"))
         step = state.join(ahead, state["live"] == ahead["_i"], "left")
         step = stored(step.select("id", F.coalesce("_next", "live").alias("next"), F.least("_low", F.coalesce("_l", "_low")).alias("_low"), "live"))
-        if not step.where(F.col("next") != F.col("live")).limit(1).count():
-            return step.select("id", F.col("live"))
         state = step.select("id", F.col("next").alias("live"), "_low")
+        if not step.where(F.col("next") != F.col("live")).limit(1).count():
+            break
     ends = edges.where(F.col(parent).isNull()).select(F.col(child).alias("_end"))
     done = state.join(ends, state["live"] == ends["_end"], "left")
     return done.select("id", F.when(F.col("_end").isNotNull(), F.col("live")).otherwise(F.col("_low")).alias("live"))

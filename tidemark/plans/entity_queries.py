@@ -1 +1,181 @@
+"""Identity operators over customers, parts and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import geo
+from tidemark.functions import text as t
+from tidemark.operators import history as h
+from tidemark.operators import identity as i
+from tidemark.operators.results import judgments
+from tidemark.plans import worlds as w
+
 QUERIES = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f, sql
+        return f
+
+    return add
+
+
+_CHAINS_SQL = """
+chains AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 16 <> 0 THEN p_partkey - 1 END AS superseded_by FROM part),
+live AS (
+  SELECT id, id AS live, superseded_by AS up FROM chains WHERE superseded_by IS NULL
+  UNION ALL SELECT c.id, l.live, c.superseded_by FROM chains c JOIN live l ON c.superseded_by = l.id
+)"""
+
+
+def _chains(spark, sf_dir):
+    """Parts in chains of sixteen, each replaced by the one before."""
+    p = w.table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 16 != 0, F.col("p_partkey") - 1).alias("superseded_by"))
+
+
+@query("closure", f"WITH RECURSIVE {_CHAINS_SQL} SELECT id, live FROM live")
+def closure(spark, sf_dir):
+    return i.closure(_chains(spark, sf_dir))
+
+
+@query("constituents", f"WITH RECURSIVE {_CHAINS_SQL} SELECT live, count(*) AS constituents FROM live GROUP BY live")
+def constituents(spark, sf_dir):
+    return i.constituents(i.closure(_chains(spark, sf_dir)))
+
+
+@query("closure_places", f"""WITH RECURSIVE {_CHAINS_SQL} SELECT DISTINCT l.live, p.p_size FROM live l JOIN part p ON p.p_partkey = l.id WHERE upper(trim(p.p_brand)) LIKE 'BRAND%'""")
+def closure_places(spark, sf_dir):
+    parts = w.table(spark, sf_dir, "part").where(F.upper(F.trim("p_brand")).startswith("BRAND")).select("p_partkey", "p_size")
+    live = i.closure(_chains(spark, sf_dir))
+    return live.join(parts, live["id"] == parts["p_partkey"]).select("live", "p_size").distinct()
+
+
+_PAIR_SQL = f"""
+c AS (
+  SELECT id, latitude, longitude, CASE WHEN id % 5 <> 0 THEN 'p' || (id // 3) END AS parcel, CASE WHEN id % 7 <> 0 THEN c_nationkey || '|' || c_mktsegment || '|' || (id // 40) END AS address
+  FROM ({w.places_sql("customer", "c_custkey")})
+), keyed AS (
+  SELECT DISTINCT id, k FROM (SELECT id, parcel AS k FROM c UNION ALL SELECT id, address FROM c) WHERE k IS NOT NULL
+), pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.k = b.k AND a.id < b.id),
+signals AS (
+  SELECT p.a, p.b,
+    CASE WHEN l.parcel IS NULL OR r.parcel IS NULL THEN 'unknown' WHEN l.parcel = r.parcel THEN 'agreed' ELSE 'disagreed' END AS parcel,
+    CASE WHEN l.address IS NULL OR r.address IS NULL THEN 'unknown' WHEN l.address = r.address THEN 'agreed' ELSE 'disagreed' END AS address,
+    CASE WHEN (l.latitude = floor(l.latitude) AND l.longitude = floor(l.longitude)) OR (r.latitude = floor(r.latitude) AND r.longitude = floor(r.longitude)) THEN 'unknown'
+      WHEN {w.miles_sql("l", "r", geo.METRES)} <= 200000 THEN 'agreed' ELSE 'disagreed' END AS place
+  FROM pairs p JOIN c l ON l.id = p.a JOIN c r ON r.id = p.b
+), decided AS (
+  SELECT a, b, CASE
+    WHEN parcel = 'agreed' AND address <> 'disagreed' THEN 'matched' WHEN parcel = 'agreed' THEN 'ambiguous'
+    WHEN parcel = 'disagreed' AND address = 'agreed' THEN 'ambiguous' WHEN parcel = 'disagreed' THEN 'distinct'
+    WHEN address = 'agreed' AND place <> 'disagreed' THEN 'matched'
+    WHEN address = 'agreed' OR (place = 'agreed' AND address = 'unknown') THEN 'ambiguous'
+    WHEN place = 'agreed' THEN 'distinct' ELSE 'unrelated' END AS decision
+  FROM signals
+), matched AS (SELECT a, b FROM decided WHERE decision = 'matched'),
+ways AS (SELECT a, b FROM matched UNION ALL SELECT b, a FROM matched),
+reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, m.b FROM reach r JOIN ways m ON m.a = r.other),
+groups AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+def _records(spark, sf_dir):
+    c = w.places(spark, sf_dir, "customer", "c_custkey")
+    parcel = F.when(F.col("id") % 5 != 0, F.concat(F.lit("p"), F.floor(F.col("id") / 3)))
+    address = F.when(F.col("id") % 7 != 0, F.concat_ws("|", "c_nationkey", "c_mktsegment", F.floor(F.col("id") / 40)))
+    return c.select("id", "latitude", "longitude", parcel.alias("parcel"), address.alias("address"))
+
+
+def _pairs(spark, sf_dir):
+    return i.candidate_pairs(_records(spark, sf_dir), F.array("parcel", "address"))
+
+
+def _decided(spark, sf_dir):
+    return i.decide(i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir), metres=200_000.0))
+
+
+@query("candidate_pairs", f"WITH RECURSIVE {_PAIR_SQL} SELECT a, b FROM pairs")
+def candidate_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@query("pair_signals", f"WITH RECURSIVE {_PAIR_SQL} SELECT * FROM signals")
+def pair_signals(spark, sf_dir):
+    return i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir), metres=200_000.0)
+
+
+@query("pair_decisions", f"WITH RECURSIVE {_PAIR_SQL} SELECT * FROM decided")
+def pair_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("a", "b", "decision")
+
+
+@query("pair_overrides", f"""WITH RECURSIVE {_PAIR_SQL}, said AS (SELECT a, b, CASE WHEN (a + b) % 2 = 0 THEN 'matched' ELSE 'distinct' END AS v FROM pairs WHERE a % 4 = 0)
+SELECT d.a, d.b, coalesce(v, decision) AS decision, v IS NOT NULL AND v <> decision AS contradicted FROM decided d LEFT JOIN said USING (a, b)""")
+def pair_overrides(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).where(F.col("a") % 4 == 0)
+    late = F.when((F.col("a") + F.col("b")) % 2 == 0, "matched").otherwise("distinct")
+    said = pairs.select("a", "b", late.alias("verdict"), F.lit(2).alias("seq")).unionByName(pairs.select("a", "b", F.lit("distinct").alias("verdict"), F.lit(1).alias("seq")))
+    return i.override(_decided(spark, sf_dir), said)
+
+
+@query("match_groups", f"WITH RECURSIVE {_PAIR_SQL} SELECT node, component FROM groups")
+def match_groups(spark, sf_dir):
+    return i.connected_components(_decided(spark, sf_dir).where("decision = 'matched'"))
+
+
+@query("complete_groups", f"""WITH RECURSIVE {_PAIR_SQL}, n AS (SELECT component, count(*) AS members FROM groups GROUP BY component),
+p AS (SELECT component, count(*) AS pairs FROM matched JOIN groups ON node = a GROUP BY component)
+SELECT component, members, pairs, pairs = members * (members - 1) / 2 AS complete FROM n JOIN p USING (component)""")
+def complete_groups(spark, sf_dir):
+    matched = _decided(spark, sf_dir).where("decision = 'matched'").select("a", "b")
+    return i.complete_groups(matched, i.connected_components(matched))
+
+
+@query("review_queue", f"""WITH RECURSIVE {_PAIR_SQL} SELECT d.a, d.b FROM decided d LEFT JOIN groups x ON x.node = d.a LEFT JOIN groups y ON y.node = d.b
+WHERE decision = 'ambiguous' AND (x.component IS NULL OR y.component IS NULL OR x.component <> y.component)""")
+def review_queue(spark, sf_dir):
+    decided = _decided(spark, sf_dir)
+    groups = i.connected_components(decided.where("decision = 'matched'"))
+    x, y = groups.select(F.col("node").alias("x"), F.col("component").alias("cx")), groups.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    asked = decided.where("decision = 'ambiguous'").join(x, F.col("a") == F.col("x"), "left").join(y, F.col("b") == F.col("y"), "left")
+    return asked.where(~F.coalesce(F.col("cx") == F.col("cy"), F.lit(False))).select("a", "b")
+
+
+@query("fullest_row", """WITH r AS (SELECT c_custkey, c_custkey // 4 AS live, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS a, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer)
+SELECT live, c_custkey FROM r QUALIFY row_number() OVER (PARTITION BY live ORDER BY (a IS NOT NULL)::INT + (m IS NOT NULL)::INT DESC, c_custkey) = 1""")
+def fullest_row(spark, sf_dir):
+    c = w.table(spark, sf_dir, "customer")
+    rows = c.select("c_custkey", F.floor(F.col("c_custkey") / 4).alias("live"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("a"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_mktsegment")).alias("m"))
+    return i.fullest(rows, "live", ["a", "m"], "c_custkey").select("live", "c_custkey")
+
+
+@query("judgment_rollup", """WITH n AS (SELECT o_orderkey AS entity, CASE WHEN o_orderkey % 5 = 0 THEN 'pass' WHEN o_orderkey % 3 = 0 THEN 'keep' END AS j FROM orders),
+e AS (SELECT entity AS live, j FROM n UNION ALL SELECT entity // 8, j FROM n)
+SELECT live, CASE WHEN bool_or(j = 'pass') THEN 'pass' WHEN bool_or(j = 'keep') THEN 'keep' END AS judgment FROM e GROUP BY live""")
+def judgment_rollup(spark, sf_dir):
+    o = w.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"))
+    notes = o.withColumn("judgment", F.when(F.col("entity") % 5 == 0, "pass").when(F.col("entity") % 3 == 0, "keep"))
+    merged = o.select(F.col("entity").alias("constituent"), F.floor(F.col("entity") / 8).alias("live"))
+    return judgments(notes, merged)
+
+
+@query("merged_presence", f"WITH {w.OBS_SQL} SELECT entity // 5 AS live, bool_or(run_seq = 20) AS observed, min(ts) AS first_seen, arg_min(entity, ts) AS first_entity FROM snap GROUP BY ALL")
+def merged_presence(spark, sf_dir):
+    s = w.snapshots(spark, sf_dir).withColumn("live", F.floor(F.col("entity") / 5))
+    return s.groupBy("live").agg(F.bool_or(F.col("run_seq") == 20).alias("observed"), F.min("ts").alias("first_seen"), F.min_by("entity", "ts").alias("first_entity"))
+
+
+@query("same_texts", "SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def same_texts(spark, sf_dir):
+    d = w.table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.fold(F.col("text")).cast("binary"), 256).alias("digest"))
+    return d.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("entity_on_write", f"""WITH {w.OBS_SQL}, ids AS (SELECT DISTINCT ON (status, bucket) status, bucket, entity FROM obs WHERE run_seq < 5 ORDER BY status, bucket, event_id DESC)
+SELECT o.event_id, i.entity AS known FROM obs o LEFT JOIN ids i USING (status, bucket) WHERE o.run_seq = 5""")
+def entity_on_write(spark, sf_dir):
+    obs = w.observations(spark, sf_dir)
+    known = h.latest_per_key(obs.where("run_seq < 5").select("status", "bucket", "event_id", "entity"), ["status", "bucket"], ["event_id"])
+    return obs.where("run_seq = 5").select("event_id", "status", "bucket").join(known.select("status", "bucket", F.col("entity").alias("known")), ["status", "bucket"], "left").select("event_id", "known")

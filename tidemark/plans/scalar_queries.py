@@ -1 +1,158 @@
+"""Scalar functions over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as t
+from tidemark.functions import values as v
+from tidemark.operators.extract import claims
+from tidemark.plans import worlds as w
+
 QUERIES = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f, sql
+        return f
+
+    return add
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9/ ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("clean_names", f"SELECT p_partkey, {_CLEAN.format(x='p_name')} AS name, {_CLEAN.format(x='p_brand')} AS brand FROM part")
+def clean_names(spark, sf_dir):
+    return w.table(spark, sf_dir, "part").select("p_partkey", t.clean(F.col("p_name")).alias("name"), t.clean(F.col("p_brand")).alias("brand"))
+
+
+@query("text_digests", "SELECT doc_id, sha256(substr(text, 1, 4000)) AS digest FROM documents")
+def text_digests(spark, sf_dir):
+    return w.table(spark, sf_dir, "documents").select("doc_id", t.digest(F.col("text")).alias("digest"))
+
+
+@query("sheet_cells", r"""SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(x), '^[=+@-]') THEN '''' || x ELSE x END) AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || substr(text, 1, 100) WHEN doc_id % 3 = 1 THEN ' -' || substr(text, 1, 50) ELSE substr(text, 1, 80) END AS x FROM documents)""")
+def sheet_cells(spark, sf_dir):
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.substring("text", 1, 100))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" -"), F.substring("text", 1, 50))).otherwise(F.substring("text", 1, 80))
+    return w.table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.sheet_cell(x).cast("binary"), 256).alias("cell"))
+
+
+@query("sentence_counts")
+def sentence_counts(spark, sf_dir):
+    return w.table(spark, sf_dir, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("n"))
+
+
+@query("address_keys", "SELECT c_custkey, CASE WHEN c_custkey % 6 <> 0 THEN c_nationkey || '|' || c_custkey % 100 || '|' || lower(c_mktsegment) END AS k FROM customer")
+def address_keys(spark, sf_dir):
+    street = F.when(F.col("c_custkey") % 6 != 0, t.clean(F.col("c_mktsegment")))
+    return w.table(spark, sf_dir, "customer").select("c_custkey", t.address_key((F.col("c_custkey") % 100).cast("string"), street, F.col("c_nationkey").cast("string")).alias("k"))
+
+
+@query("parcel_forms", "SELECT p_partkey, CASE WHEN length(x) >= 4 THEN x END AS parcel FROM (SELECT p_partkey, regexp_replace(lower(p_partkey || '-' || p_size), '[^a-z0-9]', '', 'g') AS x FROM part)")
+def parcel_forms(spark, sf_dir):
+    return w.table(spark, sf_dir, "part").select("p_partkey", t.parcel_form(F.concat_ws("-", "p_partkey", "p_size")).alias("parcel"))
+
+
+@query("unit_forms", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS unit FROM part")
+def unit_forms(spark, sf_dir):
+    return w.table(spark, sf_dir, "part").select("p_partkey", t.unit_form(F.concat(F.lit("Apt. #"), F.col("p_size"))).alias("unit"))
+
+
+@query("bare_counties", "SELECT n_nationkey, lower(n_name) AS county FROM nation")
+def bare_counties(spark, sf_dir):
+    ending = F.element_at(F.array(F.lit(" County"), F.lit(" PARISH"), F.lit("")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return w.table(spark, sf_dir, "nation").select("n_nationkey", t.bare_county(F.concat("n_name", ending)).alias("county"))
+
+
+@query("wind_names", "SELECT c_custkey, (['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'])[CAST(round((c_custkey * 7 % 360) / 22.5) AS INT) % 16 + 1] AS wind FROM customer WHERE c_custkey * 7 % 45 <> 0")
+def wind_names(spark, sf_dir):
+    c = w.table(spark, sf_dir, "customer").where("c_custkey * 7 % 45 <> 0")
+    return c.select("c_custkey", t.wind_name(F.col("c_custkey") * 7 % 360).alias("wind"))
+
+
+@query("city_states", "SELECT c_custkey, lower(c_mktsegment) AS city, CASE WHEN c_custkey % 2 = 0 THEN 'NM' END AS state FROM customer")
+def city_states(spark, sf_dir):
+    x = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_mktsegment", F.lit(", nm"))).otherwise(F.col("c_mktsegment"))
+    return w.table(spark, sf_dir, "customer").select("c_custkey", t.city_and_state(x).alias("p")).select("c_custkey", "p.city", "p.state")
+
+
+@query("weighted_sums", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 3 = 0 THEN NULL ELSE coalesce(CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey END, 0) * 1.0::DOUBLE + coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 4 END, 0) * 0.5::DOUBLE END AS baths FROM supplier")
+def weighted_sums(spark, sf_dir):
+    rows = w.table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey")).alias("full"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 4).alias("half"))
+    return rows.select("s_suppkey", v.weighted_sum({"full": 1.0, "half": 0.5}).alias("baths"))
+
+
+@query("recoded", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN NULL ELSE o_orderstatus END AS status FROM orders")
+def recoded(spark, sf_dir):
+    return w.table(spark, sf_dir, "orders").select("o_orderkey", v.recode(F.col("o_orderstatus"), {"O": "open", "F": ""}).alias("status"))
+
+
+@query("areas", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN round(p_size * 43560) ELSE round(p_retailprice) END AS BIGINT) AS sqft FROM part WHERE p_retailprice <> floor(p_retailprice) + 0.5")
+def areas(spark, sf_dir):
+    even = F.col("p_partkey") % 2 == 0
+    p = w.table(spark, sf_dir, "part").where("p_retailprice <> floor(p_retailprice) + 0.5")
+    return p.select("p_partkey", v.to_square_feet(F.when(even, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice")), F.when(even, "Acres").otherwise("sqft")).alias("sqft"))
+
+
+@query("price_per_area", "SELECT o_orderkey, round(o_totalprice / nullif(o_orderkey % 4, 0), 2) AS per FROM orders WHERE o_orderkey % 4 < 2")
+def price_per_area(spark, sf_dir):
+    o = w.table(spark, sf_dir, "orders").where("o_orderkey % 4 < 2")
+    return o.select("o_orderkey", v.price_per_area(F.col("o_totalprice"), F.col("o_orderkey") % 4).alias("per"))
+
+
+@query("pair_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_partkey AS VARCHAR) <= CAST(l_suppkey AS VARCHAR) THEN l_partkey || ',' || l_suppkey ELSE l_suppkey || ',' || l_partkey END AS k FROM lineitem WHERE l_orderkey < 3000")
+def pair_keys(spark, sf_dir):
+    li = w.table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    return li.select("l_orderkey", "l_linenumber", v.pair_key(F.col("l_partkey"), F.col("l_suppkey")).alias("k"))
+
+
+@query("json_values", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_values(spark, sf_dir):
+    return w.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("json_pairs", "SELECT k % 5 AS k, count(*) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
+def json_pairs(spark, sf_dir):
+    k = F.from_json(F.concat(F.lit("["), F.col("props"), F.lit("]")), "array<struct<k bigint>>")
+    return w.table(spark, sf_dir, "events").select(F.inline(k)).groupBy((F.col("k") % 5).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("kleene_in", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus IN ('O', o_orderpriority) END AS hit FROM orders")
+def kleene_in(spark, sf_dir):
+    k = F.col("o_orderkey")
+    hit = v.kleene_in(F.when(k % 3 != 0, F.col("o_orderstatus")), ["O", F.when(k % 4 != 0, F.col("o_orderpriority"))])
+    return w.table(spark, sf_dir, "orders").select("o_orderkey", hit.alias("hit"))
+
+
+@query("fingerprint_skips", "SELECT o_custkey, count(*) AS n, count(DISTINCT (o_orderstatus, o_orderpriority)) AS distinct_inputs FROM orders GROUP BY 1")
+def fingerprint_skips(spark, sf_dir):
+    o = w.table(spark, sf_dir, "orders").withColumn("f", v.fingerprint("o_orderstatus", "o_orderpriority"))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("f").alias("distinct_inputs"))
+
+
+@query("status_labels", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || ' (disappeared)' ELSE o_orderstatus END AS label FROM orders")
+def status_labels(spark, sf_dir):
+    presence = F.when(F.col("o_orderkey") % 3 == 0, "disappeared").otherwise("observed")
+    return w.table(spark, sf_dir, "orders").select("o_orderkey", t.status_label(F.col("o_orderstatus"), presence).alias("label"))
+
+
+@query("url_lists", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS urls FROM pages WHERE url LIKE 'http%'")
+def url_lists(spark, sf_dir):
+    p = w.table(spark, sf_dir, "pages").where(F.col("url").startswith("http"))
+    urls = F.when(F.col("page_id") % 2 == 0, F.array("url", F.lit("n/a"), F.col("url"))).otherwise(F.array(F.lit("none")))
+    return p.select("page_id", F.array_join(v.url_list(urls), ",").alias("urls"))
+
+
+#: Claims that the given texts do make.
+LICENCES = {
+    "licence": {"apache": ("apache license", "under the apache license"), "gnu": ("gnu general public license", "general public license"), "mit": ("mit license",), "cc": ("creative commons",)},
+    "rights": {"reserved": ("all rights reserved", "rights reserved")},
+}
+
+
+@query("text_claims")
+def text_claims(spark, sf_dir):
+    """Claims on licences in whole texts, with conflicts."""
+    return claims(w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), LICENCES, limit=None)
