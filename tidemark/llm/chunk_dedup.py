@@ -94,8 +94,9 @@ def _runs(mark: np.ndarray, of: np.ndarray, sizes: np.ndarray, least: int) -> tu
     return long, begins & long
 
 
-def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True) -> DataFrame:
-    """(key, n_bytes, n_chunks, n_repeated, n_removed, n_spans, kept_sha256) and kept_text if asked for.
+def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+    """(key, n_bytes, n_chunks, n_repeated, n_removed, n_spans, kept_sha256) and kept_text if asked for
+    (a character that was cut through shows as the replacement character there).
 
     n_repeated counts bytes in long runs of chunks that are elsewhere too, n_removed
     those that go, as an earlier copy stays: the first one in the text of smallest key.
@@ -103,7 +104,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True) -
     repeat a key and text are one text, each of which keeps what that text keeps.
     Columns besides key and text are not read.
     """
-    store = bl.Blocks(docs, key)
+    store = bl.Blocks(docs, key, block_bytes)
 
     def make(texts, told):
         uniq, low, _ = _Chunks(texts).keys()
@@ -146,13 +147,12 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True) -
                     out[c].append(int(v[r]))
                 out["kept"].append(data[a:b][~gone_bytes[a:b]].tobytes())
         out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
-        if not with_text:
-            out["kept"] = [None] * len(out["kept"])
-        kinds = {"kept": pa.binary(), "kept_sha256": pa.string()}
+        out["kept"] = [x.decode("utf-8", "replace") if with_text else None for x in out["kept"]]
+        kinds = {"kept": pa.string(), "kept_sha256": pa.string()}
         return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
-    found = store.finish(finish, "id bigint, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string", told)
-    texts = ["decode(kept, 'UTF-8') AS kept_text"] if with_text else []
+    found = store.finish(finish, "id bigint, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string", told)
+    texts = ["kept AS kept_text"] if with_text else []
     return found.selectExpr(f"id AS `{key}`", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256", *texts)
 
 

@@ -102,8 +102,9 @@ class _Pass:
         return settled, sorted_too
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of each text as UTF-8 bytes, and kept_text if asked for.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, with_text: bool = True, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of each text as UTF-8 bytes, and kept_text if asked for
+    (a character that was cut through shows as the replacement character there).
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too,
     in this or another text, overlapping or not; matches never cross texts and are
@@ -113,7 +114,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, w
     """
     if length < V:
         raise ValueError(f"length must be {V} or more")
-    store = bl.Blocks(docs, key)
+    store = bl.Blocks(docs, key, block_bytes)
     cover = bl.resolve(store.keys(lambda texts, told: (_Pass(texts, told, length).cover_keys()[0], None), store.buckets(len(COVER) / V)), "cover")
 
     def long(texts, told):
@@ -152,12 +153,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, w
                 out["n_spans"].append(int((own[1:] & ~own[:-1]).sum() + own[:1].sum()))
                 out["kept"].append(s.data[a:b][~own].tobytes())
         out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
-        if not with_text:
-            out["kept"] = [None] * len(out["kept"])
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)})
+        out["kept"] = [x.decode("utf-8", "replace") if with_text else None for x in out["kept"]]
+        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
-    found = store.finish(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string", told.unionByName(order))
-    texts = ["decode(kept, 'UTF-8') AS kept_text"] if with_text else []
+    found = store.finish(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string", told.unionByName(order))
+    texts = ["kept AS kept_text"] if with_text else []
     return found.selectExpr(f"id AS `{key}`", "n_bytes", "n_removed", "n_spans", "kept_sha256", *texts)
 
 
