@@ -104,7 +104,7 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     Needs doc_id, text and source.  A null or wordless text has size 0 and a source of
     no words a target of 0.  A null source is a source of its own, the last one.
     Repeated rows are mixed each by itself.  Other columns pass through; ones named
-    like the added ones are replaced.  An empty table gives an empty table.
+    like the added ones are replaced, names that begin with __mix_ are the operator's.  An empty table gives an empty table.
     """
     added = ("size", "source_size", "target", "rate", "copies")
     kept = [c for c in documents.columns if c not in added]
@@ -140,20 +140,20 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     rank = F.row_number().over(W.partitionBy("source", "size", "_part").orderBy("_key", "doc_id"))
     rest = F.coalesce("_quota", F.col("copies") % F.col("n"))
     copies = (F.floor(F.col("copies") / F.col("n")) + (rank <= rest).cast("bigint")).cast("bigint")
-    decided = full.select("_key", F.col("doc_id").alias("_id"), "size", "source_size", "target", "rate", copies.alias("copies"))
+    decided = full.select(F.col("_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), "size", "source_size", "target", "rate", copies.alias("copies"))
 
     # back to the whole rows, moved once; repeated rows are told apart by number
-    decided = decided.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_key").orderBy("copies")))
-    whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"))
-    whole = whole.withColumn("__no", F.row_number().over(W.partitionBy("doc_id", "__key").orderBy(F.lit(1))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("__key") == F.col("_key")) & (F.col("__no") + F.lit(0) == F.col("_no") + F.lit(0))
+    decided = decided.withColumn("__mix_no", F.row_number().over(W.partitionBy("__mix_id", "__mix_key").orderBy("copies")))
+    whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__mix_own"))
+    whole = whole.withColumn("__mix_at", F.row_number().over(W.partitionBy("doc_id", "__mix_own").orderBy(F.lit(1))))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_own") == F.col("__mix_key")) & (F.col("__mix_at") + F.lit(0) == F.col("__mix_no") + F.lit(0))
     return whole.join(decided, same).select(*[F.col(f"`{c}`") for c in kept], *added)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
     """The rows of a mix, each as often as it has copies, without the mix's own columns."""
     kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    return mixed.where(F.col("copies") > 0).select(*kept, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return mixed.where(F.col("copies") > 0).select(*kept, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
