@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import table, without
+from tidemark.llm.common import bound_batches, table, without
 
 SPAN = 10
 K = 5
@@ -167,6 +167,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int =
     wordless items match nothing.  Repeated documents give repeated rows, repeated
     items count once by item_id, a null item_id counts as empty text.
     """
+    bound_batches(documents.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     blocks = index_blocks(items, block_bytes)
     parts = []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import linear
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import fold, table
+from tidemark.llm.common import bound_batches, fold, table
 
 BITS = 16
 DIMS = 1 << BITS
@@ -117,6 +117,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from rows (doc_id, text, lang); None if there is nothing to learn from."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    bound_batches(docs.sparkSession)
     n, df = linear.document_frequencies(rows, ngrams, DIMS)
     if not n:
         return None
@@ -141,6 +142,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     where nothing could be learned.  Repeated rows and ties are each answered alike
     (the first language in order wins a tie); columns besides doc_id and text are not read.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

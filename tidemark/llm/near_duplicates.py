@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import cut, partitions, small, table, without
+from tidemark.llm.common import bound_batches, cut, partitions, small, table, without
 from tidemark.llm.graph import components
 
 #: Slots, as a power of two, in which shingles are counted for the order of prefixes.
@@ -279,6 +279,7 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int =
     key takes part but names a class only if it has no other key.  Repeated rows come
     back repeated; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), "text")
     scanned = cut(_scan(docs, "key", words))
     rows = scanned.where(F.col("slice").isNull()).select("k", "n", "sid", "text_key")

@@ -2,7 +2,7 @@
 
 A batch's text column is looked at as one byte array plus row offsets, so that
 tokenising and hashing are a few numpy passes rather than a Python call per
-word.  Long batches are cut into segments of about a megabyte, which bounds the
+word.  Long batches are cut into segments of a quarter of a megabyte, which bounds the
 memory of a task whatever the Arrow batch size is; one text is never cut.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 _BASE = 0x5851F42D4C957F2D
 _MASK64 = (1 << 64) - 1
@@ -51,7 +51,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the hash base (or its inverse) modulo 2**64."""
-    size = max(1 << 21, 1 << int(n).bit_length())
+    size = max(1 << 19, 1 << int(n).bit_length())
     return _powers(size, inverse)[:n]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import cut, fold, table, unit_hash
+from tidemark.llm.common import bound_batches, cut, fold, table, unit_hash
 
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "garbage", "imbecile", "hate", "ugly", "filth")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "du", "dich", "dir", "dein", "usted", "ustedes")
@@ -168,6 +168,7 @@ class Lexicon:
 
 def dense(docs: DataFrame, lexicon: Lexicon, *carried: str) -> DataFrame:
     """The carried columns and VALUES, the features of each row's text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     fields = docs.select(*carried).schema
     others = [c for c in carried if c != "text"]
