@@ -16,7 +16,7 @@ from tidemark.llm.common import unit_hash
 #: From the bytes and row offsets of a segment to hashed feature numbers and the offsets of each row's.
 Featurise = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-_CHUNKS = 16
+_CHUNKS = 64
 
 
 def row_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,7 +57,9 @@ def document_frequencies(docs: DataFrame, featurise: Featurise, dims: int) -> tu
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
     schema = "chunk int, counts binary"
-    got = dict(docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect())
+    slices = docs.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
+    once = slices.groupBy("chunk", "part").applyInPandas(add, schema)  # in two steps, so that no group grows with the tasks
+    got = dict(once.groupBy("chunk").applyInPandas(add, schema).collect())
     if -1 not in got:
         return 0, np.zeros(dims, np.int64)
     return int(np.frombuffer(got[-1], np.int64)[0]), np.concatenate([np.frombuffer(got[i], np.int64) for i in range(_CHUNKS)])
