@@ -9,7 +9,7 @@ from tidemark.functions import geo, text, values
 from tidemark.functions.criteria import Rule, constant, evaluate, field
 from tidemark.operators import enrich, history, identity, results, spatial
 from tidemark.operators.extract import accept, claims, find, settle
-from tidemark.sources import tables
+from tidemark.sources import planning, tables
 
 
 def one(spark, column, **given):
@@ -281,3 +281,52 @@ def test_streamed_runs(spark, tmp_path):
         write_snapshots(stream, out, str(tmp_path / "cp"), ["entity"], ["ord"]).awaitTermination()
     got = spark.read.schema("entity string, ord int, price double, run_seq int").parquet(out).collect()
     assert sorted((r["run_seq"], r["entity"], r["ord"]) for r in got) == [(0, "a", 1), (1, "a", 3), (1, "b", 4)]
+
+
+# planning and passes
+
+
+def test_filters_are_split_and_checked(spark):
+    asked = {"price": planning.Range(100, 200), "property_type": ["house"], "listed_within_days": 7}
+    taken, left = planning.split_filters(asked, ["price"])
+    assert set(taken) == {"price"} and set(left) == {"property_type"}
+    rows = spark.createDataFrame([(1, "house"), (2, "barn"), (3, None)], "id long, property_type string")
+    assert [r["id"] for r in rows.where(planning.residual(left)).collect()] == [1, 3]
+    with pytest.raises(ValueError, match="unknown filter colour"):
+        planning.check_filters({"colour": 1})
+    for low, high in [(2, 1), (-1, None), (math.nan, None)]:
+        with pytest.raises(ValueError):
+            planning.Range(low, high)
+
+
+def test_boxes_hold_no_more_than_the_ceiling(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(200)] + [(1.0, 1.0)] * 30
+    rows = spark.createDataFrame(points, "latitude double, longitude double")
+    boxes = planning.split_by_ceiling(rows, (0.0, 0.0, 8.0, 8.0), 40)
+    assert sum(n for _, n, _ in boxes) == 230 and all(n <= 40 and not over for _, n, over in boxes)
+    stuck = planning.split_by_ceiling(rows, (0.0, 0.0, 8.0, 8.0), 20, depth=5)
+    assert sum(n for _, n, _ in stuck) == 230 and [over for _, n, over in stuck if n > 20] == [True]
+
+
+def test_circles_cover():
+    import random
+
+    rng = random.Random(1)
+    circles = planning.cover_circle(40.0, -100.0, 120.0, 50.0)
+    assert all(m <= 50 for _, _, m in circles)
+
+    def miles(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * geo.MILES * math.asin(math.sqrt(h))
+
+    for _ in range(500):
+        p = (rng.uniform(38, 42), rng.uniform(-103, -97))
+        if miles(p, (40.0, -100.0)) <= 120:
+            assert any(miles(p, c[:2]) <= c[2] for c in circles)
+
+
+def test_date_ranges():
+    assert planning.split_dates(1, 10, 3) == [(1, 3), (4, 6), (7, 10)] and planning.split_dates(5, 5, 4) == [(5, 5)]

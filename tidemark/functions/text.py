@@ -92,6 +92,12 @@ def status_label(status: Column, presence: Column) -> Column:
     return F.when(presence == "disappeared", F.concat(F.coalesce(status, F.lit("unknown")), F.lit(" (disappeared)"))).otherwise(status)
 
 
+def price_history(first: Column, last: Column, days: Column) -> Column:
+    """First to last price with its direction and days; one price alone if they are equal."""
+    way = F.when(last < first, " down to ").otherwise(" up to ")
+    return F.when(first == last, first.cast("string")).otherwise(F.concat(first, way, last, F.lit(" in "), days, F.lit(" days")))
+
+
 def shown_number(x: Column) -> Column:
     return F.when(x.isNull(), "not known").otherwise(F.format_number(x, 0))
 
