@@ -30,8 +30,10 @@ from tidemark.llm import textbytes as tb
 from tidemark.llm.common import bound_batches, cut, partitions, small, table, without
 from tidemark.llm.graph import components
 
-#: Slots, as a power of two, in which shingles are counted for the order of prefixes.
-SLOT_BITS = 20
+#: Slots, as powers of two, in which shingles are counted for the order of prefixes: so many
+#: that about SLOT_LOAD shingles share one, or rare shingles couldn't be told from common ones.
+SLOT_BITS = (16, 24)
+SLOT_LOAD = 24
 _SLICES = 256
 #: Sets of a cluster that one task takes at once.
 BLOCK = 2000
@@ -74,18 +76,28 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _scan(docs: DataFrame, key: str, words: int) -> DataFrame:
+def slot_bits(docs: DataFrame) -> int:
+    """The power of two of slots for the texts' bytes, at six bytes a word."""
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return min(max(int(size / 6 / SLOT_LOAD).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+
+
+def _slots(g: np.ndarray, bits: int) -> np.ndarray:
+    return (g >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _scan(docs: DataFrame, key: str, words: int, bits: int) -> DataFrame:
     """One row per document (key, n, sid, text_key), and per task the slot counts of its shingles in slices."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         any_rows, ids = False, None
         for batch in batches:
             for rows, data, offsets in tb.segments(batch, "text"):
                 any_rows, ids = True, rows.column(0).type
                 g, at = shingle_sets(data, offsets, words)
-                counts += np.bincount((g >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, _slots(g, bits), 1)
                 none = pa.nulls(rows.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(set_ids(g, at).view(np.int64)), rows.column(2), none, pa.nulls(rows.num_rows, pa.binary())], ["k", "n", "sid", "text_key", "slice", "counts"]
@@ -94,35 +106,39 @@ def _scan(docs: DataFrame, key: str, words: int) -> DataFrame:
             width = len(counts) // _SLICES
             empty = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([counts[i * width : (i + 1) * width].astype(np.int32).tobytes() for i in range(_SLICES)], pa.binary())],
+                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([np.minimum(counts[i * width : (i + 1) * width], 255).astype(np.uint8).tobytes() for i in range(_SLICES)], pa.binary())],
                 ["k", "n", "sid", "text_key", "slice", "counts"],
             )
 
     return docs.select(key, "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"k {kind}, n bigint, sid bigint, text_key bigint, slice int, counts binary")
 
 
-def frequency_levels(scanned: DataFrame) -> np.ndarray:
-    """For each slot how many times over the mean its count is, as a power of two: a table of fixed size."""
+def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
+    """For each slot how many times over the mean its count is, as a power of two.
+
+    A task's counts stop at 255; levels only order prefixes, any order gives right results.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(pdf["counts"].iloc[0]) // pdf["width"].iloc[0], np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int32 if pdf["width"].iloc[0] == 4 else np.int64)
+            total += np.frombuffer(x, np.uint8 if pdf["width"].iloc[0] == 1 else np.int64)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()], "width": [8]})
 
     schema = "slice int, counts binary, width int"
-    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.lit(4).alias("width"), F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.lit(1).alias("width"), F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
     once = slices.groupBy("slice", "part").applyInPandas(add, schema)  # in two steps, so that no group grows with the tasks
     got = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
     if not got:
-        return np.zeros(1 << SLOT_BITS, np.uint8)
+        return np.zeros(1 << bits, np.uint8)
     counts = np.concatenate([got[i] for i in range(_SLICES)])
-    return np.log2(1 + counts / max(1.0, counts.mean())).astype(np.uint8)
+    return (2 * np.log2(1 + counts / max(1.0, counts.mean()))).astype(np.uint8)
 
 
 def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
     """(token, sid, n, pos) of every set's prefix; a task emits a set that it meets again only once."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    bits = len(levels).bit_length() - 1
 
     def run(batches):
         level, met = shared.value, set()
@@ -137,7 +153,7 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int
                         met.add(s)
                         fresh[r] = n[r] > 0
                 row = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((g, level[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], row))
+                order = np.lexsort((g, level[_slots(g, bits)], row))
                 pos = np.arange(len(g)) - at[:-1][row]
                 kept = fresh[row] & (pos < prefix_size(n, percent)[row])
                 yield pa.RecordBatch.from_arrays([pa.array(g[order][kept].view(np.int64)), pa.array(sid[row[kept]]), pa.array(n[row[kept]].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["token", "sid", "n", "pos"])
@@ -158,7 +174,11 @@ def candidate_edges(entries: DataFrame, percent: int) -> DataFrame:
     listed = entries.withColumn("upto", F.max(reach).over(before)).withColumn("new", (F.col("upto").isNull() | (F.col("upto") < F.col("n"))).cast("int"))
     # the block's first set: the last one that began a block
     head = F.last(F.when(F.col("new") == 1, F.col("sid")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return listed.select(F.col("sid").alias("a"), head.alias("b")).where(F.col("a") != F.col("b")).distinct()
+    heads = listed.select("sid", head.alias("head")).where(F.col("sid") != F.col("head")).groupBy("sid").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    # a set ties its heads together (there are no more of them than entries of its prefix); sets with the same heads do so once
+    first = F.col("heads")[0]
+    tied = F.concat(F.array(F.struct(F.col("sid").alias("a"), first.alias("b"))), F.transform(F.slice("heads", F.lit(2), F.size("heads")), lambda h: F.struct(h.alias("a"), first.alias("b"))))
+    return heads.select(F.inline(tied)).distinct()
 
 
 class _Forest:
@@ -281,10 +301,11 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int =
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), "text")
-    scanned = cut(_scan(docs, "key", words))
+    bits = slot_bits(docs)
+    scanned = cut(_scan(docs, "key", words, bits))
     rows = scanned.where(F.col("slice").isNull()).select("k", "n", "sid", "text_key")
     nodes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.min("k").alias("low"), F.min("text_key").alias("text_key"), F.count("*").alias("copies")))
-    clusters = components(candidate_edges(prefix_entries(docs, frequency_levels(scanned), words, percent), percent))
+    clusters = components(candidate_edges(prefix_entries(docs, frequency_levels(scanned, bits), words, percent), percent))
     linked = components(cut(verified_links(docs, nodes, clusters, words, percent)))
     rooted = nodes.join(linked, nodes["sid"] == linked["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
