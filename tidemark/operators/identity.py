@@ -47,9 +47,9 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
         jump = labels.select(F.col("node").alias("_m"), F.col("component").alias("_above"))
         labels = stored(lower.join(jump, lower["_up"] == jump["_m"], "left").select("node", F.least("_up", F.coalesce("_above", "_up")).alias("component"), "_old"))
         if not labels.where(F.col("component") != F.col("_old")).limit(1).count():
-            break
+            return labels.select("node", "component")
         labels = labels.drop("_old")
-    return labels.select("node", "component")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id") -> DataFrame:
