@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import stored as cut
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+__all__ = ["BATCH_BYTES", "BROADCAST_KEYS", "bound_batches", "cut", "fold", "partitions", "small", "table", "unit_hash", "without"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and reads on from there.
 
-    The files outlive executors, unlike a local checkpoint or a cache, and the plan
-    starts anew with their true sizes, which checkpoint() would not give it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Bytes of rows that Spark hands to a Python task at once.

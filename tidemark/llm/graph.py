@@ -1,32 +1,13 @@
-"""Connected components of a graph of long ids, as joins and aggregations."""
+"""Connected components of a graph of long ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
-
-MAX_ROUNDS = 60
+from tidemark.operators.identity import connected_components
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of the edges; root is the smallest node of its component.
-
-    Every node takes the smallest label among its neighbours, then the label of its
-    label, until nothing changes; the second step halves the length of chains.
-    Nothing but the count of changes comes to the driver.
-    """
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
-    links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-    for _ in range(MAX_ROUNDS):
-        near = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("low"))
-        lower = labels.join(near, labels["node"] == near["n"]).select("node", F.col("root").alias("old"), F.least("root", "low").alias("up"))
-        jump = labels.select(F.col("node").alias("m"), F.col("root").alias("above"))
-        moved = cut(lower.join(jump, lower["up"] == jump["m"], "left").select("node", F.least("up", F.coalesce("above", "up")).alias("root"), "old"))
-        changed = moved.where(F.col("root") != F.col("old")).limit(1).count()
-        labels = moved.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    """(node, root) for every node of the edges; root is the smallest node of its component."""
+    return connected_components(edges, a, b).select("node", F.col("component").alias("root"))
