@@ -131,8 +131,8 @@ def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
     got = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
     if not got:
         return np.zeros(1 << bits, np.uint8)
-    counts = np.concatenate([got[i] for i in range(_SLICES)])
-    return (2 * np.log2(1 + counts / max(1.0, counts.mean()))).astype(np.uint8)
+    mean = max(1.0, sum(int(x.sum()) for x in got.values()) / (1 << bits))
+    return np.concatenate([(2 * np.log2(1 + got[i] / mean)).astype(np.uint8) for i in range(_SLICES)])
 
 
 def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
