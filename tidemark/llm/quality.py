@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import linear
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import table
+from tidemark.llm.common import bound_batches, table
 
 BITS = 16
 DIMS = 1 << BITS
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", per_grade:
     """
     rated = ratings.where(F.col(grade).isNotNull()).groupBy("doc_id").agg(F.min(grade).cast("int").alias("grade"))
     picked = linear.sample_by_class(rated, "grade", per_grade, "doc_id")
-    sample = linear.sparse_rows(docs.select("doc_id", "text").join(picked, "doc_id"), "grade", features)
+    # the sample is of bounded size: per_grade of each grade, about
+    sample = linear.sparse_rows(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "grade", features)
     grades = sorted({g for g, _, _ in sample})
     if len(grades) < 2:
         return None
@@ -153,6 +154,7 @@ def grade(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     """
     if model is None:
         return docs.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("keep"))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
