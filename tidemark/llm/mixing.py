@@ -30,7 +30,7 @@ WEIGHTS = (1, 2, 3)
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 #: Documents of one source and size that one task ranks at once.
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 
 
 def source_targets(sources: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
