@@ -19,6 +19,8 @@ a task; a task returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -106,7 +108,7 @@ def _scan(docs: DataFrame, key: str, words: int, bits: int) -> DataFrame:
             width = len(counts) // _SLICES
             empty = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([np.minimum(counts[i * width : (i + 1) * width], 255).astype(np.uint8).tobytes() for i in range(_SLICES)], pa.binary())],
+                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(np.minimum(counts[i * width : (i + 1) * width], 255).astype(np.uint8).tobytes(), 1) for i in range(_SLICES)], pa.binary())],
                 ["k", "n", "sid", "text_key", "slice", "counts"],
             )
 
@@ -117,18 +119,22 @@ def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
     """For each slot how many times over the mean its count is, as a power of two.
 
     A task's counts stop at 255; levels only order prefixes, any order gives right results.
+    Counts travel compressed: a task's few shingles leave most slots empty.
     """
 
+    width = (1 << bits) // _SLICES
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["counts"].iloc[0]) // pdf["width"].iloc[0], np.int64)
+        total = np.zeros(width, np.uint32)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint8 if pdf["width"].iloc[0] == 1 else np.int64)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()], "width": [8]})
+            raw = zlib.decompress(x)
+            total += np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32)
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "slice int, counts binary, width int"
-    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.lit(1).alias("width"), F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    schema = "slice int, counts binary"
+    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("part"))
     once = slices.groupBy("slice", "part").applyInPandas(add, schema)  # in two steps, so that no group grows with the tasks
-    got = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
+    got = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint32) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
     if not got:
         return np.zeros(1 << bits, np.uint8)
     mean = max(1.0, sum(int(x.sum()) for x in got.values()) / (1 << bits))
