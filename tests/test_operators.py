@@ -1,6 +1,7 @@
 """Operators on small literal tables: the cases that the given tables don't hold."""
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tidemark.functions import geo, text, values
 from tidemark.functions.criteria import Rule, constant, evaluate, field
 from tidemark.operators import enrich, history, identity, results, spatial
 from tidemark.operators.extract import accept, claims, find, settle
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import planning, tables
 
 
@@ -206,6 +208,24 @@ def test_units_and_sums(spark):
     assert one(spark, values.weighted_sum({"a": 1.0, "b": 0.5}), a=2, b=1) == 2.5 and one(spark, values.weighted_sum({"a": 1.0}), a=None) is None
 
 
+def test_rounding_of_ties_and_real_quotients(spark):
+    exact = lambda x, to: float(Decimal(repr(x)).quantize(Decimal(to), ROUND_HALF_UP))
+    pairs = [(p / 100, a) for p in (1, 5, 201, 2010, 57, -1005, 100001, 99999999) for a in (1, 2, 3, 4, 7, 24)] + [(1.0, None), (None, 1), (1.0, 0)]
+    got = spark.createDataFrame(pairs, "p double, a int").select(values.price_per_area(F.col("p"), F.col("a"))).collect()
+    assert [r[0] for r in got] == [exact(p / a, "0.01") if p and a else None for p, a in pairs]
+    sizes = [0.5, 1.5, 2.5, 3.49, 1000.5]
+    got = spark.createDataFrame([(x,) for x in sizes], "x double").select(values.to_square_feet(F.col("x"), F.lit("sqft"))).collect()
+    assert [r[0] for r in got] == [exact(x, "1") for x in sizes]
+    degrees = [11.25 * k for k in range(33)]
+    got = spark.createDataFrame([(x,) for x in degrees], "x double").select(text.wind_name(F.col("x"))).collect()
+    assert [r[0] for r in got] == [text.WINDS[int(x / 22.5 + 0.5) % 16] for x in degrees]
+
+
+@pytest.mark.parametrize("name,of", [("pair_keys", "lineitem"), ("price_per_area", "orders"), ("table_export", "customer"), ("areas", "part"), ("wind_names", "customer")])
+def test_queries_answer_for_every_row(spark, small, name, of):
+    assert QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/{of}.parquet").count()
+
+
 def test_floor_days_are_elapsed_days(spark):
     at = lambda s: F.lit(s).cast("timestamp_ntz")
     assert one(spark, values.floor_days(at("2024-01-01 23:00:00"), at("2024-01-03 22:00:00"))) == 1

@@ -66,10 +66,9 @@ def bare_counties(spark, sf_dir):
     return w.table(spark, sf_dir, "nation").select("n_nationkey", t.bare_county(F.concat("n_name", ending)).alias("county"))
 
 
-@query("wind_names", "SELECT c_custkey, (['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'])[CAST(round((c_custkey * 7 % 360) / 22.5) AS INT) % 16 + 1] AS wind FROM customer WHERE c_custkey * 7 % 45 <> 0")
+@query("wind_names", "SELECT c_custkey, (['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'])[CAST(round((c_custkey * 7 % 360) / 22.5) AS INT) % 16 + 1] AS wind FROM customer")
 def wind_names(spark, sf_dir):
-    c = w.table(spark, sf_dir, "customer").where("c_custkey * 7 % 45 <> 0")
-    return c.select("c_custkey", t.wind_name(F.col("c_custkey") * 7 % 360).alias("wind"))
+    return w.table(spark, sf_dir, "customer").select("c_custkey", t.wind_name(F.col("c_custkey") * 7 % 360).alias("wind"))
 
 
 @query("city_states", "SELECT c_custkey, lower(c_mktsegment) AS city, CASE WHEN c_custkey % 2 = 0 THEN 'NM' END AS state FROM customer")
@@ -89,23 +88,20 @@ def recoded(spark, sf_dir):
     return w.table(spark, sf_dir, "orders").select("o_orderkey", v.recode(F.col("o_orderstatus"), {"O": "open", "F": ""}).alias("status"))
 
 
-@query("areas", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN round(p_size * 43560) ELSE round(p_retailprice) END AS BIGINT) AS sqft FROM part WHERE p_retailprice <> floor(p_retailprice) + 0.5")
+@query("areas", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN round(p_size * 43560) ELSE round(p_retailprice) END AS BIGINT) AS sqft FROM part")
 def areas(spark, sf_dir):
     even = F.col("p_partkey") % 2 == 0
-    p = w.table(spark, sf_dir, "part").where("p_retailprice <> floor(p_retailprice) + 0.5")
-    return p.select("p_partkey", v.to_square_feet(F.when(even, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice")), F.when(even, "Acres").otherwise("sqft")).alias("sqft"))
+    return w.table(spark, sf_dir, "part").select("p_partkey", v.to_square_feet(F.when(even, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice")), F.when(even, "Acres").otherwise("sqft")).alias("sqft"))
 
 
-@query("price_per_area", "SELECT o_orderkey, round(o_totalprice / nullif(o_orderkey % 4, 0), 2) AS per FROM orders WHERE o_orderkey % 4 < 2")
+@query("price_per_area", f"SELECT o_orderkey, {w.CENTS_SQL.format(x='o_totalprice / nullif(o_orderkey % 4, 0)')} AS per FROM orders")
 def price_per_area(spark, sf_dir):
-    o = w.table(spark, sf_dir, "orders").where("o_orderkey % 4 < 2")
-    return o.select("o_orderkey", v.price_per_area(F.col("o_totalprice"), F.col("o_orderkey") % 4).alias("per"))
+    return w.table(spark, sf_dir, "orders").select("o_orderkey", v.price_per_area(F.col("o_totalprice"), F.col("o_orderkey") % 4).alias("per"))
 
 
-@query("pair_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_partkey AS VARCHAR) <= CAST(l_suppkey AS VARCHAR) THEN l_partkey || ',' || l_suppkey ELSE l_suppkey || ',' || l_partkey END AS k FROM lineitem WHERE l_orderkey < 3000")
+@query("pair_keys", "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_partkey AS VARCHAR) <= CAST(l_suppkey AS VARCHAR) THEN l_partkey || ',' || l_suppkey ELSE l_suppkey || ',' || l_partkey END AS k FROM lineitem")
 def pair_keys(spark, sf_dir):
-    li = w.table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
-    return li.select("l_orderkey", "l_linenumber", v.pair_key(F.col("l_partkey"), F.col("l_suppkey")).alias("k"))
+    return w.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", v.pair_key(F.col("l_partkey"), F.col("l_suppkey")).alias("k"))
 
 
 @query("json_values", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

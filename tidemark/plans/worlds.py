@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import first_per_key, healthy_runs
 
+#: Two decimals as Spark's round has them: of the shortest decimal form of the double, halves away from zero.
+CENTS_SQL = "CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
