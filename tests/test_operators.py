@@ -1,8 +1,10 @@
 """Operators on small literal tables: the cases that the given tables don't hold."""
 
+import hashlib
 import math
 from decimal import ROUND_HALF_UP, Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tidemark.functions import geo, text, values
 from tidemark.functions.criteria import Rule, constant, evaluate, field
 from tidemark.operators import enrich, history, identity, results, spatial
 from tidemark.operators.extract import accept, claims, find, settle
-from tidemark.plans.registry import QUERIES
+from tidemark.plans.registry import QUERIES, SQL
 from tidemark.sources import planning, tables
 
 
@@ -201,6 +203,23 @@ def test_sheet_cells(spark):
     assert len(one(spark, text.sheet_cell(F.col("x")), x="x" * 40000)) == text.CELL_LIMIT
 
 
+def test_sheet_cells_of_whole_texts(spark, tmp_path):
+    body = ["word " * 40 + "\x07end", "é" * 32_766, "é" * 32_767, "é" * 32_768, "x" * 40_000, "\x00" * 50 + "y" * 32_767, "line\tone\nline\x1ftwo" * 30, "+1" + "z" * 32_766, ""]
+    texts = [x for x in body for _ in range(3)]  # each meets every kind of start
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def cell(i, x):
+        x = "".join(c for c in ("=", " -", "")[i % 3] + x if c >= " " or c in "\t\n\r")
+        x = "'" + x if x.lstrip(" ")[:1] in tuple("=+@-") else x
+        return x if len(x) <= 32_767 else x[: 32_767 - len(text.CELL_MARK)] + text.CELL_MARK
+
+    want = {(i, hashlib.sha256(cell(i, x).encode()).hexdigest()) for i, x in enumerate(texts)}
+    assert {tuple(r) for r in QUERIES["sheet_cells"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.sql(SQL["sheet_cells"]).fetchall()) == want
+
+
 def test_units_and_sums(spark):
     assert one(spark, values.to_square_feet(F.col("a"), F.lit("Acres")), a=0.5) == 21780
     with pytest.raises(Exception, match="unknown unit"):

@@ -33,9 +33,12 @@ def text_digests(spark, sf_dir):
     return w.table(spark, sf_dir, "documents").select("doc_id", t.digest(F.col("text")).alias("digest"))
 
 
-@query("sheet_cells", r"""SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(x), '^[=+@-]') THEN '''' || x ELSE x END) AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || substr(text, 1, 100) WHEN doc_id % 3 = 1 THEN ' -' || substr(text, 1, 50) ELSE substr(text, 1, 80) END AS x FROM documents)""")
+@query("sheet_cells", rf"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || text WHEN doc_id % 3 = 1 THEN ' -' || text ELSE text END AS x FROM documents),
+p AS (SELECT doc_id, regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS x FROM x),
+g AS (SELECT doc_id, CASE WHEN regexp_matches(ltrim(x), '^[=+@-]') THEN '''' || x ELSE x END AS x FROM p)
+SELECT doc_id, sha256(CASE WHEN length(x) > {t.CELL_LIMIT} THEN substr(x, 1, {t.CELL_LIMIT - len(t.CELL_MARK)}) || '{t.CELL_MARK}' ELSE x END) AS cell FROM g""")
 def sheet_cells(spark, sf_dir):
-    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.substring("text", 1, 100))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" -"), F.substring("text", 1, 50))).otherwise(F.substring("text", 1, 80))
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" -"), F.col("text"))).otherwise(F.col("text"))
     return w.table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.sheet_cell(x).cast("binary"), 256).alias("cell"))
 
 
