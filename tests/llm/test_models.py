@@ -133,6 +133,20 @@ def test_nearest_edges(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_every_query_gets_all_its_neighbours(spark, monkeypatch):
+    """However few visits calibration finds enough, leaves of few rows don't shorten a query's list."""
+    monkeypatch.setattr(nearest, "calibrate", lambda *_: 1)
+    rng = np.random.default_rng(5)
+    centres = np.concatenate([np.repeat(10 * np.eye(16), 60, axis=0), np.repeat(-40 * np.eye(16), 4, axis=0)])
+    x = centres + rng.normal(size=centres.shape) * 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1040, x[-1].tolist())] * 30  # a key that is repeated fills leaves, but not its own list
+    got = nearest.nearest(frame(spark, rows, "vec_id long, embedding array<double>")).toPandas()
+    n = got.groupby("query_id")["rank"].agg(["count", "max"])
+    assert sorted(n.index) == list(range(0, 1041, 20)) and (n == 20).all().all()
+    assert not (got["query_id"] == got["vec_id"]).any()
+
+
 # mixing
 
 

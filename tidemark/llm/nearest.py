@@ -6,6 +6,7 @@ nodes by inner product with their centroids, so the most promising leaf of the
 whole tree comes next, whichever branch it is in.  How many leaves are visited is
 calibrated: a bounded set of queries is answered exactly, over all rows, and the
 visits are widened until these would have reached the recall that is asked for.
+A query whose leaves hold too few other rows for all its neighbours visits more.
 
 Rows are dealt to partitions by leaf, large leaves over several; queries, in
 blocks of bounded size, are broadcast with the leaves that each is to visit.
@@ -96,14 +97,15 @@ class Tree:
                     out[own[node[own] == c]] = self.leaf[c]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Up to `most` leaves, best bin first."""
+    def visit(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """`most` leaves, best bin first, and further ones while those hold fewer than `least` rows."""
         worth = self.centres @ query
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or held < least):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += int(sizes[self.leaf[node]]) if sizes is not None else 0
             for c in self.children[node]:
                 heapq.heappush(heap, (-worth[c], c))
         return out
@@ -212,8 +214,8 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     Queries are the rows whose key is divisible by `every`; candidates all rows of other
     keys, of which the index holds every one.  Rows with a null key or without a proper
     vector (see valid_vectors) take no part.  A key that is repeated asks once, with the
-    smallest of its vectors, and is found as often as it is there.  Ties go to smaller
-    keys.  An empty table gives an empty result; other columns are not read.
+    smallest of its vectors, and is found as often as it is there.  A query has fewer
+    than k rows only if there are fewer rows of other keys.  Ties go to smaller keys.  An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
     rows = cut(valid_vectors(df, key, vector))
@@ -235,7 +237,11 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     placed = rows.mapInArrow(place, "leaf int, vec_id bigint, v array<double>")
     placed = cut(placed.repartitionByRange(partitions(spark), "leaf", F.xxhash64("vec_id", "v")))
-    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # bounded by the leaves
+        sizes[r["leaf"]] = r["count"]
+    held = spark.sparkContext.broadcast(sizes)
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     n_asked = asked.count()
 
     chosen = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION_QUERIES).collect()
@@ -245,7 +251,8 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     def plan(batches):
         for batch in batches:
-            leaves = [np.array(shared.value.visit(q, visits), np.int32).tobytes() for q in matrix(batch.column(1))] if batch.num_rows else []
+            own = batch.column(2).to_pylist()  # rows of the query's key aren't its neighbours
+            leaves = [np.array(shared.value.visit(q, visits, held.value, k + m), np.int32).tobytes() for q, m in zip(matrix(batch.column(1)), own, strict=True)] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.binary())], ["vec_id", "v", "leaves"])
 
     blocks = max(1, -(-n_asked // QUERY_BLOCK))
