@@ -118,6 +118,40 @@ def test_insertion_moves_few_chunks():
     assert len(cut(b) - cut(b[:2000] + b"zzz" + b[2000:])) <= 4
 
 
+def random_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 10))) for _ in range(n))
+
+
+def test_planted_passages_are_found(spark):
+    rng = random.Random(12)
+    passages = [random_words(rng, 51) for _ in range(150)]
+    rows = [(i, f"{random_words(rng, 40)} {p} {random_words(rng, 40)}", None, None, None) for i, p in enumerate(passages + passages)]
+    got = {r["doc_id"]: r["n_removed"] for r in chunk_dedup.dedup_chunks(frame(spark, rows)).collect()}
+    assert [i for i in range(300) if (got[i] >= chunk_dedup.MIN_RUN) != (i >= 150)] == []
+
+
+def test_short_copies_go(spark):
+    texts = ["a short text", "another", "a short text", "é", "é", "a short text, and more of it"]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_text"]) for r in chunk_dedup.dedup_chunks(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: (0, 0, texts[0]), 1: (0, 0, texts[1]), 2: (12, 1, ""), 3: (0, 0, "é"), 4: (2, 1, ""), 5: (0, 0, texts[5])}
+
+
+def test_an_owned_chunk_does_not_shield_the_rest_of_its_run(spark):
+    b = random_words(random.Random(8), 200).encode()
+    x, y = next((x, y) for x, y in chunk_bounds(b)[4:] if 32 <= y - x)
+    before, after = b[x - 90 : x], b[y : y + 90]
+    rest = random_words(random.Random(9), 60).encode()
+    # the first text has what is around the chunk, the second all, the third the chunk with what is before it
+    texts = [before + b[x : x + 20] + rest + b[y - 32 : y] + after, before + b[x:y] + after, before + b[x:y] + rest[:50]]
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_chunks(frame(spark, [(i, t.decode(), None, None, None) for i, t in enumerate(texts)])).collect()}
+    first = {texts[0][i:j] for i, j in chunk_bounds(texts[0])}
+    third = {texts[2][i:j] for i, j in chunk_bounds(texts[2])}
+    chunks = [texts[1][i:j] for i, j in chunk_bounds(texts[1])]
+    run = [c in first or c in third for c in chunks]
+    assert b[x:y] in chunks and b[x:y] not in first and sum(len(c) for c, r in zip(chunks, run, strict=True) if r) >= 128
+    assert got[1]["kept_text"] == b"".join(c for c in chunks if c not in first).decode()
+
+
 @pytest.mark.parametrize("block", [1500, 1 << 20])
 def test_first_copy_stays(spark, block):
     texts = noisy_texts(5)

@@ -7,8 +7,9 @@ bytes after an insertion.  Borders that have another within MIN_CHUNK bytes befo
 them are left out, and chunks over MAX_CHUNK bytes are cut at fixed steps; both
 rules look at nearby bytes only too.  Chunks are deduplicated by a 64-bit digest:
 the text with the smallest id keeps its first copy, every later copy goes if the
-run of repeated chunks around it is MIN_RUN bytes or longer, which a chance match
-of one short chunk isn't.
+run of repeated chunks around it is MIN_RUN bytes or longer or all of its text.  A
+common phrase is no such run; a passage of 51 words has one well within.  What a
+text owns of a run and keeps doesn't shorten the run for the rest of it.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from tidemark.llm import blocks as bl
 from tidemark.llm import textbytes as tb
 from tidemark.llm.common import table
 
-MASK_BITS = 5
+MASK_BITS = 4
 MIN_CHUNK = 12
 MAX_CHUNK = 256
-MIN_RUN = 128
+MIN_RUN = 64
 
 _GEAR = np.random.default_rng(47).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LAST = np.iinfo(np.int64).max
@@ -85,12 +86,12 @@ class _Chunks:
 
 
 def _runs(mark: np.ndarray, of: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The marked chunks in runs (within one text) of `least` bytes or more, and which of them begin a run."""
+    """The marked chunks in runs (within one text) of `least` bytes or more, or of the whole text, and which of them begin a run."""
     begins = mark.copy()
     begins[1:] &= ~(mark[:-1] & (of[1:] == of[:-1]))
     number = np.cumsum(begins)
     length = np.bincount(number[mark], sizes[mark], minlength=(number[-1] if len(number) else 0) + 1)
-    long = mark & (length[number] >= least)
+    long = mark & (length[number] >= np.minimum(least, np.bincount(of, sizes)[of]))
     return long, begins & long
 
 
@@ -135,7 +136,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, b
                 first[m[new]] = True
             sizes = ends - starts
             seen, _ = _runs(repeated, of, sizes, MIN_RUN)
-            gone, begins = _runs(repeated & ~first & seen, of, sizes, MIN_RUN)
+            gone, begins = _runs(repeated & ~first & seen, of, sizes, 0)
             total = lambda w: np.bincount(of, w, minlength=len(ids)).astype(np.int64)  # noqa: E731, B023
             n_rep, n_gone, n_begin, n_all = total(sizes * seen), total(sizes * gone), total(begins), total(np.ones(len(of)))
             gone_bytes = np.repeat(gone, sizes)
