@@ -220,6 +220,15 @@ def test_sheet_cells_of_whole_texts(spark, tmp_path):
     assert set(con.sql(SQL["sheet_cells"]).fetchall()) == want
 
 
+def test_digests_are_of_whole_texts_unless_bounded(spark, tmp_path):
+    long = "é" * text.READ_LIMIT
+    spark.createDataFrame([(3, long + "a"), (4, long + "b"), (5, long + "b"), (6, "x"), (7, "x")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {tuple(r) for r in QUERIES["text_digests"](spark, str(tmp_path)).collect()} == {(3, sha(long + "a")), (4, sha(long + "b")), (5, sha(long + "b")), (6, sha("x")), (7, sha("x"))}
+    assert [(r["digest"], r["id"]) for r in QUERIES["unanswered_texts"](spark, str(tmp_path)).select("digest", "id").collect()] == [(sha(long + "b"), 4)]
+    assert one(spark, text.digest(F.col("x"), text.READ_LIMIT), x=long + "a") == sha(long)
+
+
 def test_units_and_sums(spark):
     assert one(spark, values.to_square_feet(F.col("a"), F.lit("Acres")), a=0.5) == 21780
     with pytest.raises(Exception, match="unknown unit"):

@@ -30,8 +30,9 @@ def fold(x: Column) -> Column:
     return F.trim(collapse(F.lower(x)))
 
 
-def digest(x: Column) -> Column:
-    return F.sha2(F.substring(x, 1, READ_LIMIT).cast("binary"), 256)
+def digest(x: Column, limit: int | None = None) -> Column:
+    """SHA-256 of the text, or of its first `limit` characters: READ_LIMIT for what extraction reads."""
+    return F.sha2((x if limit is None else F.substring(x, 1, limit)).cast("binary"), 256)
 
 
 def unit_form(x: Column) -> Column:

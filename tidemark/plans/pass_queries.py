@@ -33,7 +33,7 @@ def residual_filter(spark, sf_dir):
     return rows.where(residual(left)).select("p_partkey")
 
 
-@query("unanswered_texts", "SELECT sha256(substr(text, 1, 4000)) AS digest, min(doc_id) AS id FROM documents WHERE sha256(substr(text, 1, 4000)) NOT IN (SELECT sha256(substr(text, 1, 4000)) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+@query("unanswered_texts", "SELECT sha256(text) AS digest, min(doc_id) AS id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
 def unanswered_texts(spark, sf_dir):
     d = w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.digest(F.col("text")).alias("digest"))
     return p.unanswered(d, d.where("id % 3 = 0").withColumn("model", F.lit("m")), "digest", "m")

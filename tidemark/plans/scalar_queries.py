@@ -28,7 +28,7 @@ def clean_names(spark, sf_dir):
     return w.table(spark, sf_dir, "part").select("p_partkey", t.clean(F.col("p_name")).alias("name"), t.clean(F.col("p_brand")).alias("brand"))
 
 
-@query("text_digests", "SELECT doc_id, sha256(substr(text, 1, 4000)) AS digest FROM documents")
+@query("text_digests", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def text_digests(spark, sf_dir):
     return w.table(spark, sf_dir, "documents").select("doc_id", t.digest(F.col("text")).alias("digest"))
 
