@@ -163,6 +163,17 @@ def check_mix(got, docs):
         assert abs(taken - t) <= max([r["size"] for r in rows] + [1]) and all(0 <= r["copies"] <= 3 for r in rows)
 
 
+def test_rows_that_differ_in_source_only_keep_their_own(spark):
+    rows = [(k, f"same words {k} again", s) for k in [*range(40), *[None] * 20] for s in ("c", None, "a", "b")]
+    rows += [(1000 + i, "more words " * (i % 7 + 1), "abc"[i % 5 % 3]) for i in range(90)]
+    sizes = {}
+    for _, text, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(text.split())
+    got = mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r["source_size"] == sizes[r["source"]] for r in got)
+    check_mix(got, None)
+
+
 def test_mix_reaches_its_targets(spark, small, monkeypatch):
     docs = table(spark, small, "documents")
     one = mixing.mix(docs).collect()

@@ -2,9 +2,12 @@
 
 The mix should take a given number of words from every source while staying as
 near to the corpus as it can: among all document rates r with
-sum(size * r) = target in each source, it takes those of least relative entropy,
-which are exponential tilts r = exp(lambda[source]).  The dual in lambda is
-convex; damped Newton steps solve it, each one a distributed sum of the tilted
+sum(size * r) = target in each source, it takes those of least relative entropy
+weighted by words, sum(size * (r * log(r) - r + 1)), which are exponential tilts
+r = exp(lambda[source]).  (Weighted by documents, the tilt would be
+exp(lambda[source] * size), which is not what this does.)  With one constraint a
+source, lambda is log(target / source_size); it is solved for as if there were
+more.  The dual in lambda is convex; damped Newton steps solve it, each one a distributed sum of the tilted
 sizes and of their derivative over a histogram of the corpus.  Rates are then
 rounded into whole copies: within a source, documents of one size are alike, and
 sizes are rounded from the largest to the smallest, each carrying on the words
@@ -140,13 +143,13 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     rank = F.row_number().over(W.partitionBy("source", "size", "_part").orderBy("_key", "doc_id"))
     rest = F.coalesce("_quota", F.col("copies") % F.col("n"))
     copies = (F.floor(F.col("copies") / F.col("n")) + (rank <= rest).cast("bigint")).cast("bigint")
-    decided = full.select(F.col("_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), "size", "source_size", "target", "rate", copies.alias("copies"))
+    decided = full.select(F.col("_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), "size", "source_size", "target", "rate", copies.alias("copies"), F.col("source").alias("__mix_source"))
 
-    # back to the whole rows, moved once; repeated rows are told apart by number
-    decided = decided.withColumn("__mix_no", F.row_number().over(W.partitionBy("__mix_id", "__mix_key").orderBy("copies")))
+    # back to the whole rows, moved once; rows that repeat id, text and source are told apart by number
+    decided = decided.withColumn("__mix_no", F.row_number().over(W.partitionBy("__mix_id", "__mix_key", "__mix_source").orderBy("copies")))
     whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__mix_own"))
-    whole = whole.withColumn("__mix_at", F.row_number().over(W.partitionBy("doc_id", "__mix_own").orderBy(F.lit(1))))
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_own") == F.col("__mix_key")) & (F.col("__mix_at") + F.lit(0) == F.col("__mix_no") + F.lit(0))
+    whole = whole.withColumn("__mix_at", F.row_number().over(W.partitionBy("doc_id", "__mix_own", "source").orderBy(F.lit(1))))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_own") == F.col("__mix_key")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_at") + F.lit(0) == F.col("__mix_no") + F.lit(0))
     return whole.join(decided, same).select(*[F.col(f"`{c}`") for c in kept], *added)
 
 
