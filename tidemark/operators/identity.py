@@ -9,26 +9,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.sources.tables import stored
+from tidemark.sources.tables import Rounds, delete, store_at
 
 
-def closure(edges: DataFrame, child: str = "id", parent: str = "superseded_by", max_rounds: int = 40) -> DataFrame:
+def closure(edges: DataFrame, child: str = "id", parent: str = "superseded_by", max_rounds: int = 60) -> DataFrame:
     """(id, live): each id with the end of its chain of pointers, itself if it has none.
 
     Pointers are doubled each round, so a chain of n takes log n joins.  Ids on a cycle
     have no end; they get the smallest id that they reach, so the result is defined.
     """
-    state = stored(edges.select(F.col(child).alias("id"), F.coalesce(parent, child).alias("live"), F.least(F.col(child), F.coalesce(parent, child)).alias("_low")))
+    rounds = Rounds()
+    ended = F.col(parent).isNull()
+    state = rounds.store(edges.select(F.col(child).alias("id"), F.coalesce(parent, child).alias("live"), F.least(F.col(child), F.coalesce(parent, child)).alias("_low"), ended.alias("_end")))
     for _ in range(max_rounds):
-        ahead = state.select(F.col("id").alias("_i"), F.col("live").alias("_next"), F.col("_low").alias("_l"))
-        step = state.join(ahead, state["live"] == ahead["_i"], "left")
-        step = stored(step.select("id", F.coalesce("_next", "live").alias("next"), F.least("_low", F.coalesce("_l", "_low")).alias("_low"), "live"))
-        state = step.select("id", F.col("next").alias("live"), "_low")
-        if not step.where(F.col("next") != F.col("live")).limit(1).count():
-            break
-    ends = edges.where(F.col(parent).isNull()).select(F.col(child).alias("_end"))
-    done = state.join(ends, state["live"] == ends["_end"], "left")
-    return done.select("id", F.when(F.col("_end").isNotNull(), F.col("live")).otherwise(F.col("_low")).alias("live"))
+        ahead = state.select(F.col("id").alias("_i"), F.col("live").alias("_next"), F.col("_low").alias("_l"), F.col("_end").alias("_e"))
+        step = state.join(ahead, state["live"] == ahead["_i"], "left").withColumn("_lower", F.least("_low", F.coalesce("_l", "_low")))
+        # an id that nothing leads on from is an end; what is on a cycle is settled once its low no longer falls
+        moving = ~F.col("_end") & (F.coalesce("_e", F.lit(True)) | (F.col("_lower") < F.col("_low")))
+        state = rounds.store(step.select("id", F.when(F.col("_end"), F.col("live")).otherwise(F.coalesce("_next", "live")).alias("live"), F.col("_lower").alias("_low"), (F.col("_end") | F.coalesce("_e", F.lit(True))).alias("_end"), moving.alias("_moving")))
+        if not state.where("_moving").limit(1).count():
+            return state.select("id", F.when(F.col("_end"), F.col("live")).otherwise(F.col("_low")).alias("live"))
+        state = state.drop("_moving")
+    raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
 
 
 def constituents(closed: DataFrame) -> DataFrame:
@@ -39,14 +41,16 @@ def constituents(closed: DataFrame) -> DataFrame:
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node of the component, by the smallest label among neighbours and pointer jumping."""
     both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(pairs.select(F.col(b).alias("a"), F.col(a).alias("b")))
-    links = stored(both.where(F.col("a") != F.col("b")).distinct())
-    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("component")))
+    links, links_path = store_at(both.where(F.col("a") != F.col("b")).distinct())
+    rounds = Rounds()
+    labels = rounds.store(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("component")))
     for _ in range(max_rounds):
         near = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("_n")).agg(F.min("component").alias("_low"))
         lower = labels.join(near, labels["node"] == near["_n"]).select("node", F.col("component").alias("_old"), F.least("component", "_low").alias("_up"))
         jump = labels.select(F.col("node").alias("_m"), F.col("component").alias("_above"))
-        labels = stored(lower.join(jump, lower["_up"] == jump["_m"], "left").select("node", F.least("_up", F.coalesce("_above", "_up")).alias("component"), "_old"))
+        labels = rounds.store(lower.join(jump, lower["_up"] == jump["_m"], "left").select("node", F.least("_up", F.coalesce("_above", "_up")).alias("component"), "_old"))
         if not labels.where(F.col("component") != F.col("_old")).limit(1).count():
+            delete(pairs.sparkSession, links_path)
             return labels.select("node", "component")
         labels = labels.drop("_old")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

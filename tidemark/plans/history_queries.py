@@ -164,9 +164,14 @@ def page_dedupe(spark, sf_dir):
     return rows.groupBy("page").agg(F.count("*").alias("n"), F.count("k").alias("keyed"))
 
 
-@query("source_report", f"WITH {w.OBS_SQL} SELECT source, count(*) AS row_count, count(*) >= 3333 AS truncated, 'ok' AS outcome FROM obs GROUP BY source")
+@query("source_report", f"""WITH {w.OBS_SQL}, asked AS (SELECT * FROM (VALUES ('s0', 'ok'), ('s1', 'ok'), ('s2', 'failed'), ('s3', 'unavailable')) t(source, outcome)),
+n AS (SELECT source, count(*) AS c FROM obs GROUP BY source), told AS (SELECT source, outcome, CASE WHEN outcome = 'ok' THEN coalesce(c, 0) ELSE 0 END AS row_count FROM asked LEFT JOIN n USING (source))
+SELECT source, row_count, row_count >= 3333 AS truncated, outcome, CASE WHEN outcome <> 'ok' THEN 'no rows: ' || outcome WHEN row_count >= 3333 THEN 'at the ceiling of 3333' END AS detail FROM told""")
 def source_report(spark, sf_dir):
-    return tables.source_report(w.observations(spark, sf_dir), "source", 3333)
+    """A scan of four sources, of which one failed and one was not to be reached."""
+    outcome = F.create_map(*[F.lit(x) for pair in (("s0", "ok"), ("s1", "ok"), ("s2", "failed"), ("s3", "unavailable")) for x in pair])
+    asked = spark.range(1).select(F.explode(outcome).alias("source", "outcome"))
+    return tables.source_report(w.observations(spark, sf_dir), asked, "source", 3333)
 
 
 @query("worst_outcome", f"WITH {w.OBS_SQL} SELECT run_seq, CASE WHEN healthy THEN 'ok' ELSE 'failed' END AS outcome FROM health")
