@@ -36,6 +36,52 @@ def noisy_texts(seed, n=14):
     return [*texts, texts[0], "ab" * 300]
 
 
+def twins(n):
+    """Two different strings of n bytes that hashes modulo a power of two take for one."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n], t[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 128, 256, 1024, 4096])
+def test_hashes_tell_structured_texts_apart(n):
+    data = np.frombuffer("".join(twins(n)).encode(), np.uint8)
+    start, end = np.array([0, n]), np.array([n, 2 * n])
+    for h in (tb.RollingHash(data).of(start, end), tb.span_hashes(data, start, end)):
+        assert h[0] != h[1]
+    again = np.concatenate([np.zeros(5, np.uint8), data])
+    assert tb.RollingHash(again).of(start + 5, end + 5).tolist() == tb.RollingHash(data).of(start, end).tolist()
+
+
+@pytest.mark.parametrize("n", [256, 1024])
+def test_structured_texts_are_not_taken_for_each_other(spark, n):
+    a, b = twins(n)
+    df = frame(spark, [(1, a, None, None, 1), (2, b, None, None, 1)])
+    rows = near_duplicates.classes(df, words=3, percent=90).collect()
+    assert {r["component_id"] for r in rows} == {1, 2}
+    hits = decontamination.decontaminate(df, frame(spark, [("7", a)], "item_id string, text string"))
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in hits.collect()} == {1: (1, ["7"]), 2: (0, [])}
+    want = plain.removed_bytes([a.encode(), b.encode()], 200)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [got[1], got[2]] == [sum(x) for x in want]
+
+
+def test_sharding_keeps_columns_of_the_names_that_it_works_with(spark):
+    df = frame(spark, plain.awkward())
+    for c in ("__slot", "__shard", "__at", "__SLOT_"):
+        df = df.withColumn(c, F.lit(c))
+    got = sharding.shard(df).collect()
+    assert len(got) == df.count() and all(r["__slot"] == "__slot" and r["__shard"] == "__shard" and 0 <= r["slot"] < 2039 for r in got)
+
+
+def test_one_row_of_a_class_stays_even_if_texts_share_a_key(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, None, "a", 1), (1, text + " more", None, "b", 1), (None, text + " other", None, "c", 1), (7, text, None, "d", 1), (None, "alone " * 9, None, "e", 1), (None, "alone " * 9, None, "f", 1)]
+    got = near_duplicates.keep_first(frame(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "None"]
+
+
 # sharding
 
 

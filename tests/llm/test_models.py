@@ -140,13 +140,36 @@ def test_every_query_gets_all_its_neighbours(spark, monkeypatch):
     centres = np.concatenate([np.repeat(10 * np.eye(16), 60, axis=0), np.repeat(-40 * np.eye(16), 4, axis=0)])
     x = centres + rng.normal(size=centres.shape) * 0.1
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(1040, x[-1].tolist())] * 30  # a key that is repeated fills leaves, but not its own list
     got = nearest.nearest(frame(spark, rows, "vec_id long, embedding array<double>")).toPandas()
     n = got.groupby("query_id")["rank"].agg(["count", "max"])
-    assert sorted(n.index) == list(range(0, 1041, 20)) and (n == 20).all().all()
+    assert sorted(n.index) == list(range(0, 1024, 20)) and (n == 20).all().all()
     assert not (got["query_id"] == got["vec_id"]).any()
 
 
+def test_rows_that_repeat_a_key_ask_and_are_found(spark):
+    df = frame(spark, [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(df).collect())
+    assert got == [(0, 1, 1, 3.0), (0, 1, 1, 6.0), (0, 2, 0, 2.0), (0, 2, 0, 2.0)]
+
+
+def test_recall_on_clustered_vectors_in_many_buckets(spark, monkeypatch):
+    """Six thousand vectors of large norm around a hundred centres: few leaves are visited, none is read whole by one task."""
+    monkeypatch.setattr(nearest, "BUCKET_ROWS", 400)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(100, 24)) * 1e6)[rng.integers(0, 100, 6000)] + rng.normal(size=(6000, 24)) * 1e5
+    x[:900] = x[0] + rng.normal(size=(900, 24)) * 1e3  # a large leaf
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(df).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        best = [j for j in np.argsort(-score, kind="stable") if j != q][:20]
+        hits += len(set(best) & set(own["vec_id"]))
+        assert sorted(own["rank"]) == list(range(1, 21)) and q not in set(own["vec_id"])
+    assert got["query_id"].nunique() == 300 and hits >= 0.9 * 6000
+
+
 # mixing
 
 
@@ -234,6 +257,30 @@ def test_pipeline_against_plain_stages(spark, small):
     assert last.count() == fourth.count() and set(columns) < set(last.columns)
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, repeats under two sources, columns named like those of the work, an empty table: run() from end to end."""
+    import corpus_pipeline as p
+
+    rows = plain.awkward([(20 + i, f"plain text number {i} of its own " + f"word{i} " * (i % 9 + 1), "en", "ab"[i % 2], i) for i in range(60)])
+    rows += [(90, "the same words under two sources here", "en", s, 1) for s in ("a", "b")]
+    docs = frame(spark, rows)
+    for c in ("score", "predicted", "size", "copies", "slot_", "__slot", "__shard", "__key", "features", "prediction"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    labels = frame(spark, [(20, 0, 1), (21, 1, 0), (None, 1, 0), (22, None, None)], "doc_id long, quality int, toxic int")
+    benchmark = frame(spark, [("x", None), ("y", ""), (None, "word3 word3")], "item_id string, text string")
+    for name, t in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = p.run(spark, str(tmp_path)).collect()
+    assert set(docs.columns) < set(got[0].asDict()) and all(r["score"] == f"score {'none' if r['doc_id'] is None else r['doc_id']}" for r in got)
+    assert all(r["__slot"].startswith("__slot ") and r["size"].startswith("size ") for r in got)
+    ids = {r["doc_id"] for r in got}
+    assert 23 not in ids and not {5, 6} <= ids  # contaminated (word3 word3), and copies of one text
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    for name, t in (("labels", labels), ("benchmark", benchmark)):
+        t.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert p.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_near_duplicate_defaults():
     import inspect
 

@@ -4,7 +4,7 @@ Documents are dealt by hash into blocks of a few megabytes, written once as a
 bucketed table; each pass over a block's texts then needs no further shuffle of
 them.  A pass turns a block into a sorted array of distinct 64-bit keys; slices of
 these meet in buckets by key range, one bucket at a time in a task, and what comes
-back is bits in the same order, not keys.  A key that very many texts hold is sent
+back is flags in the same order, not keys.  A key that very many texts hold is sent
 once a block.
 """
 
@@ -15,28 +15,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import cut, partitions
+from tidemark.llm.common import partitions
+from tidemark.sources.tables import delete, store_at
 
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 2 << 20
+#: Text bytes of one file of the stored blocks, up to MAX_FILES; a task reads one file.
+FILE_BYTES = 128 << 20
+MAX_FILES = 100_000
 
 
 class Blocks:
     def __init__(self, docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES):
-        """Stores (key, text) of docs; the table stays in the warehouse under a name of its own."""
+        """Stores (key, text) of docs as a table of a name of its own, until drop()."""
         self.spark = docs.sparkSession
         rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
         self.bytes = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
         self.count = max(1, -(-self.bytes // block_bytes))
-        self.files = max(1, min(self.count, 4 * partitions(self.spark)))
+        self.files = max(1, min(self.count, max(4 * partitions(self.spark), -(-self.bytes // FILE_BYTES)), MAX_FILES))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.count)).cast("int"))
-        name = f"tidemark_blocks_{uuid.uuid4().hex}"
-        dealt.repartition(self.files, "block").write.bucketBy(self.files, "block").format("parquet").saveAsTable(name)
-        self.table = self.spark.table(name)
+        self.name = f"tidemark_blocks_{uuid.uuid4().hex}"
+        dealt.repartition(self.files, "block").write.bucketBy(self.files, "block").format("parquet").saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+        self.paths: list[str] = []
+
+    def drop(self) -> None:
+        """Deletes the stored blocks and what was resolved about them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for path in self.paths:
+            delete(self.spark, path)
 
     def buckets(self, keys_per_byte: float) -> int:
         return max(partitions(self.spark), int(self.bytes * keys_per_byte / BUCKET_KEYS) + 1)
@@ -49,12 +61,13 @@ class Blocks:
             keys, ids = make(texts, told)
             at = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
             some = np.flatnonzero(np.diff(at))
+            sizes = np.diff(at)[some]
             return pa.table(
                 {
                     "bucket": pa.array(some, pa.int32()),
                     "block": pa.array(np.full(len(some), block), pa.int32()),
-                    "keys": pa.array([keys[at[b] : at[b + 1]].tobytes() for b in some], pa.binary()),
-                    "ids": pa.array([None if ids is None else ids[at[b] : at[b + 1]].tobytes() for b in some], pa.binary()),
+                    "keys": _binaries(keys, sizes),
+                    "ids": pa.nulls(len(some), pa.binary()) if ids is None else _binaries(ids, sizes),
                 }
             )
 
@@ -79,30 +92,47 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
 
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive slices of an array as binary values, without a copy for each."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _laid_out(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column end to end, as numbers, and how many each row has."""
+    whole = pa.concat_arrays(column.cast(pa.large_binary()).chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    if not len(whole):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    if data is None or at[-1] == at[0]:
+        return np.zeros(0, kind), np.diff(at)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
+
+
+_SHARED, _FIRST = 1, 2
+
+
 def _told(flags: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By pass: for each of the block's keys in order whether others hold it, whether this block is the first, and the smallest id."""
     out = {}
-    rows = sorted(flags.to_pylist(), key=lambda r: (r["pass"], r["bucket"]))
-    for name in {r["pass"] for r in rows}:
-        own = [r for r in rows if r["pass"] == name]
-        bits = lambda field: np.concatenate([np.unpackbits(np.frombuffer(r[field], np.uint8), count=r["n"]) for r in own]).astype(bool)
-        out[name] = bits("shared"), bits("first"), np.concatenate([np.frombuffer(r["low"] or b"", np.int64) for r in own])
+    for name in pa.compute.unique(flags["pass"]).to_pylist():
+        own = flags.filter(pa.compute.equal(flags["pass"], name)).sort_by("bucket")
+        bits = _laid_out(own["flags"], np.uint8)[0]
+        out[name] = bits & _SHARED > 0, bits & _FIRST > 0, _laid_out(own["low"], np.int64)[0]
     return out
 
 
-def resolve(keys: DataFrame, name: str) -> DataFrame:
-    """For each slice of keys, bits that tell which keys are in another block too and where a shared key's first block is.
+def resolve(store: Blocks, keys: DataFrame, name: str) -> DataFrame:
+    """For each slice of keys, flags that tell which keys are in another block too and where a shared key's first block is.
 
     With ids, also the smallest id over all blocks of every shared key.  Stored, as
     later passes read it again.
     """
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.select(["block", "bucket", "keys", "ids"]).to_pylist()
-        rows.sort(key=lambda r: r["block"])
-        parts = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        sizes = [len(p) for p in parts]
-        merged = np.concatenate(parts)
+        table = table.select(["block", "bucket", "keys", "ids"]).sort_by("block")
+        merged, sizes = _laid_out(table["keys"], np.uint64)
         order = np.argsort(merged, kind="stable")
         ordered = merged[order]
         same = np.zeros(len(ordered) + 1, bool)
@@ -110,29 +140,21 @@ def resolve(keys: DataFrame, name: str) -> DataFrame:
         shared, first = np.empty(len(merged), bool), np.empty(len(merged), bool)
         shared[order] = same[1:] | same[:-1]
         first[order] = ~same[:-1]
-        low = None
-        if rows[0]["ids"] is not None:
-            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        low = pa.nulls(len(table), pa.binary())
+        if table["ids"].null_count == 0:
+            ids = _laid_out(table["ids"], np.int64)[0]
             starts = np.flatnonzero(~same[:-1])
             least = np.minimum.reduceat(ids[order], starts)
-            low = np.empty(len(merged), np.int64)
-            low[order] = np.repeat(least, np.diff(np.append(starts, len(merged))))
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        pack = lambda x, k: np.packbits(x[at[k] : at[k + 1]]).tobytes()
-        lows = [None if low is None else low[at[k] : at[k + 1]][shared[at[k] : at[k + 1]]].tobytes() for k in range(len(rows))]
-        return pa.table(
-            {
-                "pass": pa.array([name] * len(rows), pa.string()),
-                "block": pa.array([r["block"] for r in rows], pa.int32()),
-                "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
-                "n": pa.array(sizes, pa.int32()),
-                "shared": pa.array([pack(shared, k) for k in range(len(rows))], pa.binary()),
-                "first": pa.array([pack(first, k) for k in range(len(rows))], pa.binary()),
-                "low": pa.array(lows, pa.binary()),
-            }
-        )
-
-    return cut(keys.groupBy("bucket").applyInArrow(meet, "pass string, block int, bucket int, n int, shared binary, first binary, low binary"))
+            lows = np.empty(len(merged), np.int64)
+            lows[order] = np.repeat(least, np.diff(np.append(starts, len(merged))))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            low = _binaries(lows[shared], np.bincount(row[shared], minlength=len(sizes)))
+        flags = shared * np.uint8(_SHARED) + first * np.uint8(_FIRST)
+        return pa.table({"pass": pa.array([name] * len(table), pa.string()), "block": table["block"], "bucket": table["bucket"], "flags": _binaries(flags, sizes), "low": low})
+
+    found, path = store_at(keys.groupBy("bucket").applyInArrow(meet, "pass string, block int, bucket int, flags binary, low binary"))
+    store.paths.append(path)
+    return found
 
 
 def segments(texts: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

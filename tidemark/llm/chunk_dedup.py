@@ -5,7 +5,7 @@ each shifted by its distance.  Where its top bits are all zero a chunk may end,
 that chunk borders depend on the bytes near them and fall into step again a few
 bytes after an insertion.  Borders that have another within MIN_CHUNK bytes before
 them are left out, and chunks over MAX_CHUNK bytes are cut at fixed steps; both
-rules look at nearby bytes only too.  Chunks are deduplicated by a 64-bit digest:
+rules look at nearby bytes only too.  Chunks are deduplicated by a digest (61 bits):
 the text with the smallest id keeps its first copy, every later copy goes if the
 run of repeated chunks around it is MIN_RUN bytes or longer or all of its text.  A
 common phrase is no such run; a passage of 51 words has one well within.  What a
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import blocks as bl
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
 MASK_BITS = 4
 MIN_CHUNK = 12
@@ -111,7 +111,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, b
         uniq, low, _ = _Chunks(texts).keys()
         return uniq, low
 
-    told = bl.resolve(store.keys(make, store.buckets(1 / 30)), "chunk")
+    told = bl.resolve(store, store.keys(make, store.buckets(1 / 30)), "chunk")
 
     def finish(texts, flags):
         chunks = _Chunks(texts)
@@ -154,8 +154,11 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, b
 
     found = store.finish(finish, "id bigint, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string", told)
     texts = ["kept AS kept_text"] if with_text else []
-    return found.selectExpr(f"id AS `{key}`", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256", *texts)
+    out = cut(found.selectExpr(f"id AS `{key}`", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256", *texts))
+    store.drop()
+    return out
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without chunks that an earlier one keeps, as a digest."""
     return dedup_chunks(table(spark, sf_dir, "documents"), with_text=False)

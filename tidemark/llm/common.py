@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import stored as cut
 
-__all__ = ["BATCH_BYTES", "BROADCAST_KEYS", "bound_batches", "cut", "fold", "partitions", "small", "table", "unit_hash", "without"]
+__all__ = ["BATCH_BYTES", "BROADCAST_KEYS", "bound_batches", "cut", "fold", "free_names", "partitions", "small", "table", "unit_hash", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,18 @@ def fold(key: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Names for working columns, of which no one is among those taken, whatever their case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while name in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def unit_hash(*columns: str):
     """A uniform number in [0, 1) that depends on the given columns only."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
@@ -52,5 +66,6 @@ def small(keys: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
 
 def without(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose (key, hash of text) isn't among `keys` (key, text_key)."""
-    gone = small(keys.select(F.col(key).alias("__key"), F.col("text_key").alias("__text_key")).distinct())
-    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["__text_key"]), "left_anti")
+    own, own_text = free_names(docs.columns, "key", "text_key")
+    gone = small(keys.select(F.col(key).alias(own), F.col("text_key").alias(own_text)).distinct())
+    return docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(own_text)), "left_anti")

@@ -115,7 +115,10 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Learns from rows (doc_id, text, lang); None if there is nothing to learn from."""
+    """Learns from rows (doc_id, text, lang); None if there is nothing to learn from.
+
+    The model is bounded: it tells the linear.MAX_CLASSES most frequent languages apart.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     bound_batches(docs.sparkSession)
     n, df = linear.document_frequencies(rows, ngrams, DIMS)
@@ -163,6 +166,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, by a model that learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     modulus, out = HELD_OUT
     model = fit(docs.where(fold("doc_id", modulus) != out).select("doc_id", "text", "lang"))

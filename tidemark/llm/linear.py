@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
@@ -57,21 +58,28 @@ def document_frequencies(docs: DataFrame, featurise: Featurise, dims: int) -> tu
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
     schema = "chunk int, counts binary"
-    slices = docs.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
-    once = slices.groupBy("chunk", "part").applyInPandas(add, schema)  # in two steps, so that no group grows with the tasks
+    texts = docs.select("text")
+    parts = 1 + isqrt(texts.rdd.getNumPartitions())
+    slices = texts.mapInArrow(count, schema).withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(parts)))
+    once = slices.groupBy("chunk", "part").applyInPandas(add, schema)  # in two steps: a group has about the square root of the tasks
     got = dict(once.groupBy("chunk").applyInPandas(add, schema).collect())
     if -1 not in got:
         return 0, np.zeros(dims, np.int64)
     return int(np.frombuffer(got[-1], np.int64)[0]), np.concatenate([np.frombuffer(got[i], np.int64) for i in range(_CHUNKS)])
 
 
+#: Classes that a model tells apart: the most frequent ones; rows of others teach nothing.
+MAX_CLASSES = 256
+
+
 def sample_by_class(rows: DataFrame, label: str, per_class: int, *key: str) -> DataFrame:
-    """About per_class rows of each class, those of the smallest hashes of `key`: the same ones each time."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    share: Column = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    return rows.where(unit_hash(*key) < share)
+    """About per_class rows of each class, those of the smallest hashes of `key`: the same ones each time.
+
+    Of more than MAX_CLASSES classes the most frequent ones take part.
+    """
+    counts = rows.groupBy(F.col(label).alias("_class")).count().orderBy(F.desc("count"), "_class").limit(MAX_CLASSES)
+    shares = F.broadcast(counts.select("_class", (F.lit(float(per_class)) / F.col("count")).alias("_share")))
+    return rows.join(shares, F.col(label) == F.col("_class")).where(unit_hash(*key) < F.col("_share")).select(*rows.columns)
 
 
 def sparse_rows(rows: DataFrame, label: str, featurise: Featurise) -> list[tuple[object, np.ndarray, np.ndarray]]:

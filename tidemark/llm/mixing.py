@@ -17,13 +17,15 @@ that the ones before it took too many or too few.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, free_names, table
+from tidemark.sources.tables import Rounds
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often than this.
@@ -64,7 +66,8 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, tolerance: float = TOLE
     Each step sums the tilted sizes of the histogram (source, size, n) by source; the
     step is damped to one unit, so that it can't overshoot where the tilt is flat.
     """
-    state = cut(targets.withColumn("lam", F.lit(0.0)))
+    rounds = Rounds()
+    state = rounds.store(targets.withColumn("lam", F.lit(0.0)))
     for _ in range(MAX_STEPS):
         tilted = (
             histogram.join(state.select(F.col("source").alias("_s"), "lam"), F.col("source").eqNullSafe(F.col("_s")))
@@ -74,12 +77,12 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, tolerance: float = TOLE
         off = F.col("_sum") - F.col("target")
         step = F.when(F.col("_sum") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), off / F.col("_sum")))).otherwise(0.0)
         stepped = state.join(tilted, state["source"].eqNullSafe(tilted["_s"])).select("source", "source_size", "target", "lam", step.alias("_step"))
-        state = cut(stepped.select("source", "source_size", "target", (F.col("lam") - F.col("_step")).alias("lam"), "_step"))
+        state = rounds.store(stepped.select("source", "source_size", "target", (F.col("lam") - F.col("_step")).alias("lam"), "_step"))
         worst = state.agg(F.max(F.abs("_step"))).first()[0]
         state = state.drop("_step")
         if worst is None or worst <= tolerance:
-            break
-    return state
+            return state
+    raise RuntimeError(f"the dual did not settle in {MAX_STEPS} steps")
 
 
 def round_cells(cells: pd.DataFrame, max_rate: int = MAX_RATE) -> pd.DataFrame:
@@ -101,16 +104,21 @@ def round_cells(cells: pd.DataFrame, max_rate: int = MAX_RATE) -> pd.DataFrame:
     return cells.assign(copies=copies)
 
 
-def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents' columns plus size, source_size, target, rate and copies.
+#: Columns that a mix adds.
+ADDED = ("size", "source_size", "target", "rate", "copies")
+
+
+def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...] = WEIGHTS, names: Sequence[str] = ADDED) -> DataFrame:
+    """The documents' columns plus size, source_size, target, rate and copies, under the given names.
 
     Needs doc_id, text and source.  A null or wordless text has size 0 and a source of
     no words a target of 0.  A null source is a source of its own, the last one.
     Repeated rows are mixed each by itself.  Other columns pass through; ones named
-    like the added ones are replaced, names that begin with __mix_ are the operator's.  An empty table gives an empty table.
+    like the added ones are replaced, so give other names to keep them.  An empty table
+    gives an empty table.
     """
-    added = ("size", "source_size", "target", "rate", "copies")
-    kept = [c for c in documents.columns if c not in added]
+    kept = [c for c in documents.columns if c not in names]
+    added = list(ADDED)
     key = F.xxhash64("doc_id", "text")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
     narrow = cut(documents.select("source", size.alias("size"), key.alias("_key"), "doc_id"))
@@ -143,22 +151,33 @@ def mix(documents: DataFrame, max_rate: int = MAX_RATE, weights: tuple[int, ...]
     rank = F.row_number().over(W.partitionBy("source", "size", "_part").orderBy("_key", "doc_id"))
     rest = F.coalesce("_quota", F.col("copies") % F.col("n"))
     copies = (F.floor(F.col("copies") / F.col("n")) + (rank <= rest).cast("bigint")).cast("bigint")
-    decided = full.select(F.col("_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), "size", "source_size", "target", "rate", copies.alias("copies"), F.col("source").alias("__mix_source"))
+    f_key, f_id, f_source, f_no, f_own, f_at, *f_added = free_names(documents.columns, "key", "id", "source", "no", "own", "at", *added)
+    decided = full.select(F.col("_key").alias(f_key), F.col("doc_id").alias(f_id), F.col("source").alias(f_source), *[c.alias(n) for c, n in zip([F.col("size"), F.col("source_size"), F.col("target"), F.col("rate"), copies], f_added, strict=True)])
 
     # back to the whole rows, moved once; rows that repeat id, text and source are told apart by number
-    decided = decided.withColumn("__mix_no", F.row_number().over(W.partitionBy("__mix_id", "__mix_key", "__mix_source").orderBy("copies")))
-    whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__mix_own"))
-    whole = whole.withColumn("__mix_at", F.row_number().over(W.partitionBy("doc_id", "__mix_own", "source").orderBy(F.lit(1))))
-    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_own") == F.col("__mix_key")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_at") + F.lit(0) == F.col("__mix_no") + F.lit(0))
-    return whole.join(decided, same).select(*[F.col(f"`{c}`") for c in kept], *added)
+    decided = decided.withColumn(f_no, F.row_number().over(W.partitionBy(f_id, f_key, f_source).orderBy(f_added[-1])))
+    whole = documents.select(*[F.col(f"`{c}`") for c in kept], key.alias(f_own))
+    hashable = [F.col(f"`{f.name}`") for f in documents.schema if f.name in kept and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    whole = whole.withColumn(f_at, F.row_number().over(W.partitionBy("doc_id", f_own, "source").orderBy(F.xxhash64(*hashable))))
+    same = F.col("doc_id").eqNullSafe(F.col(f_id)) & (F.col(f_own) == F.col(f_key)) & F.col("source").eqNullSafe(F.col(f_source)) & (F.col(f_at) + F.lit(0) == F.col(f_no) + F.lit(0))
+    return whole.join(decided, same).select(*[F.col(f"`{c}`") for c in kept], *[F.col(n).alias(a) for n, a in zip(f_added, names, strict=True)])
 
 
-def repeat_copies(mixed: DataFrame) -> DataFrame:
+def repeat_copies(mixed: DataFrame, names: Sequence[str] = ADDED) -> DataFrame:
     """The rows of a mix, each as often as it has copies, without the mix's own columns."""
-    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    return mixed.where(F.col("copies") > 0).select(*kept, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in names]
+    (turn,) = free_names(mixed.columns, "copy")
+    copies = F.col(names[-1])
+    return mixed.where(copies > 0).select(*kept, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(turn)).drop(turn)
+
+
+def mixed_copies(documents: DataFrame) -> DataFrame:
+    """The documents as often as the mix takes them, with their own columns only, whatever their names."""
+    names = free_names(documents.columns, *ADDED)
+    return repeat_copies(mix(documents, names=names), names)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document, its source's size and target, and the words that the mix takes of it."""
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -20,6 +20,7 @@ a task; a task returns a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import bound_batches, cut, partitions, small, table, without
+from tidemark.llm.common import bound_batches, cut, free_names, partitions, small, table, without
 from tidemark.llm.graph import components
 
 #: Slots, as powers of two, in which shingles are counted for the order of prefixes: so many
@@ -38,7 +39,9 @@ SLOT_BITS = (16, 24)
 SLOT_LOAD = 24
 _SLICES = 256
 #: Sets of a cluster that one task takes at once.
-BLOCK = 2000
+BLOCK = 1000
+#: Ids of sets that a task remembers, so as to send a set only once; what it forgets it sends again.
+REMEMBERED = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,22 @@ def slot_bits(docs: DataFrame) -> int:
     return min(max(int(size / 6 / SLOT_LOAD).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
 
 
+class _Met:
+    """Which sets a task has met of late: of bounded size, as sending one again does no harm."""
+
+    def __init__(self) -> None:
+        self._ids: set[int] = set()
+
+    def fresh(self, ids: list[int]) -> list[bool]:
+        out = []
+        for s in ids:
+            out.append(s not in self._ids)
+            self._ids.add(s)
+        if len(self._ids) > REMEMBERED:
+            self._ids.clear()
+        return out
+
+
 def _slots(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -132,8 +151,9 @@ def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, counts binary"
-    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("part"))
-    once = slices.groupBy("slice", "part").applyInPandas(add, schema)  # in two steps, so that no group grows with the tasks
+    tasks = scanned.where(F.col("slice") == 0).count()
+    slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(1 + isqrt(tasks))).alias("part"))
+    once = slices.groupBy("slice", "part").applyInPandas(add, schema)  # in two steps: a group has about the square root of the tasks
     got = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint32) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
     if not got:
         return np.zeros(1 << bits, np.uint8)
@@ -142,22 +162,18 @@ def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, sid, n, pos) of every set's prefix; a task emits a set that it meets again only once."""
+    """(token, sid, n, pos) of every set's prefix; a task emits a set that it meets again soon only once."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = len(levels).bit_length() - 1
 
     def run(batches):
-        level, met = shared.value, set()
+        level, met = shared.value, _Met()
         for batch in batches:
             for _, data, offsets in tb.segments(batch, "text"):
                 g, at = shingle_sets(data, offsets, words)
                 n = np.diff(at)
                 sid = set_ids(g, at).view(np.int64)
-                fresh = np.zeros(len(n), bool)
-                for r, s in enumerate(sid.tolist()):
-                    if s not in met:
-                        met.add(s)
-                        fresh[r] = n[r] > 0
+                fresh = np.array(met.fresh(sid.tolist()), bool) & (n > 0)
                 row = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((g, level[_slots(g, bits)], row))
                 pos = np.arange(len(g)) - at[:-1][row]
@@ -262,12 +278,12 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi")
 
     def run(batches):
-        met = set()
+        met = _Met()
         for batch in batches:
             for rows, data, offsets in tb.segments(batch, "text"):
                 g, at = shingle_sets(data, offsets, words)
                 ids = set_ids(g, at).view(np.int64)
-                fresh = [r for r, s in enumerate(ids.tolist()) if s not in met and not met.add(s)]
+                fresh = [r for r, new in enumerate(met.fresh(ids.tolist())) if new]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array([g[at[r] : at[r + 1]].tobytes() for r in fresh], pa.binary())], ["sid", "shingles"])
 
     sets = texts.select("text").mapInArrow(run, "sid bigint, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
@@ -296,7 +312,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words
 
 
 def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, text_key): each row's set size and the smallest key of its class.
+    """(key, n_shingles, component_id, text_key, first_text_key): each row's set size, the smallest key of its class, and the hashes of its text and of that of the class's first row.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the
     distinct shingles of `words` words, or of all words where there are fewer.  Sets
@@ -310,33 +326,43 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int =
     bits = slot_bits(docs)
     scanned = cut(_scan(docs, "key", words, bits))
     rows = scanned.where(F.col("slice").isNull()).select("k", "n", "sid", "text_key")
-    nodes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.min("k").alias("low"), F.min("text_key").alias("text_key"), F.count("*").alias("copies")))
+    named_row = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("text_key").alias("text_key"))
+    nodes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.min(named_row).alias("low"), F.min("text_key").alias("text_key")))
     clusters = components(candidate_edges(prefix_entries(docs, frequency_levels(scanned, bits), words, percent), percent))
     linked = components(cut(verified_links(docs, nodes, clusters, words, percent)))
     rooted = nodes.join(linked, nodes["sid"] == linked["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
-    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    named = rooted.join(named, rooted["root"] == named["r"]).select(F.col("sid").alias("s"), "component_id")
+    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("first"))
+    named = rooted.join(named, rooted["root"] == named["r"]).select(F.col("sid").alias("s"), "first")
     out = rows.join(named, (rows["sid"] == named["s"]) & (rows["n"] > 0), "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), "text_key")
+    some = F.col("n") > 0
+    return out.select(
+        F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(some, F.col("first.k")).otherwise(F.col("k")).alias("component_id"),
+        "text_key", F.when(some, F.col("first.text_key")).otherwise(F.col("text_key")).alias("first_text_key"),
+    )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class, that of the smallest key, with all its columns.
+    """One document of each class with all its columns: that of the smallest key, of several texts
+    of that key the one of the smallest hash.
 
-    Documents with an empty set stay all.  Of rows that repeat a key and text one stays.
+    A null key comes after all others.  Documents with an empty set stay all.  Of rows that
+    repeat a key and text one stays.
     """
     found = cut(classes(docs, key, words, percent))
-    gone = found.where((F.col("n_shingles") > 0) & ~F.col(key).eqNullSafe(F.col("component_id")))
-    kept = without(docs, gone, key)
-    twice = small(found.groupBy(key, "text_key").count().where("count > 1").select(F.col(key).alias("__key"), F.col("text_key").alias("__text_key")))
+    first = F.col(key).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_text_key"))
+    kept = without(docs, found.where((F.col("n_shingles") > 0) & ~first), key)
+    own, own_text = free_names(docs.columns, "key", "text_key")
+    repeated = found.where(F.col("n_shingles") > 0).groupBy(key, "text_key").count().where("count > 1")
+    twice = small(repeated.select(F.col(key).alias(own), F.col("text_key").alias(own_text)))
     if not twice.limit(1).count():
         return kept
-    same = kept[key].eqNullSafe(twice["__key"]) & F.xxhash64(kept["text"]).eqNullSafe(twice["__text_key"])
+    same = F.col(f"`{key}`").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(own_text))
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([key, "text"]))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"), "doc_id", words=3, percent=90).drop("text_key")
+    """Set size and class of every document: shingles of three words, similarity 0.9."""
+    return classes(table(spark, sf_dir, "documents"), "doc_id", words=3, percent=90).drop("text_key", "first_text_key")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -172,5 +172,6 @@ def grade(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return grade(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_names
+
 #: Slots of the production table, a prime of more than a hundred slots a shard.
 TABLE_SIZE = 2039
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
@@ -80,10 +82,11 @@ def shard(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, si
     their names.
     """
     kept = [c for c in df.columns if c not in (slot_col, shard_col)]
-    placed = df.select(*[F.col(f"`{c}`") for c in kept], slot_of(f"`{key}`", size).alias("__slot"))
-    lookup = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias("__at"), F.col("shard").alias("__shard"))
-    joined = placed.join(F.broadcast(lookup), placed["__slot"] == lookup["__at"], "inner")
-    return joined.select(*[placed[f"`{c}`"] for c in kept], F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+    at, slot, name = free_names(df.columns, "at", "slot", "shard")
+    placed = df.select(*[F.col(f"`{c}`") for c in kept], slot_of(f"`{key}`", size).alias(slot))
+    lookup = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias(at), F.col("shard").alias(name))
+    joined = placed.join(F.broadcast(lookup), F.col(slot) == F.col(at), "inner")
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col(slot).alias(slot_col), F.col(name).alias(shard_col))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ LENGTH - V + 1 bytes repeat at the same shift of both.
    only the first block that holds such a string passes them on.
 3. The suffixes that are left are sorted bucket by bucket on their LENGTH bytes.
 
-Ranks stand for byte order where only equality matters, so hashes serve for them: 64
-bits for what decides, and no text leaves its block.
+Ranks stand for byte order where only equality matters, so hashes serve for them:
+61 bits modulo a prime for what decides, and no text leaves its block.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import blocks as bl
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
 LENGTH = 200
 #: A perfect difference set: every residue but 0 is the difference of one pair. Fixed values.
@@ -115,20 +115,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, w
     if length < V:
         raise ValueError(f"length must be {V} or more")
     store = bl.Blocks(docs, key, block_bytes)
-    cover = bl.resolve(store.keys(lambda texts, told: (_Pass(texts, told, length).cover_keys()[0], None), store.buckets(len(COVER) / V)), "cover")
+    cover = bl.resolve(store, store.keys(lambda texts, told: (_Pass(texts, told, length).cover_keys()[0], None), store.buckets(len(COVER) / V)), "cover")
 
     def long(texts, told):
         p = _Pass(texts, told, length)
         return p.long_keys(p.repeated_cover())[1], None
 
-    ties = bl.resolve(store.keys(long, store.buckets(len(COVER) / V / 2), cover), "long")
+    ties = bl.resolve(store, store.keys(long, store.buckets(len(COVER) / V / 2), cover), "long")
     told = cover.unionByName(ties)
 
     def suffix(texts, told):
         p = _Pass(texts, told, length)
         return bl.distinct([s.keys(at, length) for at, (_, s) in zip(p.suffixes()[1], p.parts, strict=True)])[0], None
 
-    order = bl.resolve(store.keys(suffix, store.buckets(0.2), told), "suffix")
+    order = bl.resolve(store, store.keys(suffix, store.buckets(0.2), told), "suffix")
 
     def remove(texts, told):
         p = _Pass(texts, told, length)
@@ -158,8 +158,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, w
 
     found = store.finish(remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string", told.unionByName(order))
     texts = ["kept AS kept_text"] if with_text else []
-    return found.selectExpr(f"id AS `{key}`", "n_bytes", "n_removed", "n_spans", "kept_sha256", *texts)
+    out = cut(found.selectExpr(f"id AS `{key}`", "n_bytes", "n_removed", "n_spans", "kept_sha256", *texts))
+    store.drop()
+    return out
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeats of 200 bytes, as a digest."""
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)

@@ -8,6 +8,7 @@ memory of a task whatever the Arrow batch size is; one text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,8 +17,10 @@ import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 18
 
-_BASE = 0x5851F42D4C957F2D
-_MASK64 = (1 << 64) - 1
+#: Substrings are hashed modulo this prime, 2^61 - 1.
+PRIME = (1 << 61) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(61)
+_LOW32, _LOW29, _U29, _U32 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1), np.uint64(29), np.uint64(32)
 
 
 def _lut(chars) -> np.ndarray:
@@ -34,27 +37,68 @@ ALNUM_LOWER = _lut([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE_VALUE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
+_RANDOM = np.random.default_rng(20240611)
+_BASE = int(_RANDOM.integers(1 << 40, PRIME))
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x, or that plus the prime: below 2^61 + 8."""
+    return (x & _P) + (x >> _BITS)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """The one number below the prime for what was folded."""
+    x = _folded(x)
+    x -= (x >= _P) * _P
+    return x
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2^32 modulo the prime, for a folded x; the result is below 2^62."""
+    return ((x & _LOW29) << _U32) + (x >> _U29)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, folded, by 32-bit halves of folded numbers."""
+    a0, a1, b0, b1 = a & _LOW32, a >> _U32, b & _LOW32, b >> _U32
+    out = _shifted(_folded(a0 * b1 + a1 * b0))  # each product below 2^62
+    out += _folded(a0 * b0)
+    out += _folded((a1 * b1) << np.uint64(3))  # times 2^64, which is 8 modulo the prime
+    return _folded(out)
 
 
 @lru_cache(maxsize=2)
 def _powers(n: int, inverse: bool) -> np.ndarray:
-    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    base = pow(_BASE, -1, PRIME) if inverse else _BASE
     out = np.empty(n, np.uint64)
     out[0], done = 1, 1
     while done < n:
         m = min(done, n - done)
-        out[done : done + m] = out[:m] * np.uint64(pow(base, done, 1 << 64))
+        out[done : done + m] = _reduced(times(out[:m], np.uint64(pow(base, done, PRIME))))
         done += m
     return out
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash base (or its inverse) modulo 2**64."""
+    """The first n powers of the hash base (or its inverse) modulo the prime."""
     size = max(1 << 19, 1 << int(n).bit_length())
     return _powers(size, inverse)[:n]
 
 
+@lru_cache(maxsize=1)
+def _all_halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    p = powers(n)
+    return p & _LOW32, p >> _U32
+
+
+def _halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low and high 32 bits of the first powers, as numbers."""
+    return _all_halves(max(1 << 19, 1 << int(n).bit_length()))
+
+
+_STRIDE = 1 << 14
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that every bit of a hash is usable."""
     h = h ^ (h >> np.uint64(30))
@@ -65,16 +109,63 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit hashes of any substring of a byte array in constant time each."""
+    """Hashes of any substring of a byte array in constant time each.
+
+    A polynomial in a random base modulo 2^61 - 1, over bytes plus one, so that
+    strings of other lengths differ too: two given strings of n bytes have one hash for
+    at most n of the bases, whatever their structure.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        low, high = _halves(n)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * powers(n), out=self._sums[1:])
+        carried = np.uint64(0)
+        for a in range(0, n, _STRIDE):  # in steps that stay in the processor's cache
+            values = data[a : a + _STRIDE].astype(np.uint64)
+            values += np.uint64(1)
+            # products stay below 2^41, running sums below 2^55
+            own = _folded(_shifted(np.cumsum(values * high[a : a + len(values)])) + np.cumsum(values * low[a : a + len(values)]) + carried)
+            self._sums[a + 1 : a + 1 + len(own)] = own
+            carried = own[-1]
         self._undo = powers(n + 1, inverse=True)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._undo[start])
+        out = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), _STRIDE):
+            s, e = start[a : a + _STRIDE], end[a : a + _STRIDE]
+            apart = _folded(self._sums[e] + (np.uint64(2 * PRIME) - self._sums[s]))
+            out[a : a + _STRIDE] = mix(_reduced(times(apart, self._undo[s])))
+        return out
+
+
+#: Bytes of a span that are hashed by numpy, eight at a time; longer spans are digested whole.
+LANE_BYTES = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: eight bytes at a time through a bijective mix; a keyed digest where a span is long."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eight = lanes(data)
+    at = np.flatnonzero((size > 0) & (size <= LANE_BYTES))
+    k = 0
+    while len(at):
+        lane = eight[start[at] + k] & _KEEP[np.minimum(size[at] - k, 8)]
+        out[at] = mix((out[at] ^ lane) + np.uint64(k + 1))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=b"span").digest()
+        out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +223,13 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return RollingHash(self.data).of(self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        return span_hashes(self.data, self.start, self.end)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-_STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
+_STEP = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def grams(word_hashes: np.ndarray, n: int) -> np.ndarray:

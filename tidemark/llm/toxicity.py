@@ -30,14 +30,13 @@ LEXICON_ROWS = 12_000
 FIT_ROWS = 20_000
 #: Beginnings of words, in bytes, that are tried as entries; 0 is the whole word.
 STEMS = (0, 4, 5, 6)
-MAX_ENTRIES = 2_000
 MIN_TOXIC = 5
 NEAR = 5
 TREES, DEPTH = 20, 3
 CALIBRATION_BINS = 1_000
 FEATURES = ("hits", "hit_share", "distinct", "listed", "listed_share", "near_you", "hidden", "capitals", "shouted", "marks", "exclaims", "signs", "mixed", "repeats", "log_words", "has_hit")
 HELD_OUT = (5, 0)
-#: Columns of the work; documents' columns of these names are not carried.
+#: Columns of the work.
 VALUES, VECTOR, RAW = "_tox_values", "_tox_vector", "_tox_raw"
 MARGIN, PROBABILITY, PREDICTION = "_tox_margin", "_tox_probability", "_tox_prediction"
 
@@ -55,22 +54,20 @@ _MARK[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 def word_hashes(words) -> np.ndarray:
     data, offsets = tb.utf8(pa.array(list(words), pa.large_string()))
-    return np.unique(tb.RollingHash(data).of(offsets[:-1], offsets[1:])) if len(data) else np.zeros(0, np.uint64)
+    return np.unique(tb.span_hashes(data, offsets[:-1], offsets[1:]))
 
 
 def entry_keys(words: tb.Words) -> list[np.ndarray]:
     """For each kind of entry the key of every word: of the whole, and of beginnings (0 if the word is no longer)."""
     if not len(words.start):
         return [np.zeros(0, np.uint64) for _ in STEMS]
-    rolled = tb.RollingHash(words.data)
     out = []
     for n in STEMS:
         if n == 0:
-            out.append(rolled.of(words.start, words.end))
+            out.append(words.hashes())
         else:
-            long = words.end - words.start > n
-            key = rolled.of(words.start, np.minimum(words.start + n, words.end))
-            out.append(np.where(long, tb.mix(key + np.uint64(n)), np.uint64(0)))
+            key = tb.span_hashes(words.data, words.start, np.minimum(words.start + n, words.end))
+            out.append(np.where(words.end - words.start > n, tb.mix(key + np.uint64(n)), np.uint64(0)))
     return out
 
 
@@ -78,7 +75,8 @@ def learn_lexicon(labelled: DataFrame) -> np.ndarray:
     """Sorted keys of words and beginnings that mark toxic texts in rows (text, toxic).
 
     An entry is in MIN_TOXIC toxic texts at least, and the lower bound of its share of
-    toxic texts (Wilson, two deviations) is over a half.
+    toxic texts (Wilson, two deviations) is over a half.  Their number is bounded by the
+    bounded sample.
     """
 
     def run(batches):
@@ -100,7 +98,7 @@ def learn_lexicon(labelled: DataFrame) -> np.ndarray:
     counts = labelled.select("text", F.col("toxic").cast("bigint").alias("toxic")).mapInArrow(run, "key bigint, t bigint, n bigint").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     share, z2 = F.col("t") / F.col("n"), F.lit(4.0)
     low = (share + z2 / (2 * F.col("n")) - F.sqrt(z2 * (share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-    best = counts.where((F.col("t") >= MIN_TOXIC) & (F.col("key") != 0) & (low > 0.5)).orderBy(F.desc("t"), "key").limit(MAX_ENTRIES)
+    best = counts.where((F.col("t") >= MIN_TOXIC) & (F.col("key") != 0) & (low > 0.5))
     return np.unique(np.array([r["key"] for r in best.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -170,19 +168,17 @@ def dense(docs: DataFrame, lexicon: Lexicon, *carried: str) -> DataFrame:
     """The carried columns and VALUES, the features of each row's text."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    fields = docs.select(*carried).schema
-    others = [c for c in carried if c != "text"]
+    fields = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
 
     def run(batches):
         for batch in batches:
-            for rows, data, offsets in tb.segments(batch, "text"):
+            for rows, data, offsets in tb.segments(batch, VALUES):
                 values = shared.value.features(data, offsets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(values.reshape(-1)))
-                columns = dict(zip(["text", *others], rows.columns, strict=True))
-                yield pa.RecordBatch.from_arrays([*[columns[c] for c in carried], flat], [*carried, VALUES])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], flat], [*carried, VALUES])
 
     out = type(fields)([*fields.fields]).add(VALUES, ArrayType(DoubleType()))
-    return docs.select("text", *others).mapInArrow(run, out)
+    return docs.select(F.col("text").alias(VALUES), *[F.col(f"`{c}`") for c in carried]).mapInArrow(run, out)
 
 
 class Model:
@@ -214,34 +210,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if points.agg(F.countDistinct("toxic")).first()[0] < 2:
         return None
     points = points.withColumn(VECTOR, array_to_vector(VALUES))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
+    back = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    if points.where(~back).agg(F.countDistinct("toxic")).first()[0] < 2:  # too few rows to hold any back
+        back = F.lit(False)
     learner = GBTClassifier(labelCol="toxic", featuresCol=VECTOR, predictionCol=PREDICTION, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=5)
-    trees = learner.setRawPredictionCol(MARGIN).setProbabilityCol(PROBABILITY).fit(points.where(part != 0).coalesce(6))
-    held = trees.transform(points.where(part == 0)).select(F.round(vector_to_array(PROBABILITY)[1] * CALIBRATION_BINS).alias("bin"), "toxic")
+    trees = learner.setRawPredictionCol(MARGIN).setProbabilityCol(PROBABILITY).fit(points.where(~back).coalesce(6))
+    held = trees.transform(points.where(back)).select(F.round(vector_to_array(PROBABILITY)[1] * CALIBRATION_BINS).alias("bin"), "toxic")
     bins = held.groupBy("bin").agg(F.avg("toxic").alias("y"), F.count("*").alias("w")).collect()
     return Model(lexicon, trees, isotonic([(r["bin"] / CALIBRATION_BINS, r["y"], float(r["w"])) for r in bins]))
 
 
-def score(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
-    """The carried columns, `score` (0 to 1) and `predicted` (1 from a half on) of each row.
+def score(docs: DataFrame, model: Model | None, *carried: str, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """The carried columns, the score (0 to 1) and the prediction (1 from a half on) of each row.
 
     A null or empty text has no hits and gets the score of such texts; where nothing
     could be learned every score is 0.  Rows with equal texts get equal scores.
-    Other columns are not read.
+    Carried columns keep their values whatever their names; one named like the score or
+    the prediction makes an error, to be settled by other names for these.
     """
+    if {score_col, predicted_col} & set(carried):
+        raise ValueError(f"a carried column is named {score_col} or {predicted_col}")
+    own = [F.col(f"_tox_c{i}").alias(c) for i, c in enumerate(carried)]
+    renamed = docs.select("text", *[F.col(f"`{c}`").alias(f"_tox_c{i}") for i, c in enumerate(carried)])
     if model is None:
-        return docs.select(*carried, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    values = dense(docs, model.lexicon, *carried).withColumn(VECTOR, array_to_vector(VALUES))
+        return renamed.select(*own, F.lit(0.0).alias(score_col), F.lit(0).alias(predicted_col))
+    values = dense(renamed, model.lexicon, *[f"_tox_c{i}" for i in range(len(carried))]).withColumn(VECTOR, array_to_vector(VALUES))
     scored = model.trees.transform(values).withColumn(RAW, vector_to_array(PROBABILITY)[1])
     level = F.lit(model.steps[-1][1]) if model.steps else F.col(RAW)
     for x, y in reversed(model.steps[:-1]):
         level = F.when(F.col(RAW) <= x + 0.5 / CALIBRATION_BINS, F.lit(y)).otherwise(level)
     # within a level the trees' own order shows
-    scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * level + 0.02 * F.col(RAW))))
-    return scored.select(*carried, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    result = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.98 * level + 0.02 * F.col(RAW)))
+    return scored.select(*own, result.alias(score_col), (result >= 0.5).cast("int").alias(predicted_col))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a model that learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     modulus, out = HELD_OUT
     learnable = fold("doc_id", modulus) != out
