@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, mixing, near_duplicates, sharding, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, free_names, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict toxic; it learns from the labels of those given."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, *docs.columns)
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    score, predicted = free_names(docs.columns, "score", "predicted")
+    scored = toxicity.score(docs, model, *docs.columns, score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none more than three times."""
-    return mixing.repeat_copies(mixing.mix(docs))
+    return mixing.mixed_copies(docs)
 
 
 def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
