@@ -26,7 +26,8 @@ def one(spark, column, **given):
 
 
 def snaps(spark, rows):
-    return spark.createDataFrame(rows, "entity string, run_seq int, event_id int, status string, price double, sources array<string>")
+    """Observations: a row for each of the sources named."""
+    return spark.createDataFrame(rows, "entity string, run_seq int, event_id int, status string, price double, sources array<string>").withColumn("source", F.explode("sources")).drop("sources")
 
 
 def outcomes(spark, rows):
@@ -72,6 +73,70 @@ def test_price_that_was_unknown_has_no_direction(spark):
     assert got["a"]["price_direction"] is None and got["a"]["price_amount"] is None
 
 
+def test_compare_reads_the_rows_of_a_source_that_both_sides_share(spark):
+    rows = [("e", 0, 1, "on", 5.0, ["a"]), ("e", 0, 2, "sold", 9.0, ["b"]), ("e", 1, 3, "off", 1.0, ["c"]), ("e", 1, 4, "sold", 7.0, ["b"]), ("f", 0, 5, "on", 5.0, ["b"]), ("f", 1, 6, "off", 8.0, ["b"])]
+    got = kinds(spark, rows, 1, 0)
+    assert got["e"]["kind"] == "unchanged" and got["e"]["price_amount"] is None  # only a changed entity tells its price
+    assert (got["f"]["kind"], got["f"]["price_amount"], got["f"]["price_direction"]) == ("changed", 3.0, "up")
+
+
+def test_without_a_baseline_all_is_new_or_nothing_is_told(spark):
+    rows = snaps(spark, [("e", 1, 1, "on", 5.0, ["a"])])
+    assert [r["kind"] for r in history.compare(rows, outcomes(spark, OK), 1, None, ["status"]).collect()] == ["new"]
+    assert history.compare(rows, outcomes(spark, OK), 1, None, ["status"], reset=True).count() == 0
+
+
+def test_merge_ladder(spark):
+    cases = [
+        ("agreed", "disagreed", "disagreed", True, "matched"), ("disagreed", "agreed", "agreed", False, "distinct"), ("unknown", "disagreed", "agreed", True, "distinct"),
+        ("unknown", "disagreed", "agreed", False, "unrelated"), ("unknown", "agreed", "disagreed", False, "ambiguous"), ("unknown", "agreed", "unknown", False, "matched"),
+        ("unknown", "agreed", "agreed", False, "matched"), ("unknown", "unknown", "agreed", False, "ambiguous"), ("unknown", "unknown", "unknown", False, "unrelated"),
+    ]
+    got = identity.decide(spark.createDataFrame(cases, "parcel string, address string, place string, units_differ boolean, want string"))
+    assert all(r["decision"] == r["want"] for r in got.collect())
+
+
+def test_a_unit_on_one_side_is_a_question(spark):
+    rows = spark.createDataFrame([(1, None, "s|", "s", None, 40.0001, -100.0), (2, None, "s|4", "s", "4", 40.0001, -100.0), (3, None, "s|5", "s", "5", 40.0001, -100.0)], "id long, parcel string, address_key string, bare_key string, unit string, latitude double, longitude double")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): r for r in identity.decide(identity.pair_signals(pairs, rows)).collect()}
+    assert got[1, 2]["decision"] == "ambiguous" and "unit on one side" in got[1, 2]["unknown"] and got[2, 3]["decision"] == "distinct"
+
+
+def test_incomplete_group_is_one_question_and_merges_can_be_taken_back(spark):
+    rows = [(1, 2, "matched"), (2, 3, "matched"), (1, 3, "distinct"), (5, 6, "matched"), (6, 7, "ambiguous"), (8, 9, "ambiguous")]
+    decided = spark.createDataFrame(rows, "a long, b long, decision string").withColumn("parcel", F.lit("unknown")).withColumn("by_person", F.lit(False))
+    merges, questions = identity.merge_pass(decided)
+    assert [r["members"] for r in merges.collect()] == [[5, 6]]
+    assert sorted(r["members"] for r in questions.collect()) == [[1, 2, 3], [8, 9]]
+    edges = identity.merge_edges(merges, 1)
+    new = edges.first()["superseded_by"]
+    back = edges.unionByName(identity.unmerge_edges(edges, new, 2))
+    assert {r["id"]: r["superseded_by"] for r in identity.current_edges(back).collect()} == {"5": None, "6": None}
+
+
+def test_close_points_share_a_cell(spark):
+    for y, x in [(40.00049, -100.00051), (39.9995, -99.9995), (0.0004, 10.00149)]:
+        for dy, dx in [(0.0002, 0.0003), (-0.0003, 0.0002), (0.0004, -0.0004)]:
+            cells = lambda a, b: set(one(spark, geo.cells(F.lit(a), F.lit(b))))
+            assert cells(y, x) & cells(y + dy, x + dx)
+
+
+def test_deep_criteria_are_planned_in_proportion(spark):
+    c = field("a")
+    for k in range(32):
+        c = (c + 1) * 1.0 if k % 2 else c - field("a")
+    assert verdict(spark, c.equals(c), a=2.0)[0] == "fired"
+    plan = evaluate(spark.createDataFrame([("e", 1.0)], "entity string, a double"), [Rule("r", "flag", c > 0)])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
+
+
+def test_nan_equals_nothing(spark):
+    nan = float("nan")
+    assert verdict(spark, field("a").equals(field("a")), a=nan)[0] == "not-fired" and verdict(spark, field("a").differs(1.0), a=nan)[0] == "fired"
+    assert verdict(spark, field("a").equals(field("u")), a=nan, u=None)[0] == "undetermined" and verdict(spark, field("s").equals("it's \\ so"), s="it's \\ so")[0] == "fired"
+
+
 def test_kind_counts_fill_zeros(spark):
     events = spark.createDataFrame([("new",), ("new",)], "kind string")
     assert {r["kind"]: r["n"] for r in history.kind_counts(events, ["new", "gone"]).collect()} == {"new": 2, "gone": 0}

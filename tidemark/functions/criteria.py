@@ -4,6 +4,11 @@ A criterion is an expression over named columns: `field("price") > 100`,
 `a & b`, `~a`, `field("x").one_of(1, 2)`, `field("x").is_null()`.  Every node
 lowers to its value, null for unknown, and the sorted names whose absence made it so.
 There is no text language and no parser: callers write Python.
+
+A node that isn't a field or a constant is bound to columns of its own, one
+projection for each level of depth, and what is above refers to these.  So the plan
+grows with the number of nodes, however deep they are nested, and a criterion that
+is used twice is worked out once.
 """
 
 from __future__ import annotations
@@ -14,99 +19,154 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import bounded, kleene_in
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
+from tidemark.functions.values import BOUND
 
+_NONE = "CAST(array() AS array<string>)"
 
-def _merge(*lists: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*lists)))
 
-
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Criterion:
-    """A value, null where it is unknown, and the names that are missing for it."""
+    """A node: how its value, as an SQL expression, follows from its parts', and whether it can be unknown."""
 
-    value: Column
-    missing: Column
+    make: Callable[..., str]
+    parts: tuple[Criterion, ...] = ()
+    name: str | None = None
+    always_known: bool = False
 
-    def _with(self, other, make: Callable[[Column, Column], Column]) -> Criterion:
-        o = other if isinstance(other, Criterion) else constant(other)
-        value = make(self.value, o.value)
-        return Criterion(value, F.when(value.isNull(), _merge(self.missing, o.missing)).otherwise(_none()))
+    def _with(self, other, make: Callable[[str, str], str]) -> Criterion:
+        return Criterion(make, (self, other if isinstance(other, Criterion) else constant(other)))
 
     def __gt__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: F.when(_number(a) & _number(b), a > b).otherwise(_nan_false(a, b)))
+        return self._with(o, _compared(">", False))
 
     def __ge__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: F.when(_number(a) & _number(b), a >= b).otherwise(_nan_false(a, b)))
+        return self._with(o, _compared(">=", False))
 
     def __lt__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: F.when(_number(a) & _number(b), a < b).otherwise(_nan_false(a, b)))
+        return self._with(o, _compared("<", False))
 
     def __le__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: F.when(_number(a) & _number(b), a <= b).otherwise(_nan_false(a, b)))
+        return self._with(o, _compared("<=", False))
 
     def equals(self, o) -> Criterion:
-        return self._with(o, lambda a, b: a == b)
+        return self._with(o, _compared("=", False))
 
     def differs(self, o) -> Criterion:
-        return self._with(o, lambda a, b: a != b)
+        return self._with(o, _compared("<>", True))
 
     def __add__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: bounded(a.cast("double") + b.cast("double")))
+        return self._with(o, _computed("(DOUBLE({a}) + DOUBLE({b}))"))
 
     def __sub__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: bounded(a.cast("double") - b.cast("double")))
+        return self._with(o, _computed("(DOUBLE({a}) - DOUBLE({b}))"))
 
     def __mul__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: bounded(a.cast("double") * b.cast("double")))
+        return self._with(o, _computed("(DOUBLE({a}) * DOUBLE({b}))"))
 
     def __truediv__(self, o) -> Criterion:
-        return self._with(o, lambda a, b: bounded(F.try_divide(a.cast("double"), b.cast("double"))))
+        return self._with(o, _computed("try_divide(DOUBLE({a}), DOUBLE({b}))"))
 
     def __neg__(self) -> Criterion:
-        return Criterion(-self.value, self.missing)
+        return Criterion(lambda a: f"(-{a})", (self,))
 
     def __and__(self, o: Criterion) -> Criterion:
-        value = self.value & o.value
-        return Criterion(value, F.when(value.isNull(), _merge(self.missing, o.missing)).otherwise(_none()))
+        return Criterion(lambda a, b: f"({a} AND {b})", (self, o))
 
     def __or__(self, o: Criterion) -> Criterion:
-        value = self.value | o.value
-        return Criterion(value, F.when(value.isNull(), _merge(self.missing, o.missing)).otherwise(_none()))
+        return Criterion(lambda a, b: f"({a} OR {b})", (self, o))
 
     def __invert__(self) -> Criterion:
-        return Criterion(~self.value, self.missing)
+        return Criterion(lambda a: f"(NOT {a})", (self,))
 
     def one_of(self, *options) -> Criterion:
         """Unknown if the value or any option is, even where another option matches."""
-        nodes = [o if isinstance(o, Criterion) else constant(o) for o in options]
-        value = kleene_in(self.value, [n.value for n in nodes])
-        return Criterion(value, F.when(value.isNull(), _merge(self.missing, *[n.missing for n in nodes])).otherwise(_none()))
+        nodes = tuple(o if isinstance(o, Criterion) else constant(o) for o in options)
+
+        def make(a: str, *rest: str) -> str:
+            known = " AND ".join(f"{x} IS NOT NULL" for x in (a, *rest))
+            found = " OR ".join(f"{a} <=> {x}" for x in rest) or "false"
+            return f"CASE WHEN {known} THEN ({found}) END"
+
+        return Criterion(make, (self, *nodes))
 
     def is_null(self) -> Criterion:
-        return Criterion(self.value.isNull(), _none())
+        return Criterion(lambda a: f"({a} IS NULL)", (self,), always_known=True)
+
+
+def _compared(sign: str, with_nan: bool) -> Callable[[str, str], str]:
+    """A comparison with NaN has a fixed answer, one with an unknown value is unknown."""
+    nan = "(typeof({x}) IN ('double', 'float') AND coalesce(isnan(TRY_CAST({x} AS DOUBLE)), false))"
+
+    def make(a: str, b: str) -> str:
+        return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {nan.format(x=a)} OR {nan.format(x=b)} THEN {str(with_nan).lower()} ELSE {a} {sign} {b} END"
+
+    return make
 
 
-def _number(x: Column) -> Column:
-    return ~F.isnan(x.cast("double"))
+def _computed(form: str) -> Callable[[str, str], str]:
+    """Arithmetic whose result is unknown where it is no number or beyond the bound."""
 
+    def make(a: str, b: str) -> str:
+        x = form.format(a=a, b=b)
+        return f"CASE WHEN NOT isnan({x}) AND abs({x}) <= {BOUND!r}D THEN {x} END"
 
-def _nan_false(a: Column, b: Column) -> Column:
-    """Comparisons with NaN are false, with an unknown still unknown."""
-    return F.when(a.isNotNull() & b.isNotNull(), False)
+    return make
 
 
 def field(name: str) -> Criterion:
-    c = F.col(name)
-    return Criterion(c, F.when(c.isNull(), F.array(F.lit(name))).otherwise(_none()))
+    return Criterion(lambda: f"`{name.replace('`', '``')}`", name=name)
 
 
 def constant(x) -> Criterion:
-    return Criterion(F.lit(x), _none())
+    if x is None:
+        text = "NULL"
+    elif isinstance(x, bool):
+        text = str(x).lower()
+    elif isinstance(x, int):
+        text = f"{x}L" if abs(x) > 2**31 - 1 else str(x)
+    elif isinstance(x, float):
+        text = f"{x!r}D" if x == x and abs(x) != float("inf") else f"DOUBLE('{x}')"
+    else:
+        text = _quoted(str(x))
+    return Criterion(lambda: text, always_known=True)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(rows: DataFrame, criteria: list[Criterion]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """Rows with columns for every node that isn't a leaf, and the (value, missing names) of each criterion."""
+    depth: dict[int, int] = {}
+    nodes: list[Criterion] = []
+
+    def walk(node: Criterion) -> int:
+        if id(node) not in depth:
+            depth[id(node)] = 1 + max((walk(p) for p in node.parts), default=-1)
+            nodes.append(node)
+        return depth[id(node)]
+
+    for c in criteria:
+        walk(c)
+    told: dict[int, tuple[str, str]] = {}
+    for level in range(max(depth.values(), default=0) + 1):
+        bound = []
+        for i, node in enumerate(nodes):
+            if depth[id(node)] != level:
+                continue
+            if not node.parts:
+                value = node.make()
+                told[id(node)] = value, f"CASE WHEN {value} IS NULL THEN array({_quoted(node.name)}) ELSE {_NONE} END" if node.name else _NONE
+                continue
+            value = node.make(*[told[id(p)][0] for p in node.parts])
+            missing = ", ".join(told[id(p)][1] for p in node.parts if not p.always_known)
+            merged = f"array_sort(array_distinct(concat({missing})))" if missing else _NONE
+            bound.append(f"{value} AS _value{i}")
+            bound.append(f"{_NONE if node.always_known else f'CASE WHEN ({value}) IS NULL THEN {merged} ELSE {_NONE} END'} AS _missing{i}")
+            told[id(node)] = f"_value{i}", f"_missing{i}"
+        if bound:
+            rows = rows.selectExpr("*", *bound)
+    return rows, [(F.expr(told[id(c)][0]), F.expr(told[id(c)][1])) for c in criteria]
 
 
 @dataclass(frozen=True)
@@ -120,12 +180,13 @@ def evaluate(rows: DataFrame, rules: list[Rule], key: str = "entity") -> DataFra
     """(key, rule_id, severity, verdict, missing): every rule on every row, in one pass without a join."""
     if len({r.rule_id for r in rules}) != len(rules):
         raise ValueError("rule ids must differ")
+    bound, found = bind(rows, [r.criterion for r in rules])
     told = [
         F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"),
-            F.when(r.criterion.value.isNull(), "undetermined").when(r.criterion.value, "fired").otherwise("not-fired").alias("verdict"),
-            F.when(r.criterion.value.isNull(), r.criterion.missing).otherwise(_none()).alias("missing"),
+            F.when(value.isNull(), "undetermined").when(value, "fired").otherwise("not-fired").alias("verdict"),
+            F.when(value.isNull(), missing).otherwise(F.expr(_NONE)).alias("missing"),
         )
-        for r in rules
+        for r, (value, missing) in zip(rules, found, strict=True)
     ]
-    return rows.select(key, F.explode(F.array(*told)).alias("_v")).select(key, "_v.*")
+    return bound.select(key, F.explode(F.array(*told)).alias("_v")).select(key, "_v.*")

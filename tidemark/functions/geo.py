@@ -36,10 +36,19 @@ def place_key(lat: Column, lon: Column, digits: int) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string(f"%.{digits}f,%.{digits}f", F.round(lat, digits), F.round(lon, digits)))
 
 
-def cells(lat: Column, lon: Column, size: float) -> Column:
-    """The four grid cells of the given size whose corners are nearest: close points share one."""
-    at = lambda x, k: F.floor(x / size + F.lit(k)).cast("bigint")
-    return F.array(*[F.concat_ws(":", F.lit(f"{i}{j}"), at(lat, i * 0.5), at(lon, j * 0.5)) for i in (0, 1) for j in (0, 1)])
+#: Fixed value: decimals of the cells that records are compared in, about 110 metres.
+CELL_DECIMALS = 3
+
+
+def cells(lat: Column, lon: Column, decimals: int = CELL_DECIMALS) -> Column:
+    """The cell that a point rounds into and those that it would half a cell further down and left; null for no place.
+
+    Points much closer than a cell share one of these, wherever the borders run.
+    """
+    scale = 10.0**decimals
+    at = lambda x, k: F.floor((x - k * 0.5 / scale) * scale + 0.5)
+    found = F.array_distinct(F.array(*[F.concat_ws(",", at(lat, i), at(lon, j)) for i in (0, 1) for j in (0, 1)]))
+    return F.when(known_point(lat, lon), found)
 
 
 def grid(lat: Column, lon: Column, size: float) -> Column:

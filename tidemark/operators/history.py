@@ -54,53 +54,79 @@ def field_changes(fields: Sequence[str], before: str, after: str) -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
-def compare(snapshots: DataFrame, runs: DataFrame, target: int, baseline: int, fields: Sequence[str], key: str = "entity", price: str = "price") -> DataFrame:
+def by_source(observations: DataFrame, fields: Sequence[str], key: str = "entity", order: Sequence[str] = ("event_id",)) -> DataFrame:
+    """(key, run_seq, rows): for each entity and run the first row of every source, as a map by source."""
+    first = observations.groupBy(key, "run_seq", "source").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_row"))
+    return first.groupBy(key, "run_seq").agg(F.map_from_entries(F.collect_list(F.struct("source", "_row"))).alias("rows"))
+
+
+def compare(observations: DataFrame, runs: DataFrame, target: int, baseline: int | None, fields: Sequence[str], key: str = "entity", price: str = "price", order: Sequence[str] = ("event_id",), reset: bool = False) -> DataFrame:
     """Exactly one event for each entity seen by `target` or up to `baseline`.
 
-    kind: new, returned (had disappeared), unverified (no source in common, so a
+    kind: new, returned (had disappeared), unverified (no source saw it both times, so a
     difference may be the source's), changed, unchanged; and for those missing from
-    `target`, gone if that run was healthy and they hadn't disappeared before.  Also
-    the changed fields, and amount and direction of the price's change where both
-    prices are known.  `sources` is the array of sources behind a snapshot.
+    `target`, gone if that run was healthy and they hadn't disappeared before.  What is
+    compared are the rows of the first source, in order, that both sides share.  A
+    changed price tells its amount, without a sign, and its direction where both prices
+    are known.  Without a baseline all is new, or, where the search's definition was
+    reset, there is no event at all.
     """
-    struct = F.struct(*fields, price, "sources")
-    observed = snapshots.where(F.col("run_seq") == target).groupBy(key).agg(F.max_by(struct, "event_id").alias("now"))
-    previous = latest_asof(snapshots, baseline, key).select(key, struct.alias("was"))
-    before = presence_asof(snapshots, runs, baseline, key).select(key, "presence")
-    healthy = runs.where(F.col("run_seq") == target).agg(F.coalesce(F.bool_and("healthy"), F.lit(False)).alias("_healthy"))
-    joined = observed.join(previous, key, "full_outer").join(before, key, "left").crossJoin(F.broadcast(healthy))
-    changes = field_changes(fields, "was", "now")
-    shared = F.size(F.array_intersect("was.sources", "now.sources")) > 0
+    told = [*fields, price] if price not in fields else list(fields)
+    seen = by_source(observations.where(F.col("run_seq") <= F.lit(max(target, baseline if baseline is not None else target))), told, key, order)
+    now = seen.where(F.col("run_seq") == target).select(key, F.col("rows").alias("now"))
+    if baseline is None:
+        changes = F.filter(F.array(F.struct(*[F.lit("").alias(c) for c in ("field", "before", "after")])), lambda _: F.lit(False))
+        return now.where(F.lit(not reset)).select(key, F.lit("new").alias("kind"), changes.alias("changes"), F.lit(None).cast("double").alias("price_amount"), F.lit(None).cast("string").alias("price_direction"))
+    was = seen.where(F.col("run_seq") <= baseline).groupBy(key).agg(F.max_by("rows", "run_seq").alias("was"), F.max("run_seq").alias("_seen"))
+    last_healthy = runs.agg(F.max(F.when(F.col("healthy") & (F.col("run_seq") <= baseline), F.col("run_seq"))).alias("_last"), F.coalesce(F.bool_or(F.col("healthy") & (F.col("run_seq") == target)), F.lit(False)).alias("_healthy"))
+    joined = now.join(was, key, "full_outer").crossJoin(F.broadcast(last_healthy))
+    shared = F.array_min(F.array_intersect(F.map_keys("was"), F.map_keys("now")))
+    joined = joined.withColumn("_source", shared).withColumn("_before", F.col("was")[F.col("_source")]).withColumn("_after", F.col("now")[F.col("_source")])
+    joined = joined.withColumn("_changes", field_changes(fields, "_before", "_after"))
+    gone_before = F.coalesce(F.col("_seen") < F.col("_last"), F.lit(False))
     kind = (
         F.when(F.col("now").isNotNull() & F.col("was").isNull(), "new")
-        .when(F.col("now").isNotNull() & (F.col("presence") == "disappeared"), "returned")
-        .when(F.col("now").isNotNull() & ~shared, "unverified")
-        .when(F.col("now").isNotNull() & (F.size(changes) > 0), "changed")
+        .when(F.col("now").isNotNull() & gone_before, "returned")
+        .when(F.col("now").isNotNull() & F.col("_source").isNull(), "unverified")
+        .when(F.col("now").isNotNull() & (F.size("_changes") > 0), "changed")
         .when(F.col("now").isNotNull(), "unchanged")
-        .when(F.col("_healthy") & (F.col("presence") == "observed"), "gone")
+        .when(F.col("_healthy") & ~gone_before, "gone")
     )
-    amount = F.col(f"now.{price}") - F.col(f"was.{price}")
-    both = F.col("now").isNotNull() & F.col("was").isNotNull()
+    amount = F.col(f"_after.{price}") - F.col(f"_before.{price}")
+    moved = (F.col("kind") == "changed") & (amount != 0)
     return joined.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        key, "kind", F.when(F.col("kind") == "changed", changes).otherwise(F.slice(changes, 1, 0)).alias("changes"), F.when(both, amount).alias("price_amount"),
-        F.when(both & (amount < 0), "down").when(both & (amount > 0), "up").alias("price_direction"),
+        key, "kind", F.when(F.col("kind") == "changed", F.col("_changes")).otherwise(F.slice("_changes", 1, 0)).alias("changes"),
+        F.when(moved, F.abs(amount)).alias("price_amount"), F.when(moved, F.when(amount < 0, "down").otherwise("up")).alias("price_direction"),
     )
 
 
-def kind_counts(events: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """(kind, n) for every kind of a closed list, zero where there are none."""
-    names = events.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
-    counted = events.groupBy("kind").agg(F.count("*").alias("n"))
-    return F.broadcast(names).join(counted, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+#: Kinds that are counted even where there are none.
+ALWAYS_COUNTED = ("new", "changed", "unchanged", "gone", "returned")
+
 
+def kind_counts(events: DataFrame, kinds: Sequence[str] = ALWAYS_COUNTED) -> DataFrame:
+    """(kind, n) for every kind of a list, zero where there are none, and for others only if there are any."""
+    names = events.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), F.lit(0).alias("n"))
+    return events.groupBy("kind").agg(F.count("*").alias("n")).unionByName(names).groupBy("kind").agg(F.sum("n").alias("n"))
 
-def movements(snapshots: DataFrame, key: str = "entity", seq: str = "run_seq", price: str = "price", status: str = "status") -> DataFrame:
-    """Price and status moves between an entity's consecutive snapshots."""
-    order = W.partitionBy(key).orderBy(seq)
-    moved = snapshots.select(key, seq, price, status, F.lag(price).over(order).alias("_p"), F.lag(status).over(order).alias("_s"), F.lag(seq).over(order).alias("_q"))
-    price_move = F.when(F.col("_p").isNotNull() & F.col(price).isNotNull() & (F.col("_p") != F.col(price)), F.struct(F.lit("price_change").alias("kind"), F.col("_p").cast("string").alias("was"), F.col(price).cast("string").alias("now")))
-    status_move = F.when(F.col("_q").isNotNull() & ~F.col("_s").eqNullSafe(F.col(status)), F.struct(F.lit("status_change").alias("kind"), F.col("_s").alias("was"), F.col(status).alias("now")))
-    return moved.select(key, seq, F.explode(F.filter(F.array(price_move, status_move), lambda x: x.isNotNull())).alias("m")).select(key, seq, "m.kind", "m.was", "m.now")
+
+def movements(snapshots: DataFrame, observations: DataFrame, steps: DataFrame, key: str = "entity", price: str = "price", status: str = "status", order: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Price and status moves of entities between a run and the one before it; steps: (run_seq, previous_seq).
+
+    Where the two snapshots come from different sources, the earlier side is the first
+    row of the later snapshot's source in the earlier run; without one nothing is told.
+    """
+    steps = steps.where(F.col("previous_seq").isNotNull()).select("run_seq", "previous_seq")
+    after = snapshots.join(F.broadcast(steps), "run_seq").select(key, "run_seq", "previous_seq", F.struct(price, status, "source").alias("_after"))
+    before = snapshots.select(key, F.col("run_seq").alias("previous_seq"), F.struct(price, status, "source").alias("_snapshot"))
+    moved = after.join(before, [key, "previous_seq"])
+    same = moved.where(F.col("_snapshot.source").eqNullSafe(F.col("_after.source"))).withColumn("_before", F.struct(f"_snapshot.{price}", f"_snapshot.{status}"))
+    rows = observations.groupBy(key, F.col("run_seq").alias("previous_seq"), F.col("source").alias("_source")).agg(F.min_by(F.struct(price, status), F.struct(*order)).alias("_before"))
+    other = moved.where(~F.col("_snapshot.source").eqNullSafe(F.col("_after.source"))).withColumn("_source", F.col("_after.source")).join(rows, [key, "previous_seq", "_source"]).drop("_source")
+    both = same.unionByName(other)
+    move = lambda kind, c: F.when(~F.col(f"_before.{c}").eqNullSafe(F.col(f"_after.{c}")), F.struct(F.lit(kind).alias("kind"), F.col(f"_before.{c}").cast("string").alias("was"), F.col(f"_after.{c}").cast("string").alias("now")))
+    told = F.filter(F.array(move("price_change", price), move("status_change", status)), lambda x: x.isNotNull())
+    return both.select(key, "run_seq", F.explode(told).alias("m")).select(key, "run_seq", "m.kind", "m.was", "m.now")
 
 
 def price_story(snapshots: DataFrame, key: str = "entity", seq: str = "run_seq", at: str = "ts", price: str = "price") -> DataFrame:
@@ -117,10 +143,45 @@ def price_story(snapshots: DataFrame, key: str = "entity", seq: str = "run_seq",
 
 
 def previous_runs(runs: DataFrame) -> DataFrame:
-    """Each run with the completed run before it of the same search and revision; a null revision equals a null one."""
-    done = runs.where(F.col("status") == "completed").select(F.col("search").alias("_search"), F.col("revision").alias("_revision"), F.col("run_seq").alias("_seq"))
-    near = runs.join(done, (F.col("search") == F.col("_search")) & F.col("revision").eqNullSafe(F.col("_revision")) & (F.col("_seq") < F.col("run_seq")), "left")
-    return near.groupBy("search", "run_seq").agg(F.max("_seq").alias("previous_seq"))
+    """(search, run_seq, previous_seq, reset): each run with the completed run before it of the same search and revision.
+
+    A null revision equals a null one.  `reset` marks a run that has none, although the
+    search has completed runs of other revisions: its definition changed.
+    """
+    done = F.when(F.col("status") == "completed", F.col("run_seq"))
+    before = lambda *keys: W.partitionBy(*keys).orderBy("run_seq").rowsBetween(W.unboundedPreceding, -1)
+    told = runs.select("search", "run_seq", F.max(done).over(before("search", "revision")).alias("previous_seq"), F.max(done).over(before("search")).alias("_any"))
+    return told.select("search", "run_seq", "previous_seq", (F.col("previous_seq").isNull() & F.col("_any").isNotNull()).alias("reset"))
+
+
+def identity_of_run(frozen: DataFrame, live: DataFrame, run: int) -> DataFrame:
+    """(id, live) as a run saw it: what was frozen at its end, or the present identity if nothing was.
+
+    frozen: (run_seq, id, live), one whole mapping a run; live: (id, live).
+    """
+    own = frozen.where(F.col("run_seq") == run)
+    kept = own.agg((F.count("*") > 0).alias("_frozen"))
+    return own.select("id", "live").unionByName(live.crossJoin(F.broadcast(kept)).where(~F.col("_frozen")).select("id", "live"))
+
+
+def seen_by_search(snapshots: DataFrame, runs: DataFrame, live: DataFrame, search: str, key: str = "entity") -> DataFrame:
+    """Live entities that a completed run of a search has observed, whatever its revision, followed through merges."""
+    own = F.broadcast(runs.where((F.col("search") == search) & (F.col("status") == "completed")).select("run_seq"))
+    seen = snapshots.join(own, "run_seq", "left_semi").select(F.col(key).alias("_id")).distinct()
+    return seen.join(live, seen["_id"] == live["id"], "left").select(F.coalesce("live", "_id").alias(key)).distinct()
+
+
+def observed_as(snapshots: DataFrame, runs: DataFrame, live: DataFrame, key: str = "entity") -> DataFrame:
+    """Snapshots of completed runs with each run's search and the entity's live id."""
+    done = F.broadcast(runs.where(F.col("status") == "completed").select("run_seq", "search", "revision"))
+    named = live.select(F.col("id").alias(key), "live")
+    return snapshots.join(done, "run_seq").join(named, key)
+
+
+def current_candidates(snapshots: DataFrame, merged: DataFrame, key: str = "entity") -> DataFrame:
+    """Each live entity's latest snapshot, for one that was merged but never seen since that of its constituents."""
+    latest = latest_per_key(snapshots, [key], ["run_seq", "event_id"])
+    return latest.unionByName(stand_ins(merged, snapshots, key).withColumnRenamed("live", key))
 
 
 def baseline_since(runs: DataFrame, moment: str) -> DataFrame:

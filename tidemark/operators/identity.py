@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
@@ -63,47 +62,126 @@ def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id") -> DataFrame
     return left.join(right, "block").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
-def _signal(a: Column, b: Column) -> Column:
-    return F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "agreed").otherwise("disagreed")
+def _notes(*pairs: tuple[Column, str]) -> Column:
+    return F.filter(F.array(*[F.when(c, text) for c, text in pairs]), lambda x: x.isNotNull())
 
 
 def pair_signals(pairs: DataFrame, rows: DataFrame, key: str = "id", metres: float = 50.0) -> DataFrame:
-    """Adds the parcel, address and place signals of each pair; rows have parcel, address, latitude and longitude."""
-    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in (key, "parcel", "address", "latitude", "longitude")])
+    """What the rows of each pair say about each other: parcel, address and place are agreed, disagreed or unknown.
+
+    Rows have parcel, address_key, bare_key (the key without its unit), unit, latitude and
+    longitude.  Units that both have and that differ are a disagreement whatever else
+    the address says; a unit on one side only leaves it unknown.  `units_differ` marks
+    the first; `agreed`, `conflicted` and `unknown` hold notes.
+    """
+    fields = (key, "parcel", "address_key", "bare_key", "unit", "latitude", "longitude")
+    side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in fields])
     joined = pairs.join(side("l"), F.col("a") == F.col(f"l_{key}")).join(side("r"), F.col("b") == F.col(f"r_{key}"))
-    apart = geo.haversine(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude"))
-    known = geo.known_point(F.col("l_latitude"), F.col("l_longitude")) & geo.known_point(F.col("r_latitude"), F.col("r_longitude"))
-    return joined.select(
-        "a", "b", _signal(F.col("l_parcel"), F.col("r_parcel")).alias("parcel"), _signal(F.col("l_address"), F.col("r_address")).alias("address"),
-        F.when(~known, "unknown").when(apart <= metres, "agreed").otherwise("disagreed").alias("place"),
+    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))  # noqa: E741
+    apart = geo.haversine(l("latitude"), l("longitude"), r("latitude"), r("longitude"))
+    known = geo.known_point(l("latitude"), l("longitude")) & geo.known_point(r("latitude"), r("longitude"))
+    units_differ = F.coalesce(l("unit") != r("unit"), F.lit(False))
+    parcel = F.when(l("parcel").isNull() | r("parcel").isNull(), "unknown").when(l("parcel") == r("parcel"), "agreed").otherwise("disagreed")
+    address = (
+        F.when(units_differ, "disagreed").when(l("address_key").isNull() | r("address_key").isNull(), "unknown").when(l("address_key") == r("address_key"), "agreed")
+        .when(l("bare_key") == r("bare_key"), "unknown").otherwise("disagreed")
+    )
+    place = F.when(~known, "unknown").when(apart <= metres, "agreed").otherwise("disagreed")
+    told = joined.select("a", "b", parcel.alias("parcel"), address.alias("address"), place.alias("place"), units_differ.alias("units_differ"), (l("parcel").isNotNull() | r("parcel").isNotNull()).alias("_some"), (l("bare_key") == r("bare_key")).alias("_bare"))
+    is_ = lambda c, v: F.col(c) == v
+    return told.select(
+        "a", "b", "parcel", "address", "place", "units_differ",
+        _notes((is_("parcel", "agreed"), "parcel"), (is_("address", "agreed"), "address"), (is_("place", "agreed"), "place")).alias("agreed"),
+        _notes((is_("parcel", "disagreed"), "parcel"), (is_("address", "disagreed"), "address"), (is_("place", "disagreed"), "place")).alias("conflicted"),
+        _notes((is_("parcel", "unknown") & F.col("_some"), "parcel on one side"), (is_("address", "unknown") & F.col("_bare"), "unit on one side"), (is_("address", "unknown") & ~F.coalesce("_bare", F.lit(False)), "no address"), (is_("place", "unknown"), "no coordinates")).alias("unknown"),
     )
 
 
 def decide(signals: DataFrame) -> DataFrame:
-    """Adds the decision: matched, distinct, ambiguous or unrelated.
+    """Adds the decision: matched, distinct, ambiguous or unrelated; the first that applies.
 
-    Parcels decide where both are known, unless the address says otherwise; then two
-    of the address and the place; one alone is a question.
+    Parcels settle it both ways, whatever the addresses say.  Different units are
+    distinct, other different addresses unrelated.  Equal addresses match, unless the
+    coordinates contradict them: then it is a question.  Without an address coordinates
+    that agree are a question, as they are never enough.
     """
     parcel, address, place = F.col("parcel"), F.col("address"), F.col("place")
     decision = (
-        F.when((parcel == "agreed") & (address != "disagreed"), "matched")
-        .when(parcel == "agreed", "ambiguous")
-        .when((parcel == "disagreed") & (address == "agreed"), "ambiguous")
+        F.when(parcel == "agreed", "matched")
         .when(parcel == "disagreed", "distinct")
-        .when((address == "agreed") & (place != "disagreed"), "matched")
-        .when((address == "agreed") | ((place == "agreed") & (address == "unknown")), "ambiguous")
-        .when(place == "agreed", "distinct")
+        .when(address == "disagreed", F.when(F.col("units_differ"), "distinct").otherwise("unrelated"))
+        .when(address == "agreed", F.when(place == "disagreed", "ambiguous").otherwise("matched"))
+        .when(place == "agreed", "ambiguous")
         .otherwise("unrelated")
     )
     return signals.withColumn("decision", decision)
 
 
+#: Why records were joined.
+BY_PERSON, BY_PARCEL, BY_RULES = "a person decided it", "the same parcel number", "address and place agree"
+
+
+def merge_pass(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merges and questions of one pass over decided pairs (a, b, decision, parcel, by_person).
+
+    merges: (component, members, join_signal), a group of matched records of which every
+    pair matched.  questions: (members), sorted: every other group, whole, as one
+    question, and each ambiguous pair of which neither record is in a group.
+    """
+    matched = decided.where(F.col("decision") == "matched").select("a", "b")
+    groups = connected_components(matched)
+    complete = complete_groups(matched, groups)
+    members = groups.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    sure = F.col("by_person") | (F.col("parcel") == "agreed")
+    inside = decided.where(sure & (F.col("decision") == "matched")).join(groups, decided["a"] == groups["node"])
+    why = inside.groupBy("component").agg(F.min_by(F.when(F.col("by_person"), BY_PERSON).otherwise(BY_PARCEL), F.struct("a", "b")).alias("_why"))
+    told = members.join(complete.select("component", "complete"), "component").join(why, "component", "left")
+    merges = told.where("complete").select("component", "members", F.coalesce("_why", F.lit(BY_RULES)).alias("join_signal"))
+    grouped = groups.select("node")
+    loose = decided.where(F.col("decision") == "ambiguous").select("a", "b").join(grouped, F.col("a") == F.col("node"), "left_anti").join(grouped, F.col("b") == F.col("node"), "left_anti")
+    questions = told.where(~F.col("complete")).select("members").unionByName(loose.select(F.array_sort(F.array("a", "b")).alias("members")))
+    return merges, questions
+
+
+def merge_edges(merges: DataFrame, seq: int, decided_by: str = "automatic") -> DataFrame:
+    """Edges (id, superseded_by, join_signal, decided_by, seq) that a merge appends: every member points at a new id, a digest of all."""
+    new = F.concat(F.lit("m-"), F.substring(F.sha2(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").cast("binary"), 256), 1, 16))
+    return merges.select(F.explode(F.transform("members", lambda m: m.cast("string"))).alias("id"), new.alias("superseded_by"), "join_signal", F.lit(decided_by).alias("decided_by"), F.lit(seq).alias("seq"))
+
+
+def unmerge_edges(edges: DataFrame, merged: str, seq: int) -> DataFrame:
+    """Edges that take a merge back: its members stand for themselves again."""
+    return current_edges(edges).where(F.col("superseded_by") == merged).select("id", F.lit(None).cast("string").alias("superseded_by"), F.lit("taken back").alias("join_signal"), F.lit("person").alias("decided_by"), F.lit(seq).alias("seq"))
+
+
+def current_edges(edges: DataFrame) -> DataFrame:
+    """The edge that holds of each id: the last one appended."""
+    return edges.groupBy("id").agg(F.max_by(F.struct("superseded_by", "join_signal", "decided_by"), "seq").alias("_e")).select("id", "_e.*")
+
+
+def resolve_on_write(rows: DataFrame, known: DataFrame, live: DataFrame) -> DataFrame:
+    """Adds `entity` to new rows: the live entity that the same source knows by the same id, else by the same address.
+
+    Both have source, source_id, address, unit and postal; known also entity and at, of
+    which the newest counts.  The address is looked up only for rows without an id, among
+    rows without one; a row with neither is nobody's.  live: (id, live).
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    place = F.concat_ws("\x1f", F.lit("at"), "source", text("address"), text("unit"), text("postal"))
+    own = F.concat_ws("\x1f", F.lit("id"), "source", "source_id")
+    asked = rows.withColumn("_key", F.when(~blank("source_id"), own).when(~blank("address"), place))
+    held = known.withColumn("_key", F.when(F.col("source_id").isNotNull(), own).otherwise(place)).groupBy("_key").agg(F.max_by("entity", "at").alias("_found"))
+    found = asked.join(held, "_key", "left").join(live.select(F.col("id").alias("_found"), F.col("live").alias("_live")), "_found", "left")
+    return found.select(*rows.columns, F.coalesce("_live", "_found").alias("entity"))
+
+
 def override(decided: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """People's latest verdict on a pair wins; `contradicted` marks where it differs.  verdicts: a, b, verdict, seq."""
+    """People's latest verdict on a pair wins; `contradicted` marks where it differs, `by_person` where there is one.  verdicts: a, b, verdict, seq."""
     last = verdicts.groupBy("a", "b").agg(F.max_by("verdict", "seq").alias("_verdict"))
     joined = decided.join(last, ["a", "b"], "left")
-    return joined.select("a", "b", F.coalesce("_verdict", "decision").alias("decision"), (F.col("_verdict").isNotNull() & (F.col("_verdict") != F.col("decision"))).alias("contradicted"))
+    said = F.col("_verdict").isNotNull()
+    return joined.select("a", "b", F.coalesce("_verdict", "decision").alias("decision"), (said & (F.col("_verdict") != F.col("decision"))).alias("contradicted"), "parcel", said.alias("by_person"))
 
 
 def complete_groups(matched: DataFrame, components: DataFrame) -> DataFrame:
@@ -113,8 +191,9 @@ def complete_groups(matched: DataFrame, components: DataFrame) -> DataFrame:
     return size.join(pairs, "component").withColumn("complete", F.col("pairs") == F.col("members") * (F.col("members") - 1) / 2)
 
 
-def fullest(rows: DataFrame, live: str, filled: Sequence[str], arrival: str) -> DataFrame:
-    """One row for each live id: the one with the most known fields, of several the first to arrive."""
+def fullest(rows: DataFrame, live: str, filled: Sequence[str], arrival: str, flags: str | None = None) -> DataFrame:
+    """One row for each live id: the one with the most known fields, then the most flags, of several the first to arrive."""
     known = sum((F.col(c).isNotNull().cast("int") for c in filled), F.lit(0))
-    order = W.partitionBy(live).orderBy(F.desc("_known"), F.asc(arrival))
-    return rows.withColumn("_known", known).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_known")
+    raised = F.coalesce(F.col(flags), F.lit(0)) if flags else F.lit(0)
+    best = rows.groupBy(F.col(live).alias("_live")).agg(F.min_by(F.struct(*rows.columns), F.struct((-known).alias("k"), (-raised).alias("f"), F.col(arrival).alias("a"))).alias("_row"))
+    return best.select("_row.*")

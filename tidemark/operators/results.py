@@ -108,9 +108,63 @@ def top_examples(rows: DataFrame, group: str, reason: str, order: str, n: int) -
     return rank_within(rows, [group], [F.col(reason).isNull(), F.col(order)], n)
 
 
+def parsed_concerns(text: Column) -> Column:
+    """The levels of a JSON list of concerns, lower case; null if the text is null or no list."""
+    return F.transform(F.from_json(text, "array<struct<level:string>>"), lambda c: F.lower(F.trim(c["level"])))
+
+
 def worst_concern(assessments: DataFrame, key: str, levels: Sequence[str]) -> DataFrame:
     """Latest assessment by seq: number of concerns (null if it has none at all, zero for an empty list) and the worst level."""
+    if dict(assessments.dtypes)["concerns"] == "string":
+        assessments = assessments.withColumn("concerns", parsed_concerns(F.col("concerns")))
     last = assessments.groupBy(key).agg(F.max_by(F.struct("concerns"), "seq").alias("_a"))
     rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in levels]), c)
     worst = F.array_max(F.transform(F.col("_a.concerns"), rank))
     return last.select(key, F.when(F.col("_a.concerns").isNotNull(), F.size("_a.concerns")).alias("n"), F.when(worst > 0, F.element_at(F.array(*[F.lit(x) for x in levels]), worst.cast("int"))).alias("worst"))
+
+
+def digest_counts(counts: DataFrame, observed_count: int | None = None, flagged: int | None = None) -> DataFrame:
+    """One row of a digest's counts: matched (what was observed, or else the sum of all kinds but gone) and each kind."""
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
+    summed = F.coalesce(F.sum(F.when(F.col("kind") != "gone", F.col("n"))), F.lit(0))
+    matched = summed if observed_count is None else F.lit(observed_count).cast("bigint")
+    more = [] if flagged is None else [F.lit(flagged).alias("flagged")]
+    return counts.agg(matched.alias("matched"), *[n(k) for k in ("new", "changed", "gone", "returned", "unverified")], *more)
+
+
+def as_document(counts: DataFrame, order: str, **head) -> DataFrame:
+    """One JSON text of the given values and the counts in order: a closed list of kinds, so its size is bounded."""
+    rows = counts.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in counts.columns if c != order]))).alias("counts"))
+    return rows.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], "counts")).alias("digest"))
+
+
+def fired_sets(verdicts: DataFrame, severities: Sequence[str] | None = None, key: str = "entity") -> DataFrame:
+    """(rule_id, entity), distinct: which entities fired which rules; sets as rows, as one rule may fire on any number."""
+    fired = verdicts.where(F.col("verdict") == "fired")
+    if severities is not None:
+        fired = fired.where(F.col("severity").isin(*severities))
+    return fired.select("rule_id", key).distinct()
+
+
+def live_count(entities: DataFrame, include_disappeared: bool = True) -> DataFrame:
+    """How many entities live: neither retracted nor merged into another, and present if asked for."""
+    live = entities.where(~F.col("retracted") & F.col("superseded_by").isNull())
+    return (live if include_disappeared else live.where(F.col("presence") == "observed")).agg(F.count("*").alias("n"))
+
+
+def index_states(blocks: DataFrame, state: str = "state") -> DataFrame:
+    """Per state how many blocks are indexed, as of when, and when they were loaded last."""
+    return blocks.groupBy(state).agg(F.count("*").alias("blocks"), F.max("as_of").alias("as_of"), F.max("loaded_at").alias("loaded_at"))
+
+
+def empty_by_origin(flags: DataFrame, origins: dict[str, str]) -> DataFrame:
+    """(origin, empty): of each origin of columns those without any value, joined in order."""
+    named = F.create_map(*[F.lit(x) for pair in origins.items() for x in pair])
+    empty = flags.where(~F.col("has_values")).select(F.coalesce(named[F.col("column")], F.lit("other")).alias("origin"), "column")
+    return empty.groupBy("origin").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("empty"))
+
+
+def clean_tags(uses: DataFrame) -> DataFrame:
+    """Tags trimmed, their blanks collapsed, empty ones dropped, and of an entity's tags that differ in case only the first in order."""
+    named = uses.withColumn("tag", F.trim(F.regexp_replace("tag", r"\s+", " "))).where(F.coalesce(F.col("tag"), F.lit("")) != "")
+    return named.groupBy("entity", F.lower("tag").alias("_t")).agg(F.min("tag").alias("tag")).select("entity", "tag")

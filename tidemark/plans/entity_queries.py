@@ -53,47 +53,67 @@ def closure_places(spark, sf_dir):
     return live.join(parts, live["id"] == parts["p_partkey"]).select("live", "p_size").distinct()
 
 
+#: Records of the merge queries: customers three to a place, some with parcel numbers, addresses and units.
 _PAIR_SQL = f"""
 c AS (
-  SELECT id, latitude, longitude, CASE WHEN id % 5 <> 0 THEN 'p' || (id // 3) END AS parcel, CASE WHEN id % 7 <> 0 THEN c_nationkey || '|' || c_mktsegment || '|' || (id // 40) END AS address
-  FROM ({w.places_sql("customer", "c_custkey")})
-), keyed AS (
-  SELECT DISTINCT id, k FROM (SELECT id, parcel AS k FROM c UNION ALL SELECT id, address FROM c) WHERE k IS NOT NULL
+  SELECT c_custkey AS id, 30.0::DOUBLE + (c_custkey // 3 * 7919 % 10000) / 2000.0::DOUBLE + (c_custkey % 3) * 0.0003::DOUBLE + CASE WHEN c_custkey % 4 = 1 THEN 0.002::DOUBLE ELSE 0.0::DOUBLE END AS latitude,
+    -105.0::DOUBLE + (c_custkey // 3 * 104729 % 10000) / 2000.0::DOUBLE AS longitude,
+    CASE WHEN c_custkey % 5 IN (0, 3) THEN 'p100' || (c_custkey // 2) END AS parcel,
+    CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey // 3) || ' ' || c_nationkey % 2 END AS street, CASE c_custkey % 11 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS unit
+  FROM customer
+), r AS (SELECT *, street || '|' || coalesce(unit, '') AS address_key, street AS bare_key,
+    abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = floor(latitude) AND longitude = floor(longitude)) AS placed FROM c),
+keyed AS (
+  SELECT id, 'a:' || address_key AS k FROM r WHERE address_key IS NOT NULL
+  UNION SELECT id, 'c:' || CAST(floor((latitude - i * 0.5 / 1000.0::DOUBLE) * 1000.0::DOUBLE + 0.5) AS BIGINT) || ',' || CAST(floor((longitude - j * 0.5 / 1000.0::DOUBLE) * 1000.0::DOUBLE + 0.5) AS BIGINT) FROM r, range(2) x(i), range(2) y(j) WHERE placed
 ), pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.k = b.k AND a.id < b.id),
 signals AS (
   SELECT p.a, p.b,
     CASE WHEN l.parcel IS NULL OR r.parcel IS NULL THEN 'unknown' WHEN l.parcel = r.parcel THEN 'agreed' ELSE 'disagreed' END AS parcel,
-    CASE WHEN l.address IS NULL OR r.address IS NULL THEN 'unknown' WHEN l.address = r.address THEN 'agreed' ELSE 'disagreed' END AS address,
-    CASE WHEN (l.latitude = floor(l.latitude) AND l.longitude = floor(l.longitude)) OR (r.latitude = floor(r.latitude) AND r.longitude = floor(r.longitude)) THEN 'unknown'
-      WHEN {w.miles_sql("l", "r", geo.METRES)} <= 200000 THEN 'agreed' ELSE 'disagreed' END AS place
-  FROM pairs p JOIN c l ON l.id = p.a JOIN c r ON r.id = p.b
+    CASE WHEN l.unit <> r.unit THEN 'disagreed' WHEN l.address_key IS NULL OR r.address_key IS NULL THEN 'unknown' WHEN l.address_key = r.address_key THEN 'agreed'
+      WHEN l.bare_key = r.bare_key THEN 'unknown' ELSE 'disagreed' END AS address,
+    CASE WHEN NOT (l.placed AND r.placed) THEN 'unknown' WHEN {w.miles_sql("l", "r", geo.METRES)} <= 50 THEN 'agreed' ELSE 'disagreed' END AS place,
+    coalesce(l.unit <> r.unit, false) AS units_differ, l.parcel IS NOT NULL OR r.parcel IS NOT NULL AS some_parcel, coalesce(l.bare_key = r.bare_key, false) AS same_street
+  FROM pairs p JOIN r l ON l.id = p.a JOIN r ON r.id = p.b
 ), decided AS (
-  SELECT a, b, CASE
-    WHEN parcel = 'agreed' AND address <> 'disagreed' THEN 'matched' WHEN parcel = 'agreed' THEN 'ambiguous'
-    WHEN parcel = 'disagreed' AND address = 'agreed' THEN 'ambiguous' WHEN parcel = 'disagreed' THEN 'distinct'
-    WHEN address = 'agreed' AND place <> 'disagreed' THEN 'matched'
-    WHEN address = 'agreed' OR (place = 'agreed' AND address = 'unknown') THEN 'ambiguous'
-    WHEN place = 'agreed' THEN 'distinct' ELSE 'unrelated' END AS decision
+  SELECT a, b, parcel, CASE
+    WHEN parcel = 'agreed' THEN 'matched' WHEN parcel = 'disagreed' THEN 'distinct'
+    WHEN address = 'disagreed' AND units_differ THEN 'distinct' WHEN address = 'disagreed' THEN 'unrelated'
+    WHEN address = 'agreed' AND place = 'disagreed' THEN 'ambiguous' WHEN address = 'agreed' THEN 'matched'
+    WHEN place = 'agreed' THEN 'ambiguous' ELSE 'unrelated' END AS decision
   FROM signals
 ), matched AS (SELECT a, b FROM decided WHERE decision = 'matched'),
 ways AS (SELECT a, b FROM matched UNION ALL SELECT b, a FROM matched),
 reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, m.b FROM reach r JOIN ways m ON m.a = r.other),
-groups AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+groups AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+sized AS (SELECT component, count(*) AS members, list(node ORDER BY node) AS nodes FROM groups GROUP BY component),
+paired AS (SELECT component, count(*) AS pairs FROM matched JOIN groups ON node = a GROUP BY component),
+judged AS (SELECT component, nodes, members, pairs, pairs = members * (members - 1) / 2 AS complete FROM sized JOIN paired USING (component)),
+why AS (SELECT component, bool_or(d.parcel = 'agreed') AS by_parcel FROM decided d JOIN groups ON node = d.a WHERE decision = 'matched' GROUP BY component)"""
 
 
 def _records(spark, sf_dir):
-    c = w.places(spark, sf_dir, "customer", "c_custkey")
-    parcel = F.when(F.col("id") % 5 != 0, F.concat(F.lit("p"), F.floor(F.col("id") / 3)))
-    address = F.when(F.col("id") % 7 != 0, F.concat_ws("|", "c_nationkey", "c_mktsegment", F.floor(F.col("id") / 40)))
-    return c.select("id", "latitude", "longitude", parcel.alias("parcel"), address.alias("address"))
+    c = w.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    third = F.floor(F.col("id") / 3)
+    shift = F.when(F.col("id") % 4 == 1, 0.002).otherwise(0.0)
+    latitude = F.lit(30.0) + (third * 7919 % 10000) / F.lit(2000.0) + (F.col("id") % 3) * F.lit(0.0003) + shift
+    street = F.when(F.col("id") % 7 != 0, F.concat_ws(" ", third, F.col("c_nationkey") % 2))
+    unit = F.when(F.col("id") % 11 == 0, "1").when(F.col("id") % 11 == 1, "2")
+    return c.select(
+        "id", latitude.alias("latitude"), (F.lit(-105.0) + (third * 104729 % 10000) / F.lit(2000.0)).alias("longitude"),
+        F.when((F.col("id") % 5).isin(0, 3), F.concat(F.lit("p100"), F.floor(F.col("id") / 2))).alias("parcel"),
+        F.concat(street, F.lit("|"), F.coalesce(unit, F.lit(""))).alias("address_key"), street.alias("bare_key"), unit.alias("unit"),
+    )
 
 
 def _pairs(spark, sf_dir):
-    return i.candidate_pairs(_records(spark, sf_dir), F.array("parcel", "address"))
+    named = lambda p, x: F.concat(F.lit(p), x)
+    cells = F.transform(F.coalesce(geo.cells(F.col("latitude"), F.col("longitude")), F.array().cast("array<string>")), lambda x: named("c:", x))
+    return i.candidate_pairs(_records(spark, sf_dir), F.concat(F.array(named("a:", F.col("address_key"))), cells))
 
 
 def _decided(spark, sf_dir):
-    return i.decide(i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir), metres=200_000.0))
+    return i.decide(i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir))).withColumn("by_person", F.lit(False))
 
 
 @query("candidate_pairs", f"WITH RECURSIVE {_PAIR_SQL} SELECT a, b FROM pairs")
@@ -101,23 +121,34 @@ def candidate_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query("pair_signals", f"WITH RECURSIVE {_PAIR_SQL} SELECT * FROM signals")
+@query("pair_signals", f"""WITH RECURSIVE {_PAIR_SQL} SELECT a, b, parcel, address, place, units_differ,
+  concat_ws(',', CASE WHEN parcel = 'agreed' THEN 'parcel' END, CASE WHEN address = 'agreed' THEN 'address' END, CASE WHEN place = 'agreed' THEN 'place' END) AS agreed,
+  concat_ws(',', CASE WHEN parcel = 'disagreed' THEN 'parcel' END, CASE WHEN address = 'disagreed' THEN 'address' END, CASE WHEN place = 'disagreed' THEN 'place' END) AS conflicted,
+  concat_ws(',', CASE WHEN parcel = 'unknown' AND some_parcel THEN 'parcel on one side' END, CASE WHEN address = 'unknown' AND same_street THEN 'unit on one side' END,
+    CASE WHEN address = 'unknown' AND NOT same_street THEN 'no address' END, CASE WHEN place = 'unknown' THEN 'no coordinates' END) AS unknown FROM signals""")
 def pair_signals(spark, sf_dir):
-    return i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir), metres=200_000.0)
+    told = i.pair_signals(_pairs(spark, sf_dir), _records(spark, sf_dir))
+    return told.select("a", "b", "parcel", "address", "place", "units_differ", *[F.array_join(c, ",").alias(c) for c in ("agreed", "conflicted", "unknown")])
 
 
-@query("pair_decisions", f"WITH RECURSIVE {_PAIR_SQL} SELECT * FROM decided")
+@query("pair_decisions", f"WITH RECURSIVE {_PAIR_SQL} SELECT a, b, decision FROM decided")
 def pair_decisions(spark, sf_dir):
     return _decided(spark, sf_dir).select("a", "b", "decision")
 
 
-@query("pair_overrides", f"""WITH RECURSIVE {_PAIR_SQL}, said AS (SELECT a, b, CASE WHEN (a + b) % 2 = 0 THEN 'matched' ELSE 'distinct' END AS v FROM pairs WHERE a % 4 = 0)
-SELECT d.a, d.b, coalesce(v, decision) AS decision, v IS NOT NULL AND v <> decision AS contradicted FROM decided d LEFT JOIN said USING (a, b)""")
-def pair_overrides(spark, sf_dir):
+def _said(spark, sf_dir):
+    """People's verdicts on some pairs, the later of two counting."""
     pairs = _pairs(spark, sf_dir).where(F.col("a") % 4 == 0)
     late = F.when((F.col("a") + F.col("b")) % 2 == 0, "matched").otherwise("distinct")
-    said = pairs.select("a", "b", late.alias("verdict"), F.lit(2).alias("seq")).unionByName(pairs.select("a", "b", F.lit("distinct").alias("verdict"), F.lit(1).alias("seq")))
-    return i.override(_decided(spark, sf_dir), said)
+    return pairs.select("a", "b", late.alias("verdict"), F.lit(2).alias("seq")).unionByName(pairs.select("a", "b", F.lit("distinct").alias("verdict"), F.lit(1).alias("seq")))
+
+
+_SAID_SQL = "said AS (SELECT a, b, CASE WHEN (a + b) % 2 = 0 THEN 'matched' ELSE 'distinct' END AS v FROM pairs WHERE a % 4 = 0)"
+
+
+@query("pair_overrides", f"WITH RECURSIVE {_PAIR_SQL}, {_SAID_SQL} SELECT d.a, d.b, coalesce(v, decision) AS decision, v IS NOT NULL AND v <> decision AS contradicted, v IS NOT NULL AS by_person FROM decided d LEFT JOIN said USING (a, b)")
+def pair_overrides(spark, sf_dir):
+    return i.override(_decided(spark, sf_dir), _said(spark, sf_dir)).drop("parcel")
 
 
 @query("match_groups", f"WITH RECURSIVE {_PAIR_SQL} SELECT node, component FROM groups")
@@ -125,22 +156,37 @@ def match_groups(spark, sf_dir):
     return i.connected_components(_decided(spark, sf_dir).where("decision = 'matched'"))
 
 
-@query("complete_groups", f"""WITH RECURSIVE {_PAIR_SQL}, n AS (SELECT component, count(*) AS members FROM groups GROUP BY component),
-p AS (SELECT component, count(*) AS pairs FROM matched JOIN groups ON node = a GROUP BY component)
-SELECT component, members, pairs, pairs = members * (members - 1) / 2 AS complete FROM n JOIN p USING (component)""")
+@query("complete_groups", f"WITH RECURSIVE {_PAIR_SQL} SELECT component, members, pairs, complete FROM judged")
 def complete_groups(spark, sf_dir):
     matched = _decided(spark, sf_dir).where("decision = 'matched'").select("a", "b")
     return i.complete_groups(matched, i.connected_components(matched))
 
 
-@query("review_queue", f"""WITH RECURSIVE {_PAIR_SQL} SELECT d.a, d.b FROM decided d LEFT JOIN groups x ON x.node = d.a LEFT JOIN groups y ON y.node = d.b
-WHERE decision = 'ambiguous' AND (x.component IS NULL OR y.component IS NULL OR x.component <> y.component)""")
+@query("merges", f"""WITH RECURSIVE {_PAIR_SQL}
+SELECT component, array_to_string(nodes, ',') AS members, CASE WHEN by_parcel THEN '{i.BY_PARCEL}' ELSE '{i.BY_RULES}' END AS join_signal FROM judged JOIN why USING (component) WHERE complete""")
+def merges(spark, sf_dir):
+    found = i.merge_pass(_decided(spark, sf_dir))[0]
+    return found.select("component", F.array_join("members", ",").alias("members"), "join_signal")
+
+
+@query("resolved_merges", f"""WITH RECURSIVE {_PAIR_SQL.replace("), matched AS", f"), {_SAID_SQL}, settled AS (SELECT d.a, d.b, parcel, coalesce(v, decision) AS decision, v IS NOT NULL AS by_person FROM decided d LEFT JOIN said USING (a, b)), matched AS").replace("FROM decided WHERE", "FROM settled WHERE").replace("why AS (SELECT component, bool_or(d.parcel = 'agreed') AS by_parcel FROM decided d", "why AS (SELECT component, arg_min(by_person, a * 1000000 + b) FILTER (by_person OR d.parcel = 'agreed') AS person FROM settled d")}
+SELECT component, array_to_string(nodes, ',') AS members, CASE WHEN person THEN '{i.BY_PERSON}' WHEN person IS NOT NULL THEN '{i.BY_PARCEL}' ELSE '{i.BY_RULES}' END AS join_signal FROM judged JOIN why USING (component) WHERE complete""")
+def resolved_merges(spark, sf_dir):
+    """The merges of a pass after people's answers: an answered pair decides, whatever the rules say."""
+    found = i.merge_pass(i.override(_decided(spark, sf_dir), _said(spark, sf_dir)))[0]
+    return found.select("component", F.array_join("members", ",").alias("members"), "join_signal")
+
+
+@query("merge_edges", f"""WITH RECURSIVE {_PAIR_SQL}, m AS (SELECT nodes, 'm-' || substr(sha256(array_to_string(nodes, ',')), 1, 16) AS live FROM judged WHERE complete)
+SELECT CAST(unnest(nodes) AS VARCHAR) AS id, live AS superseded_by FROM m""")
+def merge_edges(spark, sf_dir):
+    return i.merge_edges(i.merge_pass(_decided(spark, sf_dir))[0], 1).select("id", "superseded_by")
+
+
+@query("review_queue", f"""WITH RECURSIVE {_PAIR_SQL} SELECT array_to_string(nodes, ',') AS members FROM judged WHERE NOT complete
+UNION ALL SELECT a || ',' || b FROM decided WHERE decision = 'ambiguous' AND a NOT IN (SELECT node FROM groups) AND b NOT IN (SELECT node FROM groups)""")
 def review_queue(spark, sf_dir):
-    decided = _decided(spark, sf_dir)
-    groups = i.connected_components(decided.where("decision = 'matched'"))
-    x, y = groups.select(F.col("node").alias("x"), F.col("component").alias("cx")), groups.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    asked = decided.where("decision = 'ambiguous'").join(x, F.col("a") == F.col("x"), "left").join(y, F.col("b") == F.col("y"), "left")
-    return asked.where(~F.coalesce(F.col("cx") == F.col("cy"), F.lit(False))).select("a", "b")
+    return i.merge_pass(_decided(spark, sf_dir))[1].select(F.array_join("members", ",").alias("members"))
 
 
 @query("fullest_row", """WITH r AS (SELECT c_custkey, c_custkey // 4 AS live, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS a, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer)
@@ -173,9 +219,15 @@ def same_texts(spark, sf_dir):
     return d.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
 
 
-@query("entity_on_write", f"""WITH {w.OBS_SQL}, ids AS (SELECT DISTINCT ON (status, bucket) status, bucket, entity FROM obs WHERE run_seq < 5 ORDER BY status, bucket, event_id DESC)
-SELECT o.event_id, i.entity AS known FROM obs o LEFT JOIN ids i USING (status, bucket) WHERE o.run_seq = 5""")
+@query("entity_on_write", f"""WITH {w.OBS_SQL}, rows AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN status || '-' || bucket END AS source_id, CASE WHEN event_id % 5 <> 0 THEN 'road ' || bucket END AS address, CASE WHEN event_id % 2 = 0 THEN 'u1' END AS unit FROM obs),
+a AS (SELECT source, source_id, entity FROM rows WHERE run_seq < 5 AND source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY event_id DESC) = 1),
+b AS (SELECT source, address, unit, entity FROM rows WHERE run_seq < 5 AND source_id IS NULL QUALIFY row_number() OVER (PARTITION BY source, coalesce(address, ''), coalesce(unit, '') ORDER BY event_id DESC) = 1)
+SELECT o.event_id, x.entity - x.entity % 4 AS entity FROM (SELECT o.event_id, CASE WHEN o.source_id IS NOT NULL THEN a.entity WHEN o.address IS NOT NULL THEN b.entity END AS entity FROM rows o
+  LEFT JOIN a ON a.source = o.source AND a.source_id = o.source_id
+  LEFT JOIN b ON b.source = o.source AND coalesce(b.address, '') = coalesce(o.address, '') AND coalesce(b.unit, '') = coalesce(o.unit, '') WHERE o.run_seq = 5) x JOIN obs o USING (event_id)""")
 def entity_on_write(spark, sf_dir):
     obs = w.observations(spark, sf_dir)
-    known = h.latest_per_key(obs.where("run_seq < 5").select("status", "bucket", "event_id", "entity"), ["status", "bucket"], ["event_id"])
-    return obs.where("run_seq = 5").select("event_id", "status", "bucket").join(known.select("status", "bucket", F.col("entity").alias("known")), ["status", "bucket"], "left").select("event_id", "known")
+    source_id = F.when(F.col("event_id") % 3 != 0, F.concat_ws("-", "status", "bucket"))
+    rows = obs.select("entity", "run_seq", "event_id", "source", source_id.alias("source_id"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("road "), F.col("bucket"))).alias("address"), F.when(F.col("event_id") % 2 == 0, "u1").alias("unit"), F.lit(None).cast("string").alias("postal"))
+    live = obs.select(F.col("entity").alias("id"), (F.col("entity") - F.col("entity") % 4).alias("live")).distinct()
+    return i.resolve_on_write(rows.where("run_seq = 5").drop("entity"), rows.where("run_seq < 5").withColumn("at", F.col("event_id")), live).select("event_id", "entity")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import schema
 from tidemark.operators import history as h
 from tidemark.plans import worlds as w
 from tidemark.sources import tables
@@ -24,33 +23,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _compare(spark, sf_dir, target, baseline):
-    return h.compare(w.snapshots(spark, sf_dir), w.healthy(spark, sf_dir), target, baseline, FIELDS)
+def _compare(spark, sf_dir, target, baseline, reset=False):
+    return h.compare(w.observations(spark, sf_dir), w.healthy(spark, sf_dir), target, baseline, FIELDS, order=("ts", "event_id"), reset=reset)
 
 
 def _compare_sql(target: int, baseline: int) -> str:
-    return f"""{w.OBS_SQL}, now AS (SELECT * FROM snap WHERE run_seq = {target}),
-was AS (SELECT * FROM snap WHERE run_seq <= {baseline} QUALIFY row_number() OVER (PARTITION BY entity ORDER BY run_seq DESC, event_id DESC) = 1),
+    return f"""{w.OBS_SQL}, src AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY entity, run_seq, source ORDER BY ts, event_id) = 1),
+now AS (SELECT DISTINCT entity FROM obs WHERE run_seq = {target}),
+was AS (SELECT entity, max(run_seq) AS run_seq FROM obs WHERE run_seq <= {baseline} GROUP BY entity),
+both_saw AS (SELECT was.entity, min(x.source) AS source FROM was JOIN src x USING (entity, run_seq) JOIN src y ON y.entity = was.entity AND y.run_seq = {target} AND y.source = x.source GROUP BY was.entity),
 last AS (SELECT max(run_seq) AS r FROM health WHERE healthy AND run_seq <= {baseline}),
 laddered AS (
-  SELECT coalesce(now.entity, was.entity) AS entity, was.price AS was_price, now.price AS now_price,
-    was.status AS was_status, now.status AS now_status, was.bucket AS was_bucket, now.bucket AS now_bucket,
-    now.entity IS NOT NULL AND was.entity IS NOT NULL AS in_both,
+  SELECT coalesce(now.entity, was.entity) AS entity, x.price AS was_price, y.price AS now_price, x.status AS was_status, y.status AS now_status, x.bucket AS was_bucket, y.bucket AS now_bucket,
     CASE
       WHEN was.entity IS NULL THEN 'new'
       WHEN now.entity IS NOT NULL AND coalesce(was.run_seq < last.r, false) THEN 'returned'
-      WHEN now.entity IS NOT NULL AND now.source <> was.source THEN 'unverified'
-      WHEN now.entity IS NOT NULL AND (now.status IS DISTINCT FROM was.status OR now.bucket IS DISTINCT FROM was.bucket) THEN 'changed'
+      WHEN now.entity IS NOT NULL AND m.source IS NULL THEN 'unverified'
+      WHEN now.entity IS NOT NULL AND (y.status IS DISTINCT FROM x.status OR y.bucket IS DISTINCT FROM x.bucket) THEN 'changed'
       WHEN now.entity IS NOT NULL THEN 'unchanged'
       WHEN (SELECT coalesce(bool_and(healthy), false) FROM health WHERE run_seq = {target}) AND NOT coalesce(was.run_seq < last.r, false) THEN 'gone'
     END AS kind
-  FROM now FULL JOIN was ON now.entity = was.entity CROSS JOIN last
+  FROM now FULL JOIN was ON now.entity = was.entity CROSS JOIN last LEFT JOIN both_saw m ON m.entity = was.entity
+  LEFT JOIN src x ON x.entity = was.entity AND x.run_seq = was.run_seq AND x.source = m.source LEFT JOIN src y ON y.entity = now.entity AND y.run_seq = {target} AND y.source = m.source
 ), events_out AS (
   SELECT entity, kind, CASE WHEN kind = 'changed' THEN concat_ws(';',
       CASE WHEN was_status IS DISTINCT FROM now_status THEN 'status:' || was_status || '>' || now_status END,
       CASE WHEN was_bucket IS DISTINCT FROM now_bucket THEN 'bucket:' || was_bucket || '>' || now_bucket END) ELSE '' END AS changes,
-    CASE WHEN in_both THEN round(now_price - was_price, 4) END AS price_amount,
-    CASE WHEN in_both AND now_price < was_price THEN 'down' WHEN in_both AND now_price > was_price THEN 'up' END AS price_direction
+    CASE WHEN kind = 'changed' AND now_price <> was_price THEN round(abs(now_price - was_price), 4) END AS price_amount,
+    CASE WHEN kind = 'changed' AND now_price < was_price THEN 'down' WHEN kind = 'changed' AND now_price > was_price THEN 'up' END AS price_direction
   FROM laddered WHERE kind IS NOT NULL
 )"""
 
@@ -70,19 +70,80 @@ def history_compare_after_failure(spark, sf_dir):
     return _flat(_compare(spark, sf_dir, *LATER))
 
 
-_KINDS_SQL = ", ".join(f"('{k}')" for k in schema.KINDS)
+@query("history_compare_first", f"WITH {w.OBS_SQL} SELECT DISTINCT entity, 'new' AS kind, '' AS changes, CAST(NULL AS DOUBLE) AS price_amount, CAST(NULL AS VARCHAR) AS price_direction FROM obs WHERE run_seq = 0")
+def history_compare_first(spark, sf_dir):
+    """A first run: everything is new."""
+    return _flat(_compare(spark, sf_dir, 0, None))
 
 
-@query("digest_kind_counts", f"WITH {_compare_sql(TARGET, BASELINE)}, kinds(kind) AS (VALUES {_KINDS_SQL}) SELECT k.kind, count(e.entity) AS n FROM kinds k LEFT JOIN events_out e ON e.kind = k.kind GROUP BY k.kind")
+@query("comparison_heads", f"""WITH {w.OBS_SQL}, r AS (
+  SELECT a.search, a.run_seq, (SELECT max(b.run_seq) FROM runs b WHERE b.search = a.search AND b.revision IS NOT DISTINCT FROM a.revision AND b.status = 'completed' AND b.run_seq < a.run_seq) AS baseline_seq,
+    EXISTS (SELECT 1 FROM runs b WHERE b.search = a.search AND b.status = 'completed' AND b.run_seq < a.run_seq) AS earlier FROM runs a WHERE a.status = 'completed'),
+n AS (SELECT run_seq, count(DISTINCT entity) AS observed_count FROM obs GROUP BY run_seq)
+SELECT search, run_seq, baseline_seq, baseline_seq IS NULL AND earlier AS reset, run_seq % 3 = 0 AS identity_frozen, observed_count FROM r JOIN n USING (run_seq)""")
+def comparison_heads(spark, sf_dir):
+    """What every completed run is compared with: its baseline, or that the search was reset, and whether its identity is frozen."""
+    runs = w.runs(spark, sf_dir)
+    seen = w.observations(spark, sf_dir).groupBy("run_seq").agg(F.count_distinct("entity").alias("observed_count"))
+    heads = h.previous_runs(runs).join(runs.where(F.col("status") == "completed").select("run_seq"), "run_seq", "left_semi").join(seen, "run_seq")
+    return heads.select("search", "run_seq", F.col("previous_seq").alias("baseline_seq"), "reset", (F.col("run_seq") % 3 == 0).alias("identity_frozen"), "observed_count")
+
+
+@query("identity_of_runs", f"""WITH {w.OBS_SQL}, ids AS (SELECT DISTINCT entity AS id FROM obs)
+SELECT 6 AS run_seq, id, id - id % 2 AS live FROM ids UNION ALL SELECT 7, id, id - id % 4 FROM ids""")
+def identity_of_runs(spark, sf_dir):
+    """Run 6 froze its identity in pairs; run 7 has none of its own and takes the present one, in fours."""
+    ids = w.observations(spark, sf_dir).select(F.col("entity").alias("id")).distinct()
+    frozen = ids.select(F.lit(6).alias("run_seq"), "id", (F.col("id") - F.col("id") % 2).alias("live"))
+    live = ids.select("id", (F.col("id") - F.col("id") % 4).alias("live"))
+    one = lambda run: h.identity_of_run(frozen, live, run).select(F.lit(run).alias("run_seq"), "id", "live")
+    return one(6).unionByName(one(7))
+
+
+@query("seen_by_search", f"WITH {w.OBS_SQL} SELECT DISTINCT s.entity - s.entity % 4 AS entity FROM snap s JOIN runs r USING (run_seq) WHERE r.search = 'even' AND r.status = 'completed' AND run_seq < 9")
+def seen_by_search(spark, sf_dir):
+    snaps = w.snapshots(spark, sf_dir).where("run_seq < 9")
+    live = snaps.select(F.col("entity").alias("id"), (F.col("entity") - F.col("entity") % 4).alias("live")).distinct()
+    return h.seen_by_search(snaps, w.runs(spark, sf_dir), live, "even")
+
+
+@query("observed_as", f"WITH {w.OBS_SQL} SELECT entity, entity - entity % 4 AS live, run_seq, search, revision, event_id FROM snap JOIN runs USING (run_seq) WHERE runs.status = 'completed'")
+def observed_as(spark, sf_dir):
+    snaps = w.snapshots(spark, sf_dir)
+    live = snaps.select(F.col("entity").alias("id"), (F.col("entity") - F.col("entity") % 4).alias("live")).distinct()
+    return h.observed_as(snaps, w.runs(spark, sf_dir), live).select("entity", "live", "run_seq", "search", "revision", "event_id")
+
+
+_COUNTS_SQL = f"WITH {_compare_sql(TARGET, BASELINE)}, n AS (SELECT kind, count(*) AS n FROM events_out GROUP BY kind UNION ALL SELECT * FROM (VALUES ('new', 0), ('changed', 0), ('unchanged', 0), ('gone', 0), ('returned', 0)) t(kind, n)), counted AS (SELECT kind, sum(n)::BIGINT AS n FROM n GROUP BY kind)"
+
+
+@query("digest_kind_counts", f"{_COUNTS_SQL} SELECT * FROM counted")
 def digest_kind_counts(spark, sf_dir):
-    return h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE), schema.KINDS)
+    return h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE))
+
+
+@query("digest_counts", f"""{_COUNTS_SQL}, pick AS (SELECT kind, n FROM counted)
+SELECT (SELECT sum(n) FROM pick WHERE kind <> 'gone')::BIGINT AS matched, (SELECT n FROM pick WHERE kind = 'new') AS "new", (SELECT n FROM pick WHERE kind = 'changed') AS changed, (SELECT n FROM pick WHERE kind = 'gone') AS gone,
+  (SELECT n FROM pick WHERE kind = 'returned') AS returned, coalesce((SELECT n FROM pick WHERE kind = 'unverified'), 0)::BIGINT AS unverified""")
+def digest_counts(spark, sf_dir):
+    from tidemark.operators.results import digest_counts as counts
+
+    return counts(h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE)))
+
+
+@query("digest_json", f"""{_COUNTS_SQL} SELECT to_json(struct_pack(target := {TARGET}, counts := (SELECT list(struct_pack(kind := kind, n := n) ORDER BY kind) FROM counted)))::VARCHAR AS digest""")
+def digest_json(spark, sf_dir):
+    """The digest as one JSON document, which is written whole or not at all."""
+    from tidemark.operators.results import as_document
+
+    return as_document(h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE)), "kind", target=TARGET)
 
 
 @query("digest_moved", f"WITH {_compare_sql(TARGET, BASELINE)} SELECT count(*) FILTER (kind <> 'unchanged') AS moved, count(*) FILTER (kind <> 'unchanged') > 0 AS send FROM events_out")
 def digest_moved(spark, sf_dir):
     from tidemark.operators.results import moved
 
-    return moved(h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE), schema.KINDS))
+    return moved(h.kind_counts(_compare(spark, sf_dir, TARGET, BASELINE)))
 
 
 @query("latest_asof", f"WITH {w.OBS_SQL} SELECT entity, run_seq, event_id, status, round(price, 4) AS price FROM snap WHERE run_seq <= 10 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY run_seq DESC, event_id DESC) = 1")
@@ -102,12 +163,19 @@ def run_health(spark, sf_dir):
     return w.healthy(spark, sf_dir)
 
 
-@query("movements", f"""WITH {w.OBS_SQL}, lagged AS (
-  SELECT *, lag(price) OVER o AS p, lag(status) OVER o AS s, lag(run_seq) OVER o AS q FROM snap WINDOW o AS (PARTITION BY entity ORDER BY run_seq))
-SELECT entity, run_seq, 'price_change' AS kind FROM lagged WHERE p <> price
-UNION ALL SELECT entity, run_seq, 'status_change' FROM lagged WHERE q IS NOT NULL AND s IS DISTINCT FROM status""")
+@query("movements", f"""WITH {w.OBS_SQL}, steps AS (
+  SELECT a.run_seq, max(b.run_seq) AS previous_seq FROM runs a JOIN runs b ON a.search = b.search AND a.revision IS NOT DISTINCT FROM b.revision AND b.status = 'completed' AND b.run_seq < a.run_seq WHERE a.status = 'completed' GROUP BY a.run_seq),
+src AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY entity, run_seq, source ORDER BY ts, event_id) = 1),
+pairs AS (
+  SELECT y.entity, y.run_seq, CASE WHEN x.source = y.source THEN x.price ELSE z.price END AS was_price, CASE WHEN x.source = y.source THEN x.status ELSE z.status END AS was_status, y.price, y.status
+  FROM snap y JOIN steps USING (run_seq) JOIN snap x ON x.entity = y.entity AND x.run_seq = previous_seq LEFT JOIN src z ON z.entity = y.entity AND z.run_seq = previous_seq AND z.source = y.source
+  WHERE x.source = y.source OR z.source IS NOT NULL)
+SELECT entity, run_seq, 'price_change' AS kind FROM pairs WHERE was_price IS DISTINCT FROM price
+UNION ALL SELECT entity, run_seq, 'status_change' FROM pairs WHERE was_status IS DISTINCT FROM status""")
 def movements(spark, sf_dir):
-    return h.movements(w.snapshots(spark, sf_dir)).select("entity", "run_seq", "kind")
+    runs = w.runs(spark, sf_dir)
+    steps = h.previous_runs(runs).join(runs.where("status = 'completed'").select("run_seq"), "run_seq", "left_semi")
+    return h.movements(w.snapshots(spark, sf_dir), w.observations(spark, sf_dir), steps, order=("ts", "event_id")).select("entity", "run_seq", "kind")
 
 
 @query("price_story", f"""WITH {w.OBS_SQL}, lagged AS (SELECT *, lag(price) OVER (PARTITION BY entity ORDER BY run_seq) AS p FROM snap)
@@ -119,8 +187,9 @@ def price_story(spark, sf_dir):
     return out.select("entity", F.round("first_price", 4).alias("first_price"), F.round("last_price", 4).alias("last_price"), "price_cut", "raise_days")
 
 
-@query("previous_run", f"""WITH {w.OBS_SQL} SELECT a.search, a.run_seq, max(b.run_seq) AS previous_seq FROM runs a LEFT JOIN runs b
-ON a.search = b.search AND a.revision IS NOT DISTINCT FROM b.revision AND b.status = 'completed' AND b.run_seq < a.run_seq GROUP BY ALL""")
+@query("previous_run", f"""WITH {w.OBS_SQL}, p AS (SELECT a.search, a.run_seq, max(b.run_seq) AS previous_seq FROM runs a LEFT JOIN runs b
+ON a.search = b.search AND a.revision IS NOT DISTINCT FROM b.revision AND b.status = 'completed' AND b.run_seq < a.run_seq GROUP BY ALL)
+SELECT p.*, previous_seq IS NULL AND EXISTS (SELECT 1 FROM runs b WHERE b.search = p.search AND b.status = 'completed' AND b.run_seq < p.run_seq) AS reset FROM p""")
 def previous_run(spark, sf_dir):
     return h.previous_runs(w.runs(spark, sf_dir))
 
@@ -179,11 +248,12 @@ def worst_outcome(spark, sf_dir):
     return tables.worst_outcome(w.run_sources(spark, sf_dir), "run_seq")
 
 
-@query("high_water_marks", f"WITH {w.OBS_SQL} SELECT (SELECT max(event_id) FROM snap) AS snapshot_id, (SELECT max(run_seq) FROM runs) AS run_seq, (SELECT max(finished_at) FROM runs) AS finished_at")
+@query("high_water_marks", f"WITH {w.OBS_SQL} SELECT (SELECT max(event_id) FROM snap) AS snapshot_id, (SELECT max(run_seq) FROM runs) AS run_seq, (SELECT max(finished_at) FROM runs) AS finished_at, (SELECT max(event_id) FROM obs) AS event_id")
 def high_water_marks(spark, sf_dir):
     a = w.snapshots(spark, sf_dir).agg(F.max("event_id").alias("snapshot_id"))
     b = w.runs(spark, sf_dir).agg(F.max("run_seq").alias("run_seq"), F.max("finished_at").alias("finished_at"))
-    return a.crossJoin(b)  # one row each
+    c = w.observations(spark, sf_dir).agg(F.max("event_id").alias("event_id"))
+    return a.crossJoin(b).crossJoin(c)  # one row each
 
 
 @query("entities_of_runs", f"WITH {w.OBS_SQL} SELECT count(DISTINCT entity) AS entities FROM snap WHERE run_seq BETWEEN 3 AND 6")
@@ -202,6 +272,15 @@ def new_in_run(spark, sf_dir):
     return w.snapshots(spark, sf_dir).groupBy("entity").agg(F.min("run_seq").alias("created_in"), (F.min("run_seq") == 1).alias("is_new"))
 
 
+@query("current_candidates", f"""WITH {w.OBS_SQL}, merged AS (SELECT DISTINCT entity AS constituent, 100000 + entity // 10 AS live FROM snap),
+latest AS (SELECT entity, run_seq, event_id FROM snap QUALIFY row_number() OVER (PARTITION BY entity ORDER BY run_seq DESC, event_id DESC) = 1)
+SELECT * FROM latest UNION ALL SELECT live, run_seq, event_id FROM (SELECT m.live, l.run_seq, l.event_id FROM merged m JOIN latest l ON l.entity = m.constituent QUALIFY row_number() OVER (PARTITION BY m.live ORDER BY l.run_seq DESC, l.event_id DESC) = 1)""")
+def current_candidates(spark, sf_dir):
+    snaps = w.snapshots(spark, sf_dir)
+    merged = snaps.select(F.col("entity").alias("constituent"), (F.floor(F.col("entity") / 10) + 100000).alias("live")).distinct()
+    return h.current_candidates(snaps, merged).select("entity", "run_seq", "event_id")
+
+
 @query("stand_ins", f"""WITH {w.OBS_SQL}, merged AS (SELECT DISTINCT entity AS constituent, 100000 + entity // 10 AS live FROM snap)
 SELECT m.live, s.run_seq, s.event_id, s.status FROM merged m JOIN snap s ON s.entity = m.constituent QUALIFY row_number() OVER (PARTITION BY m.live ORDER BY run_seq DESC, event_id DESC) = 1""")
 def stand_ins(spark, sf_dir):
