@@ -443,3 +443,106 @@ def test_circles_cover():
 
 def test_date_ranges():
     assert planning.split_dates(1, 10, 3) == [(1, 3), (4, 6), (7, 10)] and planning.split_dates(5, 5, 4) == [(5, 5)]
+
+
+# addresses, shapes and sources
+
+
+@pytest.mark.parametrize(
+    ("line", "number", "street", "unit"),
+    [
+        ("12 Sable Ave", "12", "sable", None), ("12 N. Sable St #B", "12", "sable", "b"), ("7 Halstead Parkway Dr", "7", "halstead", None), ("7 Halstead Pkwy", "7", "halstead", None),
+        ("99 NM Highway 236", "99", "nm 236", None), ("99 NM 236", "99", "nm 236", None), ("5 Ave N", "5", "ave n", None), ("5 Highway 445 N", "5", "hwy 445", None),
+        ("5 Hwy 445 Hwy", "5", "hwy 445", None), ("0 Sable Ave", None, "sable", None), ("Block 2 Lot 3", None, None, None), ("103 Vail Loop #Lot 21", "103", "vail", "lot 21"), ("1828b Redwine", "1828b", "redwine", None),
+    ],
+)
+def test_addresses_are_parsed(spark, line, number, street, unit):
+    from tidemark.functions.address import parsed
+
+    got = one(spark, parsed(F.col("x"), F.lit(None).cast("string"), F.lit("88001-1")), x=line)
+    assert (got["number"], got["street"], got["unit"], got["postal"]) == (number, street, unit, "88001")
+
+
+def test_pairs_across_the_date_line_and_the_poles(spark):
+    points = spark.createDataFrame([(1, 10.0, 179.99), (2, 89.95, 0.0), (3, -89.99, 90.0), (4, 60.0, -179.8), (5, 0.0, 0.0)], "id long, latitude double, longitude double")
+    sites = spark.createDataFrame([(1, 10.0, -179.99), (2, 89.95, 170.0), (3, -89.99, -90.0), (4, 60.0, 179.9), (5, 0.2, 0.2)], "site long, latitude double, longitude double")
+    for miles in (25.0, 300.0):
+        got = {(r["id"], r["site"]) for r in spatial.within(points, sites, miles).collect()}
+        assert {(i, i) for i in range(1, 6)} <= got
+    assert {(r["id"], r["site"]) for r in spatial.within(points, sites, 25.0).collect()} == {(i, i) for i in range(1, 6)}
+
+
+def test_distance_join_against_every_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    spot = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    ps, ss = [spot() for _ in range(150)], [spot() for _ in range(150)]
+    ps += [(89.9 - k / 50, k * 11.0 - 180) for k in range(20)]
+    ss += [(89.9 - k / 40, k * 17.0 - 180) for k in range(20)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(ps)], "id long, latitude double, longitude double")
+    sites = spark.createDataFrame([(i, *p) for i, p in enumerate(ss)], "site long, latitude double, longitude double")
+
+    def apart(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * geo.MILES_ROUND * math.asin(min(1, math.sqrt(h)))
+
+    for miles in (60.0, 700.0, 5000.0):
+        want = {(i, j) for i, a in enumerate(ps) for j, b in enumerate(ss) if apart(a, b) <= miles}
+        assert {(r["id"], r["site"]) for r in spatial.within(points, sites, miles).collect()} == want
+
+
+def test_geojson_of_every_form(spark):
+    ring = "[[0,0],[4,0],[4,4],[0,4],[0,0]]"
+    forms = ['{"type":"Polygon","coordinates":[%s]}', '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[%s]}}', '{"type":"FeatureCollection","features":[{"geometry":{"type":"Polygon","coordinates":[%s]}}]}']
+    assert all(len(one(spark, geo.rings_of_geojson(F.col("g")), g=f % ring)) == 1 for f in forms)
+    two = '{"type":"FeatureCollection","features":[{"geometry":{"type":"Polygon","coordinates":[%s]}},{"geometry":null}]}' % ring
+    assert one(spark, geo.rings_of_geojson(F.col("g")), g=two) is None and one(spark, geo.rings_of_geojson(F.col("g")), g='{"type":"Point","coordinates":[1,2]}') is None
+
+
+def test_a_source_with_pushed_filters_and_a_page_that_fails(spark, tmp_path):
+    from tidemark.sources import connector
+
+    log = str(tmp_path / "asked")
+
+    def fetch(page, filters):
+        with open(f"{log}-{page}", "w") as f:
+            f.write(repr(filters))
+        if page == "bad":
+            yield 9, 9.0
+            raise ValueError("no such page")
+        if page == "shut":
+            raise connector.Unavailable("try later")
+        low = max([value for sign, column, value in filters if column == "price" and sign == ">"], default=0)
+        yield from ((i, float(i)) for i in range(10) if i > low)
+
+    connector.register(spark, "shop", "id long, price double", ["good", "bad", "shut"], fetch, pushes=("price",))
+    scan = spark.read.format("shop").load()
+    assert sorted((r["page"], r["outcome"], r["rows"]) for r in connector.outcomes(scan).collect()) == [("bad", "failed", 1), ("good", "ok", 9), ("shut", "unavailable", 0)]
+    assert sorted(r["id"] for r in scan.where("price > 6 and _outcome = 'ok'").collect()) == [7, 8, 9, 9]
+    assert "('>', 'price', 6.0)" in open(f"{log}-good").read()
+
+
+def test_zipped_csv(spark, tmp_path):
+    import zipfile
+
+    from tidemark.sources import feeds
+
+    for n in (1, 2):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            z.writestr("a.csv", "block,down\n" + "".join(f"{n}{i},{i}\n" for i in range(5)) + '"x, y",7\n')
+    got = feeds.zipped_csv(spark, str(tmp_path / "*.zip"), "block string, down int", F.col("down") > 2).collect()
+    assert sorted((r["block"], r["down"]) for r in got) == sorted([(f"{n}{i}", i) for n in (1, 2) for i in (3, 4)] + [("x, y", 7)] * 2)
+
+
+def test_outer_edges_belong_to_a_box(spark):
+    rows = spark.createDataFrame([(0.0, 0.0), (4.0, 4.0), (4.0, 1.0), (2.0, 2.0)], "latitude double, longitude double")
+    assert sum(n for _, n, _ in planning.split_by_ceiling(rows, (0.0, 0.0, 4.0, 4.0), 1)) == 4
+
+
+def test_windows_are_bounded(spark):
+    rows = spark.sql("select date '2024-03-01' as day, true as e union all select date '2024-02-17', false union all select date '2024-02-10', false")
+    assert values.date_window(rows, "day", "e").count() == 2 and values.date_window(rows, "day", "e", "2024-02-01", "2024-02-20").count() == 2
+    for start, end in (("2023-01-01", "2024-03-01"), ("2024-03-02", "2024-03-01")):
+        with pytest.raises(ValueError):
+            values.date_window(rows, "day", "e", start, end)

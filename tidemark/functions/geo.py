@@ -68,10 +68,6 @@ def ring(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in closed])
 
 
-def box_ring(west: float, south: float, east: float, north: float) -> list[tuple[float, float]]:
-    return [(west, south), (east, south), (east, north), (west, north), (west, south)]
-
-
 def bounds(points: Column) -> Column:
     """The extent of a ring and the middle of it."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -92,6 +88,45 @@ def in_ring(x: Column, y: Column, points: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), inside)
 
 
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd test against all rings of a shape at once: its parts, and their holes."""
+    odd = F.aggregate(rings, F.lit(False), lambda acc, r: acc != F.coalesce(in_ring(x, y, r), F.lit(False)))
+    return F.when(x.isNotNull() & y.isNotNull(), odd)
+
+
+def rings_of_geojson(text: Column) -> Column:
+    """All rings of a GeoJSON Polygon or MultiPolygon, plain, as a Feature, or as the only feature of a collection; else null."""
+    kind = F.get_json_object(text, "$.type")
+    alone = F.get_json_object(text, "$.features[1]").isNull()
+    geometry = F.when(kind == "Feature", F.get_json_object(text, "$.geometry")).when((kind == "FeatureCollection") & alone, F.get_json_object(text, "$.features[0].geometry")).otherwise(text)
+    what, given = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    numbers = F.when(what == "Polygon", F.from_json(given, "array<array<array<double>>>")).when(what == "MultiPolygon", F.flatten(F.from_json(given, "array<array<array<array<double>>>>")))
+    return F.transform(numbers, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+
+
+#: What a covering circle is widened by, and its least radius in miles.
+CIRCLE_MARGIN, CIRCLE_FLOOR = 0.02, 0.5
+
+
+def covering_circle(points: Column) -> Column:
+    """latitude, longitude and miles of a circle around a closed ring: from its centroid past its farthest vertex."""
+    first = F.get(points, F.lit(0))
+    moved = F.transform(points, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    s = F.aggregate(_edges(moved), zero, lambda acc, e: F.struct((acc["w"] + cross(e)).alias("w"), (acc["x"] + (e["a"]["x"] + e["b"]["x"]) * cross(e)).alias("x"), (acc["y"] + (e["a"]["y"] + e["b"]["y"]) * cross(e)).alias("y")))
+    lon, lat = F.try_divide(s["x"], 3 * s["w"]) + first["x"], F.try_divide(s["y"], 3 * s["w"]) + first["y"]
+    far = F.array_max(F.transform(points, lambda p: haversine(lat, lon, p["y"], p["x"], MILES)))
+    return F.struct(lat.alias("latitude"), lon.alias("longitude"), F.greatest(far * (1 + CIRCLE_MARGIN), F.lit(CIRCLE_FLOOR)).alias("miles"))
+
+
+def in_radius(lat: Column, lon: Column, centre_lat: Column, centre_lon: Column, miles: Column, named: Column) -> Column:
+    """inside, outside or unknown of a circle.  Where a named centre has no point its source was asked for it: inside; an address without one is unknown."""
+    apart = haversine(lat, lon, centre_lat, centre_lon, MILES)
+    unresolved = centre_lat.isNull() | centre_lon.isNull()
+    return F.when(unresolved, F.when(named, "inside").otherwise("unknown")).when(lat.isNull() | lon.isNull(), "unknown").when(apart <= miles, "inside").otherwise("outside")
+
+
 def miles_to_line(lat: Column, lon: Column, points: Column) -> Column:
     """Distance to a line's nearest segment on a flat map around the point."""
     per_degree = math.radians(1) * MILES

@@ -12,7 +12,7 @@ CELL_MARK = " [cut]"
 #: Names of the sixteen winds from north, clockwise.
 WINDS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 #: Words that only decorate a unit's number, and endings of county names.
-UNIT_WORDS = ("apt", "apartment", "unit", "suite", "ste", "no", "number", "lot", "spc", "space")
+UNIT_WORDS = ("unit", "apt", "apartment", "suite", "ste", "no", "number")
 COUNTY_ENDINGS = ("county", "parish", "borough", "census area", "municipality")
 
 
@@ -118,3 +118,70 @@ def natural_key(x: Column) -> Column:
     """A key under which numbers in text sort by value: digit runs padded to twelve."""
     parts = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+
+def place_match(kind: str, wanted: str, city: Column, county: Column, state: Column, postal: Column) -> Column:
+    """inside, outside or unknown of a named place: a postal code by its first five, a state, or `City, ST` and `County, ST`.
+
+    Names match whatever their case and without the word County; states contradict only where both are known.
+    """
+    place, _, wanted_state = (x.strip() for x in wanted.partition(","))
+    answer = lambda missing, same: F.when(missing, "unknown").when(same, "inside").otherwise("outside")
+    if kind == "zip":
+        code = F.substring(F.trim(F.coalesce(postal, F.lit(""))), 1, 5)
+        return answer(code == "", code == place[:5])
+    if kind == "state":
+        return answer(state.isNull(), F.upper(F.trim(state)) == place.upper())
+    if kind not in ("city", "county"):
+        raise ValueError(f"unknown kind of place: {kind}")
+    bare = lambda x: F.regexp_replace(F.trim(x), r"(?i)\s+county$", "")
+    name = F.lower(bare(county) if kind == "county" else F.trim(city))
+    target = place.lower().removesuffix(" county") if kind == "county" else place.lower()
+    contradicted = F.coalesce(F.upper(F.trim(state)) != wanted_state.upper(), F.lit(False)) if wanted_state else F.lit(False)
+    return answer(F.coalesce(name, F.lit("")) == "", (name == target) & ~contradicted)
+
+
+def _joined(*parts: Column, by: str = ", ") -> Column:
+    return F.nullif(F.concat_ws(by, *[F.nullif(p, F.lit("")) for p in parts]), F.lit(""))
+
+
+def heat_and_cooling(heating: Column, cooling: Column) -> Column:
+    said = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    return _joined(said("heat: ", heating), said("cool: ", cooling))
+
+
+def internet(down: Column, up: Column, provider: Column) -> Column:
+    """Speeds as filed and the provider; a speed of zero or none is a question mark."""
+    speed = lambda c: F.coalesce(F.nullif(c, F.lit(0)).cast("string"), F.lit("?"))
+    some = down.isNotNull() | up.isNotNull() | (F.coalesce(provider, F.lit("")) != "")
+    return F.when(some, _joined(F.concat(speed(down), F.lit("/"), speed(up), F.lit(" Mbps advertised")), provider))
+
+
+def aquifer(over: Column) -> Column:
+    return F.when(over, "over a principal aquifer").when(~over, "not over a principal aquifer")
+
+
+def flood_area(asked: Column, hazard: Column) -> Column:
+    """An answer that is there but empty is `not decided by FEMA`, one that was never asked for is null."""
+    return F.when(asked, F.when(hazard.isNull(), "not decided by FEMA").when(hazard, "yes").otherwise("no"))
+
+
+def water_table(asked: Column, flooding: Column, depth: Column) -> Column:
+    told = F.when(flooding.eqNullSafe(F.lit("not surveyed")), "not surveyed").when(depth.isNull(), "none recorded").otherwise(F.concat(depth, F.lit(" cm")))
+    return F.when(asked, told)
+
+
+def dam_sentence(name: Column, dam: Column, built: Column, condition: Column, assessed: Column, plan: Column, miles: Column) -> Column:
+    called = F.when(F.coalesce(dam, F.lit("")) != "", F.concat(name, F.lit(" ("), dam, F.lit(")"))).otherwise(name)
+    rated = F.concat(F.lit("condition "), F.coalesce(F.nullif(condition, F.lit("")), F.lit("not rated")), F.coalesce(F.concat(F.lit(" ("), F.nullif(assessed, F.lit("")), F.lit(")")), F.lit("")))
+    return _joined(called, F.concat(F.lit("built "), built), rated, plan, F.concat(F.format_number(miles, 1), F.lit(" mi")))
+
+
+def channel_sentence(name: Column, kind: Column) -> Column:
+    unnamed = F.when(kind == "ephemeral", "an unnamed wash (ephemeral)").when(kind == "river", "an unnamed river channel").when(kind == "stream", "an unnamed stream").otherwise(F.concat(F.lit("an unnamed stream ("), kind, F.lit(")")))
+    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(name, F.lit(" ("), kind, F.lit(")"))).otherwise(unnamed)
+
+
+def wind_sentence(compass: Column, percent: Column) -> Column:
+    often = F.when(F.coalesce(percent, F.lit(0)) != 0, F.concat(F.lit(", about "), F.bround(percent).cast("int"), F.lit("% of the time"))).otherwise("")
+    return F.when(compass.isNotNull(), F.concat(F.lit("most often from the "), compass, often)).otherwise("no prevailing direction was recorded")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,3 +106,58 @@ def url_list(urls: Column) -> Column:
     """Distinct http addresses in order; null if none is left."""
     kept = F.array_distinct(F.filter(urls, lambda u: u.rlike("^https?://")))
     return F.when(F.size(kept) > 0, kept)
+
+
+def sorted_json(values: Column) -> Column:
+    """A map of texts as JSON with its keys in order, so that equal payloads are equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def claimed_days(listed: Column, today: Column) -> Column:
+    """Days since a source's own date, as text; what isn't a date is null, what is to come is zero."""
+    return F.when(F.regexp_extract(listed, r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date").isNotNull(), F.greatest(F.lit(0), F.datediff(today, F.regexp_extract(listed, r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date"))))
+
+
+#: Zones that nobody studied, and marks of the shaded zone X.
+UNDETERMINED_ZONES = ("D", "AREA NOT INCLUDED")
+SHADED_X = ("0.2 P", "1 PCT", "1 PERCENT", "NON-ACCREDITED LEVEE")
+
+
+def hazard_area(zone: Column, flag: Column) -> Column:
+    """Whether a flood zone is a hazard area: unknown where nobody looked, by its letter where the flag is missing."""
+    z, f = F.upper(F.trim(F.coalesce(zone, F.lit("")))), F.upper(F.trim(F.coalesce(flag, F.lit(""))))
+    told = F.when(f == "T", True).when(f == "F", False).when(f != "", F.raise_error(F.concat(F.lit("neither T nor F: "), f)).cast("boolean"))
+    return F.when(~z.isin(*UNDETERMINED_ZONES), F.coalesce(told, z.rlike("^[AV]")))
+
+
+def zone_severity(zone: Column, subtype: Column, flag: Column) -> Column:
+    """Zero is worst: floodway, other hazard area, unstudied, shaded X, behind a levee, plain X."""
+    z, s = F.upper(F.trim(F.coalesce(zone, F.lit("")))), F.upper(F.coalesce(subtype, F.lit("")))
+    shaded = F.lit(False)
+    for mark in SHADED_X:
+        shaded = shaded | s.contains(mark)
+    return F.when(hazard_area(zone, flag), F.when(s.contains("FLOODWAY"), 0).otherwise(1)).when(z.isin(*UNDETERMINED_ZONES), 2).when(shaded, 3).when(s.contains("LEVEE"), 4).otherwise(5)
+
+
+def fresh_enough(first_seen: Column, now: Column, days: int, named: Column) -> Column:
+    """Whether an entity was first seen less than so many days ago; a named one and one never dated pass."""
+    return named | F.coalesce(floor_days(first_seen, now) < days, F.lit(True))
+
+
+#: The longest window of days, and how many it has where no start is given.
+LONGEST_WINDOW, DEFAULT_WINDOW = 366, 14
+
+
+def date_window(rows, day: str, emergency: str, start: str | None = None, end: str | None = None):
+    """Rows of a window of days, both ends included; by default a fortnight that ends with the latest emergency.
+
+    A window that ends before it starts or is longer than LONGEST_WINDOW days is an error.
+    """
+    latest = rows.agg(F.max(F.when(F.col(emergency), F.col(day)))).first()[0] if end is None else None
+    last = date.fromisoformat(end) if end is not None else latest
+    if last is None:
+        return rows.where(F.lit(False))
+    first = date.fromisoformat(start) if start is not None else last - timedelta(days=DEFAULT_WINDOW - 1)
+    if first > last or (last - first).days + 1 > LONGEST_WINDOW:
+        raise ValueError(f"no window of 1 to {LONGEST_WINDOW} days: {first} to {last}")
+    return rows.where(F.col(day).between(F.lit(first), F.lit(last)))

@@ -19,24 +19,65 @@ from tidemark.operators.identity import connected_components
 _MILES_PER_DEGREE = math.radians(1) * geo.MILES
 
 
-def _around(lat: Column, lon: Column, size: float, reach: int, reach_x: Column) -> Column:
-    """Cells up to `reach` rows and `reach_x` columns away."""
-    gy, gx = F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")
-    rows = F.sequence(gy - reach, gy + reach)
-    columns = F.sequence((gx - reach_x).cast("int"), (gx + reach_x).cast("int"))
-    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("gy"), x.alias("gx")))))
+def _columns(row: Column, size: float) -> Column:
+    """How many cells go round the Earth in a row of cells `size` degrees high: each is wide enough for the reach in the next row too."""
+    poleward = F.least(F.lit(90.0), F.greatest(F.abs(row * size - 90.0), F.abs((row + 1) * size - 90.0)) + size)
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(poleward)) * (360.0 / (size * math.pi / 2))).cast("int"))
+
+
+def _cell(lat: Column, lon: Column, size: float) -> Column:
+    row = F.floor((lat + 90.0) / size).cast("int")
+    n = _columns(row, size)
+    return F.struct(row.alias("gy"), F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("int"), n).alias("gx"))
+
+
+def _around(lat: Column, lon: Column, size: float) -> Column:
+    """The cells that hold every point within reach: three in each of three rows, round the Earth; near the poles a row is one cell."""
+    row = F.floor((lat + 90.0) / size).cast("int")
+    last = math.floor(180.0 / size)
+    rows = F.filter(F.sequence(row - 1, row + 1), lambda y: (y >= 0) & (y <= last))
+
+    def of_row(y: Column) -> Column:
+        n = _columns(y, size)
+        at = F.floor((lon + 180.0) / 360.0 * n).cast("int")
+        return F.array_distinct(F.transform(F.sequence(at - 1, at + 1), lambda x: F.struct(y.alias("gy"), F.pmod(x, n).alias("gx"))))
+
+    return F.flatten(F.transform(rows, of_row))
 
 
 def within(points: DataFrame, sites: DataFrame, miles: float, radius: float = geo.MILES_ROUND, point: str = "id", site: str = "site") -> DataFrame:
-    """(point, site, miles) for all pairs no further apart; both sides have latitude and longitude."""
-    size = miles / _MILES_PER_DEGREE
-    narrow = F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("latitude")) + size))), F.lit(1e-3))
-    placed = sites.select(F.col(site), F.col("latitude").alias("_y"), F.col("longitude").alias("_x"), F.explode(_around(F.col("latitude"), F.col("longitude"), size, 1, F.ceil(1 / narrow))).alias("cell"))
-    asked = points.select(F.col(point), "latitude", "longitude", geo.grid(F.col("latitude"), F.col("longitude"), size).alias("cell"))
+    """(point, site, miles) for all pairs no further apart, across the date line and the poles too; both sides have latitude and longitude."""
+    size = min(90.0, 1.001 * miles / _MILES_PER_DEGREE)
+    placed = sites.select(F.col(site), F.col("latitude").alias("_y"), F.col("longitude").alias("_x"), F.explode(_around(F.col("latitude"), F.col("longitude"), size)).alias("cell"))
+    asked = points.select(F.col(point), "latitude", "longitude", _cell(F.col("latitude"), F.col("longitude"), size).alias("cell"))
     apart = geo.haversine(F.col("latitude"), F.col("longitude"), F.col("_y"), F.col("_x"), radius)
     return asked.join(placed, "cell").withColumn("miles", apart).where(F.col("miles") <= miles).select(point, site, "miles")
 
 
+def nearest_of_kind(points: DataFrame, sites: DataFrame, miles: float, kind: str = "kind", point: str = "id", site: str = "site") -> DataFrame:
+    """(point, kind, site, miles): for each point the nearest site of every kind within a limit, ties to the smaller site."""
+    pairs = within(points, sites, miles, point=point, site=site).join(sites.select(site, kind), site)
+    return pairs.groupBy(point, kind).agg(F.min(F.struct("miles", site)).alias("_b")).select(point, kind, F.col(f"_b.{site}").alias(site), F.col("_b.miles").alias("miles"))
+
+
+#: Reference rows that are sent to every task at once.
+REFERENCE_ROWS = 4096
+
+
+def _in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A reference table as arrays of about REFERENCE_ROWS rows: one as a rule, several where it is large."""
+    blocks = max(1, -(-rows.count() // REFERENCE_ROWS))
+    return rows.groupBy(F.pmod(F.xxhash64(*[c for c in columns if c != "path"]), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*columns)).alias("_rows")).drop("_block")
+
+
+def nearest_station(points: DataFrame, stations: DataFrame, point: str = "id", station: str = "station") -> DataFrame:
+    """(point, station, miles): the nearest of a reference table, however far; points meet it block by block, without a shuffle of them."""
+    blocks = F.broadcast(_in_blocks(stations.select(station, "latitude", "longitude"), [station, "latitude", "longitude"]))
+    apart = lambda r: F.struct(geo.haversine(F.col("latitude"), F.col("longitude"), r["latitude"], r["longitude"], geo.MILES).alias("miles"), r[station].alias(station))
+    met = points.crossJoin(blocks).select(point, F.array_min(F.transform("_rows", apart)).alias("_b"))
+    return met.groupBy(point).agg(F.min("_b").alias("_b")).select(point, F.col(f"_b.{station}").alias(station), F.col("_b.miles").alias("miles"))
+
+
 def nearest(points: DataFrame, sites: DataFrame, miles: float, point: str = "id", site: str = "site") -> DataFrame:
     """(point, site, miles): the nearest site within a limit, ties to the smaller site; points without one have nulls."""
     best = within(points, sites, miles, point=point, site=site).groupBy(point).agg(F.min(F.struct("miles", site)).alias("_b"))
@@ -51,13 +92,32 @@ def surroundings(points: DataFrame, sites: DataFrame, miles: float, rank: str, p
 
 
 def in_shapes(points: DataFrame, shapes: DataFrame, size: float, point: str = "id", shape: str = "shape") -> DataFrame:
-    """(point, shape) for each point inside a shape's ring: joined on cells of the ring's extent, then tested."""
-    box = geo.bounds(F.col("ring"))
+    """(point, shape) for each point inside a shape: joined on cells of its extent, then tested.
+
+    Shapes have `ring`, one ring, or `rings`, the rings of all their parts and holes.  Only
+    ids travel with the cells; rings join the pairs that are left.
+    """
+    rings = F.col("rings") if "rings" in shapes.columns else F.array("ring")
+    box = geo.bounds(F.flatten(rings))
     span = lambda a, b: F.sequence(F.floor(a / size).cast("int"), F.floor(b / size).cast("int"))
     covered = F.flatten(F.transform(span(box["south"], box["north"]), lambda y: F.transform(span(box["west"], box["east"]), lambda x: F.struct(y.alias("gy"), x.alias("gx")))))
-    placed = shapes.select(shape, "ring", F.explode(covered).alias("cell"))
+    placed = shapes.select(shape, F.explode(covered).alias("cell"))
     asked = points.select(point, "latitude", "longitude", geo.grid(F.col("latitude"), F.col("longitude"), size).alias("cell"))
-    return asked.join(placed, "cell").where(geo.in_ring(F.col("longitude"), F.col("latitude"), F.col("ring"))).select(point, shape)
+    pairs = asked.join(placed, "cell").join(shapes.select(shape, rings.alias("_rings")), shape)
+    return pairs.where(geo.in_rings(F.col("longitude"), F.col("latitude"), F.col("_rings"))).select(point, shape)
+
+
+def shapes_of(points: DataFrame, shapes: DataFrame, size: float, point: str = "id", shape: str = "shape") -> DataFrame:
+    """(point, shapes): the sorted set of shapes that each point lies in, empty where there are none."""
+    found = in_shapes(points, shapes, size, point, shape).groupBy(point).agg(F.array_sort(F.collect_set(shape)).alias("shapes"))
+    kind = shapes.schema[shape].dataType.simpleString()
+    return points.select(point).join(found, point, "left").select(point, F.coalesce("shapes", F.array().cast(f"array<{kind}>")).alias("shapes"))
+
+
+def containing_places(points: DataFrame, places: DataFrame, size: float, point: str = "id", place: str = "shape", level: str = "level") -> DataFrame:
+    """(point, places): the places around each point, the coarsest (smallest level) first."""
+    found = in_shapes(points, places, size, point, place).join(places.select(place, level), place)
+    return found.groupBy(point).agg(F.transform(F.array_sort(F.collect_set(F.struct(level, place))), lambda x: x[place]).alias("places"))
 
 
 def where_is(lat: Column, lon: Column, areas: list[Column], exclusions: list[Column]) -> Column:
@@ -83,10 +143,11 @@ def circle_groups(circles: DataFrame, miles: float, key: str = "id") -> DataFram
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, point: str = "id", line: str = "line") -> DataFrame:
-    """(point, line, miles): the nearest of a few reference lines, sent to every task only if Spark finds them small."""
-    pairs = points.join(lines.select(line, "path", F.lit(1).alias("_all")), F.col("_all") == 1)
-    apart = pairs.select(point, line, geo.miles_to_line(F.col("latitude"), F.col("longitude"), F.col("path")).alias("miles"))
-    return apart.groupBy(point).agg(F.min(F.struct("miles", line)).alias("_b")).select(point, F.col(f"_b.{line}").alias(line), F.col("_b.miles").alias("miles"))
+    """(point, line, miles): the nearest reference line, ties to the smaller; points meet the lines block by block, without a shuffle of them."""
+    blocks = F.broadcast(_in_blocks(lines.select(line, "path"), [line, "path"]))
+    apart = lambda r: F.struct(geo.miles_to_line(F.col("latitude"), F.col("longitude"), r["path"]).alias("miles"), r[line].alias(line))
+    met = points.crossJoin(blocks).select(point, F.array_min(F.transform("_rows", apart)).alias("_b"))
+    return met.groupBy(point).agg(F.min("_b").alias("_b")).select(point, F.col(f"_b.{line}").alias(line), F.col("_b.miles").alias("miles"))
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

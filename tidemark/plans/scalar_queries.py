@@ -58,9 +58,11 @@ def parcel_forms(spark, sf_dir):
     return w.table(spark, sf_dir, "part").select("p_partkey", t.parcel_form(F.concat_ws("-", "p_partkey", "p_size")).alias("parcel"))
 
 
-@query("unit_forms", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS unit FROM part")
+@query("unit_forms", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'lot ' || p_size WHEN 1 THEN 'b ' || p_size WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN 'space ' || p_size END AS unit FROM part")
 def unit_forms(spark, sf_dir):
-    return w.table(spark, sf_dir, "part").select("p_partkey", t.unit_form(F.concat(F.lit("Apt. #"), F.col("p_size"))).alias("unit"))
+    forms = F.array(F.lit("Lot "), F.lit("Unit B-"), F.lit("APT. #"), F.lit("Suite Space "), F.lit("No. "))
+    size = F.when(F.col("p_partkey") % 5 != 4, F.col("p_size").cast("string")).otherwise("")
+    return w.table(spark, sf_dir, "part").select("p_partkey", t.unit_form(F.concat(F.element_at(forms, (F.col("p_partkey") % 5 + 1).cast("int")), size)).alias("unit"))
 
 
 @query("bare_counties", "SELECT n_nationkey, lower(n_name) AS county FROM nation")

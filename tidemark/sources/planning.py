@@ -76,10 +76,13 @@ def split_by_ceiling(rows: DataFrame, box: tuple[float, float, float, float], ce
 
     Each level halves the boxes that are over and counts all their halves in one
     aggregation.  There are as many boxes as asks, which is what a source's budget bounds.
+    A row on a border between two belongs to the one east or north of it, one on the
+    outer east or north edge to the last box there.
     """
     done, over = [], [box]
     for level in range(depth + 1):
-        inside = lambda b: (F.col("longitude") >= b[0]) & (F.col("longitude") < b[2]) & (F.col("latitude") >= b[1]) & (F.col("latitude") < b[3])
+        upto = lambda c, edge, outer: F.col(c) <= edge if edge == outer else F.col(c) < edge
+        inside = lambda b: (F.col("longitude") >= b[0]) & upto("longitude", b[2], box[2]) & (F.col("latitude") >= b[1]) & upto("latitude", b[3], box[3])
         which = reduce(lambda acc, ib: acc.when(inside(ib[1]), ib[0]), enumerate(over), F.when(F.lit(False), -1))
         counts = {r["_b"]: r["n"] for r in rows.groupBy(which.alias("_b")).agg(F.count("*").alias("n")).where(F.col("_b").isNotNull()).collect()}
         still = [(b, counts.get(i, 0)) for i, b in enumerate(over)]
