@@ -68,6 +68,12 @@ def ring(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in closed])
 
 
+def box_ring(box: Column) -> Column:
+    """The closed ring of a box (west, south, east, north)."""
+    corner = lambda x, y: F.struct(box[x].alias("x"), box[y].alias("y"))
+    return F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south"))
+
+
 def bounds(points: Column) -> Column:
     """The extent of a ring and the middle of it."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

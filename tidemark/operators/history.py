@@ -207,3 +207,9 @@ def running(passes: DataFrame, now: Column, beat_seconds: int = 20, missed: int
     """Adds whether an unfinished pass still beats."""
     quiet = F.timestamp_diff("SECOND", F.col("updated_at"), now)
     return passes.withColumn("state", F.when(F.col("finished_at").isNotNull(), "finished").when(quiet > beat_seconds * missed, "stopped").otherwise("running"))
+
+
+def run_states(log: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, state): the last of completed and failed in a run's log by seq; one that has neither is running and is read by nobody."""
+    ended = F.col("state").isin("completed", "failed")
+    return log.groupBy(run).agg(F.coalesce(F.max_by(F.when(ended, F.col("state")), F.when(ended, F.col("seq"))), F.lit("running")).alias("state"))

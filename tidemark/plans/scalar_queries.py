@@ -42,7 +42,7 @@ def sheet_cells(spark, sf_dir):
     return w.table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.sheet_cell(x).cast("binary"), 256).alias("cell"))
 
 
-@query("sentence_counts")
+@query("sentence_counts", """SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE len(list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) END AS n FROM documents""")
 def sentence_counts(spark, sf_dir):
     return w.table(spark, sf_dir, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("n"))
 
