@@ -1,6 +1,7 @@
 """Sharding, suffix, chunk and Jaccard deduplication, decontamination."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -250,9 +251,19 @@ def near_copies(seed, n=60):
     return [*out, (n, None), (n + 1, ""), (n + 2, "Word"), (n + 3, "word"), (n + 4, "two words")]
 
 
-@pytest.mark.parametrize("words,percent,block", [(3, 90, 2000), (5, 80, 7), (2, 60, 2000)])
-def test_classes_against_brute_force(spark, monkeypatch, words, percent, block):
+def test_packed_counts_are_within_a_tenth():
+    counts = np.array([0, 1, 127, 128, 129, 1000, 123_456, 7_000_000], np.int32)
+    back = near_duplicates._UNPACKED[np.frombuffer(zlib.decompress(near_duplicates._packed(counts)), np.uint8)].astype(float)
+    assert (back <= counts).all() and (back >= 0.91 * counts).all() and back[:4].tolist() == [0, 1, 127, 128]
+
+
+@pytest.mark.parametrize("words,percent,block,entries", [(3, 90, 2000, None), (5, 80, 7, 4), (2, 60, 2000, 2), (3, 90, 2000, 1)])
+def test_classes_against_brute_force(spark, monkeypatch, words, percent, block, entries):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    if entries:  # lists are sorted in parts
+        monkeypatch.setattr(near_duplicates, "LIST_ENTRIES", entries)
+        monkeypatch.setattr(near_duplicates, "LIST_LOAD", 0)
+        assert (near_duplicates.list_parts(1.0)[:8] > 1).any()
     docs = near_copies(words)
     got = near_duplicates.classes(frame(spark, docs, "doc_id long, text string"), words=words, percent=percent).collect()
     roots, sizes = plain.classes(docs, words, percent)

@@ -25,7 +25,7 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +40,9 @@ SLOT_LOAD = 24
 _SLICES = 256
 #: Sets of a cluster that one task takes at once.
 BLOCK = 1000
+#: Entries of one shingle's list that one task sorts, about; and times the mean of slots below which no list is split.
+LIST_ENTRIES = 1 << 20
+LIST_LOAD = 16
 #: Ids of sets that a task remembers, so as to send a set only once; what it forgets it sends again.
 REMEMBERED = 1 << 19
 
@@ -107,6 +110,17 @@ def _slots(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, exact below 128 and within a tenth beyond, compressed: a task's few shingles leave most slots empty."""
+    code = np.minimum(counts, 127)
+    large = np.flatnonzero(counts > 127)
+    code[large] = np.minimum(255, 128 + 8 * np.log2(counts[large] / 128)).astype(code.dtype)
+    return zlib.compress(code.astype(np.uint8).tobytes(), 1)
+
+
+_UNPACKED = np.concatenate([np.arange(128), 128 * 2 ** (np.arange(128) / 8)]).astype(np.uint64)
+
+
 def _scan(docs: DataFrame, key: str, words: int, bits: int) -> DataFrame:
     """One row per document (key, n, sid, text_key), and per task the slot counts of its shingles in slices."""
     kind = docs.schema[key].dataType.simpleString()
@@ -127,42 +141,49 @@ def _scan(docs: DataFrame, key: str, words: int, bits: int) -> DataFrame:
             width = len(counts) // _SLICES
             empty = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(np.minimum(counts[i * width : (i + 1) * width], 255).astype(np.uint8).tobytes(), 1) for i in range(_SLICES)], pa.binary())],
+                [pa.nulls(_SLICES, ids), empty, empty, empty, pa.array(range(_SLICES), pa.int32()), pa.array([_packed(counts[i * width : (i + 1) * width]) for i in range(_SLICES)], pa.binary())],
                 ["k", "n", "sid", "text_key", "slice", "counts"],
             )
 
     return docs.select(key, "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"k {kind}, n bigint, sid bigint, text_key bigint, slice int, counts binary")
 
 
-def frequency_levels(scanned: DataFrame, bits: int) -> np.ndarray:
-    """For each slot how many times over the mean its count is, as a power of two.
+def frequency_levels(scanned: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """For each slot how many times over the mean its count is, as a power of the root of two; and the mean.
 
-    A task's counts stop at 255; levels only order prefixes, any order gives right results.
-    Counts travel compressed: a task's few shingles leave most slots empty.
+    Counts are rough: levels order prefixes and say which lists to split, and any levels give right results.
     """
 
     width = (1 << bits) // _SLICES
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint32)
+        total = np.zeros(width, np.uint64)
         for x in pdf["counts"]:
             raw = zlib.decompress(x)
-            total += np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32)
+            total += _UNPACKED[np.frombuffer(raw, np.uint8)] if len(raw) == width else np.frombuffer(raw, np.uint64)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, counts binary"
     tasks = scanned.where(F.col("slice") == 0).count()
     slices = scanned.where(F.col("slice").isNotNull()).select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(1 + isqrt(tasks))).alias("part"))
     once = slices.groupBy("slice", "part").applyInPandas(add, schema)  # in two steps: a group has about the square root of the tasks
-    got = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint32) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
+    got = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint64) for r in once.groupBy("slice").applyInPandas(add, schema).collect()}
     if not got:
-        return np.zeros(1 << bits, np.uint8)
+        return np.zeros(1 << bits, np.uint8), 1.0
     mean = max(1.0, sum(int(x.sum()) for x in got.values()) / (1 << bits))
-    return np.concatenate([(2 * np.log2(1 + got[i] / mean)).astype(np.uint8) for i in range(_SLICES)])
+    return np.concatenate([(2 * np.log2(1 + got[i] / mean)).astype(np.uint8) for i in range(_SLICES)]), mean
+
 
+def list_parts(mean: float) -> np.ndarray:
+    """For each level in how many parts the lists of its shingles are sorted."""
+    return np.ceil(np.minimum(mean * 2 ** (np.arange(1, 257) / 2) / max(LIST_ENTRIES, LIST_LOAD * mean), 1 << 16)).astype(np.int32)
 
-def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, sid, n, pos) of every set's prefix; a task emits a set that it meets again soon only once."""
+
+def prefix_entries(docs: DataFrame, levels: np.ndarray, parts: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(token, part, sid, n, pos) of every set's prefix; a task emits a set that it meets again soon only once.
+
+    Of a shingle whose slot is so full that its list is sorted in parts, a set's hash says the part; of others it is -1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = len(levels).bit_length() - 1
 
@@ -173,30 +194,43 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, words: int, percent: int
                 g, at = shingle_sets(data, offsets, words)
                 n = np.diff(at)
                 sid = set_ids(g, at).view(np.int64)
+                salt = tb.mix(sid.view(np.uint64))
                 fresh = np.array(met.fresh(sid.tolist()), bool) & (n > 0)
                 row = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((g, level[_slots(g, bits)], row))
                 pos = np.arange(len(g)) - at[:-1][row]
                 kept = fresh[row] & (pos < prefix_size(n, percent)[row])
-                yield pa.RecordBatch.from_arrays([pa.array(g[order][kept].view(np.int64)), pa.array(sid[row[kept]]), pa.array(n[row[kept]].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["token", "sid", "n", "pos"])
+                token, of = g[order][kept], row[kept]
+                many = parts[level[_slots(token, bits)]]
+                part = np.where(many > 1, salt[of] % many.astype(np.uint64), np.uint64(1 << 32) - np.uint64(1)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(sid[of]), pa.array(n[of].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["token", "part", "sid", "n", "pos"])
+
+    return docs.select("text").mapInArrow(run, "token bigint, part int, sid bigint, n int, pos int")
+
 
-    return docs.select("text").mapInArrow(run, "token bigint, sid bigint, n int, pos int")
+def _block_heads(listed: DataFrame, keys: list[str], end: Column, out: str) -> DataFrame:
+    """Adds the first set of each row's block: by size, a new block begins where all rows so far end below the next size."""
+    by_size = W.partitionBy(*keys).orderBy("n", "sid")
+    upto = F.max(end).over(by_size.rowsBetween(W.unboundedPreceding, -1))
+    begins = listed.withColumn("upto", upto).withColumn("begins", F.when(F.col("upto").isNull() | (F.col("upto") < F.col("n")), F.col("sid")))
+    return begins.withColumn(out, F.last("begins", ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("upto", "begins")
 
 
-def candidate_edges(entries: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(entries: DataFrame, percent: int, split: bool) -> DataFrame:
     """Edges (a, b) from each entry of an index block to the block's first set.
 
     In a list, by size: an entry of a set of n shingles at position p can only match
-    sets of up to (n - p)(100 + percent) / percent - n.  Where all entries so far end
-    below the next size, a new block begins, which no pair crosses.
+    sets of up to (n - p)(100 + percent) / percent - n, so that a list falls into
+    blocks which no pair crosses.  With `split`, some lists came in parts; the blocks
+    of a list's parts, which are few, meet in the same way by the sizes they reach to.
     """
-    by_size = W.partitionBy("token").orderBy("n", "sid")
     reach = F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("n")
-    before = by_size.rowsBetween(W.unboundedPreceding, -1)
-    listed = entries.withColumn("upto", F.max(reach).over(before)).withColumn("new", (F.col("upto").isNull() | (F.col("upto") < F.col("n"))).cast("int"))
-    # the block's first set: the last one that began a block
-    head = F.last(F.when(F.col("new") == 1, F.col("sid")), ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))
-    heads = listed.select("sid", head.alias("head")).where(F.col("sid") != F.col("head")).groupBy("sid").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    listed = _block_heads(entries, ["token", "part"], reach, "head")
+    ties = listed.select("sid", "head")
+    if split:
+        blocks = listed.where("part >= 0").groupBy("token", "part", F.col("head").alias("sid")).agg(F.max(F.greatest(reach, F.col("n"))).alias("end"), F.min("n").alias("n"))
+        ties = ties.unionByName(_block_heads(blocks, ["token"], F.col("end"), "head").select("sid", "head"))
+    heads = ties.where(F.col("sid") != F.col("head")).groupBy("sid").agg(F.array_sort(F.collect_set("head")).alias("heads"))
     # a set ties its heads together (there are no more of them than entries of its prefix); sets with the same heads do so once
     first = F.col("heads")[0]
     tied = F.concat(F.array(F.struct(F.col("sid").alias("a"), first.alias("b"))), F.transform(F.slice("heads", F.lit(2), F.size("heads")), lambda h: F.struct(h.alias("a"), first.alias("b"))))
@@ -328,7 +362,9 @@ def classes(docs: DataFrame, key: str = "doc_id", words: int = 5, percent: int =
     rows = scanned.where(F.col("slice").isNull()).select("k", "n", "sid", "text_key")
     named_row = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("text_key").alias("text_key"))
     nodes = cut(rows.where(F.col("n") > 0).groupBy("sid").agg(F.min(named_row).alias("low"), F.min("text_key").alias("text_key")))
-    clusters = components(candidate_edges(prefix_entries(docs, frequency_levels(scanned, bits), words, percent), percent))
+    levels, mean = frequency_levels(scanned, bits)
+    parts = list_parts(mean)
+    clusters = components(candidate_edges(prefix_entries(docs, levels, parts, words, percent), percent, split=bool((parts[levels] > 1).any())))
     linked = components(cut(verified_links(docs, nodes, clusters, words, percent)))
     rooted = nodes.join(linked, nodes["sid"] == linked["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("first"))
