@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -98,3 +99,43 @@ def fill(sizes, weights=(1, 2, 3), cap=3):
             left -= target[i]
             free.discard(i)
     return target
+
+
+def _alone(text):
+    import pyarrow as pa
+
+    from tidemark.llm import textbytes as tb
+
+    return tb.utf8(pa.array([text]))
+
+
+def grade(text, model, features):
+    """(expected grade, probability of more than the lowest) by adding up the weights of one text's features."""
+    ids = features(*_alone(text))[0].tolist()
+    eta = sum(float(model.weights[i]) for i in ids) / max(1, len(ids))
+    above = [1 / (1 + math.exp(-(eta - t))) for t in model.thresholds.tolist()]
+    likely = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+    return sum(g * p for g, p in zip(model.grades, likely, strict=True)), above[0]
+
+
+def language(text, model, ngrams):
+    """(language, probability) by adding up the weights of one text's n-grams."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    count = collections.Counter(ngrams(*_alone(text))[0].tolist())
+    total = sum(count.values())
+    z = [(sum(n * float(model.values[i, c]) for i, n in count.items()) / total + float(model.bias[c])) / model.temperature for c in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(z)), key=lambda c: (e[c], -c))
+    return model.languages[best], e[best] / sum(e)
+
+
+def toxicity(text, model, bins):
+    """Score of one text: the trees' votes one by one, then the step of the calibration in which they fall."""
+    from pyspark.ml.linalg import Vectors
+
+    x = Vectors.dense(model.lexicon.features(*_alone(text))[0].tolist())
+    margin = sum(w * t.predict(x) for w, t in zip(model.trees.treeWeights, model.trees.trees, strict=True))
+    raw = 1 / (1 + math.exp(-2 * margin))
+    level = next((y for top, y in model.steps if raw <= top + 0.5 / bins), model.steps[-1][1] if model.steps else raw)
+    return min(1.0, max(0.0, 0.98 * level + 0.02 * raw))

@@ -40,6 +40,31 @@ def test_quality_edges(spark):
     assert quality.grade(df, model).where("expected_grade is null").count() == 0 and quality.grade(df.limit(0), model).count() == 0
 
 
+def some_texts(spark):
+    """Every thirtieth document, and the awkward ones with ids of their own."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, MIDDLE, "documents").where("doc_id % 30 = 0").collect()]
+    return docs + [(-1 - i, r[1]) for i, r in enumerate(plain.awkward())]
+
+
+def test_models_against_plain_scorers(spark):
+    """Each model's scores, row by row, against one that takes the fitted model and one text at a time."""
+    docs, labels, texts = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels"), some_texts(spark)
+    asked = frame(spark, texts, "doc_id long, text string")
+    model = quality.fit(docs, labels)
+    for r in quality.grade(asked, model).collect():
+        expected, tail = plain.grade(dict(texts)[r["doc_id"]], model, quality.features)
+        assert abs(r["expected_grade"] - expected) < 1e-4 and abs(r["tail_probability"] - tail) < 1e-4
+        assert r["keep"] == (r["tail_probability"] >= quality.KEEP)
+    model = language.fit(docs)
+    for r in language.predict(asked, model).collect():
+        name, p = plain.language(dict(texts)[r["doc_id"]], model, language.ngrams)
+        assert r["lang_pred"] == name and abs(r["score"] - p) < 1e-3
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(asked, model, "doc_id").collect():
+        want = plain.toxicity(dict(texts)[r["doc_id"]], model, toxicity.CALIBRATION_BINS)
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
 # toxicity
 
 
