@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geo, text, values
 from tidemark.functions.criteria import Rule, constant, evaluate, field
 from tidemark.operators import enrich, history, identity, results, spatial
-from tidemark.operators.extract import accept, claims, find, settle
+from tidemark.operators.extract import accept, claims, found, settle
 from tidemark.plans.registry import QUERIES, SQL
 from tidemark.sources import planning, tables
 
@@ -326,12 +326,32 @@ def test_floor_days_are_elapsed_days(spark):
 
 
 def test_claims(spark):
-    assert find("Has a private well and septic.") == [("water", "well"), ("sewer", "septic")]
-    assert find("No septic here. City sewer.") == [("sewer", "city")] and find("Septic is not present") == []
-    assert find("A well water system could be added") == [] and find("no, septic tank") == [("sewer", "septic")]
-    rows = spark.createDataFrame([(1, "city water; private well."), (2, None), (3, "septic system")], "id long, text string")
+    said = {
+        "Has a private well and septic.": {("water", "well"), ("sewer", "septic")},
+        "No septic here. City sewer.": {("sewer", "none"), ("sewer", "city")},
+        "Septic is not working": {("sewer", "none")},
+        "A well water system could be added": set(),
+        "no, septic tank": {("sewer", "septic")},
+        "not much of a long way to the septic": {("sewer", "septic")},
+        "a shared  well\nhouse": {("water", "shared well")},
+        "lacks no water": set(),
+        "There is a septic system. City water is available.": {("sewer", "septic")},
+        "mini-split": {("heating", "electric"), ("cooling", "mini-split")},
+        "septic septic septic septic septic septic septic septic septic septic planned": {("sewer", "septic")},
+        "welll, swell": set(),
+        "": set(),
+    }
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "id long, text string")
+    got = {i: set() for i in range(len(said))}
+    for r in found(rows).collect():
+        got[r["id"]].add((r["field"], r["value"]))
+    assert got == dict(enumerate(said.values()))
+    one_line = found(spark.createDataFrame([(1, " A\n\nshared  well. No roof")], "id long, text string")).collect()
+    assert [tuple(r) for r in one_line] == [(1, "water", "shared well", "a shared well.")]
+    rows = spark.createDataFrame([(1, "city water; private well."), (2, None), (3, "septic system"), (4, "x" * 4_000 + " septic")], "id long, text string")
     got = {(r["id"], r["field"]): (r["value"], r["conflict"]) for r in claims(rows).collect()}
     assert got == {(1, "water"): (None, True), (3, "sewer"): ("septic", False)}
+    assert claims(rows, limit=None).where("id = 4").count() == 1 and claims(rows.limit(0)).count() == 0
 
 
 def test_answers_need_their_quote(spark):

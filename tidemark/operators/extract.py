@@ -1,69 +1,115 @@
-"""Claims in free text: a vocabulary of phrases, negation, hopes, and conflicts.
+"""Claims in free text: a vocabulary of phrases, denials, prospects, and conflicts.
 
-Spans need positions and overlaps, which SQL's pattern functions don't give, so a
-batch of texts is read by a vectorised Python function; folding claims is Spark's.
+A text falls into sentences, and a sentence at each phrase of a field: what lies
+between phrases is what denies or doubts them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import READ_LIMIT
+from tidemark.functions.text import READ_LIMIT, sentences
 
-#: field -> value -> phrases.  Longer phrases win over shorter ones that they cover.
+#: field -> value -> phrases in lower case, single spaces for any white space.
 VOCABULARY = {
-    "water": {"well": ("private well", "well water", "water well"), "city": ("city water", "public water", "municipal water"), "none": ("no water",)},
-    "sewer": {"septic": ("septic", "septic tank", "septic system"), "city": ("city sewer", "public sewer")},
-    "heating": {"gas": ("natural gas", "gas heat", "propane"), "electric": ("electric heat", "heat pump"), "wood": ("wood stove", "wood heat")},
+    "water": {
+        "well": ("well", "private well", "domestic well", "well water", "water well"),
+        "shared well": ("shared well", "community well"),
+        "city": ("city water", "town water", "public water", "municipal water"),
+        "co-op": ("co-op water", "rural water", "community water"),
+        "hauled": ("hauled water", "haul water", "cistern"),
+        "none": ("no water",),
+    },
+    "sewer": {"septic": ("septic", "septic tank", "septic system"), "city": ("city sewer", "town sewer", "public sewer", "municipal sewer"), "none": ("no sewer",)},
+    "heating": {
+        "gas": ("gas heat", "gas furnace", "propane heat", "propane furnace"),
+        "electric": ("electric heat", "baseboard heat", "heat pump", "mini-split", "mini split"),
+        "wood": ("wood stove", "wood-burning stove", "pellet stove", "wood heat"),
+        "radiant": ("radiant heat", "radiant floor heat", "in-floor heat"),
+    },
+    "cooling": {"central": ("central air", "central a/c", "refrigerated air"), "evaporative": ("swamp cooler", "evaporative cooler"), "mini-split": ("mini-split", "mini split")},
+    "gas": {"natural": ("natural gas",), "propane": ("propane", "propane tank")},
+    "roof": {"metal": ("metal roof", "steel roof"), "shingle": ("shingle roof", "asphalt shingles"), "tile": ("tile roof",), "flat": ("flat roof",)},
     "internet": {"fiber": ("fiber internet", "fibre internet", "fiber optic"), "cable": ("cable internet",), "satellite": ("satellite internet",)},
 }
-_DENIALS = re.compile(r"\b(no|not|without|never|lacks?)\b[^,]*$")
-_DENIED_AFTER = re.compile(r"^\s*(is |are |was )?(not|unavailable|removed)\b")
-_HOPES = re.compile(r"\b(could|would|potential|planned|possible|future|proposed)\b")
+
+# The words that deny a claim or tell of a prospect, and how far they reach.
+NONE = "none"
 BEFORE, AFTER, AROUND = 12, 24, 60
+DENIED_BEFORE = rf"\b(no|not|never|without|lacks?|lacking|minus)\b[^.;,]{{0,{BEFORE}}}$"
+DENIED_AFTER = rf"^[^.;]{{0,{AFTER}}}\b(removed|abandoned|disconnected|capped|dry|non-?functional|inoperable|not\s+working|does\s+not\s+work|no\s+longer)\b"
+PROSPECT = (
+    r"\b(needed|needs|need|required\s+to|nearby|available|availability"
+    r"|would|could|will\s+be|can\s+be|must\s+be|to\s+be\s+\w+ed"
+    r"|future|planned|proposed|in\s+the\s+road|at\s+the\s+road"
+    r"|to\s+the\s+(lot|property)\s+line"
+    r"|yet|coming|extends|extending|approximately|\d+\s*(ft|feet|miles?)\b"
+    r"|(spot|space|venting|vent|plumbing|plumbed|wiring|wired|roughed\s+in|stubbed\s+(in|out))\s+for)\b"
+)
 
+#: Characters that are looked at on either side of a claim.
+_SIGHT = 100
 
-def find(text: str, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> list[tuple[str, str]]:
-    """(field, value) claims of one text, neither denied nor hoped for."""
-    text = text[:limit].lower()
-    out = []
-    for name, values in vocabulary.items():
-        spans = [(m.start(), m.end(), value) for value, phrases in values.items() for p in phrases for m in re.finditer(rf"\b{re.escape(p)}\b", text)]
-        taken: list[tuple[int, int]] = []
-        for start, end, value in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
-            if any(start < b and a < end for a, b in taken):
-                continue
-            taken.append((start, end))
-            a = max(text.rfind(c, 0, start) for c in ".!?") + 1
-            b = min([x for x in (text.find(c, end) for c in ".!?") if x >= 0], default=len(text))
-            around = text[max(a, start - AROUND) : min(b, end + AROUND)]
-            if not (_DENIALS.search(text[max(a, start - BEFORE) : start]) or _DENIED_AFTER.search(text[end : min(b, end + AFTER)]) or _HOPES.search(around)):
-                out.append((name, value))
-    return out
 
+def phrase_pattern(values: Mapping[str, tuple[str, ...]]) -> str:
+    """Any phrase of a field: the leftmost, of those that begin there the longest."""
+    phrases = sorted({p for ps in values.values() for p in ps}, key=lambda p: (-len(p), p))
+    return r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in phrases) + r")\b"
+
+
+def _value_of(phrase: Column, values: Mapping[str, tuple[str, ...]]) -> Column:
+    known = [F.lit(x) for value, ps in values.items() for p in ps for x in (p, value)]
+    return F.element_at(F.create_map(*known), F.regexp_replace(phrase, r"\s+", " "))
 
-def claims(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
-    """(id, field, value, conflict): one row for each field that a text makes a claim on; two values are a conflict and no value.
 
-    Reads the first `limit` characters, as descriptions are read, or whole texts for None.
+def _in_sentence(sentence: Column, name: str, values: Mapping[str, tuple[str, ...]]) -> Column:
+    """(field, hits, gaps) of one field: its phrases in order, and what lies before, between and after them."""
+    pattern = phrase_pattern(values)
+    return F.struct(F.lit(name).alias("field"), F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0)).alias("hits"), F.split(sentence, pattern, -1).alias("gaps"))
+
+
+def found(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
+    """(id, field, value, evidence): one row for each claim, in no order, with its sentence on one line, in lower case.
+
+    Of overlapping phrases of a field the one that begins first counts, then the longest.
+    A denied claim claims `none`; a denied `none` nothing.  A prospect within 60
+    characters of its sentence makes a claim nothing, unless it claims `none`.  Reads the
+    first `limit` characters, as descriptions are read, or whole texts for None.  A null
+    or empty text claims nothing; repeated rows claim again.
     """
-    phrases = [p for values in vocabulary.values() for ps in values.values() for p in ps]
-    read = F.substring("text", 1, limit) if limit else F.col("text")
-    worth = F.lower(read).rlike("|".join(re.escape(p) for p in phrases))
+    read = F.lower(F.regexp_replace("text", r"^\s+", ""))
+    read = F.substring(read, 1, limit) if limit else read
+    anything = "|".join(phrase_pattern(values) for values in vocabulary.values())
+    told = texts.select("id", F.explode(sentences(read)).alias("sentence")).where(F.col("sentence").rlike(anything))
+    by_field = told.select("id", "sentence", F.inline(F.array(*[_in_sentence(F.col("sentence"), name, values) for name, values in vocabulary.items()])))
+
+    # as a phrase has some characters, so many neighbours fill what is looked at
+    near = 1 + _SIGHT // min(len(p) for values in vocabulary.values() for ps in values.values() for p in ps)
+    hits, gaps = F.col("hits"), F.col("gaps")
+
+    def claim(hit: Column, i: Column) -> Column:
+        together = lambda start, n: F.array_join(F.zip_with(F.slice(gaps, start, n), F.slice(hits, start, n), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit("")))), "")
+        before = F.concat(together(F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), F.get(gaps, i))
+        after = together(i + 2, F.lit(near))
+        return F.struct(hit.alias("phrase"), F.right(before, F.lit(_SIGHT)).alias("before"), F.left(after, F.lit(_SIGHT)).alias("after"))
+
+    seen = by_field.where(F.size("hits") > 0).select("id", "field", "sentence", F.inline(F.transform(hits, claim)))
+    own = F.coalesce(*[F.when(F.col("field") == name, _value_of(F.col("phrase"), values)) for name, values in vocabulary.items()])
+    denied = F.col("before").rlike(DENIED_BEFORE) | F.col("after").rlike(DENIED_AFTER)
+    hoped = F.concat(F.right("before", F.lit(AROUND)), "phrase", F.left("after", F.lit(AROUND))).rlike(PROSPECT)
+    value = F.when(denied, F.when(own != NONE, NONE)).when(own == NONE, own).when(~hoped, own)
+    line = F.trim(F.regexp_replace("sentence", r"\s+", " "))
+    return seen.select("id", "field", value.alias("value"), line.alias("evidence")).where(F.col("value").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, f, v) for i, x in zip(b["id"], b["text"], strict=True) for f, v in find(x, vocabulary, limit)]
-            yield pd.DataFrame(rows, columns=["id", "field", "value"])
 
-    found = texts.where(worth).select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, field string, value string")
+def claims(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
+    """(id, field, value, conflict): one row for each field that a text makes a claim on (see `found`); two values are a conflict and no value."""
     n = F.size(F.collect_set("value"))
-    return found.groupBy("id", "field").agg(F.when(n == 1, F.first("value")).alias("value"), (n > 1).alias("conflict"))
+    return found(texts, vocabulary, limit).groupBy("id", "field").agg(F.when(n == 1, F.first("value")).alias("value"), (n > 1).alias("conflict"))
 
 
 def accept(answers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 from tidemark.functions import values as v
-from tidemark.operators.extract import claims
+from tidemark.operators.extract import DENIED_AFTER, DENIED_BEFORE, PROSPECT, claims, phrase_pattern
 from tidemark.plans import worlds as w
 
 QUERIES = {}
@@ -151,9 +151,29 @@ LICENCES = {
     "licence": {"apache": ("apache license", "under the apache license"), "gnu": ("gnu general public license", "general public license"), "mit": ("mit license",), "cc": ("creative commons",)},
     "rights": {"reserved": ("all rights reserved", "rights reserved")},
 }
-
-
-@query("text_claims")
+#: What the texts say about them: denied, hoped for, and said twice, as well as plainly.
+_SAID = ("without the mit license, all rights reserved", "under the mit license, planned, not the apache license", "apache license; the mit license, no longer", "all  rights reserved, rights reserved")
+
+
+@query("text_claims", rf"""WITH said AS (
+  SELECT doc_id, lower(regexp_replace(text || CASE doc_id % 5 WHEN 0 THEN '' {"".join(f"WHEN {k} THEN ' {x}' " for k, x in enumerate(_SAID, 1))}END, '^\s+', '')) AS x FROM documents
+), sentences AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(x, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM said
+), fields AS (
+  {" UNION ALL ".join(f"SELECT doc_id, s, '{name}' AS field, regexp_extract_all(s, '{phrase_pattern(values)}') AS hits, string_split_regex(s, '{phrase_pattern(values)}') AS gaps FROM sentences" for name, values in LICENCES.items())}
+), hits AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM fields),
+seen AS (
+  SELECT doc_id, field, regexp_replace(hits[i], '\s+', ' ', 'g') AS phrase, s,
+    list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS begins, length(hits[i]) AS n
+  FROM hits
+), told AS (
+  SELECT doc_id, field, CASE {"".join(f"WHEN field = '{name}' AND phrase = '{p}' THEN '{value}' " for name, values in LICENCES.items() for value, ps in values.items() for p in ps)}END AS own,
+    regexp_matches(s[1:CAST(begins AS BIGINT)], '{DENIED_BEFORE}') OR regexp_matches(s[CAST(begins AS BIGINT) + n + 1:], '{DENIED_AFTER}') AS denied,
+    regexp_matches(s[greatest(CAST(begins AS BIGINT) - 59, 1):CAST(begins AS BIGINT) + n + 60], '{PROSPECT}') AS hoped
+  FROM seen
+), found AS (SELECT doc_id AS id, field, CASE WHEN denied THEN 'none' WHEN NOT hoped THEN own END AS value FROM told)
+SELECT id, field, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, count(DISTINCT value) > 1 AS conflict FROM found WHERE value IS NOT NULL GROUP BY 1, 2""")
 def text_claims(spark, sf_dir):
     """Claims on licences in whole texts, with conflicts."""
-    return claims(w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), LICENCES, limit=None)
+    said = F.element_at(F.array(F.lit(""), *[F.lit(f" {x}") for x in _SAID]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return claims(w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", said).alias("text")), LICENCES, limit=None)
