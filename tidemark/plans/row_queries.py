@@ -30,14 +30,14 @@ def query(name: str, sql: str | None = None):
 
 @query("entity_rows", f"""WITH {w.OBS_SQL}, latest AS (SELECT entity, run_seq, status, bucket FROM snap QUALIFY row_number() OVER (PARTITION BY entity ORDER BY run_seq DESC, event_id DESC) = 1),
 tags AS (SELECT entity, string_agg(DISTINCT status, ',' ORDER BY status) AS tags FROM snap GROUP BY entity), links AS (SELECT entity, string_agg(DISTINCT source, ',' ORDER BY source) AS links FROM obs WHERE run_seq < 9 GROUP BY entity),
-notes AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS note FROM customer WHERE c_custkey % 2 = 0)
+notes AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS note FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT l.*, tags, links, note FROM latest l LEFT JOIN tags USING (entity) LEFT JOIN links USING (entity) LEFT JOIN notes USING (entity)""")
 def entity_rows(spark, sf_dir):
     from tidemark.operators.history import latest_per_key
 
     snaps, obs = w.snapshots(spark, sf_dir), w.observations(spark, sf_dir)
     latest = latest_per_key(snaps, ["entity"], ["run_seq", "event_id"]).select("entity", "run_seq", "status", "bucket")
-    customers = w.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    customers = w.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
     notes = customers.select(F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("note"))
     rows = ro.entity_rows(latest, tags=ro.folded(snaps, "tags", ["status"]), links=ro.folded(obs.where("run_seq < 9"), "links", ["source"]), notes=notes)
     return rows.select("entity", "run_seq", "status", "bucket", F.array_join("tags.tags", ",").alias("tags"), F.array_join("links.links", ",").alias("links"), F.col("notes.note").alias("note"))
@@ -287,10 +287,10 @@ def radius_verdicts(spark, sf_dir):
     return _off_border(spark, sf_dir).select("id", geo.in_radius(lat, F.col("longitude"), centre(32.0), centre(-102.5), F.lit(60.0), k % 2 == 0).alias("verdict"))
 
 
-@query("nearest_station", f"""WITH {_C_SQL}, z AS (SELECT s_suppkey AS station, latitude, longitude FROM ({w.places_sql("supplier", "s_suppkey")}) WHERE s_suppkey % 10 = 0)
+@query("nearest_station", f"""WITH {_C_SQL}, z AS (SELECT s_suppkey AS station, latitude, longitude FROM ({w.places_sql("supplier", "s_suppkey")}))
 SELECT id, station, round(miles, 6) AS miles FROM (SELECT c.id, z.station, {w.miles_sql("c", "z", geo.MILES)} AS miles FROM c, z) QUALIFY row_number() OVER (PARTITION BY id ORDER BY miles, station) = 1""")
 def nearest_station(spark, sf_dir):
-    stations = w.places(spark, sf_dir, "supplier", "s_suppkey").where("id % 10 = 0").select(F.col("id").alias("station"), "latitude", "longitude")
+    stations = w.places(spark, sf_dir, "supplier", "s_suppkey").select(F.col("id").alias("station"), "latitude", "longitude")
     return s.nearest_station(_off_border(spark, sf_dir), stations).select("id", "station", F.round("miles", 6).alias("miles"))
 
 

@@ -139,11 +139,11 @@ def status_labels(spark, sf_dir):
     return w.table(spark, sf_dir, "orders").select("o_orderkey", t.status_label(F.col("o_orderstatus"), presence).alias("label"))
 
 
-@query("url_lists", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS urls FROM pages WHERE url LIKE 'http%'")
+@query("url_lists", "SELECT page_id, CASE WHEN page_id % 2 = 0 AND regexp_matches(url, '^https?://') THEN url || ',' || url || '?p=2' END AS urls FROM pages")
 def url_lists(spark, sf_dir):
-    p = w.table(spark, sf_dir, "pages").where(F.col("url").startswith("http"))
-    urls = F.when(F.col("page_id") % 2 == 0, F.array("url", F.lit("n/a"), F.col("url"))).otherwise(F.array(F.lit("none")))
-    return p.select("page_id", F.array_join(v.url_list(urls), ",").alias("urls"))
+    url = F.col("url")
+    urls = F.when(F.col("page_id") % 2 == 0, F.array(url, F.lit("n/a"), F.concat(url, F.lit("?p=2")), url)).otherwise(F.array(F.lit("none"), F.concat(F.lit("ftp:"), url)))
+    return w.table(spark, sf_dir, "pages").select("page_id", F.array_join(v.url_list(urls), ",").alias("urls"))
 
 
 #: Claims that the given texts do make.
