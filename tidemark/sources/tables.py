@@ -40,6 +40,28 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Stores tables of one piece of work: `with Scratch() as keep: ... keep(df)`.  All of them go when it ends, well or not.
+
+    What is to outlive it is stored by `stored` before, as rows are read when they are asked for.
+    """
+
+    def __init__(self) -> None:
+        self._held: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, path = store_at(df)
+        self._held.append((df.sparkSession, path))
+        return out
+
+    def __exit__(self, *_: object) -> None:
+        for spark, path in self._held:
+            delete(spark, path)
+
+
 class Rounds:
     """The state of an iteration: each round's is stored, and then the one before it deleted."""
 
