@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chunk_dedup, decontamination, language, mixing, near_duplicates, nearest, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import chunk_dedup, decontamination, divergence, language, mixing, near_duplicates, nearest, packing, prefix_trie, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_nearest": nearest.op9_nearest,
     "op10_language": language.op10_language,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_packing": packing.op12_packing,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op3_jaccard": near_duplicates.OP3_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

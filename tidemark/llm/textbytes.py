@@ -33,6 +33,8 @@ def _lut(chars) -> np.ndarray:
 NOT_SPACE = ~_lut([0x20, *range(0x09, 0x0E)])
 #: Word bytes of the class [^\x00-\x2F\x3A-\x60\x7B-\x7F]: digits, a-z, non-ASCII.
 ALNUM_LOWER = _lut([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
+#: Word bytes of the class [^\x00-\x40\x5B-\x60\x7B-\x7F], lower-cased: a-z, non-ASCII.
+LETTER_LOWER = _lut([*range(0x61, 0x7B), *range(0x80, 0x100)])
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -168,6 +170,36 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span of data has the very bytes of the span of other at the same place in the lists."""
+    out = end - start == other_end - other_start
+    size = (end - start).astype(np.int64)
+    at = np.flatnonzero(out & (size > 0))
+    eight, others = lanes(data), lanes(other)
+    k = 0
+    while len(at):
+        keep = _KEEP[np.minimum(size[at] - k, 8)]
+        differ = (eight[start[at] + k] ^ others[other_start[at] + k]) & keep != 0
+        out[at[differ]] = False
+        at = at[~differ]
+        k += 8
+        at = at[size[at] > k]
+    return out
+
+
+def take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans end to end, and the offsets of each (one more than spans)."""
+    size = (end - start).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    return data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])], offsets
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A string column of bytes that lie end to end."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers).cast(pa.string())
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
