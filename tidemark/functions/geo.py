@@ -100,6 +100,13 @@ def in_rings(x: Column, y: Column, rings: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), odd)
 
 
+def unwrapped_rings(rings: Column) -> Column:
+    """Rings in one frame: where one leaps across 180 degrees, western longitudes of the shape count on from 180."""
+    leaps = lambda r: F.exists(_edges(r), lambda e: (F.abs(e["b"]["x"] - e["a"]["x"]) > 180) & (F.abs(e["b"]["x"] - e["a"]["x"]) < 360))
+    on = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.when(p["x"] < 0, p["x"] + 360).otherwise(p["x"]).alias("x"), p["y"].alias("y"))))
+    return F.when(F.exists(rings, leaps), on).otherwise(rings)
+
+
 def rings_of_geojson(text: Column) -> Column:
     """All rings of a GeoJSON Polygon or MultiPolygon, plain, as a Feature, or as the only feature of a collection; else null."""
     kind = F.get_json_object(text, "$.type")

@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
+from tidemark.operators.cover import covers, in_covers
 from tidemark.operators.identity import connected_components
+from tidemark.operators.nearest import Flat, Mercator, Sphere, nearest_join, outline_paths, point_paths
 
 _MILES_PER_DEGREE = math.radians(1) * geo.MILES
 
@@ -60,22 +62,19 @@ def nearest_of_kind(points: DataFrame, sites: DataFrame, miles: float, kind: str
     return pairs.groupBy(point, kind).agg(F.min(F.struct("miles", site)).alias("_b")).select(point, kind, F.col(f"_b.{site}").alias(site), F.col("_b.miles").alias("miles"))
 
 
-#: Reference rows that are sent to every task at once.
-REFERENCE_ROWS = 4096
-
+def nearest_station(points: DataFrame, stations: DataFrame, point: str = "id", station: str = "station") -> DataFrame:
+    """(point, station, miles): the nearest of a reference table, however far, ties to the smaller; points without a place have no row."""
+    return nearest_join(points, point_paths(stations), Sphere(), point, station)
 
-def _in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A reference table as arrays of about REFERENCE_ROWS rows: one as a rule, several where it is large."""
-    blocks = max(1, -(-rows.count() // REFERENCE_ROWS))
-    return rows.groupBy(F.pmod(F.xxhash64(*[c for c in columns if c != "path"]), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*columns)).alias("_rows")).drop("_block")
 
+def nearest_outline(points: DataFrame, sites: DataFrame, kind: str = "kind", point: str = "id", site: str = "site") -> DataFrame:
+    """(point, kind, site, miles): the nearest site of every kind, measured to its outline, zero inside; sites without one are points.
 
-def nearest_station(points: DataFrame, stations: DataFrame, point: str = "id", station: str = "station") -> DataFrame:
-    """(point, station, miles): the nearest of a reference table, however far; points meet it block by block, without a shuffle of them."""
-    blocks = F.broadcast(_in_blocks(stations.select(station, "latitude", "longitude"), [station, "latitude", "longitude"]))
-    apart = lambda r: F.struct(geo.haversine(F.col("latitude"), F.col("longitude"), r["latitude"], r["longitude"], geo.MILES).alias("miles"), r[station].alias(station))
-    met = points.crossJoin(blocks).select(point, F.array_min(F.transform("_rows", apart)).alias("_b"))
-    return met.groupBy(point).agg(F.min("_b").alias("_b")).select(point, F.col(f"_b.{station}").alias(station), F.col("_b.miles").alias("miles"))
+    Sites have latitude, longitude and outline, an array of vertices x, y (null for none).
+    The nearest is chosen on the Mercator map, and told in great-circle miles to the
+    outline's nearest point.
+    """
+    return nearest_join(points, outline_paths(sites), Mercator(), point, site, kind)
 
 
 def nearest(points: DataFrame, sites: DataFrame, miles: float, point: str = "id", site: str = "site") -> DataFrame:
@@ -92,19 +91,18 @@ def surroundings(points: DataFrame, sites: DataFrame, miles: float, rank: str, p
 
 
 def in_shapes(points: DataFrame, shapes: DataFrame, size: float, point: str = "id", shape: str = "shape") -> DataFrame:
-    """(point, shape) for each point inside a shape: joined on cells of its extent, then tested.
+    """(point, shape) for each point inside a shape, across the date line too: joined on the cells of its cover.
 
-    Shapes have `ring`, one ring, or `rings`, the rings of all their parts and holes.  Only
-    ids travel with the cells; rings join the pairs that are left.
+    Shapes have `ring`, one closed ring, or `rings`, the rings of all their parts and holes.
+    `size` is the smallest cell, in degrees.  Points in cells within a shape are taken as
+    they are; for those on its border the rings, whose ids alone travel with the cells,
+    join and are tested.
     """
-    rings = F.col("rings") if "rings" in shapes.columns else F.array("ring")
-    box = geo.bounds(F.flatten(rings))
-    span = lambda a, b: F.sequence(F.floor(a / size).cast("int"), F.floor(b / size).cast("int"))
-    covered = F.flatten(F.transform(span(box["south"], box["north"]), lambda y: F.transform(span(box["west"], box["east"]), lambda x: F.struct(y.alias("gy"), x.alias("gx")))))
-    placed = shapes.select(shape, F.explode(covered).alias("cell"))
-    asked = points.select(point, "latitude", "longitude", geo.grid(F.col("latitude"), F.col("longitude"), size).alias("cell"))
-    pairs = asked.join(placed, "cell").join(shapes.select(shape, rings.alias("_rings")), shape)
-    return pairs.where(geo.in_rings(F.col("longitude"), F.col("latitude"), F.col("_rings"))).select(point, shape)
+    given = shapes.select(shape, (F.col("rings") if "rings" in shapes.columns else F.array("ring")).alias("rings"))
+    met = in_covers(points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()), covers(given, size, shape), size, point, shape)
+    tested = met.where(~F.col("inside")).join(given.select(shape, geo.unwrapped_rings(F.col("rings")).alias("_rings")), shape)
+    border = tested.where(geo.in_rings(F.col("_x"), F.col("_y"), F.col("_rings"))).select(point, shape)
+    return met.where("inside").select(point, shape).unionByName(border)
 
 
 def shapes_of(points: DataFrame, shapes: DataFrame, size: float, point: str = "id", shape: str = "shape") -> DataFrame:
@@ -143,11 +141,8 @@ def circle_groups(circles: DataFrame, miles: float, key: str = "id") -> DataFram
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, point: str = "id", line: str = "line") -> DataFrame:
-    """(point, line, miles): the nearest reference line, ties to the smaller; points meet the lines block by block, without a shuffle of them."""
-    blocks = F.broadcast(_in_blocks(lines.select(line, "path"), [line, "path"]))
-    apart = lambda r: F.struct(geo.miles_to_line(F.col("latitude"), F.col("longitude"), r["path"]).alias("miles"), r[line].alias(line))
-    met = points.crossJoin(blocks).select(point, F.array_min(F.transform("_rows", apart)).alias("_b"))
-    return met.groupBy(point).agg(F.min("_b").alias("_b")).select(point, F.col(f"_b.{line}").alias(line), F.col("_b.miles").alias("miles"))
+    """(point, line, miles): the nearest line (path: vertices x, y), however far, on a flat map around the point; ties to the smaller."""
+    return nearest_join(points, lines.withColumn("area", F.lit(False)), Flat(), point, line)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
