@@ -1,79 +1,89 @@
-"""Claims in free text: a vocabulary of phrases, denials, prospects, and conflicts.
+"""Claims in free text: phrases of a vocabulary, what denies or doubts them, and conflicts.
 
-A text falls into sentences, and a sentence at each phrase of a field: what lies
-between phrases is what denies or doubts them.
+A text falls into sentences, and each is read once for all phrases by an automaton, in
+Arrow batches.  What stands near a phrase within its sentence decides whether it claims
+its value, claims that there is none, or only tells of a prospect.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.text import READ_LIMIT, sentences
-
-#: field -> value -> phrases in lower case, single spaces for any white space.
-VOCABULARY = {
-    "water": {
-        "well": ("well", "private well", "domestic well", "well water", "water well"),
-        "shared well": ("shared well", "community well"),
-        "city": ("city water", "town water", "public water", "municipal water"),
-        "co-op": ("co-op water", "rural water", "community water"),
-        "hauled": ("hauled water", "haul water", "cistern"),
-        "none": ("no water",),
-    },
-    "sewer": {"septic": ("septic", "septic tank", "septic system"), "city": ("city sewer", "town sewer", "public sewer", "municipal sewer"), "none": ("no sewer",)},
-    "heating": {
-        "gas": ("gas heat", "gas furnace", "propane heat", "propane furnace"),
-        "electric": ("electric heat", "baseboard heat", "heat pump", "mini-split", "mini split"),
-        "wood": ("wood stove", "wood-burning stove", "pellet stove", "wood heat"),
-        "radiant": ("radiant heat", "radiant floor heat", "in-floor heat"),
-    },
-    "cooling": {"central": ("central air", "central a/c", "refrigerated air"), "evaporative": ("swamp cooler", "evaporative cooler"), "mini-split": ("mini-split", "mini split")},
-    "gas": {"natural": ("natural gas",), "propane": ("propane", "propane tank")},
-    "roof": {"metal": ("metal roof", "steel roof"), "shingle": ("shingle roof", "asphalt shingles"), "tile": ("tile roof",), "flat": ("flat roof",)},
-    "internet": {"fiber": ("fiber internet", "fibre internet", "fiber optic"), "cable": ("cable internet",), "satellite": ("satellite internet",)},
-}
+from tidemark.functions.text import READ_LIMIT
+from tidemark.operators.vocabulary import VOCABULARY, Automaton, Claim, Template, phrases
 
-# The words that deny a claim or tell of a prospect, and how far they reach.
 NONE = "none"
+#: Characters within which a denial stands before a claim, or disuse after it, and a prospect on either side.
 BEFORE, AFTER, AROUND = 12, 24, 60
-DENIED_BEFORE = rf"\b(no|not|never|without|lacks?|lacking|minus)\b[^.;,]{{0,{BEFORE}}}$"
-DENIED_AFTER = rf"^[^.;]{{0,{AFTER}}}\b(removed|abandoned|disconnected|capped|dry|non-?functional|inoperable|not\s+working|does\s+not\s+work|no\s+longer)\b"
-PROSPECT = (
-    r"\b(needed|needs|need|required\s+to|nearby|available|availability"
-    r"|would|could|will\s+be|can\s+be|must\s+be|to\s+be\s+\w+ed"
-    r"|future|planned|proposed|in\s+the\s+road|at\s+the\s+road"
-    r"|to\s+the\s+(lot|property)\s+line"
-    r"|yet|coming|extends|extending|approximately|\d+\s*(ft|feet|miles?)\b"
-    r"|(spot|space|venting|vent|plumbing|plumbed|wiring|wired|roughed\s+in|stubbed\s+(in|out))\s+for)\b"
-)
 
-#: Characters that are looked at on either side of a claim.
-_SIGHT = 100
+#: Words that deny what follows them.
+DENIALS = ("cannot", "lack", "lacking", "lacks", "minus", "neither", "never", "no", "nor", "not", "without")
+#: What is said after a thing that no longer serves.
+DISUSE = (
+    "abandoned", "capped", "dead", "decommissioned", "disconnected", "does not work", "doesn't work", "dry", "failed", "inoperable", "no longer",
+    "non functional", "non-functional", "nonfunctional", "not working", "out of order", "out of service", "removed", "shut off", "torn out", "unusable",
+)
+#: What makes a claim a prospect, by kind: wants, offers, conditions, plans, places on the way, and room for a thing.
+PROSPECTS = {
+    "want": ("need", "needed", "needs", "required to", "requires"),
+    "offer": ("availability", "available", "close by", "nearby"),
+    "condition": ("can be", "could", "may be", "might", "must be", "will be", "would"),
+    "plan": ("coming", "future", "planned", "proposed", "someday", "yet"),
+    "place": ("approximately", "at the road", "at the street", "extending", "extends", "in the road", "in the street", "to the lot line", "to the property line"),
+    "room": tuple(f"{x} for" for x in ("plumbed", "plumbing", "roughed in", "space", "spot", "stubbed in", "stubbed out", "vent", "venting", "wired", "wiring")),
+}
+
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def _terms(*words: str, more: str = "") -> re.Pattern[str]:
+    """Finds whole-word terms wherever they begin, overlapping ones too."""
+    return re.compile(r"(?<!\w)(?=((?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + more + r")(?!\w)))")
+
 
+_DENIAL, _DISUSE = _terms(*DENIALS), _terms(*DISUSE)
+#: A distance to it, and what is still to be done, are prospects too.
+_PROSPECT = _terms(*(w for words in PROSPECTS.values() for w in words), more=r"|\d+ ?(?:ft|feet|mile|miles)|to be \w+ed")
 
-def phrase_pattern(values: Mapping[str, tuple[str, ...]]) -> str:
-    """Any phrase of a field: the leftmost, of those that begin there the longest."""
-    phrases = sorted({p for ps in values.values() for p in ps}, key=lambda p: (-len(p), p))
-    return r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in phrases) + r")\b"
 
+def _spans(pattern: re.Pattern[str], sentence: str) -> list[tuple[int, int]]:
+    return [m.span(1) for m in pattern.finditer(sentence)]
 
-def _value_of(phrase: Column, values: Mapping[str, tuple[str, ...]]) -> Column:
-    known = [F.lit(x) for value, ps in values.items() for p in ps for x in (p, value)]
-    return F.element_at(F.create_map(*known), F.regexp_replace(phrase, r"\s+", " "))
 
+def verdict(sentence: str, claim: Claim) -> str | None:
+    """The value that a claim makes in its sentence, `none` if it is denied, nothing if it is denied to be none or a prospect."""
+    near = sentence[max(0, claim.start - BEFORE - 20) : claim.start]
+    denied = any(len(near) - end <= BEFORE and not re.search("[.;,]", near[end:]) for _, end in _spans(_DENIAL, near))
+    after = sentence[claim.end : claim.end + AFTER + 30]
+    denied = denied or any(start <= AFTER and not re.search("[.;]", after[:start]) for start, _ in _spans(_DISUSE, after))
+    if denied:
+        return None if claim.value == NONE else NONE
+    if claim.value == NONE:
+        return NONE
+    low, high = max(0, claim.start - AROUND), claim.end + AROUND
+    hoped = any(low <= start + low0 and end + low0 <= high for low0 in (max(0, low - 1),) for start, end in _spans(_PROSPECT, sentence[low0 : high + 1]))
+    return None if hoped else claim.value
 
-def _in_sentence(sentence: Column, name: str, values: Mapping[str, tuple[str, ...]]) -> Column:
-    """(field, hits, gaps) of one field: its phrases in order, and what lies before, between and after them."""
-    pattern = phrase_pattern(values)
-    return F.struct(F.lit(name).alias("field"), F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0)).alias("hits"), F.split(sentence, pattern, -1).alias("gaps"))
 
+def read(text: str | None, automaton: Automaton, limit: int | None = READ_LIMIT) -> Iterator[tuple[str, str, str, str]]:
+    """(field, value, phrase, evidence) of each claim of one text, in lower case and single blanks."""
+    bounded = (text or "").strip()
+    for part in _SENTENCE_END.split(bounded[:limit] if limit else bounded):
+        sentence = " ".join(part.lower().split())
+        for claim in automaton.claims(sentence):
+            value = verdict(sentence, claim)
+            if value is not None:
+                yield claim.field, value, sentence[claim.start : claim.end], sentence
 
-def found(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
-    """(id, field, value, evidence): one row for each claim, in no order, with its sentence on one line, in lower case.
+
+def found(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[Template, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
+    """(id, field, value, phrase, evidence): one row for each claim, in no order, with its phrase and its sentence on one line, in lower case.
 
     Of overlapping phrases of a field the one that begins first counts, then the longest.
     A denied claim claims `none`; a denied `none` nothing.  A prospect within 60
@@ -81,32 +91,24 @@ def found(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...
     first `limit` characters, as descriptions are read, or whole texts for None.  A null
     or empty text claims nothing; repeated rows claim again.
     """
-    read = F.lower(F.regexp_replace("text", r"^\s+", ""))
-    read = F.substring(read, 1, limit) if limit else read
-    anything = "|".join(phrase_pattern(values) for values in vocabulary.values())
-    told = texts.select("id", F.explode(sentences(read)).alias("sentence")).where(F.col("sentence").rlike(anything))
-    by_field = told.select("id", "sentence", F.inline(F.array(*[_in_sentence(F.col("sentence"), name, values) for name, values in vocabulary.items()])))
-
-    # as a phrase has some characters, so many neighbours fill what is looked at
-    near = 1 + _SIGHT // min(len(p) for values in vocabulary.values() for ps in values.values() for p in ps)
-    hits, gaps = F.col("hits"), F.col("gaps")
-
-    def claim(hit: Column, i: Column) -> Column:
-        together = lambda start, n: F.array_join(F.zip_with(F.slice(gaps, start, n), F.slice(hits, start, n), lambda gap, h: F.concat(gap, F.coalesce(h, F.lit("")))), "")
-        before = F.concat(together(F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), F.get(gaps, i))
-        after = together(i + 2, F.lit(near))
-        return F.struct(hit.alias("phrase"), F.right(before, F.lit(_SIGHT)).alias("before"), F.left(after, F.lit(_SIGHT)).alias("after"))
-
-    seen = by_field.where(F.size("hits") > 0).select("id", "field", "sentence", F.inline(F.transform(hits, claim)))
-    own = F.coalesce(*[F.when(F.col("field") == name, _value_of(F.col("phrase"), values)) for name, values in vocabulary.items()])
-    denied = F.col("before").rlike(DENIED_BEFORE) | F.col("after").rlike(DENIED_AFTER)
-    hoped = F.concat(F.right("before", F.lit(AROUND)), "phrase", F.left("after", F.lit(AROUND))).rlike(PROSPECT)
-    value = F.when(denied, F.when(own != NONE, NONE)).when(own == NONE, own).when(~hoped, own)
-    line = F.trim(F.regexp_replace("sentence", r"\s+", " "))
-    return seen.select("id", "field", value.alias("value"), line.alias("evidence")).where(F.col("value").isNotNull())
-
-
-def claims(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[str, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
+    known = texts.sparkSession.sparkContext.broadcast(phrases(vocabulary))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(known.value)
+        for batch in batches:
+            rows, out = [], []
+            for i, text in enumerate(batch.column(1)):
+                for claim in read(text.as_py(), automaton, limit):
+                    rows.append(i)
+                    out.append(claim)
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["id", "field", "value", "phrase", "evidence"])
+
+    fields = [texts.schema["id"], *(T.StructField(c, T.StringType()) for c in ("field", "value", "phrase", "evidence"))]
+    return texts.select("id", "text").mapInArrow(work, T.StructType(fields))
+
+
+def claims(texts: DataFrame, vocabulary: Mapping[str, Mapping[str, tuple[Template, ...]]] = VOCABULARY, limit: int | None = READ_LIMIT) -> DataFrame:
     """(id, field, value, conflict): one row for each field that a text makes a claim on (see `found`); two values are a conflict and no value."""
     n = F.size(F.collect_set("value"))
     return found(texts, vocabulary, limit).groupBy("id", "field").agg(F.when(n == 1, F.first("value")).alias("value"), (n > 1).alias("conflict"))

@@ -203,22 +203,23 @@ def default_window(spark, sf_dir):
 # addresses and places
 
 
-@query("parsed_addresses", """SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS number, (['sable', 'halstead', 'ave n', 'hwy ' || s_nationkey, NULL])[s_suppkey % 5 + 1] AS street,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'b' END AS unit, CASE WHEN s_suppkey % 5 <> 4 THEN '880' || (10 + s_nationkey) || '|' || s_suppkey || '|' || (['sable', 'halstead', 'ave n', 'hwy ' || s_nationkey])[s_suppkey % 5 + 1] END AS bare_key FROM supplier WHERE s_suppkey > 0""")
+@query("parsed_addresses", """SELECT s_suppkey, nullif(CAST(s_suppkey AS VARCHAR), '0') AS number, (['fennel', 'marigold', 'ave n', 'hwy ' || s_nationkey, NULL])[s_suppkey % 5 + 1] AS street,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'b' END AS unit, CASE WHEN s_suppkey <> 0 AND s_suppkey % 5 <> 4 THEN '880' || (10 + s_nationkey) || '|' || s_suppkey || '|' || (['fennel', 'marigold', 'ave n', 'hwy ' || s_nationkey])[s_suppkey % 5 + 1] END AS bare_key FROM supplier""")
 def parsed_addresses(spark, sf_dir):
-    streets = F.array(F.lit("N. Sable Ave"), F.lit("Halstead Parkway Dr"), F.lit("Avenue N"), F.concat(F.lit("Highway "), F.col("s_nationkey"), F.lit(" N")), F.lit("Block 2 Lot 3"))
+    """Suppliers at made addresses; the number 0 stands for none."""
+    streets = F.array(F.lit("N. Fennel Ave"), F.lit("Marigold Parkway Dr"), F.lit("Avenue N"), F.concat(F.lit("Highway "), F.col("s_nationkey"), F.lit(" N")), F.lit("Tract 9 Lot 14"))
     line = F.concat(F.col("s_suppkey"), F.lit(" "), F.element_at(streets, (F.col("s_suppkey") % 5 + 1).cast("int")), F.when((F.col("s_suppkey") % 4 == 0), " Apt. B").otherwise(""))
     told = ad.parsed(line, F.when(F.col("s_suppkey") % 4 == 2, "# B"), F.concat(F.lit("880"), F.col("s_nationkey") + 10, F.lit("-1234")))
-    return w.table(spark, sf_dir, "supplier").where("s_suppkey > 0").select("s_suppkey", told.alias("a")).select("s_suppkey", "a.number", "a.street", "a.unit", "a.bare_key")
+    return w.table(spark, sf_dir, "supplier").select("s_suppkey", told.alias("a")).select("s_suppkey", "a.number", "a.street", "a.unit", "a.bare_key")
 
 
 @query("named_addresses", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 7 AND (s_suppkey % 3 = 0 OR s_suppkey % 3 = 1)")
 def named_addresses(spark, sf_dir):
-    """Suppliers at the house 107 Sable, unit 4, of whatever form: another unit is another home, none is no contradiction."""
+    """Suppliers at the house 107 Fennel, unit 4, of whatever form: another unit is another home, none is no contradiction."""
     k = F.col("s_suppkey")
-    line = F.concat(F.col("s_nationkey") + 100, F.when(k % 2 == 0, " Sable Street").otherwise(" sable ave"), F.when(k % 3 == 0, " #4").when(k % 3 == 1, "").otherwise(" Unit 5"))
+    line = F.concat(F.col("s_nationkey") + 100, F.when(k % 2 == 0, " Fennel Street").otherwise(" fennel ave"), F.when(k % 3 == 0, " #4").when(k % 3 == 1, "").otherwise(" Unit 5"))
     have = ad.parsed(line, F.lit(None).cast("string"), F.when(k % 2 == 0, "88001"))
-    want = ad.parsed(F.lit("107 Sable St"), F.lit("Apt 4"), F.lit("88001"))
+    want = ad.parsed(F.lit("107 Fennel St"), F.lit("Apt 4"), F.lit("88001"))
     return w.table(spark, sf_dir, "supplier").where(ad.is_address(have, want)).select("s_suppkey")
 
 
