@@ -45,6 +45,22 @@ def presence_asof(snapshots: DataFrame, runs: DataFrame, run: int, key: str = "e
     return seen.crossJoin(F.broadcast(last_healthy)).select(key, "last_seen", F.when(gone, "disappeared").otherwise("observed").alias("presence"))
 
 
+def presence_events(snapshots: DataFrame, runs: DataFrame, key: str = "entity", seq: str = "run_seq") -> DataFrame:
+    """(entity, run_seq, event): every disappearance and return.
+
+    An entity disappears in the first healthy run after a sighting that didn't see it, and
+    returns with its next sighting.  runs: (run_seq, healthy).  Each sighting looks up the
+    next healthy run and the entity's next sighting; rows without an entity are nobody's.
+    """
+    healthy = F.when(F.col("healthy"), F.col(seq))
+    ahead = runs.groupBy(seq).agg(F.bool_and("healthy").alias("healthy")).select(F.col(seq).alias("_run"), F.min(healthy).over(W.orderBy(seq).rowsBetween(1, W.unboundedFollowing)).alias("_next_healthy"))
+    seen = snapshots.where(F.col(key).isNotNull()).select(key, seq).distinct()
+    told = seen.withColumn("_next", F.lead(seq).over(W.partitionBy(key).orderBy(seq))).join(ahead, F.col(seq) == F.col("_run"))
+    gone = told.where(F.col("_next_healthy").isNotNull() & (F.col("_next").isNull() | (F.col("_next_healthy") < F.col("_next"))))
+    both = F.array(F.struct(F.col("_next_healthy").alias(seq), F.lit("disappeared").alias("event")), F.struct(F.col("_next").alias(seq), F.lit("returned").alias("event")))
+    return gone.select(key, F.inline(F.filter(both, lambda e: e[seq].isNotNull())))
+
+
 def field_changes(fields: Sequence[str], before: str, after: str) -> Column:
     """Array of (field, before, after) as text for the fields that differ, null-safely."""
     entries = [
@@ -55,8 +71,12 @@ def field_changes(fields: Sequence[str], before: str, after: str) -> Column:
 
 
 def by_source(observations: DataFrame, fields: Sequence[str], key: str = "entity", order: Sequence[str] = ("event_id",)) -> DataFrame:
-    """(key, run_seq, rows): for each entity and run the first row of every source, as a map by source."""
-    first = observations.groupBy(key, "run_seq", "source").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_row"))
+    """(key, run_seq, rows): for each entity and run the first row of every source, as a map by source.
+
+    Rows without an entity are nobody's and are left out; those without a source are of a source of their own.
+    """
+    named = observations.where(F.col(key).isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    first = named.groupBy(key, "run_seq", "source").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_row"))
     return first.groupBy(key, "run_seq").agg(F.map_from_entries(F.collect_list(F.struct("source", "_row"))).alias("rows"))
 
 
@@ -68,7 +88,7 @@ def compare(observations: DataFrame, runs: DataFrame, target: int, baseline: int
     `target`, gone if that run was healthy and they hadn't disappeared before.  What is
     compared are the rows of the first source, in order, that both sides share.  A
     changed price tells its amount, without a sign, and its direction where both prices
-    are known.  Without a baseline all is new, or, where the search's definition was
+    are known.  Rows without an entity are nobody's; no source is a source too.  Without a baseline all is new, or, where the search's definition was
     reset, there is no event at all.
     """
     told = [*fields, price] if price not in fields else list(fields)
@@ -117,7 +137,7 @@ def movements(snapshots: DataFrame, observations: DataFrame, steps: DataFrame, k
     row of the later snapshot's source in the earlier run; without one nothing is told.
     """
     steps = steps.where(F.col("previous_seq").isNotNull()).select("run_seq", "previous_seq")
-    after = snapshots.join(F.broadcast(steps), "run_seq").select(key, "run_seq", "previous_seq", F.struct(price, status, "source").alias("_after"))
+    after = snapshots.join(steps, "run_seq").select(key, "run_seq", "previous_seq", F.struct(price, status, "source").alias("_after"))
     before = snapshots.select(key, F.col("run_seq").alias("previous_seq"), F.struct(price, status, "source").alias("_snapshot"))
     moved = after.join(before, [key, "previous_seq"])
     same = moved.where(F.col("_snapshot.source").eqNullSafe(F.col("_after.source"))).withColumn("_before", F.struct(f"_snapshot.{price}", f"_snapshot.{status}"))
@@ -166,14 +186,14 @@ def identity_of_run(frozen: DataFrame, live: DataFrame, run: int) -> DataFrame:
 
 def seen_by_search(snapshots: DataFrame, runs: DataFrame, live: DataFrame, search: str, key: str = "entity") -> DataFrame:
     """Live entities that a completed run of a search has observed, whatever its revision, followed through merges."""
-    own = F.broadcast(runs.where((F.col("search") == search) & (F.col("status") == "completed")).select("run_seq"))
+    own = runs.where((F.col("search") == search) & (F.col("status") == "completed")).select("run_seq")
     seen = snapshots.join(own, "run_seq", "left_semi").select(F.col(key).alias("_id")).distinct()
     return seen.join(live, seen["_id"] == live["id"], "left").select(F.coalesce("live", "_id").alias(key)).distinct()
 
 
 def observed_as(snapshots: DataFrame, runs: DataFrame, live: DataFrame, key: str = "entity") -> DataFrame:
     """Snapshots of completed runs with each run's search and the entity's live id."""
-    done = F.broadcast(runs.where(F.col("status") == "completed").select("run_seq", "search", "revision"))
+    done = runs.where(F.col("status") == "completed").select("run_seq", "search", "revision")
     named = live.select(F.col("id").alias(key), "live")
     return snapshots.join(done, "run_seq").join(named, key)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.sources.tables import Rounds, delete, store_at
+from tidemark.sources.tables import Rounds, Scratch, delete, store_at, stored
 
 
 def closure(edges: DataFrame, child: str = "id", parent: str = "superseded_by", max_rounds: int = 60) -> DataFrame:
@@ -37,29 +37,74 @@ def constituents(closed: DataFrame) -> DataFrame:
     return closed.groupBy("live").agg(F.count("*").alias("constituents"))
 
 
-def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component): smallest node of the component, by the smallest label among neighbours and pointer jumping."""
-    both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(pairs.select(F.col(b).alias("a"), F.col(a).alias("b")))
-    links, links_path = store_at(both.where(F.col("a") != F.col("b")).distinct())
+#: Edges from which a round stores what it joins them with, so that Spark can split a hub's edges; below, they are few enough to be sent.
+HUB_EDGES = 5_000_000
+
+
+def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+    """(node, component): smallest node of the component, for every node that has another as a neighbour.
+
+    Alternating stars: every edge's larger end moves to the least neighbour of its smaller
+    end, then all smaller neighbours of a node to the least of them, until only stars
+    around the smallest nodes are left.  No node's neighbours are ever collected.  A large
+    graph's rounds store what the edges are joined with, one row a node: Spark then splits
+    the edges of a hub over tasks, which it can do only where both sides are exchanged as
+    they are.
+    """
     rounds = Rounds()
-    labels = rounds.store(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("component")))
+    ends = pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("_up"), F.least(a, b).alias("_low"))
+    edges = rounds.store(ends.distinct().withColumn("_moved", F.lit(True)))
+    large = edges.count() > HUB_EDGES
     for _ in range(max_rounds):
-        near = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("_n")).agg(F.min("component").alias("_low"))
-        lower = labels.join(near, labels["node"] == near["_n"]).select("node", F.col("component").alias("_old"), F.least("component", "_low").alias("_up"))
-        jump = labels.select(F.col("node").alias("_m"), F.col("component").alias("_above"))
-        labels = rounds.store(lower.join(jump, lower["_up"] == jump["_m"], "left").select("node", F.least("_up", F.coalesce("_above", "_up")).alias("component"), "_old"))
-        if not labels.where(F.col("component") != F.col("_old")).limit(1).count():
-            delete(pairs.sparkSession, links_path)
-            return labels.select("node", "component")
-        labels = labels.drop("_old")
+        with Scratch() as scratch:
+            keep = scratch if large else lambda df: df
+            both = edges.select(F.col("_low").alias("_n"), F.col("_up").alias("_other")).unionByName(edges.select(F.col("_up").alias("_n"), F.col("_low").alias("_other")))
+            near = keep(both.groupBy("_n").agg(F.min("_other").alias("_m")).where(F.col("_m") < F.col("_n")))
+            joined = edges.drop("_moved").join(near, F.col("_low") == F.col("_n"), "left")
+            up = keep(joined.select("_up", F.coalesce("_m", "_low").alias("_low"), F.col("_m").isNotNull().alias("_moved")).groupBy("_up", "_low").agg(F.max("_moved").alias("_moved")))
+            least = keep(up.groupBy(F.col("_up").alias("_n")).agg(F.min("_low").alias("_m")))
+            small = up.join(least, F.col("_up") == F.col("_n"))
+            down = small.where(F.col("_low") > F.col("_m")).select(F.col("_low").alias("_up"), F.col("_m").alias("_low"), F.lit(True).alias("_moved"))
+            own = small.select("_up", F.col("_m").alias("_low"), "_moved")
+            edges = rounds.store(own.unionByName(down).groupBy("_up", "_low").agg(F.max("_moved").alias("_moved")))
+        if not edges.where("_moved").limit(1).count():
+            root = F.col("_low").alias("node")
+            return edges.select(F.col("_up").alias("node"), F.col("_low").alias("component")).unionByName(edges.select(root, F.col("_low").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id") -> DataFrame:
-    """Unordered pairs of ids that share one of a row's blocking keys, each pair once."""
-    keyed = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.array_compact(keys))).alias("block")).distinct()
-    left, right = keyed.select(F.col("id").alias("a"), "block"), keyed.select(F.col("id").alias("b"), "block")
-    return left.join(right, "block").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+def extended_components(known: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of known components and more pairs: the pairs join components, whose members are only renamed."""
+    label = lambda c, name: known.select(F.col("node").alias(f"_{name}"), F.col("component").alias(name))
+    joined = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where(F.col("_a") != F.col("_b")).join(label(known, "la").withColumnRenamed("_la", "_a"), "_a", "left").join(label(known, "lb").withColumnRenamed("_lb", "_b"), "_b", "left")
+    joined, path = store_at(joined.select("_a", "_b", F.coalesce("la", "_a").alias("la"), F.coalesce("lb", "_b").alias("lb")))
+    roots = connected_components(joined, "la", "lb").select(F.col("node").alias("_label"), F.col("component").alias("_root"))
+    fresh = joined.select(F.col("_a").alias("node")).unionByName(joined.select(F.col("_b").alias("node"))).distinct().join(known.select("node"), "node", "left_anti")
+    every = known.select("node", "component").unionByName(fresh.select("node", F.col("node").alias("component")))
+    out = stored(every.join(roots, F.col("component") == F.col("_label"), "left").select("node", F.coalesce("_root", "component").alias("component")))
+    delete(pairs.sparkSession, path)
+    return out
+
+
+#: Rows of a block that are paired in one task with as many others.
+BLOCK_ROWS = 2000
+
+
+def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Unordered pairs of ids that share one of a row's blocking keys, each pair once.
+
+    A block of more than block_rows rows is cut into parts by a hash of the id, and every
+    two of its parts are a block of their own, so none is one task's.  A pair is given by
+    the smallest key that both have, which is why no pair has to be looked for twice.
+    """
+    own = F.array_sort(F.array_distinct(F.array_compact(keys)))
+    keyed = rows.select(F.col(key).alias("id"), own.alias("keys")).distinct().select("id", "keys", F.explode("keys").alias("block"))
+    large = keyed.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > block_rows).select("block", F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
+    dealt = keyed.join(large, "block", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    left = dealt.select("block", F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"), F.col("id").alias("_a"), F.col("keys").alias("_ka"))
+    right = dealt.select("block", F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"), F.col("_part").alias("_j"), F.col("id").alias("_b"), F.col("keys").alias("_kb"))
+    met = left.join(right, ["block", "_i", "_j"]).where((F.col("_i") < F.col("_j")) & (F.col("_a") != F.col("_b")) | (F.col("_i") == F.col("_j")) & (F.col("_a") < F.col("_b")))
+    return met.where(F.col("block") == F.array_min(F.array_intersect("_ka", "_kb"))).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
 
 
 def _notes(*pairs: tuple[Column, str]) -> Column:
@@ -121,13 +166,17 @@ def decide(signals: DataFrame) -> DataFrame:
 BY_PERSON, BY_PARCEL, BY_RULES = "a person decided it", "the same parcel number", "address and place agree"
 
 
-def merge_pass(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merges and questions of one pass over decided pairs (a, b, decision, parcel, by_person).
+def merge_pass(decided: DataFrame, answered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merges and questions of one pass over decided pairs (a, b, decision, parcel, by_person, and the notes agreed and conflicted).
 
     merges: (component, members, join_signal), a group of matched records of which every
-    pair matched.  questions: (members), sorted: every other group, whole, as one
-    question, and each ambiguous pair of which neither record is in a group.
+    pair matched.  questions: (members, agreed, conflicted, uncompared), sorted: every
+    other group, whole, as one question, and each ambiguous pair of which neither record
+    is in a group; with the notes of all its pairs, and how many of these nobody compared.
+    What a person answered before is not asked again.  answered: (members), of any number,
+    in any order.
     """
+    decided = decided if "agreed" in decided.columns else decided.withColumns({c: F.array().cast("array<string>") for c in ("agreed", "conflicted")})
     matched = decided.where(F.col("decision") == "matched").select("a", "b")
     groups = connected_components(matched)
     complete = complete_groups(matched, groups)
@@ -138,8 +187,19 @@ def merge_pass(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = members.join(complete.select("component", "complete"), "component").join(why, "component", "left")
     merges = told.where("complete").select("component", "members", F.coalesce("_why", F.lit(BY_RULES)).alias("join_signal"))
     grouped = groups.select("node")
-    loose = decided.where(F.col("decision") == "ambiguous").select("a", "b").join(grouped, F.col("a") == F.col("node"), "left_anti").join(grouped, F.col("b") == F.col("node"), "left_anti")
-    questions = told.where(~F.col("complete")).select("members").unionByName(loose.select(F.array_sort(F.array("a", "b")).alias("members")))
+    other = groups.select(F.col("node").alias("_other"), F.col("component").alias("_component"))
+    all_notes = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)  # noqa: E731  of a closed list
+    compared = (
+        decided.join(groups, decided["a"] == groups["node"]).join(other, (F.col("b") == F.col("_other")) & (F.col("component") == F.col("_component")))
+        .groupBy("component").agg(all_notes("agreed"), all_notes("conflicted"), F.count("*").alias("_compared"))
+    )
+    n = F.size("members")
+    open_ = told.where(~F.col("complete")).join(compared, "component", "left").select("members", "agreed", "conflicted", (n * (n - 1) / 2 - F.col("_compared")).cast("bigint").alias("uncompared"))
+    loose = decided.where(F.col("decision") == "ambiguous").join(grouped, F.col("a") == F.col("node"), "left_anti").join(grouped, F.col("b") == F.col("node"), "left_anti")
+    pairs = loose.select(F.array_sort(F.array("a", "b")).alias("members"), F.array_sort("agreed").alias("agreed"), F.array_sort("conflicted").alias("conflicted"), F.lit(0).cast("bigint").alias("uncompared"))
+    questions = open_.unionByName(pairs)
+    if answered is not None:
+        questions = questions.join(answered.select(F.array_sort("members").alias("members")).distinct(), "members", "left_anti")
     return merges, questions
 
 
@@ -181,7 +241,8 @@ def override(decided: DataFrame, verdicts: DataFrame) -> DataFrame:
     last = verdicts.groupBy("a", "b").agg(F.max_by("verdict", "seq").alias("_verdict"))
     joined = decided.join(last, ["a", "b"], "left")
     said = F.col("_verdict").isNotNull()
-    return joined.select("a", "b", F.coalesce("_verdict", "decision").alias("decision"), (said & (F.col("_verdict") != F.col("decision"))).alias("contradicted"), "parcel", said.alias("by_person"))
+    notes = [c for c in ("agreed", "conflicted") if c in decided.columns]
+    return joined.select("a", "b", F.coalesce("_verdict", "decision").alias("decision"), (said & (F.col("_verdict") != F.col("decision"))).alias("contradicted"), "parcel", said.alias("by_person"), *notes)
 
 
 def complete_groups(matched: DataFrame, components: DataFrame) -> DataFrame:

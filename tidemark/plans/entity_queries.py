@@ -183,10 +183,44 @@ def merge_edges(spark, sf_dir):
     return i.merge_edges(i.merge_pass(_decided(spark, sf_dir))[0], 1).select("id", "superseded_by")
 
 
-@query("review_queue", f"""WITH RECURSIVE {_PAIR_SQL} SELECT array_to_string(nodes, ',') AS members FROM judged WHERE NOT complete
-UNION ALL SELECT a || ',' || b FROM decided WHERE decision = 'ambiguous' AND a NOT IN (SELECT node FROM groups) AND b NOT IN (SELECT node FROM groups)""")
+_QUESTION_SQL = f"""{_PAIR_SQL}, noted AS (
+  SELECT s.a, s.b, x.component, x.component = y.component AS inside, parcel, address, place FROM signals s LEFT JOIN groups x ON x.node = s.a LEFT JOIN groups y ON y.node = s.b
+), notes AS (
+  SELECT component, count(*) AS compared,
+    concat_ws(',', CASE WHEN bool_or(address = 'agreed') THEN 'address' END, CASE WHEN bool_or(parcel = 'agreed') THEN 'parcel' END, CASE WHEN bool_or(place = 'agreed') THEN 'place' END) AS agreed,
+    concat_ws(',', CASE WHEN bool_or(address = 'disagreed') THEN 'address' END, CASE WHEN bool_or(parcel = 'disagreed') THEN 'parcel' END, CASE WHEN bool_or(place = 'disagreed') THEN 'place' END) AS conflicted
+  FROM noted WHERE inside GROUP BY component
+), questions AS (
+  SELECT nodes, agreed, conflicted, CAST(members * (members - 1) / 2 AS BIGINT) - compared AS uncompared FROM judged JOIN notes USING (component) WHERE NOT complete
+  UNION ALL SELECT [a, b], concat_ws(',', CASE WHEN address = 'agreed' THEN 'address' END, CASE WHEN parcel = 'agreed' THEN 'parcel' END, CASE WHEN place = 'agreed' THEN 'place' END),
+    concat_ws(',', CASE WHEN address = 'disagreed' THEN 'address' END, CASE WHEN parcel = 'disagreed' THEN 'parcel' END, CASE WHEN place = 'disagreed' THEN 'place' END), 0
+  FROM signals JOIN decided USING (a, b, parcel) WHERE decision = 'ambiguous' AND a NOT IN (SELECT node FROM groups) AND b NOT IN (SELECT node FROM groups)
+)"""
+
+
+def _questions(found):
+    return found.select(*[F.array_join(c, ",").alias(c) for c in ("members", "agreed", "conflicted")], "uncompared")
+
+
+@query("review_queue", f"WITH RECURSIVE {_QUESTION_SQL} SELECT array_to_string(nodes, ',') AS members, agreed, conflicted, uncompared FROM questions")
 def review_queue(spark, sf_dir):
-    return i.merge_pass(_decided(spark, sf_dir))[1].select(F.array_join("members", ",").alias("members"))
+    return _questions(i.merge_pass(_decided(spark, sf_dir))[1])
+
+
+@query("open_questions", f"WITH RECURSIVE {_QUESTION_SQL} SELECT array_to_string(nodes, ',') AS members, agreed, conflicted, uncompared FROM questions WHERE nodes[1] % 2 = 1")
+def open_questions(spark, sf_dir):
+    """Questions that are left when those with an even first member, groups of any number, were answered."""
+    decided = _decided(spark, sf_dir)
+    first = i.merge_pass(decided)[1].select(F.reverse("members").alias("members")).where(F.element_at("members", -1) % 2 == 0)
+    return _questions(i.merge_pass(decided, first)[1])
+
+
+@query("grown_components", f"WITH RECURSIVE {_PAIR_SQL} SELECT node, component FROM groups")
+def grown_components(spark, sf_dir):
+    """Match groups of a half of the pairs, kept up with the other half."""
+    matched = _decided(spark, sf_dir).where("decision = 'matched'").select("a", "b")
+    half = F.pmod(F.xxhash64("a", "b"), F.lit(2))
+    return i.extended_components(i.connected_components(matched.where(half == 0)), matched.where(half == 1))
 
 
 @query("fullest_row", """WITH r AS (SELECT c_custkey, c_custkey // 4 AS live, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS a, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as h
@@ -295,3 +297,54 @@ def source_observations(spark, sf_dir):
     wanted = w.snapshots(spark, sf_dir).where(F.col("run_seq").isin(2, 3)).select("entity", "run_seq")
     rows = w.observations(spark, sf_dir).join(wanted, ["entity", "run_seq"], "left_semi")
     return h.first_per_key(rows, ["entity", "run_seq", "source"], ["ts", "event_id"]).select("entity", "run_seq", "source", "event_id")
+
+
+_EVENTS_SQL = f"""WITH {w.OBS_SQL}, s AS (SELECT entity, run_seq, lead(run_seq) OVER (PARTITION BY entity ORDER BY run_seq) AS following FROM (SELECT DISTINCT entity, run_seq FROM snap)),
+t AS (SELECT s.entity, s.following, min(h.run_seq) AS missed FROM s JOIN health h ON h.healthy AND h.run_seq > s.run_seq GROUP BY s.entity, s.run_seq, s.following)
+SELECT entity, missed AS run_seq, 'disappeared' AS event FROM t WHERE following IS NULL OR missed < following UNION ALL SELECT entity, following, 'returned' FROM t WHERE missed < following"""
+
+
+@query("presence_events", _EVENTS_SQL)
+def presence_events(spark, sf_dir):
+    return h.presence_events(w.snapshots(spark, sf_dir), w.healthy(spark, sf_dir))
+
+
+@query("streamed_presence", _EVENTS_SQL)
+def streamed_presence(spark, sf_dir):
+    """The same events from a stream that is stopped after half of the runs, told the first half again, and gone on with."""
+    from tidemark.streaming.presence import presence_stream, use_state
+
+    use_state(spark)
+    base = f"{tables.shared_folder(spark)}/presence-{uuid.uuid4().hex}"
+    seen, ends = w.snapshots(spark, sf_dir).select("entity", "run_seq"), w.healthy(spark, sf_dir)
+    kinds = {name: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) for name, rows in (("seen", seen), ("ends", ends))}
+
+    def feed(half):
+        for name, rows in (("seen", seen), ("ends", ends)):
+            rows.where(half).write.mode("append").parquet(f"{base}/{name}")
+        events = presence_stream(*(spark.readStream.schema(kinds[name]).parquet(f"{base}/{name}") for name in ("seen", "ends")), buckets=16)
+        events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    feed(F.col("run_seq") < 15)
+    feed((F.col("run_seq") >= 15) | (F.col("run_seq") < 8))
+    out = tables.stored(spark.read.schema("entity bigint, run_seq bigint, event string").parquet(f"{base}/out"))
+    tables.delete(spark, base)
+    return out
+
+
+@query("stopped_passes", """SELECT user_id AS pass_id, max(ts) AS last_beat, 'stopped' AS state FROM events GROUP BY user_id
+HAVING user_id % 4 <> 0 AND epoch_ms(max(ts)) + 48 * 3600000 < (SELECT epoch_ms(max(ts)) FROM events) - 3600000""")
+def stopped_passes(spark, sf_dir):
+    """Users as passes whose events are beats, one an hour: those that have missed 48 when the stream's watermark, an hour late, is past it."""
+    from tidemark.streaming.presence import stopped_passes, use_state
+
+    use_state(spark)
+    base = f"{tables.shared_folder(spark)}/beats-{uuid.uuid4().hex}"
+    rows = w.table(spark, sf_dir, "events").select(F.col("user_id").alias("pass_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 4 == 0).alias("finished"))
+    rows.write.parquet(f"{base}/in")
+    stream = stopped_passes(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "1 hour", 3600, 48)
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("pass_id bigint, last_beat_ms bigint, state string").parquet(f"{base}/out")
+    out = tables.stored(out.select("pass_id", F.timestamp_millis("last_beat_ms").cast("timestamp_ntz").alias("last_beat"), "state"))
+    tables.delete(spark, base)
+    return out

@@ -29,17 +29,18 @@ def query(name: str, sql: str | None = None):
 
 
 @query("entity_rows", f"""WITH {w.OBS_SQL}, latest AS (SELECT entity, run_seq, status, bucket FROM snap QUALIFY row_number() OVER (PARTITION BY entity ORDER BY run_seq DESC, event_id DESC) = 1),
-tags AS (SELECT entity, string_agg(DISTINCT status, ',' ORDER BY status) AS tags FROM snap GROUP BY entity), links AS (SELECT entity, string_agg(DISTINCT source, ',' ORDER BY source) AS links FROM obs WHERE run_seq < 9 GROUP BY entity),
-notes AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS note FROM customer WHERE c_mktsegment <> 'BUILDING')
+tags AS (SELECT entity, string_agg(DISTINCT status, ',' ORDER BY status) AS tags FROM snap GROUP BY entity), links AS (SELECT entity, coalesce(string_agg(DISTINCT CASE WHEN run_seq < 9 THEN source END, ',' ORDER BY CASE WHEN run_seq < 9 THEN source END), '') AS links FROM obs GROUP BY entity),
+notes AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 3 = 0 AND c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS note FROM customer)
 SELECT l.*, tags, links, note FROM latest l LEFT JOIN tags USING (entity) LEFT JOIN links USING (entity) LEFT JOIN notes USING (entity)""")
 def entity_rows(spark, sf_dir):
     from tidemark.operators.history import latest_per_key
 
     snaps, obs = w.snapshots(spark, sf_dir), w.observations(spark, sf_dir)
     latest = latest_per_key(snaps, ["entity"], ["run_seq", "event_id"]).select("entity", "run_seq", "status", "bucket")
-    customers = w.table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
-    notes = customers.select(F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("note"))
-    rows = ro.entity_rows(latest, tags=ro.folded(snaps, "tags", ["status"]), links=ro.folded(obs.where("run_seq < 9"), "links", ["source"]), notes=notes)
+    noted = (F.col("c_custkey") % 3 == 0) & (F.col("c_mktsegment") != "BUILDING")
+    notes = w.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.when(noted, F.col("c_mktsegment")).alias("note"))
+    early = obs.withColumn("source", F.when(F.col("run_seq") < 9, F.col("source")))
+    rows = ro.entity_rows(latest, tags=ro.folded(snaps, "tags", ["status"]), links=ro.folded(early, "links", ["source"]), notes=notes)
     return rows.select("entity", "run_seq", "status", "bucket", F.array_join("tags.tags", ",").alias("tags"), F.array_join("links.links", ",").alias("links"), F.col("notes.note").alias("note"))
 
 
@@ -108,10 +109,16 @@ def index_states(spark, sf_dir):
     return r.index_states(w.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("as_of"), F.col("o_orderkey").alias("loaded_at")))
 
 
-@query("empty_by_origin", "SELECT 'made' AS origin, 'blank,missing' AS empty FROM (SELECT count(*) AS n FROM customer) WHERE n > 0 UNION ALL SELECT 'other', 'gap'")
+@query("empty_by_origin", """WITH c AS (SELECT CASE WHEN c_acctbal > 9999.9 THEN c_name ELSE '' END AS rich, CASE WHEN c_acctbal < -999.9 THEN c_name END AS poor, CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' END AS built, CASE WHEN c_nationkey > 24 THEN 'x' END AS gap FROM customer),
+n AS (SELECT unnest(['rich', 'poor', 'built', 'gap']) AS name, unnest(['made', 'made', 'made', 'other']) AS origin, unnest([count(*) FILTER (rich <> ''), count(poor), count(built), count(gap)]) AS filled FROM c)
+SELECT origin, string_agg(name, ',' ORDER BY name) AS empty FROM n WHERE filled = 0 GROUP BY origin""")
 def empty_by_origin(spark, sf_dir):
-    c = w.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit("").alias("blank"), F.when(F.col("c_custkey") < 0, "x").alias("missing"), F.lit(None).cast("string").alias("gap"))
-    return r.empty_by_origin(r.empty_columns(c), {"blank": "made", "missing": "made", "c_custkey": "table"})
+    """Columns that no customer fills: whether any is rich or poor enough depends on the rows."""
+    balance = F.col("c_acctbal")
+    c = w.table(spark, sf_dir, "customer").select(
+        F.when(balance > 9999.9, F.col("c_name")).otherwise("").alias("rich"), F.when(balance < -999.9, F.col("c_name")).alias("poor"), F.when(F.col("c_mktsegment") == "BUILDING", "x").alias("built"), F.when(F.col("c_nationkey") > 24, "x").alias("gap")
+    )
+    return r.empty_by_origin(r.empty_columns(c), {"rich": "made", "poor": "made", "built": "made"})
 
 
 @query("clean_tags", "SELECT c_custkey % 500 AS entity, min(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END) AS tag FROM customer WHERE c_custkey % 9 <> 0 GROUP BY c_custkey % 500, lower(c_mktsegment)")

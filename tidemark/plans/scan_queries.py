@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions import text as t
 from tidemark.operators import extract, history, passes
 from tidemark.plans import worlds as w
-from tidemark.sources import planning, tables
+from tidemark.sources import paged, planning, runs, tables
 from tidemark.streaming import batches
 
 QUERIES = {}
@@ -71,19 +72,103 @@ def asked_and_left(spark, sf_dir):
     return rows.where(planning.residual(asked)).where(planning.residual(left)).select("o_orderkey")
 
 
-@query("append_and_replace", f"WITH {w.OBS_SQL} SELECT run_seq, count(*) AS n, sum(CASE WHEN run_seq = 2 THEN 1 ELSE 0 END)::BIGINT AS replaced FROM obs WHERE run_seq < 5 GROUP BY run_seq")
+@query("append_and_replace", f"WITH {w.OBS_SQL} SELECT run_seq, count(*) AS n, sum(CASE WHEN run_seq % 5 = 2 THEN 1 ELSE 0 END)::BIGINT AS replaced FROM obs GROUP BY run_seq")
 def append_and_replace(spark, sf_dir):
-    """Runs appended to a table of which one run is then written again, and nothing else."""
+    """Runs appended to a table of which some are then written again, and no others."""
     path = f"{tables.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     rows = w.observations(spark, sf_dir).select("event_id", "run_seq", F.lit(0).alias("again"))
-    tables.append(rows.where("run_seq < 3"), path, "run_seq")
-    tables.append(rows.where("run_seq BETWEEN 3 AND 4"), path, "run_seq")
-    tables.replace_partitions(rows.where("run_seq = 2").withColumn("again", F.lit(1)), path, "run_seq")
+    tables.append(rows.where("run_seq % 2 = 0"), path, "run_seq")
+    tables.append(rows.where("run_seq % 2 = 1"), path, "run_seq")
+    tables.replace_partitions(rows.where("run_seq % 5 = 2").withColumn("again", F.lit(1)), path, "run_seq")
     got = tables.stored(spark.read.parquet(path).groupBy("run_seq").agg(F.count("*").alias("n"), F.sum("again").alias("replaced")))
     tables.delete(spark, path)
     return got
 
 
+@query("committed_runs", f"WITH {w.OBS_SQL} SELECT event_id, price, run_seq % 3 AS run, source FROM obs WHERE run_seq % 3 <> 1")
+def committed_runs(spark, sf_dir):
+    """Three runs of all events: one of them dies in a task and is failed, one dies and is repeated; what is read are the two that completed."""
+    runs.register(spark)
+    path = f"{tables.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = w.observations(spark, sf_dir).select("event_id", "price", "run_seq", "source")
+    dies = F.when(F.col("event_id") % 50 == 7, F.raise_error(F.lit("the task dies"))).otherwise(F.col("price"))
+
+    def give(run, source, price):
+        runs.record(rows.where((F.col("run_seq") % 3 == run) & (F.col("source") == source)).select("event_id", price.alias("price")), path, run, source)
+
+    for run in range(3):
+        runs.start(spark, path, run)
+        for source in ("s0", "s1", "s2"):
+            if run:
+                try:
+                    give(run, source, dies)
+                except PySparkException:
+                    if run == 1:
+                        continue
+            give(run, source, F.col("price"))
+        (runs.fail if run == 1 else runs.complete)(spark, path, run)
+    got = tables.stored(spark.read.format(runs.FORMAT).option("path", path).schema("event_id bigint, price double, run bigint, source string").load())
+    tables.delete(spark, path)
+    return got
+
+
+_CEILING, _PAGE, _BUDGET = 600, 100, 220
+
+
+def _order_pages(path):
+    """A service of orders by ranges of customers, in pages of a hundred by key; some ranges refuse their third page, some give it empty."""
+    import pyarrow.dataset as ds
+
+    def ask(query, token):
+        low, high = query
+        orders = ds.dataset(path)
+        own = (ds.field("o_custkey") >= low) & (ds.field("o_custkey") <= high)
+        after = own if token is None else own & (ds.field("o_orderkey") > token[1])
+        page = 0 if token is None else token[0]
+        if page == 2 and low % 7 == 1:
+            raise ConnectionError("closed for today")
+        if page == 2 and low % 7 == 2:
+            return paged.Answer((), orders.count_rows(filter=own))
+        rows = orders.to_table(["o_orderkey", "o_custkey"], filter=after).sort_by("o_orderkey").slice(0, _PAGE).to_pylist()
+        more = (page + 1, rows[-1]["o_orderkey"]) if len(rows) == _PAGE else None
+        return paged.Answer([(r["o_orderkey"], r["o_custkey"]) for r in rows], orders.count_rows(filter=own), more)
+
+    return ask
+
+
+def _halves(query):
+    low, high = query
+    middle = (low + high) // 2
+    return None if high - low < 128 and low % 2 == 1 or low == high else ((low, middle), (middle + 1, high))
+
+
+@query("paged_orders", f"""WITH RECURSIVE top AS (SELECT 0 AS low, CAST(max(o_custkey) AS BIGINT) AS high FROM orders),
+tree AS (
+  SELECT low, high, 0 AS depth, (SELECT count(*) FROM orders WHERE o_custkey BETWEEN low AND high) AS n FROM top
+  UNION ALL
+  SELECT h.low, h.high, t.depth + 1, (SELECT count(*) FROM orders WHERE o_custkey BETWEEN h.low AND h.high)
+  FROM tree t, LATERAL (SELECT unnest([t.low, (t.low + t.high) // 2 + 1]) AS low, unnest([(t.low + t.high) // 2, t.high]) AS high) h
+  WHERE t.n > {_CEILING} AND t.depth < {paged.MAX_DEPTH} AND NOT (t.high - t.low < 128 AND t.low % 2 = 1 OR t.low = t.high)
+), visited AS (SELECT *, row_number() OVER (ORDER BY low, depth) <= {_BUDGET} AS asked, lead(low) OVER (ORDER BY low, depth) = low AND lead(depth) OVER (ORDER BY low, depth) = depth + 1 AS cut FROM tree),
+pieces AS (
+  SELECT v.low, v.high, v.n, v.asked, v.n > {_CEILING} AS over, row_number() OVER (ORDER BY v.low) - 1 AS piece FROM visited v
+  WHERE v.asked AND NOT coalesce(v.cut, false) OR NOT v.asked AND (v.depth = 0 OR EXISTS (SELECT 1 FROM visited u WHERE u.asked AND u.depth = v.depth - 1 AND u.low <= v.low AND u.high >= v.high))
+), wanted AS (SELECT *, CASE WHEN asked THEN least(n, {_CEILING}) ELSE 0 END AS w FROM pieces),
+dealt AS (SELECT *, greatest(0, least((w + {_PAGE - 1}) // {_PAGE}, {_BUDGET} - (SELECT count(*) FROM visited WHERE asked) - coalesce(sum((w + {_PAGE - 1}) // {_PAGE}) OVER (ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS pages FROM wanted),
+given AS (SELECT *, least(w, pages * {_PAGE}, CASE WHEN low % 7 IN (1, 2) THEN 2 * {_PAGE} ELSE w END) AS got FROM dealt),
+told AS (SELECT *, CASE WHEN NOT asked THEN '{paged.OUT_OF_BUDGET}' WHEN got = w THEN CASE WHEN over THEN '{paged.OVER_CEILING}' END WHEN got = pages * {_PAGE} THEN '{paged.OUT_OF_BUDGET}' WHEN low % 7 = 1 THEN '{paged.REFUSED}' ELSE '{paged.EMPTY_PAGE}' END AS lacking FROM given),
+rows AS (SELECT o_orderkey, piece, got, row_number() OVER (PARTITION BY piece ORDER BY o_orderkey) AS r FROM orders JOIN told ON o_custkey BETWEEN low AND high)
+SELECT o_orderkey, CAST(piece AS INTEGER) AS piece, CAST((r - 1) // {_PAGE} AS INTEGER) AS page, '{paged.OK}' AS outcome FROM rows WHERE r <= got
+UNION ALL SELECT NULL, CAST(piece AS INTEGER), CAST((got + {_PAGE - 1}) // {_PAGE} AS INTEGER), lacking FROM told WHERE lacking IS NOT NULL""")
+def paged_orders(spark, sf_dir):
+    """Orders from a paged service under a ceiling and a budget, and in which way each part of them is incomplete."""
+    path = f"{sf_dir}/orders.parquet"
+    high = w.table(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0]
+    paged.register(spark, "tidemark_order_pages", "o_orderkey bigint, o_custkey bigint", [(0, high)], _order_pages(path), _halves, _CEILING, _PAGE, _BUDGET)
+    scan = spark.read.format("tidemark_order_pages").load()
+    return scan.select("o_orderkey", F.col("_piece").alias("piece"), F.col("_page").alias("page"), F.col("_outcome").alias("outcome"))
+
+
 @query("run_log_states", "WITH e AS (SELECT user_id AS run_id, event_id, event_type FROM events) SELECT run_id, CASE arg_max(event_type, event_id) FILTER (event_type IN ('purchase', 'signup')) WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' ELSE 'running' END AS state FROM e GROUP BY run_id")
 def run_log_states(spark, sf_dir):
     """Users as runs: a purchase completes, a sign-up fails, anything else only shows that the run goes on."""
@@ -146,6 +231,21 @@ def windowed_counts(spark, sf_dir):
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("late_windows", """SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def late_windows(spark, sf_dir):
+    """Windows of a stream to which every third event is told again once the watermark is past it: closed windows don't count it."""
+    base = f"{tables.shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    rows = w.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for part in (F.lit(True), F.col("event_id") % 3 == 0):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        found = batches.windowed_counts(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "ts", "event_type", "1 day", "1 hour").select("window.start", "event_type", "n")
+        found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = tables.stored(spark.read.schema(found.schema).parquet(f"{base}/out").withColumn("start", F.col("start").cast("timestamp_ntz")))
+    tables.delete(spark, base)
+    return out
+
+
 @query("session_counts", """WITH e AS (SELECT user_id, ts, coalesce(epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 21600, true) AS fresh FROM events),
 n AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e), g AS (SELECT user_id, s, count(*) AS n FROM n GROUP BY ALL)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY user_id""")

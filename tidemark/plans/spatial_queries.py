@@ -127,6 +127,22 @@ def nearest_line(spark, sf_dir):
     return s.nearest_line(_customers(spark, sf_dir), lines).withColumn("miles", F.round("miles", 4))
 
 
+_HALF = 0.02
+
+
+@query("nearest_outline", f"""WITH {_BASE}, sq AS (SELECT id AS site, id % 3 AS kind, latitude AS y, longitude AS x, CASE WHEN id % 2 = 0 THEN {_HALF} ELSE 0.0 END AS h FROM st),
+near AS (SELECT c.id, kind, site, c.latitude, c.longitude, greatest(x - h, least(x + h, c.longitude)) AS px, greatest(y - h, least(y + h, c.latitude)) AS py FROM c, sq),
+far AS (SELECT *, power(radians(px - longitude), 2) + power(ln(tan(pi() / 4 + radians(py) / 2)) - ln(tan(pi() / 4 + radians(latitude) / 2)), 2) AS f FROM near),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY id, kind ORDER BY f, site) = 1)
+SELECT b.id, b.kind, b.site, round({w.miles_sql('b', 'p', geo.MILES)}, 6) AS miles FROM best b, LATERAL (SELECT b.py AS latitude, b.px AS longitude) p""")
+def nearest_outline(spark, sf_dir):
+    """The nearest supplier of each of three kinds: every other one is a square, to whose border the way is measured."""
+    corner = lambda x, y: F.struct((F.col("longitude") + x * _HALF).alias("x"), (F.col("latitude") + y * _HALF).alias("y"))
+    square = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    sites = w.sites(spark, sf_dir).withColumn("kind", F.col("site") % 3).withColumn("outline", F.when(F.col("site") % 2 == 0, square))
+    return s.nearest_outline(_customers(spark, sf_dir), sites).withColumn("miles", F.round("miles", 6))
+
+
 @query("rounded_distances", f"WITH {_NEAR} SELECT id, site, CASE condition WHEN 0 THEN round(miles, 1) WHEN 1 THEN round(miles, 0) ELSE round(miles / 5, 0) * 5 END AS about FROM near")
 def rounded_distances(spark, sf_dir):
     sites = w.sites(spark, sf_dir)

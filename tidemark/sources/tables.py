@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,11 +111,10 @@ def write_csv(df: DataFrame, path: str, guard) -> None:
 def page_dedupe(rows: DataFrame, key: str, page: str) -> DataFrame:
     """Drops repeats on later pages, keeps repeats within a key's first page; null keys are never repeats.
 
-    A key's first page is a minimum, combined before the shuffle; rows without a key take no part in it.
+    One exchange brings a key's rows together; those without a key stay where they are.
     """
-    keyed = rows.where(F.col(key).isNotNull())
-    first = keyed.groupBy(F.col(key).alias("_key")).agg(F.min(page).alias("_first"))
-    kept = keyed.join(first, F.col(key) == F.col("_key")).where(F.col(page) == F.col("_first")).select(*rows.columns)
+    first = F.min(page).over(Window.partitionBy(key))
+    kept = rows.where(F.col(key).isNotNull()).withColumn("_first", first).where(F.col(page) == F.col("_first")).select(*rows.columns)
     return kept.unionByName(rows.where(F.col(key).isNull()))
 
 
