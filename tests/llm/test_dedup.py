@@ -338,3 +338,35 @@ def test_shared_fingerprint_is_guaranteed():
             g = tb.grams(tb.mix(w), decontamination.K)
             prints.append(set(g[decontamination.fingerprints(g, np.ones(len(g), bool), 6)].tolist()))
         assert prints[0] & prints[1]
+
+
+PASSAGE = "".join(f"{i * 7919 % 1000} walked along the shore of lake {i * 31 % 77} and " for i in range(20))
+
+
+def test_texts_of_one_id_share_passages(spark):
+    """Different texts under one id, null ids too, are different texts; equal rows are one text."""
+    rows = [(None, "first of none " + PASSAGE), (None, PASSAGE + " second of none"), (4, "one " + PASSAGE), (4, PASSAGE + " two"), (4, PASSAGE + " two"), (9, "alone " + PASSAGE)]
+    for given in (rows[:2], rows[2:5], rows):
+        got = chunk_dedup.dedup_chunks(frame(spark, given, "doc_id long, text string").repartition(3), block_bytes=600).collect()
+        kept = {(r["doc_id"], r["n_bytes"]) for r in got if r["n_removed"] < 100}
+        owner = kept.pop()
+        assert not kept and owner[0] == (None if given == rows[:2] else 4)
+        assert all(r["n_removed"] > 600 for r in got if (r["doc_id"], r["n_bytes"]) != owner)
+
+
+def test_the_shortest_run_is_an_argument(spark):
+    line = "a line of fifty-six bytes which four of the documents.. "
+    rows = [(i, f"{i * 7919} words of its own {i} " * 3 + line + f" and more of {i} {i * 31337}" * 3) for i in range(4)]
+    for least, gone in ((64, 0), (0, 12)):
+        got = chunk_dedup.dedup_chunks(frame(spark, rows, "doc_id long, text string"), min_run=least).collect()
+        assert min(r["n_removed"] for r in got if r["doc_id"]) >= gone and sum(r["n_removed"] for r in got if not r["doc_id"]) == 0
+        if not gone:
+            assert sum(r["n_removed"] for r in got) == 0
+
+
+def test_a_text_above_a_batch(spark):
+    """Three megabytes in one text, twice, and a part of it in another."""
+    long = " ".join(f"w{i * 7919 % 100003}x{i}" for i in range(230_000))
+    assert len(long) > 3_000_000
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_chunks(frame(spark, [(1, long), (2, long), (3, "own words " + long[1000:3000]), (4, "quite another")], "doc_id long, text string"), with_text=False).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(long) and got[3]["n_removed"] > 1700 and got[4]["n_removed"] == 0

@@ -86,6 +86,17 @@ def test_toxicity_on_rows_not_learned_from(spark):
     assert scored.count() == df.count() and scored.where("score is null").count() == 0 and toxicity.score(df.limit(0), model, "doc_id").count() == 0
 
 
+def test_toxicity_scores_are_calibrated_on_new_rows(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    learnable = fold("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learnable), labels.where(learnable))
+    got = toxicity.score(docs.where(~learnable), model, "doc_id").join(labels, "doc_id").where("toxic is not null").toPandas()
+    assert abs(got["score"].mean() - got["toxic"].mean()) < 0.02
+    for low, high in ((0.0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        own = got[got["score"].between(low, high, inclusive="left")]
+        assert len(own) < 30 or abs(own["score"].mean() - own["toxic"].mean()) < (0.25 if low == 0.1 else 0.05)
+
+
 def test_toxicity_with_nothing_to_learn(spark):
     df = frame(spark, plain.awkward())
     model = toxicity.fit(df, frame(spark, [(5, None)], "doc_id long, toxic int"))
@@ -119,6 +130,44 @@ def test_language_edges(spark):
     assert language.predict(df.limit(0), model).count() == 0
 
 
+def test_more_languages_than_the_bound_are_an_error(spark, monkeypatch):
+    rows = frame(spark, [(i, "some text", f"l{i}", "s", 1) for i in range(5)] + [(9, "x", None, "s", 1)])
+    monkeypatch.setattr(language.linear, "MAX_CLASSES", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        language.fit(rows)
+    monkeypatch.setattr(language.linear, "MAX_CLASSES", 5)
+    assert len(language.fit(rows).languages) == 5
+
+
+def test_means_of_long_rows_are_added_up_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    values, features = rng.normal(size=(50, 3)).astype(np.float32), rng.integers(0, 50, 400)
+    at = np.array([0, 0, 7, 7, 260, 399, 400, 400])
+    want = np.array([values[features[a:b]].astype(float).mean(axis=0) if b > a else np.zeros(3) for a, b in zip(at, at[1:], strict=False)])
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(language.linear, "_GATHERED", size)
+        assert np.allclose(language.linear.row_means(values, features, at), want, atol=1e-5)
+
+
+def test_language_of_a_text_above_a_batch(spark):
+    docs = table(spark, MIDDLE, "documents")
+    model = language.fit(docs)
+    long = " ".join(r["text"] for r in docs.where("lang = 'fr' and text is not null").collect())
+    while len(long) < 3 << 20:
+        long += long
+    assert [r["lang_pred"] for r in language.predict(frame(spark, [(1, long)], "doc_id long, text string"), model).collect()] == ["fr"]
+
+
+def test_ngrams_of_one_row_are_those_of_many():
+    import pyarrow as pa
+
+    from tidemark.llm import textbytes as tb
+
+    for text in ("", "é", "ab", "Une phrase, là."):
+        one, many = language.ngrams(*tb.utf8(pa.array([text]))), language.ngrams(*tb.utf8(pa.array([text, ""])))
+        assert one[0].tolist() == many[0].tolist() and one[1].tolist() == many[1][:2].tolist()
+
+
 def test_ngrams_lie_by_row():
     import pyarrow as pa
 

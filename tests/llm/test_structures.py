@@ -70,6 +70,7 @@ AUDIT = ("lang", "source", "part", "item", "value", "rank")
 def test_audit_is_the_plain_one(spark, limits, monkeypatch):
     monkeypatch.setattr(divergence, "SHARD_KEYS", 16)
     monkeypatch.setattr(divergence, "SOURCE_BLOCK", 2)
+    monkeypatch.setattr(divergence, "FAN", 2)
     docs = [*worded(1), *plain.awkward()]
     got = divergence.audit(spark.createDataFrame(docs, plain.DOCS).repartition(3), **limits)
     assert told(got, *AUDIT) == plain_audit(docs, **{k: v for k, v in limits.items() if k in ("min_docs", "top")})
@@ -264,3 +265,12 @@ def test_trie_of_nothing_of_one_and_of_clashing_columns(spark):
     assert nodes(prefix_trie.conversation_trie(spark.createDataFrame(one, TURNS))) == plain_trie(one)
     frame = spark.createDataFrame([(*t, b"1", 2, 3) for t in talks(9, 20)], TURNS + ", seq binary, head int, n int")
     assert nodes(prefix_trie.conversation_trie(frame)) == plain_trie(talks(9, 20))
+
+
+def test_texts_above_a_batch(spark):
+    """Three megabytes in one text are packed, and audited, whole."""
+    long = " ".join(f"w{i * 7919 % 100003}x{i}" for i in range(230_000))
+    docs = [(1, long, "en", "a", 0), (2, "wx wx wx", "en", "b", 0), (3, "wx", "en", "b", 0)]
+    packed = packing.pack(spark.createDataFrame(docs[:2], plain.DOCS), packing.tokenizer_text(TOKENIZER)).collect()
+    assert sorted(tuple(r[c] for c in PIECE) for r in packed) == sorted(plain_pieces([(d[0], d[1]) for d in docs[:2]], 2048))
+    assert told(divergence.audit(spark.createDataFrame(docs, plain.DOCS)), *AUDIT) == plain_audit(docs)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.common import partitions
-from tidemark.sources.tables import delete, store_at
+from tidemark.sources.tables import delete, shared_folder, store_at
 
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 2 << 20
@@ -30,6 +30,10 @@ FILE_BYTES = 128 << 20
 MAX_FILES = 100_000
 
 
+#: What owns a key: a text's id and hash, the least of which comes first.
+OWNER = np.dtype([("id", "<i8"), ("text", "<u8")])
+
+
 class Blocks:
     def __init__(self, docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES):
         """Stores (key, text) of docs as a table of a name of its own, until drop()."""
@@ -40,9 +44,10 @@ class Blocks:
         self.files = max(1, min(self.count, max(4 * partitions(self.spark), -(-self.bytes // FILE_BYTES)), MAX_FILES))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.count)).cast("int"))
         self.name = f"tidemark_blocks_{uuid.uuid4().hex}"
-        dealt.repartition(self.files, "block").write.bucketBy(self.files, "block").format("parquet").saveAsTable(self.name)
+        # the shared folder, not the warehouse, which may be each machine's own
+        self.paths = [f"{shared_folder(self.spark)}/{self.name}"]
+        dealt.repartition(self.files, "block").write.option("path", self.paths[0]).bucketBy(self.files, "block").format("parquet").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
-        self.paths: list[str] = []
 
     def drop(self) -> None:
         """Deletes the stored blocks and what was resolved about them."""
@@ -114,20 +119,20 @@ _SHARED, _FIRST = 1, 2
 
 
 def _told(flags: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By pass: for each of the block's keys in order whether others hold it, whether this block is the first, and the smallest id."""
+    """By pass: for each of the block's keys in order whether others hold it, whether this block is the first, and the least owner."""
     out = {}
     for name in pa.compute.unique(flags["pass"]).to_pylist():
         own = flags.filter(pa.compute.equal(flags["pass"], name)).sort_by("bucket")
         bits = _laid_out(own["flags"], np.uint8)[0]
-        out[name] = bits & _SHARED > 0, bits & _FIRST > 0, _laid_out(own["low"], np.int64)[0]
+        out[name] = bits & _SHARED > 0, bits & _FIRST > 0, _laid_out(own["low"], OWNER)[0]
     return out
 
 
 def resolve(store: Blocks, keys: DataFrame, name: str) -> DataFrame:
     """For each slice of keys, flags that tell which keys are in another block too and where a shared key's first block is.
 
-    With ids, also the smallest id over all blocks of every shared key.  Stored, as
-    later passes read it again.
+    With owners (OWNER), also the least one over all blocks of every shared key.  Stored,
+    as later passes read it again.
     """
 
     def meet(table: pa.Table) -> pa.Table:
@@ -142,11 +147,14 @@ def resolve(store: Blocks, keys: DataFrame, name: str) -> DataFrame:
         first[order] = ~same[:-1]
         low = pa.nulls(len(table), pa.binary())
         if table["ids"].null_count == 0:
-            ids = _laid_out(table["ids"], np.int64)[0]
+            owners = _laid_out(table["ids"], OWNER)[0][order]
             starts = np.flatnonzero(~same[:-1])
-            least = np.minimum.reduceat(ids[order], starts)
-            lows = np.empty(len(merged), np.int64)
-            lows[order] = np.repeat(least, np.diff(np.append(starts, len(merged))))
+            spread = lambda x: np.repeat(x, np.diff(np.append(starts, len(merged))))
+            lows = np.empty(len(merged), OWNER)
+            low = spread(np.minimum.reduceat(owners["id"], starts)) if len(starts) else owners["id"]
+            texts = np.where(owners["id"] == low, owners["text"], np.iinfo(np.uint64).max)
+            lows["id"][order] = low
+            lows["text"][order] = spread(np.minimum.reduceat(texts, starts)) if len(starts) else texts
             row = np.repeat(np.arange(len(sizes)), sizes)
             low = _binaries(lows[shared], np.bincount(row[shared], minlength=len(sizes)))
         flags = shared * np.uint8(_SHARED) + first * np.uint8(_FIRST)

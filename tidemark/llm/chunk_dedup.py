@@ -6,9 +6,10 @@ that chunk borders depend on the bytes near them and fall into step again a few
 bytes after an insertion.  Borders that have another within MIN_CHUNK bytes before
 them are left out, and chunks over MAX_CHUNK bytes are cut at fixed steps; both
 rules look at nearby bytes only too.  Chunks are deduplicated by a digest (61 bits):
-the text with the smallest id keeps its first copy, every later copy goes if the
-run of repeated chunks around it is MIN_RUN bytes or longer or all of its text.  A
-common phrase is no such run; a passage of 51 words has one well within.  What a
+the text with the smallest id (of several with one id the one of the smallest hash)
+keeps its first copy, every later copy goes if the run of repeated chunks around it is
+of `min_run` bytes or longer or all of its text.  A common phrase is no run of MIN_RUN
+bytes; a passage of 51 words has one well within.  What a
 text owns of a run and keeps doesn't shorten the run for the rest of it.
 """
 
@@ -27,6 +28,7 @@ from tidemark.llm.common import cut, table
 MASK_BITS = 4
 MIN_CHUNK = 12
 MAX_CHUNK = 256
+#: The shortest run of repeated chunks that goes, unless another is asked for; with 0 every repeated chunk does.
 MIN_RUN = 64
 
 _GEAR = np.random.default_rng(47).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -61,28 +63,31 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Chunks:
-    """Chunks of a block's texts: by segment ids, offsets, starts, ends, digests and each chunk's text."""
+    """Chunks of a block's texts: by segment the texts' owners, offsets, starts, ends, digests and each chunk's text."""
 
     def __init__(self, texts: pa.Table):
         self.parts = []
         for ids, data, offsets in bl.segments(texts):
-            ids = np.array(ids.fill_null(_LAST))
+            owners = np.zeros(len(ids), bl.OWNER)
+            owners["id"] = ids.fill_null(_LAST)
             if not len(data):
                 none = np.zeros(0, np.int64)
-                self.parts.append((ids, data, offsets, none, none, np.zeros(0, np.uint64), none))
+                self.parts.append((owners, data, offsets, none, none, np.zeros(0, np.uint64), none))
                 continue
+            hashed = tb.RollingHash(data)
+            owners["text"] = hashed.of(offsets[:-1], offsets[1:])
             starts = borders(data, offsets)
             ends = np.append(starts[1:], len(data))
             of = np.searchsorted(offsets, starts, side="right") - 1
-            self.parts.append((ids, data, offsets, starts, ends, tb.RollingHash(data).of(starts, ends), of))
+            self.parts.append((owners, data, offsets, starts, ends, hashed.of(starts, ends), of))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct digests, the smallest id that has each, and how many chunks do."""
+        """Sorted distinct digests, the least owner that has each, and how many chunks do."""
         keys = np.concatenate([p[5] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
-        ids = np.concatenate([p[0][p[6]] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
+        owners = np.concatenate([p[0][p[6]] for p in self.parts]) if self.parts else np.zeros(0, bl.OWNER)
+        order = np.lexsort((owners["text"], owners["id"], keys))
         uniq, start, n = np.unique(keys[order], return_index=True, return_counts=True)
-        return uniq, np.minimum.reduceat(ids[order], start) if len(uniq) else ids, n
+        return uniq, owners[order][start], n
 
 
 def _runs(mark: np.ndarray, of: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ def _runs(mark: np.ndarray, of: np.ndarray, sizes: np.ndarray, least: int) -> tu
     return long, begins & long
 
 
-def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, block_bytes: int = bl.BLOCK_BYTES) -> DataFrame:
+def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, block_bytes: int = bl.BLOCK_BYTES, min_run: int = MIN_RUN) -> DataFrame:
     """(key, n_bytes, n_chunks, n_repeated, n_removed, n_spans, kept_sha256) and kept_text if asked for
     (a character that was cut through shows as the replacement character there).
 
@@ -122,12 +127,13 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, b
             owner[shared] = lows
             repeats = repeats | shared
         out = {c: [] for c in ("id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept")}
-        for ids, data, offsets, starts, ends, keys, of in chunks.parts:
+        for owners, data, offsets, starts, ends, keys, of in chunks.parts:
+            ids = owners["id"]
             at = np.searchsorted(uniq, keys)
             repeated = repeats[at] if len(uniq) else np.zeros(0, bool)
             # a text keeps the first of the chunks that it owns
             first = np.zeros(len(keys), bool)
-            mine = np.flatnonzero(repeated & (owner[at] == ids[of])) if len(keys) else np.zeros(0, np.int64)
+            mine = np.flatnonzero(repeated & (owner[at] == owners[of])) if len(keys) else np.zeros(0, np.int64)
             if len(mine):
                 order = np.lexsort((mine, keys[mine], of[mine]))
                 m = mine[order]
@@ -135,7 +141,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", with_text: bool = True, b
                 new[1:] = (keys[m][1:] != keys[m][:-1]) | (of[m][1:] != of[m][:-1])
                 first[m[new]] = True
             sizes = ends - starts
-            seen, _ = _runs(repeated, of, sizes, MIN_RUN)
+            seen, _ = _runs(repeated, of, sizes, min_run)
             gone, begins = _runs(repeated & ~first & seen, of, sizes, 0)
             total = lambda w: np.bincount(of, w, minlength=len(ids)).astype(np.int64)  # noqa: E731, B023
             n_rep, n_gone, n_begin, n_all = total(sizes * seen), total(sizes * gone), total(begins), total(np.ones(len(of)))

@@ -40,6 +40,8 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     raw = data.tobytes()
     points = [np.frombuffer(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for r in range(len(offsets) - 1)]
     sizes = np.array([len(p) for p in points], np.int64)
+    if len(points) == 1:
+        return _alone(points[0])
     c = np.concatenate(points) if points else np.zeros(0, np.uint32)
     at = np.concatenate(([0], np.cumsum(sizes)))
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -65,6 +67,21 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, total
 
 
+def _alone(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one row, which may be very long."""
+    n, shift = len(c), np.uint32(32 - BITS)
+    out = np.empty(n + max(0, n - 1) + max(0, n - 2), np.uint32)
+    hashed = c * np.uint32(0x9E3779B1)
+    out[:n], at = hashed >> shift, n
+    for k, salt in ((1, np.uint32(0x85EBCA6B)), (2, np.uint32(0xC2B2AE35))):
+        if n <= k:
+            break
+        hashed = (hashed[: n - k] ^ (c[k:] + np.uint32(k))) * salt
+        out[at : at + n - k] = hashed >> shift
+        at += n - k
+    return out, np.array([0, len(out)])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -74,7 +91,7 @@ class Model:
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         features, at = ngrams(data, offsets)
-        return softmax((linear.row_means(self.values[features], at) + self.bias) / self.temperature)
+        return softmax((linear.row_means(self.values, features, at) + self.bias) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -117,8 +134,9 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from rows (doc_id, text, lang); None if there is nothing to learn from.
 
-    The model is bounded: it tells the linear.MAX_CLASSES most frequent languages apart.
+    The model is bounded: more than linear.MAX_CLASSES languages are an error.
     """
+    linear.check_classes(docs, "lang")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     bound_batches(docs.sparkSession)
     n, df = linear.document_frequencies(rows, ngrams, DIMS)

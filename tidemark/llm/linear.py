@@ -20,14 +20,21 @@ Featurise = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 _CHUNKS = 64
 
 
-def row_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean of each row's values (rows without any: zeros)."""
-    n = np.diff(offsets)
-    out = np.zeros((len(n), values.shape[1]), np.float64)
-    some = n > 0
-    if some.any():
-        out[some] = np.add.reduceat(values, offsets[:-1][some], axis=0) / n[some, None]
-    return out
+#: Values that are gathered at once.
+_GATHERED = 1 << 20
+
+
+def row_means(values: np.ndarray, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean over each row's features of their rows of `values` (rows without any: zeros), some features at a time."""
+    out = np.zeros((len(offsets) - 1, values.shape[1]))
+    step = max(1, _GATHERED // values.shape[1])
+    for a in range(0, len(features), step):
+        b = min(a + step, len(features))
+        first, last = int(np.searchsorted(offsets, a, side="right")) - 1, int(np.searchsorted(offsets, b, side="left"))
+        starts, ends = np.maximum(offsets[first:last], a) - a, np.minimum(offsets[first + 1 : last + 1], b) - a
+        some = np.flatnonzero(ends > starts)
+        out[first + some] += np.add.reduceat(values[features[a:b]], starts[some], axis=0)
+    return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
 def document_frequencies(docs: DataFrame, featurise: Featurise, dims: int) -> tuple[int, np.ndarray]:
@@ -68,16 +75,19 @@ def document_frequencies(docs: DataFrame, featurise: Featurise, dims: int) -> tu
     return int(np.frombuffer(got[-1], np.int64)[0]), np.concatenate([np.frombuffer(got[i], np.int64) for i in range(_CHUNKS)])
 
 
-#: Classes that a model tells apart: the most frequent ones; rows of others teach nothing.
+#: Classes that a model can tell apart; more are an error.
 MAX_CLASSES = 256
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, *key: str) -> DataFrame:
-    """About per_class rows of each class, those of the smallest hashes of `key`: the same ones each time.
+def check_classes(rows: DataFrame, label: str) -> None:
+    """A model of more classes than its bound would leave some out, whose rows it could never answer."""
+    if rows.select(label).distinct().limit(MAX_CLASSES + 2).count() > MAX_CLASSES + 1:  # a null is no class
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values, which is what a model tells apart")
 
-    Of more than MAX_CLASSES classes the most frequent ones take part.
-    """
-    counts = rows.groupBy(F.col(label).alias("_class")).count().orderBy(F.desc("count"), "_class").limit(MAX_CLASSES)
+
+def sample_by_class(rows: DataFrame, label: str, per_class: int, *key: str) -> DataFrame:
+    """About per_class rows of each class, those of the smallest hashes of `key`: the same ones each time."""
+    counts = rows.groupBy(F.col(label).alias("_class")).count()
     shares = F.broadcast(counts.select("_class", (F.lit(float(per_class)) / F.col("count")).alias("_share")))
     return rows.join(shares, F.col(label) == F.col("_class")).where(unit_hash(*key) < F.col("_share")).select(*rows.columns)
 

@@ -163,7 +163,7 @@ def grade(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
         for batch in batches:
             for rows, data, offsets in tb.segments(batch, "text"):
                 f, at = features(data, offsets)
-                tails = m.tails(linear.row_means(values[f], at)[:, 0])
+                tails = m.tails(linear.row_means(values, f, at)[:, 0])
                 expected = m.grades[0] + tails @ steps
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(expected), pa.array(tails[:, 0])], ["doc_id", "expected_grade", "tail_probability"])
 

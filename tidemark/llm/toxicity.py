@@ -205,14 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     picked = marks.withColumn("_u", unit_hash("doc_id")).where(F.col("_u") < min(1.0, FIT_ROWS / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of bounded size: FIT_ROWS, about
-    lexicon = Lexicon(learn_lexicon(rows.where(F.col("_u") < min(1.0, LEXICON_ROWS / n))))
-    points = cut(dense(rows, lexicon, "doc_id", "toxic", "_u"))
-    if points.agg(F.countDistinct("toxic")).first()[0] < 2:
-        return None
-    points = points.withColumn(VECTOR, array_to_vector(VALUES))
+    # calibration is by rows that taught neither the lexicon nor the trees
     back = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
-    if points.where(~back).agg(F.countDistinct("toxic")).first()[0] < 2:  # too few rows to hold any back
+    marked, marked_rest = rows.agg(F.countDistinct("toxic"), F.countDistinct(F.when(~back, F.col("toxic")))).first()
+    if marked < 2:
+        return None
+    if marked_rest < 2:  # too few rows to hold any back
         back = F.lit(False)
+    lexicon = Lexicon(learn_lexicon(rows.where(~back & (F.col("_u") < min(1.0, LEXICON_ROWS / n)))))
+    points = cut(dense(rows, lexicon, "doc_id", "toxic")).withColumn(VECTOR, array_to_vector(VALUES))
     learner = GBTClassifier(labelCol="toxic", featuresCol=VECTOR, predictionCol=PREDICTION, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=64, seed=5)
     trees = learner.setRawPredictionCol(MARGIN).setProbabilityCol(PROBABILITY).fit(points.where(~back).coalesce(6))
     held = trees.transform(points.where(back)).select(F.round(vector_to_array(PROBABILITY)[1] * CALIBRATION_BINS).alias("bin"), "toxic")
