@@ -71,6 +71,7 @@ def test_audit_is_the_plain_one(spark, limits, monkeypatch):
     monkeypatch.setattr(divergence, "SHARD_KEYS", 16)
     monkeypatch.setattr(divergence, "SOURCE_BLOCK", 2)
     monkeypatch.setattr(divergence, "FAN", 2)
+    monkeypatch.setattr(divergence, "LISTED", 20)
     docs = [*worded(1), *plain.awkward()]
     got = divergence.audit(spark.createDataFrame(docs, plain.DOCS).repartition(3), **limits)
     assert told(got, *AUDIT) == plain_audit(docs, **{k: v for k, v in limits.items() if k in ("min_docs", "top")})

@@ -35,8 +35,12 @@ SHARD_KEYS = 4096
 SOURCE_BLOCK = 64
 #: Bytes of perfect hashes that one pass has by broadcast.
 PASS_BYTES = 32 << 20
-#: Dense slots that a task holds before it hands on what it has counted.
-DENSE_CELLS = 8 << 20
+#: Dense slots that a task holds, of 32 bits; groups that come when there are no more left are counted in a sorted list.
+DENSE_CELLS = 32 << 20
+#: Words that this list takes in before it is sorted and added up, and entries from which it is handed on.
+LISTED = 2 << 20
+#: Arrays of counts that a task adds up at once.
+FAN = 64
 _SEGMENT = 1 << 20
 _LEVELS = 24
 _STEP = 0x9E3779B97F4A7C15
@@ -189,55 +193,126 @@ def perfect_hashes(kept: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "shard").applyInArrow(build, "lang string, shard int, shards int, keys bigint, blob binary")
 
 
+def _packed(key: dict[str, pa.Array], slots: list[np.ndarray], ns: list[np.ndarray], **more: pa.Array) -> pa.RecordBatch:
+    """Rows of counts: a key, and for it the slots that have any and how many, as bytes of int32 and int64."""
+    columns = key | more | {"slots": pa.array([x.astype(np.int32).tobytes() for x in slots], pa.binary()), "ns": pa.array([x.astype(np.int64).tobytes() for x in ns], pa.binary())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _unpacked(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for slots, ns in zip(rows["slots"].to_pylist(), rows["ns"].to_pylist(), strict=True):
+        yield np.frombuffer(slots, np.int32), np.frombuffer(ns, np.int64)
+
+
 def _recounted(docs: DataFrame, blobs: list, dense_cells: int) -> DataFrame:
-    """One pass: (lang, source, shard, slot, n) of the shards at hand, a row for each task and slot that has any."""
+    """One pass: (lang, source, shard, part, slots, ns) of the shards at hand, a row for each group and shard of a task."""
     by_lang: dict[str, list] = {}
     for r in blobs:
         by_lang.setdefault(r["lang"], []).append((r["shards"], r["shard"], bytes(r["blob"])))
     sent = docs.sparkSession.sparkContext.broadcast(by_lang)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes = {lang: PerfectHash(own[0][0], [(s, b) for _, s, b in own]) for lang, own in sent.value.items()}
         dense: dict[tuple[str, str], np.ndarray] = {}
+        late: dict[tuple[str, str], int] = {}
+        heard: list[np.ndarray] = []
+        listed, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = waiting = 0
+        part = TaskContext.get().partitionId() << 32
+
+        def counted(group: tuple[str, str], slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            own = hashes[group[0]]
+            at = np.searchsorted(slots, np.append(own.base, own.keys))
+            full = np.flatnonzero(np.diff(at))
+            key = {"lang": pa.array([group[0]] * len(full), pa.string()), "source": pa.array([group[1]] * len(full), pa.string()), "shard": pa.array(own.numbers[full].astype(np.int32)), "part": pa.array([part] * len(full), pa.int64())}
+            return _packed(key, [slots[at[i] : at[i + 1]] - own.base[i] for i in full], [n[at[i] : at[i + 1]] for i in full])
+
+        def add_up() -> None:
+            nonlocal listed, times, waiting
+            codes, where = np.unique(np.concatenate([listed, *heard]), return_inverse=True)
+            more = np.bincount(where[len(listed) :], minlength=len(codes))
+            more[where[: len(listed)]] += times
+            listed, times, waiting = codes, more, 0
+            heard.clear()
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), slots in dense.items():
-                some = np.flatnonzero(slots)
-                own = hashes[lang]
-                shard = np.searchsorted(own.base, some, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(own.numbers[shard].astype(np.int32)), pa.array((some - own.base[shard]).astype(np.int32)), pa.array(slots[some])], ["lang", "source", "shard", "slot", "n"]
-                )
-            dense.clear()
-
-        held = 0
+            nonlocal listed, times, part
+            add_up()
+            of = listed >> 40
+            for group, number in late.items():
+                a, b = np.searchsorted(of, (number, number + 1))
+                if b > a:
+                    yield counted(group, listed[a:b] & ((1 << 40) - 1), times[a:b])
+            listed, times, part = listed[:0], times[:0], part + 1
+
         for batch in batches:
             for rows, data, offsets in tb.segments(batch, "text", _SEGMENT):
                 words = tb.Words(data, offsets, tb.LETTER_LOWER)
-                spelled = words.hashes()
-                langs, sources = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
-                by_group: dict[tuple[str, str], list[int]] = {}
-                for r, group in enumerate(zip(langs, sources, strict=True)):
-                    by_group.setdefault(group, []).append(r)
-                for group, own_rows in by_group.items():
-                    if group[0] not in hashes:
+                spelled, row_of = words.hashes(), words.row_of()
+                langs, sources = (rows.column(rows.schema.get_field_index(c)).dictionary_encode() for c in ("lang", "source"))
+                lang_of, source_of = langs.indices.to_numpy(), sources.indices.to_numpy()
+                names = sources.dictionary.to_pylist()
+                for code, lang in enumerate(langs.dictionary.to_pylist()):
+                    if lang not in hashes:
                         continue
-                    own = np.concatenate([np.arange(words.first[r], words.first[r + 1]) for r in own_rows])
-                    slot = hashes[group[0]].find(words.data, words.start[own], words.end[own], spelled[own])
-                    if group not in dense:
-                        if held + hashes[group[0]].keys > dense_cells:
-                            yield from handed_on()
-                            held = 0
-                        dense[group] = np.zeros(hashes[group[0]].keys, np.int64)
-                        held += hashes[group[0]].keys
-                    np.add.at(dense[group], slot[slot >= 0], 1)
+                    own = np.flatnonzero(lang_of[row_of] == code)
+                    slot = hashes[lang].find(words.data, words.start[own], words.end[own], spelled[own])
+                    own, slot = own[slot >= 0], slot[slot >= 0]
+                    source = source_of[row_of[own]]
+                    order = np.argsort(source, kind="stable")
+                    slot, ends = slot[order], np.searchsorted(source[order], np.arange(len(names) + 1))
+                    for i in np.flatnonzero(np.diff(ends)).tolist():
+                        group, slots = (lang, names[i]), slot[ends[i] : ends[i + 1]]
+                        if group not in dense and held + hashes[lang].keys <= dense_cells and group not in late:
+                            dense[group] = np.zeros(hashes[lang].keys, np.int32)
+                            held += hashes[lang].keys
+                        if group in dense:
+                            np.add.at(dense[group], slots, 1)
+                        else:
+                            heard.append(late.setdefault(group, len(late)) << 40 | slots)
+                            waiting += len(slots)
+            if waiting > LISTED:
+                add_up()
+                if len(listed) > LISTED:
+                    yield from handed_on()
+        for group, n in dense.items():
+            some = np.flatnonzero(n)
+            yield counted(group, some, n[some])
         yield from handed_on()
 
-    return docs.select("lang", "source", "text").mapInArrow(work, "lang string, source string, shard int, slot int, n bigint")
+    return docs.select("lang", "source", "text").mapInArrow(work, f"lang string, source string, shard int, part bigint, {_COUNTS}")
+
+
+_COUNTS = "slots binary, ns binary"
+
+
+def _added(rows: DataFrame, *key: str) -> DataFrame:
+    """Counts of the same key added up, a few dozen at a time in a task."""
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
+
+    def add(name: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+        own = list(_unpacked(parts))
+        total = np.zeros(max((int(s.max()) + 1 for s, _ in own if len(s)), default=0), np.int64)
+        for slots, ns in own:
+            total[slots] += ns
+        some = np.flatnonzero(total)
+        return pa.Table.from_batches([_packed({c: parts[c].combine_chunks().slice(0, 1) for c in key}, [some], [total[some]])])
+
+    return rows.groupBy(*key).applyInArrow(add, f"{schema}, {_COUNTS}")
 
 
-def recount(docs: DataFrame, hashes: DataFrame, pass_bytes: int = PASS_BYTES, dense_cells: int = DENSE_CELLS) -> DataFrame:
-    """(lang, source, shard, slot, n): occurrences of every kept term in each group, where there are any.
+def _sums(keep: Scratch, rows: DataFrame, most: int, part: str, *key: str) -> DataFrame:
+    """Adds up stored counts of each key, of which it has `most` at most, by as many rounds as keep FAN of them in a task."""
+    while most > FAN:
+        most = -(-most // FAN)
+        rows = keep(_added(rows.withColumn("_lot", F.pmod(F.xxhash64(part), F.lit(most))), *key, "_lot").withColumnRenamed("_lot", part))
+    return _added(rows, *key)
+
+
+def recount(keep: Scratch, docs: DataFrame, hashes: DataFrame, pass_bytes: int = PASS_BYTES, dense_cells: int = DENSE_CELLS) -> DataFrame:
+    """(lang, source, shard, slots, ns): occurrences of the kept terms in each group, a row for each shard that has any.
 
     hashes: as of perfect_hashes, stored.  The driver holds the shards of one pass, whose
     bytes are counted before; a table of shards of twice the size takes twice the passes.
@@ -254,7 +329,9 @@ def recount(docs: DataFrame, hashes: DataFrame, pass_bytes: int = PASS_BYTES, de
     for p in range(passes):
         one = _recounted(docs, hashes.where(number == p).collect(), dense_cells)
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+    out, key = keep(out), ("lang", "source", "shard")
+    most = out.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return _sums(keep, out, most, "part", *key)
 
 
 def _share(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -269,32 +346,39 @@ def _share(n: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out + 1
 
 
+def _dense(rows: pa.Table, at: dict[str, int], keys: int) -> np.ndarray:
+    """Counts by source (rows) and slot (columns)."""
+    out = np.zeros((len(at), keys), np.int64)
+    for source, (slots, ns) in zip(rows["source"].to_pylist(), _unpacked(rows), strict=True):
+        out[at[source], slots] = ns
+    return out
+
+
 def _compared(key: tuple[pa.Scalar, ...], counts: pa.Table, groups: pa.Table) -> pa.Table:
     """(lang, source, item, value) of one shard and pair of source blocks: the divergence summed over the shard's terms."""
     lang, _, low, high = (x.as_py() for x in key)
     sources = groups["source"].to_pylist()
-    order = np.argsort(np.array(sources, object), kind="stable")
-    sources = [sources[i] for i in order]
-    block, total = groups["block"].to_numpy()[order], groups["total"].to_numpy()[order]
-    at = {s: i for i, s in enumerate(sources)}
-    n = np.zeros((len(sources), int(groups["keys"][0].as_py()) if groups.num_rows else 0), np.int64)
-    if counts.num_rows:
-        own = counts["source"].combine_chunks().dictionary_encode()
-        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
-        row = np.array([at[s] for s in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
-        n[row, counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    block, total = groups["block"].to_numpy(), groups["total"].to_numpy()
+    n = _dense(counts, {s: i for i, s in enumerate(sources)}, int(groups["keys"][0].as_py()) if groups.num_rows else 0)
     share = _share(n, np.maximum(total, 1)[:, None])
     out = {"source": [], "item": [], "value": []}
     for i, source in enumerate(sources):
         others = np.flatnonzero((block == (high if block[i] == low else low)) & (np.arange(len(sources)) != i))
         apart = share[i] - share[others]
-        value = (apart * apart // share[others]).sum(axis=1) if n.shape[1] else np.zeros(len(others), np.int64)
+        value = (apart * apart // share[others]).sum(axis=1)
         out["source"] += [source] * len(others)
         out["item"] += [sources[j] for j in others]
         out["value"] += value.tolist()
+    return _told(lang, out)
+
+
+def _told(lang: str, out: dict[str, list]) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(out["source"]), pa.string()), "source": pa.array(out["source"], pa.string()), "item": pa.array(out["item"], pa.string()), "value": pa.array(out["value"], pa.int64())})
 
 
+_TOLD = "lang string, source string, item string, value bigint"
+
+
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, pass_bytes: int = PASS_BYTES, dense_cells: int = DENSE_CELLS) -> DataFrame:
     """(lang, source, part, item, value, rank) for docs' lang, source and text; see the contract of the query.
 
@@ -305,16 +389,45 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, pass_
     document, repeated ones too.  Ties rank by item.  A language with one source has no
     pairs; an empty table has no rows.  Other columns are not read.
 
-    A count is a row for each group and term, never a list; what a task compares is one
-    shard's terms of at most some 2 x SOURCE_BLOCK sources.
+    Counts travel as arrays of one shard's terms, and what a task compares is one shard's
+    terms of at most some 2 x SOURCE_BLOCK sources.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+    def said(key: tuple[pa.Scalar, ...], counts: pa.Table, whole: pa.Table) -> pa.Table:
+        """The terms of one shard that each source of a block has more of than the language; the first `top` of each are all that can count."""
+        out = {"source": [], "item": [], "value": []}
+        if counts.num_rows:
+            data, offsets = shard_keys(whole["blob"][0].as_py())
+            terms = tb.strings(data, offsets)
+            every = np.zeros(len(terms), np.int64)
+            slots, ns = next(_unpacked(whole))
+            every[slots] = ns
+            q = _share(every, whole["all"].to_numpy())
+            for source, total, (slots, ns) in zip(counts["source"].to_pylist(), counts["total"].to_pylist(), _unpacked(counts), strict=True):
+                p = _share(ns, np.full(len(ns), total))
+                more = p > q[slots]
+                own, apart, base = slots[more], (p - q[slots])[more], q[slots][more]
+                value = apart * apart // base
+                if len(value) > top:  # all that tie with the last one stay, to be ranked by name
+                    most = value >= np.partition(value, len(value) - top)[len(value) - top]
+                    own, value = own[most], value[most]
+                out["source"] += [source] * len(own)
+                out["item"] += terms.take(pa.array(own)).to_pylist()
+                out["value"] += value.tolist()
+        return _told(key[0].as_py(), out)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.frombuffer(x, np.int64).sum()) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["lang", "source", "_n"])
+
     with Scratch() as keep:
         hashes = keep(perfect_hashes(kept_terms(texts, min_docs)))
-        counts = keep(recount(texts, hashes, pass_bytes, dense_cells))
+        counts = keep(recount(keep, texts, hashes, pass_bytes, dense_cells))
         terms = hashes.groupBy("lang").agg(F.sum("keys").alias("v"))
-        found = counts.groupBy("lang", "source").agg(F.sum("n").alias("_n"))
+        found = counts.select("lang", "source", "ns").mapInArrow(summed, "lang string, source string, _n bigint").groupBy("lang", "source").agg(F.sum("_n").alias("_n"))
         occurring = texts.select("lang", "source").distinct().join(terms, "lang", "left").join(found, ["lang", "source"], "left")
         blocks = F.ceil(F.count("*").over(Window.partitionBy("lang")) / SOURCE_BLOCK).cast("int")
         groups = keep(
@@ -325,30 +438,20 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, pass_
         met = lambda rows, *own: rows.withColumn("_o", other).select("lang", "shard", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"), "source", *own)
         shards = hashes.select("lang", "shard", "keys")
         marks = met(groups.join(shards, "lang", "left").withColumn("shard", F.coalesce("shard", F.lit(0))).withColumn("keys", F.coalesce("keys", F.lit(0))), "block", "total", "keys")
-        cells = met(counts.join(groups.select("lang", "source", "blocks", "block"), ["lang", "source"]), "slot", "n")
+        placed = counts.join(groups.select("lang", "source", "blocks", "block", "total"), ["lang", "source"])
         key = ["lang", "shard", "low", "high"]
-        parts = cells.groupBy(*key).cogroup(marks.groupBy(*key)).applyInArrow(_compared, "lang string, source string, item string, value bigint")
+        parts = met(placed, "slots", "ns").groupBy(*key).cogroup(marks.groupBy(*key)).applyInArrow(_compared, _TOLD)
         pairs = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
-        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lang, shard, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    term = tb.strings(*shard_keys(blob))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), pa.array([shard] * len(term), pa.int32()), pa.array(np.arange(len(term)).astype(np.int32)), term], ["lang", "shard", "slot", "term"])
-
-        names = hashes.select("lang", "shard", "blob").mapInArrow(spelled, "lang string, shard int, slot int, term string")
-        all_of = groups.groupBy("lang").agg((F.sum("_n") + F.max("v")).alias("_all"))
-        slot = ["lang", "shard", "slot"]
-        share = lambda n, total: f"1 + (cast({n} + 1 as decimal(20,0)) * cast({SCALE} as decimal(10,0))) div cast({total} as decimal(20,0))"
-        said = (
-            counts.withColumn("_sum", F.sum("n").over(Window.partitionBy(*slot))).join(names, slot)
-            .join(groups.select("lang", "source", "total"), ["lang", "source"]).join(all_of, "lang")
-            .selectExpr("lang", "source", "term AS item", f"{share('n', 'total')} AS p", f"{share('_sum', '_all')} AS q").where("p > q")
-            .selectExpr("lang", "source", "item", "(p - q) * (p - q) div q AS value")
-        )
+        most = groups.groupBy("lang").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        whole = _sums(keep, counts.select("lang", "shard", "source", "slots", "ns"), most, "source", "lang", "shard")
+        all_of = groups.groupBy("lang").agg((F.sum("_n") + F.max("v")).alias("all"), F.max("blocks").alias("blocks"))
+        spelled = whole.join(hashes.select("lang", "shard", "blob"), ["lang", "shard"]).join(all_of, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = ["lang", "shard", "block"]
+        apart = placed.select(*key, "source", "total", "slots", "ns").groupBy(*key).cogroup(spelled.select(*key, "all", "blob", "slots", "ns").groupBy(*key)).applyInArrow(said, _TOLD)
         rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))).cast("int")
         told = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank.alias("rank"))
-        return cut(told(pairs, "pair").unionByName(told(said, "term").where(F.col("rank") <= top)))
+        return cut(told(pairs, "pair").unionByName(told(apart, "term").where(F.col("rank") <= top)))
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
