@@ -148,7 +148,7 @@ _SAID_SQL = "said AS (SELECT a, b, CASE WHEN (a + b) % 2 = 0 THEN 'matched' ELSE
 
 @query("pair_overrides", f"WITH RECURSIVE {_PAIR_SQL}, {_SAID_SQL} SELECT d.a, d.b, coalesce(v, decision) AS decision, v IS NOT NULL AND v <> decision AS contradicted, v IS NOT NULL AS by_person FROM decided d LEFT JOIN said USING (a, b)")
 def pair_overrides(spark, sf_dir):
-    return i.override(_decided(spark, sf_dir), _said(spark, sf_dir)).drop("parcel")
+    return i.override(_decided(spark, sf_dir), _said(spark, sf_dir)).drop("parcel", "agreed", "conflicted")
 
 
 @query("match_groups", f"WITH RECURSIVE {_PAIR_SQL} SELECT node, component FROM groups")
