@@ -167,3 +167,34 @@ def halves(box: tuple[float, float, float, float]) -> list[tuple[float, float, f
         return [(west, south, mid, north), (mid, south, east, north)]
     mid = (south + north) / 2
     return [(west, south, east, mid), (west, mid, east, north)]
+
+
+def _ring_moments(points: Column, origin: Column) -> Column:
+    """Twice a ring's area, without sign, and its first moments to that scale, about an origin."""
+    moved = F.transform(points, lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y")))
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    total = lambda f: F.aggregate(_edges(moved), F.lit(0.0), lambda acc, e: acc + f(e))
+    w = total(cross)
+    turn = F.when(w < 0, -1.0).otherwise(1.0)
+    return F.struct((turn * w).alias("w"), (turn * total(lambda e: (e["a"]["x"] + e["b"]["x"]) * cross(e))).alias("x"), (turn * total(lambda e: (e["a"]["y"] + e["b"]["y"]) * cross(e))).alias("y"))
+
+
+def _ring_sign(rings: Column, ring_: Column, at: Column) -> Column:
+    """1 for an outer ring, -1 for a hole: a ring whose first edge begins inside an odd number of the others is a hole."""
+    a, b = F.get(ring_, F.lit(0)), F.get(ring_, F.lit(1))
+    around = F.size(F.filter(rings, lambda o, i: (i != at) & F.coalesce(in_ring((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2, o), F.lit(False))))
+    return F.when(around % 2 == 1, -1.0).otherwise(1.0)
+
+
+def covering_circle_of(rings: Column) -> Column:
+    """latitude, longitude and miles of a circle around a shape of parts and holes: from the centroid of its area past its farthest vertex.
+
+    Rings may turn either way.  A shape without area has no circle.
+    """
+    origin = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    signed = F.transform(rings, lambda r, i: F.struct(_ring_sign(rings, r, i).alias("sign"), _ring_moments(r, origin).alias("m")))
+    total = lambda part: F.aggregate(signed, F.lit(0.0), lambda acc, s: acc + s["sign"] * s["m"][part])
+    area = total("w")
+    lon, lat = F.try_divide(total("x"), 3 * area) + origin["x"], F.try_divide(total("y"), 3 * area) + origin["y"]
+    far = F.array_max(F.transform(F.flatten(rings), lambda p: haversine(lat, lon, p["y"], p["x"], MILES)))
+    return F.when(area > 0, F.struct(lat.alias("latitude"), lon.alias("longitude"), F.greatest(far * (1 + CIRCLE_MARGIN), F.lit(CIRCLE_FLOOR)).alias("miles")))
