@@ -5,10 +5,12 @@ import os
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import collation, geo
 from tidemark.operators.history import latest_asof
+from tidemark.sources import feeds
 from tidemark.sources import payloads as p
 from tidemark.sources.states import StateTable
 
@@ -171,3 +173,47 @@ def test_circles_of_parts_and_holes(spark):
     assert island.longitude == pytest.approx((16 * 2 - 4 * 2 + 0.25 * 1.75) / 12.25)
     assert circle([(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]) is None
     assert circle(square(0.0, 0.0, 0.001)).miles == 0.5
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame([(r,) for r in rows], "t string")
+
+
+CODES = ({"1": "low", "3": "high"}, {"1": "poor"}, {"1": "yes"}, "high")
+
+
+def test_dams_with_codes_that_nobody_knows_are_errors(spark):
+    good = '{"federalId": "NM1", "publicHazardId": "3", "latitude": 34.123456, "longitude": "-105.5", "conditionAssessId": 1, "yearCompleted": 1931}'
+    got = feeds.dams(texts(spark, good, '{"publicHazardId": "1"}', '{"latitude": 1, "longitude": 2}', '{"publicHazardId": "3", "latitude": "NaN", "longitude": 2}', "no", None), "t", *CODES).collect()
+    assert [tuple(r) for r in got] == [("NM1", "an unnamed dam", 34.12346, -105.5, "poor", None, None, 1931, "")]
+    for bad in (good.replace('Id": "3"', 'Id": "9"'), good.replace('AssessId": 1', 'AssessId": 7')):
+        with pytest.raises(PySparkException, match="is not known"):
+            feeds.dams(texts(spark, bad), "t", *CODES).collect()
+
+
+def test_tracked_sites_need_a_known_status(spark):
+    point = '{"geometry": {"type": "Point", "coordinates": [-105.0, 35.0]}, "properties": {"status": " Operating", "lat": 1, "long": 2, "tenant": "T", "state": "nm"}}'
+    plain_place = '{"geometry": null, "properties": {"facility_name": "A", "status": "planned", "lat": "36", "long": "-104", "operator_name": "O"}}'
+    rows = texts(spark, point, plain_place, '{"properties": {"status": "planned"}}', '{"properties": {"lat": 1, "long": 1}}', None)
+    kinds = {"operating": "built", "planned": "proposed"}
+    got = sorted(tuple(r[c] for c in ("name", "kind", "latitude", "longitude", "state", "operator")) for r in feeds.tracked_sites(rows, "t", kinds).collect())
+    assert got == [("A", "proposed", 36.0, -104.0, "", "O"), ("an unnamed site", "built", 35.0, -105.0, "NM", "T")]
+    with pytest.raises(PySparkException, match="status is not known: planned"):
+        feeds.tracked_sites(rows, "t", {"operating": "built"}).collect()
+
+
+def test_mapped_sites_stand_at_the_middle_of_their_outline(spark):
+    way = '{"tags": {"name": "W"}, "lat": 9, "lon": 9, "geometry": [{"lat": 1, "lon": 2}, {"lat": 3, "lon": 4}, {"lat": null, "lon": 4}]}'
+    relation = '{"members": [{"role": "outer", "geometry": [{"lat": 0, "lon": 0}]}, {"role": "inner", "geometry": [{"lat": 50, "lon": 50}]}, {"role": "", "geometry": [{"lat": 2, "lon": 4}]}]}'
+    got = {r.name: (r.latitude, r.longitude, r.outline and len(r.outline)) for r in feeds.mapped_sites(texts(spark, way, relation, '{"tags": {"name": "N"}, "lat": 7, "lon": 8}', '{"tags": {"name": "none"}}', None), "t").collect()}
+    assert got == {"W": (2.0, 3.0, 2), "an unnamed site": (1.0, 2.0, 2), "N": (7.0, 8.0, None)}
+
+
+def test_counties_and_towns(spark):
+    shape = '{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}'
+    feature = '{"properties": {"BASENAME": "%s", "COUNTY": "025", "CENTLAT": "+33.5", "CENTLON": "-104"}, "geometry": %s}'
+    got = feeds.counties(texts(spark, feature % ("Lea", shape), feature % ("", shape), feature % ("Eddy", "null"), None), "t").collect()
+    assert [(r.fips, r.name, r.latitude, r.longitude, len(r.rings)) for r in got] == [("025", "Lea", 33.5, -104.0, 1)]
+    town = '{"attributes": {"BASENAME": "%s", "AREALAND": %s, "CENTLAT": "1", "CENTLON": "2"}}'
+    got = feeds.towns(texts(spark, town % ("Vale, NM", "12"), town % ("Twin, TX--NM", "null"), town % ("Plain", "7"), town % (" ", "7"), '{"attributes": {"BASENAME": "x"}}'), "t").collect()
+    assert sorted((r.name, r.size) for r in got) == [("Plain", 7), ("Twin, TX--NM", 0), ("Vale", 12)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import collation, geo
 from tidemark.plans import worlds as w
 from tidemark.sources import payloads as p
-from tidemark.sources import tables
+from tidemark.sources import feeds, tables
 from tidemark.sources.states import StateTable
 
 QUERIES = {}
@@ -132,3 +132,29 @@ def circles_of_parts(spark, sf_dir):
     rings = F.array(ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((2.5, 0.5), (3.5, 0.5), (3.5, 1.5), (2.5, 1.5)), ring((6, 0), (6, 1), (7, 1), (7, 0)))
     circles = w.places(spark, sf_dir, "customer", "c_custkey").select("id", geo.covering_circle_of(rings).alias("c"))
     return circles.select("id", *[F.round(f"c.{x}", 6).alias(x) for x in ("latitude", "longitude", "miles")])
+
+
+@query("dam_rows", f"""WITH s AS ({w.places_sql('supplier', 's_suppkey')})
+SELECT id::VARCHAR AS id, CASE WHEN id % 5 = 0 THEN 'an unnamed dam' ELSE s_name END AS name, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude,
+['not rated', 'poor', 'fair', 'good'][id % 4 + 1] AS condition, CASE WHEN id % 4 <> 0 THEN DATE '2020-01-01' + (id % 900)::INT END AS assessed, CASE WHEN id % 2 = 0 THEN 'yes' END AS plan, CASE WHEN id % 7 <> 0 THEN 1900 + id % 100 END::INT AS built
+FROM s WHERE id % 3 = 0 AND id % 11 <> 0""")
+def dam_rows(spark, sf_dir):
+    """Suppliers as an inventory of dams: a third is of high hazard, some stand nowhere, some were never rated."""
+    k = F.col("id")
+    record = F.struct(
+        k.alias("federalId"), F.when(k % 5 == 0, "  ").otherwise(F.col("s_name")).alias("name"), F.when(k % 11 == 0, "unknown").otherwise(F.col("latitude").cast("string")).alias("latitude"), "longitude",
+        F.when(k % 3 == 0, "3").when(k % 3 == 1, "1").alias("publicHazardId"), F.when(k % 4 != 0, (k % 4).cast("string")).otherwise("").alias("conditionAssessId"),
+        F.when(k % 4 != 0, F.concat(F.date_add(F.lit("2020-01-01").cast("date"), (k % 900).cast("int")).cast("string"), F.lit("T00:00:00"))).alias("conditionAssessDate"),
+        F.when(k % 2 == 0, "1").alias("eapId"), F.when(k % 7 == 0, "before 1900").otherwise((1900 + k % 100).cast("string")).alias("yearCompleted"),
+    )
+    rows = w.places(spark, sf_dir, "supplier", "s_suppkey").select(F.to_json(record).alias("record"))
+    return feeds.dams(rows, "record", {"1": "low", "2": "significant", "3": "high"}, {"1": "poor", "2": "fair", "3": "good"}, {"1": "yes", "2": "no"}, "high").drop("owner")
+
+
+@query("town_rows", f"""WITH c AS ({w.places_sql('customer', 'c_custkey')})
+SELECT CASE WHEN id % 4 = 0 THEN c_name || ', NM--TX' ELSE c_name END AS name, latitude, longitude, CASE WHEN id % 6 = 0 THEN 0 ELSE id * 10 END AS size FROM c WHERE id % 9 <> 0 AND id % 13 <> 0""")
+def town_rows(spark, sf_dir):
+    k = F.col("id")
+    name = F.when(k % 9 == 0, " ").when(k % 4 == 0, F.concat("c_name", F.lit(", NM--TX"))).when(k % 4 == 1, F.concat("c_name", F.lit(", NM"))).otherwise(F.col("c_name"))
+    a = F.struct(name.alias("BASENAME"), F.when(k % 6 != 0, k * 10).alias("AREALAND"), F.when(k % 13 != 0, F.col("latitude")).alias("CENTLAT"), F.col("longitude").alias("CENTLON"))
+    return feeds.towns(w.places(spark, sf_dir, "customer", "c_custkey").select(F.to_json(F.struct(a.alias("attributes"))).alias("feature")), "feature")
