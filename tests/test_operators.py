@@ -624,18 +624,6 @@ def test_a_source_with_pushed_filters_and_a_page_that_fails(spark, tmp_path):
     assert "('>', 'price', 6.0)" in open(f"{log}-good").read()
 
 
-def test_zipped_csv(spark, tmp_path):
-    import zipfile
-
-    from tidemark.sources import feeds
-
-    for n in (1, 2):
-        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
-            z.writestr("a.csv", "block,down\n" + "".join(f"{n}{i},{i}\n" for i in range(5)) + '"x, y",7\n')
-    got = feeds.zipped_csv(spark, str(tmp_path / "*.zip"), "block string, down int", F.col("down") > 2).collect()
-    assert sorted((r["block"], r["down"]) for r in got) == sorted([(f"{n}{i}", i) for n in (1, 2) for i in (3, 4)] + [("x, y", 7)] * 2)
-
-
 def test_outer_edges_belong_to_a_box(spark):
     rows = spark.createDataFrame([(0.0, 0.0), (4.0, 4.0), (4.0, 1.0), (2.0, 2.0)], "latitude double, longitude double")
     assert sum(n for _, n, _ in planning.split_by_ceiling(rows, (0.0, 0.0, 4.0, 4.0), 1)) == 4

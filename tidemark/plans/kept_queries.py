@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import collation, geo
 from tidemark.plans import worlds as w
 from tidemark.sources import payloads as p
-from tidemark.sources import feeds, tables
+from tidemark.sources import archives, feeds, tables
 from tidemark.sources.states import StateTable
 
 QUERIES = {}
@@ -158,3 +158,19 @@ def town_rows(spark, sf_dir):
     name = F.when(k % 9 == 0, " ").when(k % 4 == 0, F.concat("c_name", F.lit(", NM--TX"))).when(k % 4 == 1, F.concat("c_name", F.lit(", NM"))).otherwise(F.col("c_name"))
     a = F.struct(name.alias("BASENAME"), F.when(k % 6 != 0, k * 10).alias("AREALAND"), F.when(k % 13 != 0, F.col("latitude")).alias("CENTLAT"), F.col("longitude").alias("CENTLON"))
     return feeds.towns(w.places(spark, sf_dir, "customer", "c_custkey").select(F.to_json(F.struct(a.alias("attributes"))).alias("feature")), "feature")
+
+
+@query("zipped_orders", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority || chr(10) || '"' || o_orderstatus || '", as told' END AS note,
+CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS price, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS customer FROM orders""")
+def zipped_orders(spark, sf_dir):
+    """Every order, by way of zip archives: those of odd keys have their columns in another order, and no customer."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 7 > 0, F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", as told')))
+    price = F.when(k % 11 > 0, F.col("o_totalprice").cast("string")).otherwise("n/a")
+    told = w.table(spark, sf_dir, "orders").select(k.alias("id"), note.alias("note"), price.alias("price"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("customer"))
+    path = f"{tables.shared_folder(spark)}/zipped-{uuid.uuid4().hex}"
+    archives.write_zipped_csv(told.where("id % 2 = 0"), f"{path}/even")
+    archives.write_zipped_csv(told.where("id % 2 <> 0").select("day", "price", "note", "id"), f"{path}/odd")
+    out = tables.stored(archives.zipped_csv(spark, f"{path}/*", "id long, note string, price double, day date, customer long", by_name=["id", "note", "price", "day"]))
+    tables.delete(spark, path)
+    return out
