@@ -1,5 +1,7 @@
 """Quality, toxicity, language, nearest neighbours, mixing, and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -291,6 +293,30 @@ def test_mix_edges(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.repeat_copies(got).count() == sum(r["copies"] for r in rows)
 
 
+def test_rates_have_the_least_entropy_that_meets_the_targets(spark):
+    """Relative entropy to one copy each, weighted by words: no other rates that take a source's target have less."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, "word " * rng.choice((1, 2, 5, 30, 200)), rng.choice("aabbbbc")) for i in range(400)]
+    by = {}
+    for r in mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).collect():
+        by.setdefault(r["source"], []).append((r["size"], r["rate"], r["target"]))
+    entropy = lambda sizes, rates: sum(n * (r * math.log(r) - r + 1) for n, r in zip(sizes, rates, strict=True))
+    for found in by.values():
+        sizes, rates, target = [n for n, _, _ in found], [r for _, r, _ in found], found[0][2]
+        assert sum(n * r for n, r in zip(sizes, rates, strict=True)) == pytest.approx(target)
+        least = entropy(sizes, rates)
+        for _ in range(200):
+            i, j = rng.sample(range(len(sizes)), 2)
+            words = rng.uniform(-0.5, 0.5) * min(sizes[i] * rates[i], sizes[j] * rates[j])
+            other = list(rates)
+            other[i] += words / sizes[i]
+            other[j] -= words / sizes[j]
+            assert entropy(sizes, other) >= least - 1e-9
+
+
 def test_targets_by_hand(spark):
     sizes = [100, 10, 0, 1000, 7, 7, 400, 3]
     rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
@@ -326,6 +352,13 @@ def test_pipeline_against_plain_stages(spark, small):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(third).collect()}
     got = {r["doc_id"]: r["count"] for r in fourth.groupBy("doc_id").count().collect()}
     assert got == {k: n for k, n in copies.items() if n} and max(got.values()) <= 3
+    sizes, of = {}, {}  # words of each document, and of each source, counted here
+    for r in third.collect():
+        sizes[r["doc_id"]] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        of.setdefault(r["source"], []).append(r["doc_id"])
+    names = sorted(s for s in of if s is not None) + ([None] if None in of else [])
+    for s, target in zip(names, plain.fill([sum(sizes[k] for k in of[s]) for s in names]), strict=True):
+        assert abs(sum(got.get(k, 0) * sizes[k] for k in of[s]) - target) <= max([sizes[k] for k in of[s]] + [1])
     assert all(x.columns == columns for x in (first, second, third, fourth))
     last = stages["sharding"](spark, fourth, small)
     assert last.count() == fourth.count() and set(columns) < set(last.columns)
