@@ -601,7 +601,7 @@ def test_geojson_of_every_form(spark):
     assert one(spark, geo.rings_of_geojson(F.col("g")), g=two) is None and one(spark, geo.rings_of_geojson(F.col("g")), g='{"type":"Point","coordinates":[1,2]}') is None
 
 
-def test_a_source_with_pushed_filters_and_a_page_that_fails(spark, tmp_path):
+def test_a_source_that_is_asked_for_less_and_a_page_that_fails(spark, tmp_path):
     from tidemark.sources import connector
 
     log = str(tmp_path / "asked")
@@ -620,8 +620,15 @@ def test_a_source_with_pushed_filters_and_a_page_that_fails(spark, tmp_path):
     connector.register(spark, "shop", "id long, price double", ["good", "bad", "shut"], fetch, pushes=("price",))
     scan = spark.read.format("shop").load()
     assert sorted((r["page"], r["outcome"], r["rows"]) for r in connector.outcomes(scan).collect()) == [("bad", "failed", 1), ("good", "ok", 9), ("shut", "unavailable", 0)]
-    assert sorted(r["id"] for r in scan.where("price > 6 and _outcome = 'ok'").collect()) == [7, 8, 9, 9]
-    assert "('>', 'price', 6.0)" in open(f"{log}-good").read()
+    dear = connector.asked(spark, "shop", (">", "price", 6.0), ("<", "id", 9))
+    assert sorted(r["id"] for r in dear.where("_outcome = 'ok'").collect()) == [7, 8]
+    assert open(f"{log}-good").read() == "[('>', 'price', 6.0)]"  # of the columns that the source bounds
+    assert sorted(r["_outcome"] for r in dear.where("_outcome <> 'ok'").collect()) == ["failed", "unavailable"]
+    # uses of one scan don't see each other's filters, in one query or after another
+    assert scan.where("price > 6").select("id").unionByName(scan.select("id").where("id IS NOT NULL")).count() == 4 + 10
+    assert scan.where("price > 8").count() == 2 and scan.where("_outcome = 'ok'").count() == 10
+    with pytest.raises(ValueError, match="can't be asked"):
+        connector.asked(spark, "shop", ("like", "price", 6.0))
 
 
 def test_outer_edges_belong_to_a_box(spark):

@@ -109,6 +109,13 @@ def test_runs_count_as_a_whole_or_not_at_all(spark, tmp_path):
     runs.record(rows.where("id = 3"), path, 2, "z")
     runs.complete(spark, path, 2)
     assert [tuple(r) for r in read().where("run = 2").collect()] == [(3, 3.0, 2, "z")]
+    # uses of one read don't see each other's filters, in one query or after another
+    once = read()
+    apart = [read().where("run = 1").count(), read().where("run = 2").count()]
+    assert once.where("run = 1").unionByName(once.where("run = 2")).count() == sum(apart) and [once.where("run = 2").count(), once.where("run = 1").count()] == apart[::-1]
+    only = runs.committed(spark, path, SCHEMA, first=2, sources=["z"])
+    assert [tuple(r) for r in only.collect()] == [(3, 3.0, 2, "z")] and only.rdd.getNumPartitions() == 1
+    assert runs.committed(spark, path, SCHEMA, last=1, sources=[]).count() == 0
     assert sorted(map(tuple, runs.states(spark, path).collect())) == [(1, "completed", 2, 105), (2, "completed", 1, 1)]
 
 

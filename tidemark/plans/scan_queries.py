@@ -11,7 +11,7 @@ from tidemark.functions import geo
 from tidemark.functions import text as t
 from tidemark.operators import extract, history, passes
 from tidemark.plans import worlds as w
-from tidemark.sources import paged, planning, runs, tables
+from tidemark.sources import connector, paged, planning, runs, tables
 from tidemark.streaming import batches
 
 QUERIES = {}
@@ -107,7 +107,7 @@ def committed_runs(spark, sf_dir):
                         continue
             give(run, source, F.col("price"))
         (runs.fail if run == 1 else runs.complete)(spark, path, run)
-    got = tables.stored(spark.read.format(runs.FORMAT).option("path", path).schema("event_id bigint, price double, run bigint, source string").load())
+    got = tables.stored(runs.committed(spark, path, "event_id bigint, price double, run bigint, source string"))
     tables.delete(spark, path)
     return got
 
@@ -169,6 +169,63 @@ def paged_orders(spark, sf_dir):
     return scan.select("o_orderkey", F.col("_piece").alias("piece"), F.col("_page").alias("page"), F.col("_outcome").alias("outcome"))
 
 
+_BEFORE_FAILING, _DEAR = 10, 200_000.0
+
+
+def _order_years(path):
+    """A source of orders by year: years in 5 can't be asked, years in 7 fail after ten rows; others give only what is asked for."""
+    import datetime
+    import operator
+
+    import pyarrow.dataset as ds
+
+    signs = {"=": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+
+    def fetch(page, filters):
+        year = int(page)
+        if year % 10 == 5:
+            raise connector.Unavailable("no key for this year")
+        within = (ds.field("o_orderdate") >= datetime.datetime(year, 1, 1)) & (ds.field("o_orderdate") < datetime.datetime(year + 1, 1, 1))
+        for sign, column, value in filters if year % 10 != 7 else []:
+            within &= signs[sign](ds.field(column), value)
+        rows = ds.dataset(path).to_table(["o_orderkey", "o_totalprice"], filter=within)
+        if year % 10 == 7:
+            yield from (tuple(r.values()) for r in rows.sort_by("o_orderkey").slice(0, _BEFORE_FAILING).to_pylist())
+            raise ConnectionError("the line went dead")
+        for batch in rows.to_batches(10_000):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    return fetch
+
+
+@query("answering_years", f"""WITH o AS (SELECT o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS page, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS r FROM orders),
+g AS (SELECT *, CASE right(page, 1) WHEN '5' THEN 'unavailable' WHEN '7' THEN 'failed' ELSE 'ok' END AS outcome FROM o)
+SELECT page, outcome, count(*) FILTER (outcome = 'ok' OR outcome = 'failed' AND r <= {_BEFORE_FAILING}) AS rows, count(*) FILTER ((outcome = 'ok' OR outcome = 'failed' AND r <= {_BEFORE_FAILING}) AND o_totalprice >= {_DEAR}) AS dear FROM g GROUP BY ALL""")
+def answering_years(spark, sf_dir):
+    """What a source gave of each year of orders, how the year ended, and how many dear orders it gave when just these were asked for."""
+    years = [str(r[0]) for r in w.table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").select(F.year("o_orderdate")).distinct().collect()]
+    connector.register(spark, "tidemark_order_years", "o_orderkey bigint, o_totalprice double", years, _order_years(f"{sf_dir}/orders.parquet"), pushes=("o_totalprice",))
+    scan = spark.read.format("tidemark_order_years").load()
+    dear = connector.asked(spark, "tidemark_order_years", (">=", "o_totalprice", _DEAR)).where(F.col("_outcome") == connector.OK).groupBy(F.col("_page").alias("page")).agg(F.count("*").alias("dear"))
+    return connector.outcomes(scan).join(dear, "page", "left").withColumn("dear", F.coalesce("dear", F.lit(0)))
+
+
+@query("streamed_snapshots", """WITH e AS (SELECT event_id, user_id, event_type, event_id % 3 AS run_seq FROM events)
+SELECT CAST(run_seq AS INTEGER) AS run_seq, user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM e GROUP BY run_seq, user_id""")
+def streamed_snapshots(spark, sf_dir):
+    """Events that come in three batches, each a run of its own: a user's first event in each; starting the stream once more with nothing new adds no run."""
+    base = f"{tables.shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = w.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for part in (0, 1, 2, None):
+        if part is not None:
+            rows.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        batches.write_snapshots(stream, f"{base}/out", f"{base}/checkpoint", ["user_id"], ["event_id"]).awaitTermination()
+    out = tables.stored(spark.read.schema(rows.schema.add("run_seq", "integer")).parquet(f"{base}/out"))
+    tables.delete(spark, base)
+    return out
+
+
 @query("run_log_states", "WITH e AS (SELECT user_id AS run_id, event_id, event_type FROM events) SELECT run_id, CASE arg_max(event_type, event_id) FILTER (event_type IN ('purchase', 'signup')) WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' ELSE 'running' END AS state FROM e GROUP BY run_id")
 def run_log_states(spark, sf_dir):
     """Users as runs: a purchase completes, a sign-up fails, anything else only shows that the run goes on."""

@@ -4,7 +4,7 @@
     runs.start(spark, path, 7, search="north")
     runs.record(rows, path, 7, "shop")          # a failing task leaves nothing behind
     runs.complete(spark, path, 7)               # or runs.fail(...)
-    spark.read.format("tidemark_runs").option("path", path).schema("id long, price double, run bigint, source string").load()
+    runs.committed(spark, path, "id long, price double, run bigint, source string", first=5)
 
 Tasks write Parquet files of an attempt of their own and report them; the driver's commit
 names them in a manifest, in one file that appears at once.  A source's last manifest
@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,7 +25,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FORMAT = "tidemark_runs"
 RUNNING, COMPLETED, FAILED = "running", "completed", "failed"
@@ -165,27 +165,19 @@ class _File(InputPartition):
     pass
 
 
-_TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.schema = options["path"], schema
-        self.tests: list[tuple[str, object, object]] = []
+        self.asked = json.loads(options.get("asked", "{}"))
 
-    def pushFilters(self, filters):  # noqa: N802
-        """Filters on run and source choose files; all others are left to Spark."""
-        for f in filters:
-            if type(f) in _TESTS and f.attribute in (("run",), ("source",)):
-                self.tests.append((f.attribute[0], _TESTS[type(f)], f.value))
-            else:
-                yield f
+    def _chosen(self, run: int, source: str) -> bool:
+        first, last, sources = (self.asked.get(k) for k in ("first", "last", "sources"))
+        return (first is None or run >= first) and (last is None or run <= last) and (sources is None or source in sources)
 
     def partitions(self) -> list[InputPartition]:
         facts = _Log(self.path).facts()
         known = _states(facts)
-        chosen = lambda run, source: all(test({"run": run, "source": source}[c], value) for c, test, value in self.tests)
-        return [_File((run, source, name)) for (run, source), f in sorted(_manifests(facts).items()) if known.get(run) == COMPLETED and chosen(run, source) for name in f["files"]]
+        return [_File((run, source, name)) for (run, source), f in sorted(_manifests(facts).items()) if known.get(run) == COMPLETED and self._chosen(run, source) for name in f["files"]]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -223,5 +215,14 @@ class RunTable(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RunTable)
+
+
+def committed(spark: SparkSession, path: str, schema: str | T.StructType, first: int | None = None, last: int | None = None, sources: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the completed runs from first to last and of the named sources; files of others aren't opened.
+
+    The bounds belong to this read.  Spark's own pushing of filters into sources is not
+    used: it keeps with a loaded source what one use of it pushed, for all later uses.
+    """
+    asked = {"first": first, "last": last, "sources": None if sources is None else list(sources)}
+    return spark.read.format(FORMAT).option("path", path).option("asked", json.dumps(asked)).schema(schema).load()
