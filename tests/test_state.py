@@ -1,15 +1,19 @@
 """Components, blocks, runs that commit, paged sources, streams with state, kinds of criteria."""
 
 import random
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tests.oracle import rows_of, rows_of_sql
 from tests.test_operators import snaps
 from tidemark.functions import criteria
 from tidemark.functions.criteria import Rule, constant, evaluate, field
 from tidemark.operators import history, identity
+from tidemark.plans.registry import QUERIES, SQL
 from tidemark.sources import paged, runs
 from tidemark.streaming import presence
 
@@ -214,6 +218,34 @@ def test_passes_stop_when_beats_stay_away(spark, tmp_path):
     assert [(r["pass_id"], r["state"]) for r in got] == [("quiet", "stopped")]
 
 
+def test_last_beats_keep_microseconds_and_odd_beats_do_not_stop_the_stream(spark, tmp_path):
+    presence.use_state(spark)
+    kind = "pass_id string, at timestamp, finished boolean"
+    at = lambda s, us=0: datetime(2024, 1, 1, 0, s // 60, s % 60, us)
+    beats = [("past", at(0, 1999), False), ("past", None, False), ("edge", at(0, 2000), False), ("never", None, None), ("done", at(0), False), ("done", None, True), (None, at(0), False), (None, at(120, 2999), False)]
+    got = run_stream(spark, str(tmp_path), [{"beats": (beats, kind)}], lambda s: presence.stopped_passes(s["beats"]), "pass_id string, last_beat timestamp, last_beat_ms bigint, state string")
+    told = [(r["pass_id"], r["last_beat"], r["last_beat_ms"] % 1000, r["state"]) for r in got]
+    assert told == [("past", at(0, 1999), 1, "stopped")]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stopped_passes_of_odd_events_match_sql(spark, tmp_path, zone):
+    newest, limit = datetime(2024, 3, 12, 12, 0, 0, 123_500), timedelta(hours=49)
+    near = [(newest - limit + timedelta(microseconds=us), user) for user, us in ((1, -1000), (2, -1), (3, 0), (5, 500), (6, -1001))]
+    old = [(datetime(1969, 12, 31, 23, 59, 59, 999_999), 7), (datetime(1900, 1, 1), 9), (datetime(1970, 1, 1), 10), (datetime(2024, 3, 10, 2, 30, 0, 7), 11)]
+    rows = [(newest, 4), *near, *old, (newest - 2 * limit, 13), (None, 13), (None, 14), (None, None), (newest - 3 * limit, None), (newest - 3 * limit, 16)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = rows_of(QUERIES["stopped_passes"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = rows_of_sql(con, SQL["stopped_passes"])
+    assert len(want[1]) > 5 and got == want
+
+
 # --- history and criteria
 
 

@@ -335,16 +335,24 @@ def streamed_presence(spark, sf_dir):
 @query("stopped_passes", """SELECT user_id AS pass_id, max(ts) AS last_beat, 'stopped' AS state FROM events GROUP BY user_id
 HAVING user_id % 4 <> 0 AND epoch_ms(max(ts)) + 48 * 3600000 < (SELECT epoch_ms(max(ts)) FROM events) - 3600000""")
 def stopped_passes(spark, sf_dir):
-    """Users as passes whose events are beats, one an hour: those that have missed 48 when the stream's watermark, an hour late, is past it."""
+    """Users as passes whose events are beats, one an hour: those that have missed 48 when the stream's watermark, an hour late, is past it.
+
+    Times travel as those since the first event, which is put on the second day of 1970, as watermarks begin there; no time zone takes part.
+    Half a millisecond is added, as a watermark is rounded down and epoch_ms to the nearest.  Events that span more than 8,000 years
+    are an error, as a time so put must still be one of Python's.
+    """
     from tidemark.streaming.presence import stopped_passes, use_state
 
     use_state(spark)
     base = f"{tables.shared_folder(spark)}/beats-{uuid.uuid4().hex}"
-    rows = w.table(spark, sf_dir, "events").select(F.col("user_id").alias("pass_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 4 == 0).alias("finished"))
+    us = F.expr("cast(cast(ts - timestamp_ntz'1970-01-01' as interval second) as decimal(20, 6)) * 1000000").cast("bigint")
+    events = w.table(spark, sf_dir, "events").select(F.col("user_id").alias("pass_id"), us.alias("us"), (F.col("user_id") % 4 == 0).alias("finished"))
+    back = (events.agg(F.min("us")).first()[0] or 0) // 1000 * 1000 - 86_400_000_000 - 500
+    rows = events.select("pass_id", F.timestamp_micros(F.col("us") - back).alias("at"), "finished")
     rows.write.parquet(f"{base}/in")
     stream = stopped_passes(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "1 hour", 3600, 48)
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("pass_id bigint, last_beat_ms bigint, state string").parquet(f"{base}/out")
-    out = tables.stored(out.select("pass_id", F.timestamp_millis("last_beat_ms").cast("timestamp_ntz").alias("last_beat"), "state"))
+    out = spark.read.schema("pass_id bigint, last_beat timestamp, state string").parquet(f"{base}/out").withColumn("us", F.unix_micros("last_beat") + back)
+    out = tables.stored(out.select("pass_id", F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(us as decimal(20, 0)) / 1000000)").alias("last_beat"), "state"))
     tables.delete(spark, base)
     return out

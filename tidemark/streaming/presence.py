@@ -85,42 +85,50 @@ def presence_stream(sightings: DataFrame, ends: DataFrame, buckets: int = BUCKET
 
 
 class _Beats(StatefulProcessor):
-    """One pass: its last beat, and a timer that goes off when beats stay away."""
+    """One pass: its last beat, in microseconds, and a timer that goes off when beats stay away."""
 
     def __init__(self, limit: timedelta):
         self.limit = int(limit.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, finished boolean")
+        self.last = handle.getValueState("last_us", "at_us bigint, finished boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if key[0] is None:
+            return iter(())
         last, finished = self.last.get() if self.last.exists() else (None, False)
         for r in rows:
-            at = int(r["at_ms"])
-            last = at if last is None else max(last, at)
             finished = finished or bool(r["finished"])
+            if r["at_us"] is not None:
+                at = int(r["at_us"])
+                last = at if last is None else max(last, at)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if not finished:
-            self.handle.registerTimer(last + self.limit)
+        if last is not None and not finished:
+            # watermarks are whole milliseconds, and a timer goes off when one reaches it: past the limit is one more
+            self.handle.registerTimer(last // 1000 + self.limit + 1)
         self.last.update((last, finished))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         last, _ = self.last.get()
-        yield Row(pass_id=key[0], last_beat_ms=last, state="stopped")
+        yield Row(pass_id=key[0], last_beat_us=last, state="stopped")
 
     def close(self) -> None:
         pass
 
 
 def stopped_passes(beats: DataFrame, late: str = "0 seconds", beat_seconds: int = BEAT_SECONDS, missed: int = MISSED) -> DataFrame:
-    """(pass_id, last_beat_ms, state): passes whose beats have stayed away for `missed` of them, told once a silence, when the watermark is past it.
+    """(pass_id, last_beat_ms, state, last_beat): passes whose beats have stayed away for `missed` of them, told once a silence, when the watermark is past it.
 
     beats: a stream of (pass_id, at, finished); `at` is a timestamp, and finished passes need no more beats.
+    A beat without a time can only finish its pass; one without a pass is nobody's, but moves the watermark.
+    Watermarks begin at 1970: what is from before, or from its first moment, is late.
     """
     kind = beats.schema["pass_id"].dataType.simpleString()
-    marked = beats.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
-    told = f"pass_id {kind}, last_beat_ms bigint, state string"
-    return marked.groupBy("pass_id").transformWithState(_Beats(timedelta(seconds=beat_seconds * missed)), told, "append", "eventTime")
+    marked = beats.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
+    told = f"pass_id {kind}, last_beat_us bigint, state string"
+    out = marked.groupBy("pass_id").transformWithState(_Beats(timedelta(seconds=beat_seconds * missed)), told, "append", "eventTime")
+    last = F.timestamp_micros("last_beat_us")
+    return out.select("pass_id", F.unix_millis(last).alias("last_beat_ms"), "state", last.alias("last_beat"))
