@@ -271,6 +271,45 @@ def test_classes_against_brute_force(spark, monkeypatch, words, percent, block,
     assert len(set(roots.values())) < len(docs) - 5
 
 
+def test_sets_that_meet_by_chance_are_no_candidates(spark):
+    chain = [(token, -1, sid, 100, 0) for sid in range(200) for token in (sid, sid + 1)]
+    close = [(1000 + token, -1, 500 + sid, 100, 0) for sid in range(2) for token in range(14)]
+    hub = [(2000, -1, 600 + sid, 100 if sid < 40 else 300, 0) for sid in range(80)]
+    entries = spark.createDataFrame(chain + close + hub, "token bigint, part int, sid bigint, n int, pos int")
+    got = {tuple(r) for r in near_duplicates.candidate_edges(entries, 80, False).collect()}
+    assert got == {(500, 501), *((600, 600 + i) for i in range(1, 40)), *((640, 640 + i) for i in range(1, 40))}
+
+
+@pytest.mark.parametrize("paired", [2, 4, 32])
+def test_candidates_tie_every_class(monkeypatch, paired):
+    monkeypatch.setattr(near_duplicates, "PAIRED", paired)
+    rng = np.random.default_rng(paired)
+    for _ in range(60):
+        percent = int(rng.choice([60, 80, 90]))
+        base, sets = rng.integers(0, 90, int(rng.integers(3, 40))), []
+        for _ in range(int(rng.integers(2, 20))):
+            x = base[: int(rng.integers(len(base) * 3 // 4, len(base) + 1))].copy()
+            k = int(rng.integers(0, 5))
+            x[rng.integers(0, len(x), k)] = rng.integers(0, 120, k)
+            sets.append(np.unique(x))
+        n = np.array([len(s) for s in sets])
+        rows = sorted((int(g), -1, int(n[i]), i) for i, s in enumerate(sets) for g in s[: near_duplicates.prefix_size(n[i], percent)])
+        token, part, size, sid = (np.array(x) for x in zip(*rows, strict=True))
+        needed, shared = {}, {}
+        for a, b, need, *_ in near_duplicates._list_edges(token, part, sid, size, percent):
+            for x, y, z in zip(a.tolist(), b.tolist(), need.tolist(), strict=True):
+                shared[x, y] = shared.get((x, y), 0) + 1
+                needed[x, y] = min(z, needed.get((x, y), z))
+        f = near_duplicates._Forest(len(sets))
+        for x, y in shared:
+            if shared[x, y] >= needed[x, y]:
+                f.join(x, y)
+        for i in range(len(sets)):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                assert 100 * c < percent * (n[i] + n[j] - c) or f.find(i) == f.find(j)
+
+
 def test_cluster_links_span_the_classes():
     rng = np.random.default_rng(0)
 

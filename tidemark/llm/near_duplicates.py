@@ -3,12 +3,12 @@
 Documents with the same shingle set are one node.  Two sets of Jaccard similarity
 p or more share a shingle among the first n - ceil(p n) + 1 of each, in any common
 order; the order here puts shingles that a corpus-wide count of hashed slots finds
-frequent last.  These prefix entries are the inverted index.
+frequent last.  These prefix entries, and MORE after them, are the inverted index.
 
-Set relations are used twice.  In a list of the index, sets lie by size, and an
-entry's position bounds the size of any partner, so a list falls into blocks that
-need not meet each other.  Blocks of the same sets over all lists form clusters,
-outside which no pair is left.  Within a cluster one set's overlaps with all
+Set relations are used twice.  Pairs of short lists of the index are counted over all
+lists: how many entries two sets must share follows from their sizes.  Those that do
+form clusters, outside which no pair is left, with what long lists tie, in which sets
+lie by size and fall into runs.  Within a cluster one set's overlaps with all
 others are counted from the lists once; the most similar set that is left gets its
 overlaps from those by the few shingles in which the two differ, and so on along
 the cluster, so that each answer costs a difference rather than a set.
@@ -38,6 +38,10 @@ from tidemark.llm.graph import components
 SLOT_BITS = (16, 24)
 SLOT_LOAD = 24
 _SLICES = 256
+#: Entries of a prefix beyond those of which a pair shares one, so that it shares as many more.
+MORE = 2
+#: Sets of a list up to which every two of them are a pair.
+PAIRED = 32
 #: Sets of a cluster that one task takes at once.
 BLOCK = 1000
 #: Entries of one shingle's list that one task sorts, about; and times the mean of slots below which no list is split.
@@ -81,7 +85,17 @@ def need(a, b, percent: int):
 
 
 def prefix_size(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+    return np.minimum(n, n - (percent * n + 99) // 100 + 1 + MORE)
+
+
+def shared_at_least(a, b, percent: int):
+    """How many entries of their prefixes two sets of sizes a and b share at least if they reach the similarity.
+
+    The prefix that ends first in the order has all that is common up to its end; what
+    it lacks of the overlap lies among the rest of its set.
+    """
+    t = need(a, b, percent)
+    return np.maximum(1, np.minimum(prefix_size(a, percent) - (a - t), prefix_size(b, percent) - (b - t)))
 
 
 def slot_bits(docs: DataFrame) -> int:
@@ -180,7 +194,7 @@ def list_parts(mean: float) -> np.ndarray:
 
 
 def prefix_entries(docs: DataFrame, levels: np.ndarray, parts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, part, sid, n, pos) of every set's prefix; a task emits a set that it meets again soon only once.
+    """(token, part, sid, n) of every set's prefix; a task emits a set that it meets again soon only once.
 
     Of a shingle whose slot is so full that its list is sorted in parts, a set's hash says the part; of others it is -1.
     """
@@ -203,9 +217,9 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, parts: np.ndarray, words
                 token, of = g[order][kept], row[kept]
                 many = parts[level[_slots(token, bits)]]
                 part = np.where(many > 1, salt[of] % many.astype(np.uint64), np.uint64(1 << 32) - np.uint64(1)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(sid[of]), pa.array(n[of].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["token", "part", "sid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(sid[of]), pa.array(n[of].astype(np.int32))], ["token", "part", "sid", "n"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, part int, sid bigint, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token bigint, part int, sid bigint, n int")
 
 
 def _block_heads(listed: DataFrame, keys: list[str], end: Column, out: str) -> DataFrame:
@@ -216,25 +230,95 @@ def _block_heads(listed: DataFrame, keys: list[str], end: Column, out: str) -> D
     return begins.withColumn(out, F.last("begins", ignorenulls=True).over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("upto", "begins")
 
 
-def candidate_edges(entries: DataFrame, percent: int, split: bool) -> DataFrame:
-    """Edges (a, b) from each entry of an index block to the block's first set.
+def _list_edges(token: np.ndarray, part: np.ndarray, sid: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[np.ndarray, ...]]:
+    """(a, b, need, token, low, high) from whole lists, in the order of token, part, n and sid; see candidate_edges."""
+    other = np.ones(len(sid), bool)
+    other[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+    once = other.copy()
+    once[1:] |= sid[1:] != sid[:-1]  # a set that several tasks sent
+    token, part, sid, n, other = token[once], part[once], sid[once], n[once], other[once]
+    start = np.flatnonzero(other)
+    size = np.diff(np.append(start, len(sid)))
+    size, pos = np.repeat(size, size), np.arange(len(sid)) - np.repeat(start, size)
+    whole = part < 0
+    out = []
+
+    def give(a, b, need, token=None, low=None, high=None):
+        none = np.zeros(len(a), np.int64)
+        out.append((a, b, need, *(none if x is None else x for x in (token, low, high))))
+
+    rows = np.flatnonzero(whole & (size > 1) & (size <= PAIRED))
+    for d in range(1, PAIRED):
+        rows = rows[pos[rows] + d < size[rows]]
+        if not len(rows):
+            break
+        left = rows[100 * n[rows] >= percent * n[rows + d]]
+        right = left + d
+        give(np.minimum(sid[left], sid[right]), np.maximum(sid[left], sid[right]), shared_at_least(n[left], n[right], percent))
+    rows = np.flatnonzero(~whole | (size > PAIRED))
+    if len(rows):
+        begins = other[rows].copy()
+        begins[1:] |= 100 * n[rows[:-1]] < percent * n[rows[1:]]
+        first = np.flatnonzero(begins)
+        head = np.repeat(rows[first], np.diff(np.append(first, len(rows))))
+        tied = rows != head
+        x, y = sid[rows[tied]], sid[head[tied]]
+        give(np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64))
+        last = rows[np.append(first[1:], len(rows)) - 1]
+        first = rows[first]
+        dealt = part[first] >= 0
+        first, last = first[dealt], last[dealt]
+        give(sid[first], sid[first], np.full(len(first), -1), token[first], n[first], n[last])
+    return out
+
 
-    In a list, by size: an entry of a set of n shingles at position p can only match
-    sets of up to (n - p)(100 + percent) / percent - n, so that a list falls into
-    blocks which no pair crosses.  With `split`, some lists came in parts; the blocks
-    of a list's parts, which are few, meet in the same way by the sizes they reach to.
+def candidate_edges(entries: DataFrame, percent: int, split: bool) -> DataFrame:
+    """Edges (a, b) that tie together all sets which may reach the similarity.
+
+    Two sets in a short list are a pair, and a pair is an edge if it shares as many
+    entries as sets of these sizes must: those that meet by chance share one.  In a
+    longer list, by size, sets are tied to the first one of a run in which each size can
+    match the next; so what is not tied there meets in short lists alone, and its count is
+    whole.  With `split`, some lists came in parts; the runs of a list's parts, which are
+    few, meet in the same way.
     """
-    reach = F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("n")
-    listed = _block_heads(entries, ["token", "part"], reach, "head")
-    ties = listed.select("sid", "head")
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def told(rows):
+            for a, b, *more in _list_edges(*rows, percent):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) if i != 1 else pa.array(x) for i, x in enumerate(more))], ["a", "b", "need", "token", "low", "high"])
+
+        joined = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("token", "part", "sid")] + [batch.column("n").to_numpy().astype(np.int64)]
+            if not len(rows[0]):
+                continue
+            held.append(rows)
+            token, part = rows[:2]
+            if len(held) > 1 and (token[-1], part[-1]) == (held[0][0][-1], held[0][1][-1]):
+                continue  # all of one list, which goes on
+            rows = joined()
+            token, part = rows[:2]
+            ends = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1]))
+            if len(ends):
+                yield from told([x[: ends[-1] + 1] for x in rows])
+                rows = [x[ends[-1] + 1 :] for x in rows]
+            held = [rows]
+        if held:
+            yield from told(joined())
+
+    lists = entries.repartition(partitions(entries.sparkSession), "token", "part").sortWithinPartitions("token", "part", "n", "sid")
+    found = lists.mapInArrow(run, "a bigint, b bigint, need int, token bigint, low int, high int")
+    pairs = found.where("need >= 0").select("a", "b", "need")
     if split:
-        blocks = listed.where("part >= 0").groupBy("token", "part", F.col("head").alias("sid")).agg(F.max(F.greatest(reach, F.col("n"))).alias("end"), F.min("n").alias("n"))
-        ties = ties.unionByName(_block_heads(blocks, ["token"], F.col("end"), "head").select("sid", "head"))
-    heads = ties.where(F.col("sid") != F.col("head")).groupBy("sid").agg(F.array_sort(F.collect_set("head")).alias("heads"))
-    # a set ties its heads together (there are no more of them than entries of its prefix); sets with the same heads do so once
-    first = F.col("heads")[0]
-    tied = F.concat(F.array(F.struct(F.col("sid").alias("a"), first.alias("b"))), F.transform(F.slice("heads", F.lit(2), F.size("heads")), lambda h: F.struct(h.alias("a"), first.alias("b"))))
-    return heads.select(F.inline(tied)).distinct()
+        found = cut(found)
+        runs = found.where("need < 0").select("token", F.col("a").alias("sid"), F.col("low").alias("n"), F.floor(F.col("high") * F.lit(100) / F.lit(percent) + F.lit(1e-9)).alias("end"))
+        ties = _block_heads(runs, ["token"], F.col("end"), "head").where(F.col("sid") != F.col("head"))
+        pairs = found.where("need >= 0").select("a", "b", "need").unionByName(ties.select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b"), F.lit(0).alias("need")))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where(F.col("shared") >= F.col("need")).select("a", "b")
 
 
 class _Forest:
