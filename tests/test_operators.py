@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
@@ -651,3 +652,15 @@ def test_an_exported_ratio_of_nothing_is_zero(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{at}'")
     assert got == {r[0]: r[2] for r in con.sql(SQL["table_export"]).fetchall()} == {1: 0.0, 2: None, 3: 0.0, 4: None, 5: 2.52}
+
+
+def crowd(spark, name, n, latitude):
+    return spark.range(n).select(F.col("id").alias(name), F.lit(latitude).alias("latitude"), F.lit(-101.0).alias("longitude"), (F.col("id") % 2).alias("kind"))
+
+
+def test_pairs_of_crowds_are_told_by_place(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PLACE_ROWS", 16)
+    monkeypatch.setattr(spatial, "CELL_POINTS", 32)
+    points, sites = crowd(spark, "id", 100, 31.0).unionByName(crowd(spark, "id", 1, None)), crowd(spark, "site", 50, 31.1).unionByName(crowd(spark, "site", 1, float("nan")))
+    got = spatial.within(points, sites, 25.0, keep=["kind"], told=F.when(F.col("kind") == 0, F.round("miles", 1)).otherwise(F.round("miles", 0))).collect()
+    assert sorted(map(tuple, got)) == sorted((i, j, j % 2, 7.0 if j % 2 else 6.9) for i in range(100) for j in range(50))

@@ -32,7 +32,7 @@ def _customers(spark, sf_dir):
 
 @query("within_distance", f"WITH {_NEAR} SELECT id, site, round(miles, 4) AS miles FROM near")
 def within_distance(spark, sf_dir):
-    return s.within(_customers(spark, sf_dir), w.sites(spark, sf_dir), MILES).select("id", "site", F.round("miles", 4).alias("miles"))
+    return s.within(_customers(spark, sf_dir), w.sites(spark, sf_dir), MILES, told=F.round("miles", 4))
 
 
 @query("nearest_site", f"WITH {_NEAR} SELECT c.id, arg_min(site, miles) AS site, round(min(miles), 4) AS miles FROM c LEFT JOIN near USING (id) GROUP BY c.id")
