@@ -145,10 +145,9 @@ def nearest_outline(spark, sf_dir):
 
 @query("rounded_distances", f"WITH {_NEAR} SELECT id, site, CASE condition WHEN 0 THEN round(miles, 1) WHEN 1 THEN round(miles, 0) ELSE round(miles / 5, 0) * 5 END AS about FROM near")
 def rounded_distances(spark, sf_dir):
-    sites = w.sites(spark, sf_dir)
-    near = s.within(_customers(spark, sf_dir), sites, MILES).join(sites.select("site", "condition"), "site")
     confidence = F.when(F.col("condition") == 0, "high").when(F.col("condition") == 1, "medium").otherwise("low")
-    return near.select("id", "site", geo.rounded_by_confidence(F.col("miles"), confidence).alias("about"))
+    near = s.within(_customers(spark, sf_dir), w.sites(spark, sf_dir), MILES, keep=["condition"], told=geo.rounded_by_confidence(F.col("miles"), confidence))
+    return near.select("id", "site", F.col("miles").alias("about"))
 
 
 _CACHE = "cache AS (SELECT o_custkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'zone' WHEN 1 THEN 'soil' ELSE 'wind' END AS name, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS value, o_orderdate AS fetched, o_orderkey AS seq FROM orders QUALIFY row_number() OVER (PARTITION BY k, name ORDER BY fetched DESC, seq DESC) = 1)"
