@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import collation, geo
 from tidemark.operators.history import latest_asof
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import feeds
 from tidemark.sources import payloads as p
 from tidemark.sources.states import StateTable
@@ -217,3 +218,9 @@ def test_counties_and_towns(spark):
     town = '{"attributes": {"BASENAME": "%s", "AREALAND": %s, "CENTLAT": "1", "CENTLON": "2"}}'
     got = feeds.towns(texts(spark, town % ("Vale, NM", "12"), town % ("Twin, TX--NM", "null"), town % ("Plain", "7"), town % (" ", "7"), '{"attributes": {"BASENAME": "x"}}'), "t").collect()
     assert sorted((r.name, r.size) for r in got) == [("Plain", 7), ("Twin, TX--NM", 0), ("Vale", 12)]
+
+
+def test_a_circle_of_parts_names_each_value_once(spark, small):
+    """As expressions within others the values were worked out thousands of times a row."""
+    plan = QUERIES["circles_of_parts"](spark, small)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") < 10 and len(plan) < 50_000
