@@ -684,3 +684,14 @@ def test_a_place_is_asked_once_for_all_its_rows(spark, name):
         got = spatial.nearest_of_kind(points, sites, 25.0).groupBy("kind").agg(F.count("*").alias("n"), F.max("site").alias("s")).agg(F.array_sort(F.collect_list(F.struct("kind", "n", "s"))))
         want = ([(0, n, 0), (1, n, 1)],)
     assert tuple(got.first()) == want and time.monotonic() - began < 40
+
+
+def test_thousands_of_boxes_are_counted_without_a_case_for_each(spark):
+    n = 96
+    rows = spark.range(n * n).select(((F.col("id") % n + 0.5) / 64).alias("longitude"), ((F.floor(F.col("id") / n) + 0.5) / 64).alias("latitude"))
+    all_rows = rows.unionByName(spark.createDataFrame([(None, 1.0), (1.0, float("nan")), (-1.0, 1.0)], "longitude double, latitude double"))
+    began = time.monotonic()
+    boxes = planning.split_by_ceiling(all_rows, (0.0, 0.0, n / 64, n / 64), 1)
+    assert time.monotonic() - began < 40
+    seen = sorted(b for b, k, _ in boxes if k)
+    assert len(seen) == n * n == sum(k for _, k, _ in boxes) and not any(over for *_, over in boxes)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ CHOICES = {"property_type": "property_type", "listing_type": "listing_status"}
 #: Filters that only a source can apply; no row is dropped for them here.
 SOURCE_ONLY = ("listing_type", "listed_within_days")
 MAX_DEPTH = 20
+Box = tuple[float, float, float, float]
 MAX_BOUNDS = 100
 
 
@@ -71,28 +74,69 @@ def residual(filters: Mapping[str, object]) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def split_by_ceiling(rows: DataFrame, box: tuple[float, float, float, float], ceiling: int, depth: int = MAX_DEPTH) -> list[tuple[tuple[float, float, float, float], int, bool]]:
+class _Halving:
+    """A tree of boxes: a box is a leaf or was cut at `at` of a longitude (axis 0) or latitude into the two from `child` on."""
+
+    def __init__(self, box: Box) -> None:
+        self.boxes: list[Box] = [box]
+        self.axis, self.at, self.child = [-1], [0.0], [0]
+
+    def cut(self, leaf: int) -> list[int]:
+        pair = geo.halves(self.boxes[leaf])
+        self.axis[leaf], self.child[leaf] = (0, len(self.boxes)) if pair[0][2] == pair[1][0] and pair[0][1] == pair[1][1] else (1, len(self.boxes))
+        self.at[leaf] = pair[0][2 + self.axis[leaf]]
+        for box in pair:
+            self.boxes.append(box)
+            for of, x in ((self.axis, -1), (self.at, 0.0), (self.child, 0)):
+                of.append(x)
+        return [self.child[leaf], self.child[leaf] + 1]
+
+    def counts(self, rows: DataFrame) -> dict[int, int]:
+        """How many rows lie in each leaf; a task sends a number for each that it met."""
+        axis, at, child = np.array(self.axis, np.int8), np.array(self.at), np.array(self.child)
+        west, south, east, north = self.boxes[0]
+        outer = (east, north)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = np.zeros(len(axis), np.int64)
+            for batch in batches:
+                x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (0, 1))
+                own = (x >= west) & (x <= east) & (y >= south) & (y <= north)
+                place = np.stack([x[own], y[own]])
+                node, moving = np.zeros(place.shape[1], np.int64), np.arange(place.shape[1])
+                while len(moving := moving[axis[node[moving]] >= 0]):
+                    of = node[moving]
+                    cut, way = at[of], axis[of]
+                    # the outer edge is in the box that ends there
+                    node[moving] = child[of] + ((place[way, moving] >= cut) & (cut != np.where(way == 0, *outer)))
+                met += np.bincount(node, minlength=len(axis))
+            some = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(met[some])], ["b", "n"])
+
+        told = rows.select(F.col("longitude").cast("double"), F.col("latitude").cast("double")).mapInArrow(run, "b bigint, n bigint")
+        return {r["b"]: r["n"] for r in told.groupBy("b").agg(F.sum("n").alias("n")).collect()}
+
+
+def split_by_ceiling(rows: DataFrame, box: Box, ceiling: int, depth: int = MAX_DEPTH) -> list[tuple[Box, int, bool]]:
     """Boxes (west, south, east, north) of at most `ceiling` rows each, with their counts and whether one is still over.
 
     Each level halves the boxes that are over and counts all their halves in one
-    aggregation.  There are as many boxes as asks, which is what a source's budget bounds.
-    A row on a border between two belongs to the one east or north of it, one on the
-    outer east or north edge to the last box there.
+    aggregation, for which rows go down the tree of cuts.  There are as many boxes as
+    asks, which is what a source's budget bounds.  A row on a border between two belongs
+    to the one east or north of it, one on the outer east or north edge to the last box
+    there.
     """
-    done, over = [], [box]
+    tree, done, over = _Halving(box), [], [0]
     for level in range(depth + 1):
-        upto = lambda c, edge, outer: F.col(c) <= edge if edge == outer else F.col(c) < edge
-        inside = lambda b: (F.col("longitude") >= b[0]) & upto("longitude", b[2], box[2]) & (F.col("latitude") >= b[1]) & upto("latitude", b[3], box[3])
-        which = reduce(lambda acc, ib: acc.when(inside(ib[1]), ib[0]), enumerate(over), F.when(F.lit(False), -1))
-        counts = {r["_b"]: r["n"] for r in rows.groupBy(which.alias("_b")).agg(F.count("*").alias("n")).where(F.col("_b").isNotNull()).collect()}
-        still = [(b, counts.get(i, 0)) for i, b in enumerate(over)]
-        done += [(b, n, False) for b, n in still if n <= ceiling]
-        over = [b for b, n in still if n > ceiling]
+        counts = tree.counts(rows)
+        still = [(tree.boxes[i], counts.get(i, 0), i) for i in over]
+        done += [(b, n, False) for b, n, _ in still if n <= ceiling]
+        over = [i for _, n, i in still if n > ceiling]
         if not over:
             return done
         if level == depth:
-            return done + [(b, n, True) for b, n in still if n > ceiling]
-        over = [h for b in over for h in geo.halves(b)]
+            return done + [(b, n, True) for b, n, _ in still if n > ceiling]
+        over = [h for i in over for h in tree.cut(i)]
     return done
 
 
