@@ -695,3 +695,16 @@ def test_thousands_of_boxes_are_counted_without_a_case_for_each(spark):
     assert time.monotonic() - began < 40
     seen = sorted(b for b, k, _ in boxes if k)
     assert len(seen) == n * n == sum(k for _, k, _ in boxes) and not any(over for *_, over in boxes)
+
+
+def test_rows_that_travel_with_their_blocks_say_the_same(spark):
+    rows = spark.createDataFrame(
+        [(i, f"p{i % 7}" if i % 3 else None, f"{i % 5} st|{i % 2}", f"{i % 5} st", str(i % 2) if i % 4 else None, 31.5 + (i % 6) * 0.0003, -101.5) for i in range(60)],
+        "id long, parcel string, address_key string, bare_key string, unit string, latitude double, longitude double",
+    )
+    keys = F.array("address_key", F.concat(F.lit("p:"), F.col("parcel")))
+    want = identity.pair_signals(identity.candidate_pairs(rows, keys), rows)
+    got = identity.blocked_signals(rows, keys, block_rows=5)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 200
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 1
